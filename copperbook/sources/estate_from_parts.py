@@ -71,7 +71,8 @@ _LINES = [
                         "          05 LK-TEXT PIC X(100)."]},
     {"p_size % 11 = 0": ["       SCREEN SECTION.", "       01 SCR-MAIN.",
                          '          05 SCR-TITLE LINE 1 COLUMN 20 VALUE "PARTS" HIGHLIGHT.',
-                         "          05 SCR-KEY LINE NUMBER IS 3 COL 5 PIC 9(5) FROM WS-N TO PR-KEY."]},
+                         "          05 SCR-KEY LINE NUMBER IS 3 COL 5 PIC 9(5)",
+                         "             FROM WS-N TO PR-KEY."]},
     "       PROCEDURE DIVISION.",
     {"p_size % 13 = 0": ["           DISPLAY \"NO HEADER YET\"."]},
     "       000-MAIN.",
