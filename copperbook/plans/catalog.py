@@ -5,7 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copperbook.plans import estate_oracles, estate_queries, keyed_queries, record_queries
+from copperbook.plans import (
+    estate_oracles,
+    estate_queries,
+    keyed_queries,
+    record_queries,
+    streaming_queries,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +33,13 @@ def _portable(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     estate = {name: _portable(query) for name, query in estate_queries.QUERIES.items()}
-    return {**estate, **record_queries.QUERIES, **keyed_queries.QUERIES}
+    return {**estate, **record_queries.QUERIES, **keyed_queries.QUERIES, **streaming_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**estate_oracles.ORACLES, **record_queries.ORACLES, **keyed_queries.ORACLES}
+    return {
+        **estate_oracles.ORACLES,
+        **record_queries.ORACLES,
+        **keyed_queries.ORACLES,
+        **streaming_queries.ORACLES,
+    }

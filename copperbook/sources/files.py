@@ -38,6 +38,19 @@ def _literal(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() else c for c in text)
 
 
+def decoded_sources(
+    spark: SparkSession, found: DataFrame, root: str, extensions: tuple[str, ...], encoding: str
+) -> DataFrame:
+    """path, rel_dir, text from the rows of the binary file source."""
+    wanted = F.lit(False)
+    for extension in extensions:
+        wanted = wanted | F.col("path").endswith(extension)
+    with _lenient_decoding(spark):
+        read = found.where(wanted).select("path", F.decode("content", encoding).alias("text"))
+        read.schema  # resolves the expression under the settings above
+    return with_rel_dir(read, root).select("path", "rel_dir", "text")
+
+
 def read_sources(
     spark: SparkSession,
     root: str,
@@ -49,19 +62,8 @@ def read_sources(
     Bytes that do not decode become replacement characters. A file is one row,
     so its size is bounded by spark.sql.sources.binaryFile.maxLength.
     """
-    wanted = F.lit(False)
-    for extension in extensions:
-        wanted = wanted | F.col("path").endswith(extension)
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .where(wanted)
-    )
-    with _lenient_decoding(spark):
-        read = found.select("path", F.decode("content", encoding).alias("text"))
-        read.schema  # resolves the expression under the settings above
-    return with_rel_dir(read, root).select("path", "rel_dir", "text")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return decoded_sources(spark, found, root, extensions, encoding)
 
 
 def write_sources(sources: DataFrame, root: str) -> None:
