@@ -8,35 +8,76 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _type(dtype) -> T.DataType:
+def _type(dtype) -> T.DataType | None:
     return T.DataType.fromDDL(dtype) if isinstance(dtype, str) else dtype
 
 
-def store(value: Column, dtype) -> Column:
+def store(value: Column, dtype, source=None) -> Column:
     """``value`` as the target type, truncated toward zero; null on overflow.
 
-    A plain cast would round. Floating-point values pass through a decimal with
-    12 places.
+    A plain cast would round. ``source`` is the type of ``value`` where known:
+    without excess digits there is nothing to cut. Floating-point values pass
+    through a decimal with 12 places.
     """
-    dtype = _type(dtype)
-    if isinstance(dtype, T.DecimalType):
-        exact = value.cast("decimal(38,12)") if dtype.scale < 12 else value
-        unit = F.lit(Decimal(1).scaleb(-dtype.scale))
-        return (exact - exact % unit).try_cast(dtype)
-    return value.try_cast(dtype)
+    dtype, source = _type(dtype), _type(source)
+    if not isinstance(dtype, T.DecimalType) or isinstance(source, T.IntegralType):
+        return value.try_cast(dtype)
+    if isinstance(source, T.DecimalType):
+        if source.scale <= dtype.scale:
+            return value.try_cast(dtype)
+    else:
+        value = value.cast("decimal(38,12)")
+    cut = F.when(value >= 0, F.floor(value, F.lit(dtype.scale))).otherwise(F.ceil(value, F.lit(dtype.scale)))
+    return cut.try_cast(dtype)
+
 
+def _whole(value: Column, source, places: int) -> Column:
+    """value * 10**places as a whole number, for a value with no more places."""
+    return value if isinstance(source, T.IntegralType) and not places else (
+        value * F.lit(10**places).cast(f"decimal({places + 1},0)")
+    ).cast("bigint")
 
-def quotient(dividend: Column, divisor: Column, dtype) -> Column:
+
+def quotient(dividend: Column, divisor: Column, dtype, types=(None, None)) -> Column:
     """Quotient truncated toward zero at the scale of ``dtype``; null for a
-    zero divisor. The division itself leaves no remainder, so it is exact."""
+    zero divisor.
+
+    ``types`` are the operand types where known. Operands that fit whole
+    numbers of 18 digits divide as such; others as decimals, where the division
+    leaves no remainder and so rounds nothing.
+    """
     dtype = _type(dtype)
     scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
     by = F.nullif(divisor, F.lit(0))
+    places = _common_places(types, scale)
+    if places is not None:
+        up = F.call_function(
+            "div", _whole(dividend, types[0], places + scale), F.nullif(_whole(divisor, types[1], places), F.lit(0))
+        )
+        return (up if not scale else up * F.lit(Decimal(1).scaleb(-scale))).try_cast(dtype)
     scaled = dividend * F.lit(10**scale).cast(f"decimal({scale + 1},0)")
     whole = ((scaled - scaled % by) / by).cast("decimal(38,0)")
     return (whole * F.lit(Decimal(1).scaleb(-scale))).try_cast(dtype)
 
 
+def _common_places(types, scale: int) -> int | None:
+    """Decimal places both operands share, if all digits fit 18."""
+    digits, places = [], []
+    for t in types:
+        if isinstance(t, T.DecimalType):
+            digits.append(t.precision - t.scale)
+            places.append(t.scale)
+        elif isinstance(t, T.IntegralType):
+            digits.append({T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10}.get(type(t), 19))
+            places.append(0)
+        else:
+            return None
+    most = max(places)
+    if most == 0 and scale == 0:
+        return 0
+    return most if max(digits) + most + scale <= 18 else None
+
+
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*"
 _OPERAND = rf"(?:{_NAME}|\d+(?:\.\d+)?|\([^()]*\)|pow\([^()]*\))"
 

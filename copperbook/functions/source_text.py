@@ -9,7 +9,7 @@ The clean text keeps one line per newline; statements become arrays.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from copperbook.functions.text import drop_period, let, no_dots, strip, word
+from copperbook.functions.text import drop_period, let, no_dots, split_at, strip, word
 from copperbook.vocabulary import (
     DATA_SECTIONS,
     DIVISION_HEADERS,
@@ -17,11 +17,12 @@ from copperbook.vocabulary import (
     VERBS,
 )
 
-# Private-use characters mark positions inside working text.
-CONTINUED = "\ue001"
-STATEMENT = "\ue002"
-PARAGRAPH = "\ue003"
-SECTION = "\ue004"
+# Control characters mark positions inside working text; ``printable`` keeps
+# them out of what is read.
+CONTINUED = "\x01"
+STATEMENT = "\x02"
+PARAGRAPH = "\x03"
+SECTION = "\x04"
 
 _WORD = r"[A-Z0-9][-A-Z0-9]*"
 _STARTERS = "|".join(VERBS + TERMINATORS + ["ELSE", "WHEN", "NOT"])
@@ -46,9 +47,20 @@ def physical_lines(text: Column) -> Column:
     )
 
 
+def printable(text: Column) -> Column:
+    """The text with a blank for each control character used as a marker."""
+    found = text.contains("\x01")
+    for mark in "\x02\x03\x04\x05\x06":
+        found = found | text.contains(mark)
+    return F.when(found, F.translate(text, "\x01\x02\x03\x04\x05\x06", " " * 6)).otherwise(text)
+
+
 def _odd_blanks(text: Column) -> Column:
     """True when lines may start or end with a blank that is not a space."""
-    return text.rlike("[\\t\\f\\x0b\\u00a0\\u3000]")
+    found = text.contains("\t")
+    for blank in "\f\x0b\u00a0\u3000":
+        found = found | text.contains(blank)
+    return found
 
 
 def fixed_line(raw: Column, trim=strip) -> tuple[Column, Column]:
@@ -89,10 +101,13 @@ def fixed_text(text: Column) -> Column:
         lines = F.transform(physical_lines(text), marked)
         return F.array_join(F.filter(lines, lambda x: ~x.isin("", CONTINUED)), "\n")
 
-    joined = F.when(_odd_blanks(text), kept(strip)).otherwise(kept(F.trim))
-    # a continuation with nothing before it has nothing to continue
-    anchored = F.regexp_replace(joined, rf"\A(?:{CONTINUED}[^\n]*(?:\n|\z))++", "")
-    return F.replace(anchored, F.lit("\n" + CONTINUED), F.lit(" "))
+    def continued(joined):
+        # a continuation with nothing before it has nothing to continue
+        alone = F.regexp_replace(joined, rf"\A(?:{CONTINUED}[^\n]*(?:\n|\z))++", "")
+        anchored = F.when(joined.startswith(CONTINUED), alone).otherwise(joined)
+        return F.replace(anchored, F.lit("\n" + CONTINUED), F.lit(" "))
+
+    return let(F.when(_odd_blanks(text), kept(strip)).otherwise(kept(F.trim)), continued)
 
 
 def free_text(text: Column) -> Column:
@@ -141,7 +156,7 @@ def division_blocks(code: Column) -> Column:
 
     Reading stops where the procedure division ends.
     """
-    blocks = F.split(code, _DIVISION_BREAK)
+    blocks = split_at(code, _DIVISION_BREAK)
     tagged = F.transform(
         blocks,
         lambda b: F.struct(division_of(first_line(b)).alias("division"), b.alias("block")),
@@ -168,7 +183,7 @@ def data_lists(data_text: Column) -> Column:
     section before its first FD belong to nothing, and so do lines after an FD
     that stands in another section.
     """
-    sections = F.split(data_text, SECTION_BREAK)
+    sections = split_at(data_text, SECTION_BREAK)
 
     def entry(name, fd, body):
         return F.struct(name.alias("section"), fd.alias("fd"), body.alias("body"))
@@ -177,7 +192,7 @@ def data_lists(data_text: Column) -> Column:
         return let(
             F.struct(
                 data_section_of(first_line(section)).alias("name"),
-                F.split(F.concat(F.lit("\n"), body_of(section)), r"(?i)\n(?=FD\s)").alias("parts"),
+                split_at(F.concat(F.lit("\n"), body_of(section)), r"(?i)\n(?=FD\s)").alias("parts"),
             ),
             lambda s: F.when(
                 s.getField("name") == "FILE",
@@ -205,7 +220,7 @@ def data_lists(data_text: Column) -> Column:
 # An EXEC line opens a block that runs to the end of the line with END-EXEC, or
 # to the end of the text where there is none.
 _EXEC_BLOCK = r"(?is)\nEXEC (?:.*?END-EXEC[^\n]*|.*\z)"
-_CUT = "\ue005"
+_CUT = "\x05"
 
 
 def _cut(text: Column, plain_pieces) -> Column:
@@ -232,7 +247,7 @@ def _cut(text: Column, plain_pieces) -> Column:
 def _split_flat(text: Column, pattern: str) -> Column:
     """Split, put each piece on one line and drop the empty ones."""
     return F.filter(
-        F.transform(F.split(text, pattern), lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(" ")))),
+        F.transform(split_at(text, pattern), lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(" ")))),
         lambda p: p != "",
     )
 
@@ -319,7 +334,7 @@ def statements_of(paras: Column) -> Column:
     """array<struct<paragraph_no, section, paragraph, sentence_no, text>>."""
 
     def in_paragraph(p, n):
-        sentences = F.split(p.body, rf"(?<=\.){STATEMENT}")
+        sentences = F.split(F.replace(p.body, F.lit("." + STATEMENT), F.lit("." + _CUT)), _CUT)
         return F.flatten(
             F.transform(
                 sentences,

@@ -1,11 +1,33 @@
 """Small text expressions shared by the operators."""
 
+import functools
+import weakref
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\f\x0b\u00a0\u3000"
 
 
+def built_once(build):
+    """Keep the expression a function without arguments builds, per context.
+
+    The long expressions over a source text are the same in every query; putting
+    one together takes hundreds of calls to the JVM.
+    """
+    kept = weakref.WeakKeyDictionary()
+
+    @functools.wraps(build)
+    def get():
+        context = SparkContext.getOrCreate()
+        if context not in kept:
+            kept[context] = build()
+        return kept[context]
+
+    return get
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it occurs.
 
@@ -14,6 +36,18 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+_SPLIT = "\x06"
+
+
+def split_at(text: Column, pattern: str) -> Column:
+    """Split at a regular expression.
+
+    ``split`` compiles its pattern for every value; a replacement keeps the
+    compiled pattern, and splitting at one character needs none.
+    """
+    return F.split(F.regexp_replace(text, pattern, _SPLIT), _SPLIT)
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
     return F.trim(c, F.lit(BLANKS))

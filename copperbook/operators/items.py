@@ -13,7 +13,7 @@ from copperbook.functions import clauses as cl
 from copperbook.functions import source_text as st
 from copperbook.functions.folds import running
 from copperbook.functions.pictures import with_spark_type
-from copperbook.functions.text import drop_period, let, no_dots, pascal_case
+from copperbook.functions.text import built_once, drop_period, let, no_dots, pascal_case
 from copperbook.vocabulary import SCREEN_ATTRIBUTES
 
 _CONDITION = 88
@@ -61,6 +61,7 @@ def _places(levels: Column) -> Column:
     return running(levels, start, step, "struct<parent:int,depth:int>")
 
 
+@built_once
 def _placed_sentences() -> Column:
     """array<struct<section, fd, no, sentence, place, next_parent, parent_sentence>>."""
 

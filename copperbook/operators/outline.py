@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copperbook.functions import source_text as st
-from copperbook.functions.text import no_dots
+from copperbook.functions.text import built_once, no_dots, split_at
 
 
 def physical_lines(sources: DataFrame) -> DataFrame:
@@ -31,27 +31,51 @@ def clean_fixed(sources: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def _fixed_code() -> Column:
+    return st.fixed_text(F.col("text"))
+
+
+@built_once
+def _free_code() -> Column:
+    return st.free_text(F.col("text"))
+
+
+@built_once
+def _auto_code() -> Column:
+    fixed = F.col("fixed_code")
+    return F.when(st.has_real_line(fixed), fixed).otherwise(_free_code())
+
+
+@built_once
+def _blocks() -> Column:
+    return st.division_blocks(F.col("code"))
+
+
+@built_once
+def _division_texts() -> list[Column]:
+    read = F.col("read_blocks")
+    return [
+        st.division_text(read, name).alias(f"{name.lower()}_text")
+        for name in ("IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE")
+    ]
+
+
 def with_clean_text(sources: DataFrame, format: str = "auto") -> DataFrame:
     """Add ``code``, the clean text.
 
     ``auto`` reads fixed format and falls back to free format when that leaves
     nothing, or only lines of one or two characters.
     """
+    if format not in ("auto", "fixed", "free"):
+        raise ValueError(f"format is auto, fixed or free, not {format!r}")
+    readable = sources.withColumn("text", st.printable(F.col("text")))
     if format == "fixed":
-        return sources.withColumn("code", st.fixed_text(F.col("text")))
+        return readable.withColumn("code", _fixed_code())
     if format == "free":
-        return sources.withColumn("code", st.free_text(F.col("text")))
-    if format != "auto":
-        raise ValueError(f"format is auto, fixed or free, not {format!r}")
+        return readable.withColumn("code", _free_code())
     return (
-        sources.withColumn("fixed_code", st.fixed_text(F.col("text")))
-        .withColumn(
-            "code",
-            F.when(st.has_real_line(F.col("fixed_code")), F.col("fixed_code")).otherwise(
-                st.free_text(F.col("text"))
-            ),
-        )
-        .drop("fixed_code")
+        readable.withColumn("fixed_code", _fixed_code()).withColumn("code", _auto_code()).drop("fixed_code")
     )
 
 
@@ -72,19 +96,10 @@ def outline(sources: DataFrame, format: str = "auto") -> DataFrame:
     start of the estate operators; it reads the text once.
     """
     cleaned = with_clean_text(sources.select("path", "text"), format).select("path", "code")
-    blocks = cleaned.withColumn("blocks", st.division_blocks(F.col("code"))).withColumn(
+    blocks = cleaned.withColumn("blocks", _blocks()).withColumn(
         "read_blocks", st.through_procedure(F.col("blocks"))
     )
-    read = F.col("read_blocks")
-    return blocks.select(
-        "path",
-        "code",
-        "blocks",
-        st.division_text(read, "IDENTIFICATION").alias("identification_text"),
-        st.division_text(read, "ENVIRONMENT").alias("environment_text"),
-        st.division_text(read, "DATA").alias("data_text"),
-        st.division_text(read, "PROCEDURE").alias("procedure_text"),
-    )
+    return blocks.select("path", "code", "blocks", *_division_texts())
 
 
 def tagged_lines(outlined: DataFrame) -> DataFrame:
@@ -96,7 +111,7 @@ def tagged_lines(outlined: DataFrame) -> DataFrame:
 
     def lines_of(block):
         # an entry of a section keeps its lines; the block header comes first
-        parts = F.split(block.block, st.SECTION_BREAK)
+        parts = split_at(block.block, st.SECTION_BREAK)
 
         def tag(part, n):
             section = F.when(
@@ -165,10 +180,15 @@ def program_header(outlined: DataFrame) -> DataFrame:
     )
 
 
+def _sentences() -> Column:
+    """Environment text cut after each period at a line end; lines kept apart."""
+    return F.split(F.replace("environment_text", F.lit(".\n"), F.lit(".\x05")), "\x05")
+
+
 def _environment_sentences(outlined: DataFrame) -> DataFrame:
     """path, sentences: what ends with a period, lines kept apart."""
     return outlined.select(
-        "path", "data_text", F.split("environment_text", r"(?<=\.)\n").alias("sentences")
+        "path", "data_text", _sentences().alias("sentences")
     )
 
 
@@ -241,7 +261,7 @@ def file_control(outlined: DataFrame) -> DataFrame:
 
 def file_count() -> Column:
     """Number of rows ``file_control`` has for a file, from its outline row."""
-    sentences = F.split("environment_text", r"(?<=\.)\n")
+    sentences = _sentences()
     names = F.transform(
         F.filter(sentences, lambda s: s.rlike(_SELECT_START)),
         lambda s: F.upper(no_dots(F.regexp_extract(s, r"(?i)(?:\A|\n)SELECT\s+(\S+)", 1))),
@@ -262,7 +282,7 @@ def copies(outlined: DataFrame) -> DataFrame:
         return F.transform(lines, lambda x: no_dots(F.regexp_extract(F.upper(x), r"COPY\s+(\S+)", 1)))
 
     environment = F.transform(
-        F.flatten(F.transform(F.split("environment_text", r"(?<=\.)\n"), members)),
+        F.flatten(F.transform(_sentences(), members)),
         lambda m: F.struct(m.alias("member"), F.lit("ENVIRONMENT").alias("division")),
     )
     data = F.transform(

@@ -25,6 +25,10 @@ def _dtype(df: DataFrame, name: str, dtype=None) -> T.DataType:
     return T.DataType.fromDDL(dtype) if isinstance(dtype, str) else dtype
 
 
+def _store(df: DataFrame, value: Column, dtype: T.DataType) -> Column:
+    return store(value, dtype, df.select(value).schema[0].dataType)
+
+
 def _col(v) -> Column:
     if isinstance(v, Column):
         return v
@@ -47,26 +51,26 @@ def move(df: DataFrame, source, *targets: str) -> DataFrame:
         if isinstance(source, str) and source.upper() in FIGURATIVE:
             out[target] = figurative(source, dtype)
         else:
-            out[target] = store(source if isinstance(source, Column) else F.lit(source), dtype)
+            out[target] = _store(df, source if isinstance(source, Column) else F.lit(source), dtype)
     return df.withColumns(out)
 
 
 def add(df: DataFrame, amount, to: str, giving: str | None = None, dtype=None) -> DataFrame:
     """ADD amount TO to [GIVING giving]."""
     target = giving or to
-    return df.withColumn(target, store(_col(to) + _col(amount), _dtype(df, target, dtype)))
+    return df.withColumn(target, _store(df, _col(to) + _col(amount), _dtype(df, target, dtype)))
 
 
 def subtract(df: DataFrame, amount, from_: str, giving: str | None = None, dtype=None) -> DataFrame:
     """SUBTRACT amount FROM from_ [GIVING giving]."""
     target = giving or from_
-    return df.withColumn(target, store(_col(from_) - _col(amount), _dtype(df, target, dtype)))
+    return df.withColumn(target, _store(df, _col(from_) - _col(amount), _dtype(df, target, dtype)))
 
 
 def multiply(df: DataFrame, factor, by: str, giving: str | None = None, dtype=None) -> DataFrame:
     """MULTIPLY factor BY by [GIVING giving]."""
     target = giving or by
-    return df.withColumn(target, store(_col(factor) * _col(by), _dtype(df, target, dtype)))
+    return df.withColumn(target, _store(df, _col(factor) * _col(by), _dtype(df, target, dtype)))
 
 
 def divide(
@@ -78,9 +82,11 @@ def divide(
     """
     target = _dtype(df, giving, dtype)
     a, b = _col(dividend), _col(divisor)
-    out = {giving: quotient(a, b, target)}
+    types = [f.dataType for f in df.select(a.alias("a"), b.alias("b")).schema]
+    whole = quotient(a, b, target, types)
+    out = {giving: whole}
     if remainder:
-        out[remainder] = a - quotient(a, b, target) * b
+        out[remainder] = a - whole * b
     return df.withColumns(out)
 
 
@@ -92,7 +98,7 @@ def divide_into(df: DataFrame, divisor, into: str, giving: str | None = None, dt
 
 def compute(df: DataFrame, target: str, text: str, dtype=None) -> DataFrame:
     """COMPUTE target = text."""
-    return df.withColumn(target, store(expression(text), _dtype(df, target, dtype)))
+    return df.withColumn(target, _store(df, expression(text), _dtype(df, target, dtype)))
 
 
 def evaluate_lookup(
@@ -119,15 +125,15 @@ def set_true(df: DataFrame, parent: str, values: list) -> DataFrame:
 
 
 def set_up(df: DataFrame, name: str, by) -> DataFrame:
-    return df.withColumn(name, store(F.col(name) + _col(by), _dtype(df, name)))
+    return df.withColumn(name, _store(df, F.col(name) + _col(by), _dtype(df, name)))
 
 
 def set_down(df: DataFrame, name: str, by) -> DataFrame:
-    return df.withColumn(name, store(F.col(name) - _col(by), _dtype(df, name)))
+    return df.withColumn(name, _store(df, F.col(name) - _col(by), _dtype(df, name)))
 
 
 def set_to(df: DataFrame, name: str, value) -> DataFrame:
-    return df.withColumn(name, store(value if isinstance(value, Column) else F.lit(value), _dtype(df, name)))
+    return df.withColumn(name, _store(df, value if isinstance(value, Column) else F.lit(value), _dtype(df, name)))
 
 
 def initial_value(dtype: T.DataType) -> Column:

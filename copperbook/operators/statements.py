@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from copperbook.functions import source_text as st
 from copperbook.functions.folds import running
-from copperbook.functions.text import class_of, drop_period, let, strip, word
+from copperbook.functions.text import built_once, class_of, drop_period, let, strip, word
 from copperbook.vocabulary import (
     BULL_WORDS,
     CICS_CLASSES,
@@ -29,32 +29,40 @@ from copperbook.vocabulary import (
 # size would be derived for a column and compute the array a second time.
 
 
+@built_once
+def _marked() -> Column:
+    return st.marked_statements(st.statement_texts(F.col("procedure_text")))
+
+
+@built_once
+def _paragraphs() -> Column:
+    return st.paragraphs(F.col("marked"))
+
+
 def with_marked(outlined: DataFrame) -> DataFrame:
     """Add ``marked``, the statements with a marker before each."""
-    return outlined.withColumn(
-        "marked", st.marked_statements(st.statement_texts(F.col("procedure_text")))
-    )
+    return outlined.withColumn("marked", _marked())
 
 
 def with_procedure(outlined: DataFrame) -> DataFrame:
     """Add ``marked`` and ``paragraphs``."""
-    return with_marked(outlined).withColumn("paragraphs", st.paragraphs(F.col("marked")))
+    return with_marked(outlined).withColumn("paragraphs", _paragraphs())
 
 
 def paragraphs(outlined: DataFrame) -> DataFrame:
     """path, paragraph_no, section, paragraph; section is empty outside sections."""
     return (
         with_marked(outlined)
-        .select("path", F.posexplode(st.paragraphs(F.col("marked"))).alias("pos", "p"))
+        .select("path", F.posexplode(_paragraphs()).alias("pos", "p"))
         .select("path", (F.col("pos") + 1).alias("paragraph_no"), "p.section", "p.paragraph")
     )
 
 
-def verb_type(text: Column) -> Column:
-    """Statement type, or null for ELSE, WHEN and block terminators."""
-    first, second = F.upper(word(text, 1)), F.upper(word(text, 2))
+def with_verb_type(rows: DataFrame) -> DataFrame:
+    """Add stmt_type, null for ELSE, WHEN and block terminators."""
+    first, second = F.col("first_word"), F.col("second_word")
     both = F.concat_ws(" ", first, second)
-    return (
+    stmt_type = (
         F.when(first.isin(TERMINATORS + ["ELSE", "WHEN"]), F.lit(None).cast("string"))
         .when((first == "EXEC") & second.isin(EXEC_KINDS), both)
         .when(first == "EXEC", F.lit("EXEC OTHER"))
@@ -62,6 +70,10 @@ def verb_type(text: Column) -> Column:
         .when(first.isin(ONE_WORD_TYPES), first)
         .otherwise(F.lit("UNKNOWN"))
     )
+    words = rows.withColumns(
+        {"first_word": F.upper(word(F.col("text"), 1)), "second_word": F.upper(word(F.col("text"), 2))}
+    )
+    return words.withColumn("stmt_type", stmt_type).drop("first_word", "second_word")
 
 
 def _statement_rows(outlined: DataFrame, array: Column) -> DataFrame:
@@ -70,8 +82,9 @@ def _statement_rows(outlined: DataFrame, array: Column) -> DataFrame:
     return rows.select("path", (F.col("pos") + 1).alias("stmt_no"), "s.*").where(F.col("text") != "")
 
 
+@built_once
 def _statement_array() -> Column:
-    every = st.statements_of(st.paragraphs(F.col("marked")))
+    every = st.statements_of(_paragraphs())
     return F.transform(
         every,
         lambda s: F.struct(
@@ -91,7 +104,7 @@ def statements(outlined: DataFrame) -> DataFrame:
     Block words (ELSE, WHEN, END-...) are rows with a null type. ``text`` has
     no final period.
     """
-    return _statement_rows(outlined, _statement_array()).withColumn("stmt_type", verb_type(F.col("text")))
+    return with_verb_type(_statement_rows(outlined, _statement_array()))
 
 
 def verb_types(stmts: DataFrame) -> DataFrame:
@@ -168,7 +181,12 @@ def block_depth(outlined: DataFrame) -> DataFrame:
     for nothing. ``branch`` names the part of the enclosing block: THEN, ELSE,
     WHEN <value>, AT END or NOT AT END; empty at depth 0.
     """
-    with_blocks = let(
+    return with_verb_type(_statement_rows(outlined, _block_array()))
+
+
+@built_once
+def _block_array() -> Column:
+    return let(
         _statement_array(),
         lambda every: let(
             _blocks(every),
@@ -186,7 +204,6 @@ def block_depth(outlined: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return _statement_rows(outlined, with_blocks).withColumn("stmt_type", verb_type(F.col("text")))
 
 
 _EXEC = r"(?is)^EXEC\s+(\w+)\s+(.*?)\s*END-EXEC"
