@@ -234,14 +234,17 @@ def _cut(text: Column, plain_pieces) -> Column:
             )
         )
 
-    opened = F.concat(F.lit("\n"), text)
-    blocks = F.transform(
-        F.regexp_extract_all(opened, F.lit(_EXEC_BLOCK), F.lit(0)),
-        lambda b: F.trim(F.replace(b, F.lit("\n"), F.lit(" "))),
-    )
-    return F.when(
-        opened.rlike(r"(?i)\nEXEC "), let(F.struct(opened.alias("text"), blocks.alias("blocks")), interleave)
-    ).otherwise(plain_pieces(text))
+    def cut(opened):
+        blocks = F.transform(
+            F.regexp_extract_all(opened, F.lit(_EXEC_BLOCK), F.lit(0)),
+            lambda b: F.trim(F.replace(b, F.lit("\n"), F.lit(" "))),
+        )
+        return F.when(
+            opened.rlike(r"(?i)\nEXEC "),
+            let(F.struct(opened.alias("text"), blocks.alias("blocks")), interleave),
+        ).otherwise(plain_pieces(opened))
+
+    return let(F.concat(F.lit("\n"), text), cut)
 
 
 def _split_flat(text: Column, pattern: str) -> Column:

@@ -240,6 +240,39 @@ def _held_conditions(items: DataFrame) -> DataFrame:
     return items.where(F.col("is_88") & F.col("section").isin(*_STORAGE) & F.col("parent_no").isNotNull())
 
 
+@built_once
+def class_candidates() -> Column:
+    """array<struct<part, key>> of one file: a row per field of a record and per
+    88 level of an item, as ``record_schemas`` and ``enum_candidates`` count them."""
+
+    def name(sentence):
+        return F.upper(no_dots(F.regexp_extract(sentence, cl.ITEM, 2)))
+
+    def holder(x):
+        return F.concat_ws(":", x.section, x.fd, x.place.parent)
+
+    def is_field(x):
+        return (
+            x.section.isin(*_STORAGE, "LINKAGE")
+            & (x.place.depth == 1)
+            & (_level(x.sentence) != _CONDITION)
+            & (_level(x.parent_sentence) == 1)
+            & (name(x.parent_sentence) != "FILLER")
+            & ~F.regexp_extract(x.parent_sentence, cl.ITEM, 3).rlike(cl.PICTURE)
+            & (name(x.sentence) != "FILLER")
+        )
+
+    def part(x):
+        return (
+            F.when(x.section.isin(*_STORAGE) & (_level(x.sentence) == _CONDITION), F.lit("enums"))
+            .when(is_field(x), F.lit("data_classes"))
+        )
+
+    items = F.filter(_placed_sentences(), lambda x: x.place.parent > 0)
+    found = F.transform(items, lambda x: F.struct(part(x).alias("part"), holder(x).alias("key")))
+    return F.filter(found, lambda c: c.part.isNotNull())
+
+
 def screen_fields(outlined: DataFrame) -> DataFrame:
     """path, item_no, level, name, line, col, pic, value, from_field, to_field,
     attribute: items of the SCREEN section."""

@@ -10,15 +10,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PER_RANGE = 20
+_MOST_RANGES = 2048
 
 
 def _boundaries(df: DataFrame, order: list[str], ranges: int) -> list[tuple]:
-    """Range limits from a sample of fixed size; they affect balance, not results."""
-    sample = (
-        df.select(*order).orderBy(F.rand(17)).limit(ranges * _PER_RANGE).collect()
-    )
-    rows = sorted((tuple(r) for r in sample), key=lambda r: [(v is not None, v) for v in r])
-    return sorted(set(rows[_PER_RANGE::_PER_RANGE]), key=lambda r: [(v is not None, v) for v in r])
+    """Range limits from a sample whose size depends on ``ranges`` alone; they
+    affect balance, not results."""
+    wanted = ranges * _PER_RANGE
+    rows = df.count()
+    keys = df.select(*order)
+    sample = keys.sample(min(1.0, wanted / rows), 17).limit(2 * wanted).collect() if rows else []
+
+    def nulls_first(key):
+        return [(v is not None, v) for v in key]
+
+    found = sorted((tuple(r) for r in sample), key=nulls_first)
+    return sorted(set(found[_PER_RANGE::_PER_RANGE]), key=nulls_first)
 
 
 def _range_no(df: DataFrame, order: list[str], limits: list[tuple]) -> Column:
@@ -48,8 +55,12 @@ def running_total(
 
     ``order`` names columns that put the rows of a group in one definite order,
     nulls first. ``within`` names the group. ``value`` should be an exact type.
+    The input is read for its size, for the limits, for the totals and for the
+    result; store it first if it is dear to compute. ``ranges`` follows the
+    number of shuffle partitions, up to 2048, unless given.
     """
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or min(partitions, _MOST_RANGES)
     limits = _boundaries(df, order, ranges)
     cut = df.withColumn("__range", _range_no(df, order, limits))
     measure = F.count("*") if value is None else F.sum(value)

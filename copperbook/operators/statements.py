@@ -58,6 +58,18 @@ def paragraphs(outlined: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def service_candidates() -> Column:
+    """array<struct<part, key>> of one file: a row per paragraph with a prefix."""
+    named = F.filter(_paragraphs(), lambda p: p.paragraph.contains("-"))
+    return F.transform(
+        named,
+        lambda p: F.struct(
+            F.lit("services").alias("part"), F.substring_index(F.upper(p.paragraph), "-", 1).alias("key")
+        ),
+    )
+
+
 def with_verb_type(rows: DataFrame) -> DataFrame:
     """Add stmt_type, null for ELSE, WHEN and block terminators."""
     first, second = F.col("first_word"), F.col("second_word")

@@ -176,30 +176,26 @@ def file_handlers(files: DataFrame) -> DataFrame:
 def class_summary(outlined: DataFrame) -> DataFrame:
     """path, data_classes, enums, services, file_handlers, total.
 
-    The main class counts one. Each part is already one row per class, so the
-    final grouping adds up short rows.
+    The main class counts one. One row of a file gives all its candidates, so
+    the text is taken apart once; a class is a group of enough candidates.
     """
-    items = it.data_items(outlined)
-    parts = {
-        "data_classes": it.record_schemas(items).select("path"),
-        "enums": it.enum_candidates(items).select("path"),
-        "services": service_groups(sm.paragraphs(outlined)).select("path"),
-    }
-    counted = [
-        frame.groupBy("path").agg(F.count("*").alias("n")).select("path", F.lit(name).alias("part"), "n")
-        for name, frame in parts.items()
-    ]
-    # every file has this row, so none is lost
-    counted.append(
-        outlined.select("path", F.lit("file_handlers").alias("part"), ol.file_count().cast("bigint").alias("n"))
+    candidates = F.concat(it.class_candidates(), sm.service_candidates())
+    rows = sm.with_marked(outlined).select(
+        "path", ol.file_count().alias("files"), F.explode_outer(candidates).alias("c")
     )
-    stacked = reduce(DataFrame.unionByName, counted)
-    names = ["data_classes", "enums", "services", "file_handlers"]
-    sums = [F.sum(F.when(F.col("part") == n, F.col("n")).otherwise(0)).alias(n) for n in names]
-    return (
-        stacked.groupBy("path")
-        .agg(*sums)
-        .withColumn("total", reduce(lambda a, b: a + b, [F.col(n) for n in names], F.lit(1)))
+    groups = rows.groupBy("path", "files", "c.part", "c.key").agg(F.count("c.part").alias("n"))
+    enough = (
+        ((F.col("part") == "data_classes") & (F.col("n") >= 1))
+        | ((F.col("part") == "enums") & (F.col("n") >= 2))
+        | ((F.col("part") == "services") & (F.col("n") >= 3))
+    )
+    names = ["data_classes", "enums", "services"]
+    counted = groups.groupBy("path").agg(
+        *[F.count_if(enough & (F.col("part") == n)).alias(n) for n in names],
+        F.max("files").cast("bigint").alias("file_handlers"),
+    )
+    return counted.withColumn(
+        "total", reduce(lambda a, b: a + b, [F.col(n) for n in [*names, "file_handlers"]], F.lit(1))
     )
 
 

@@ -189,14 +189,17 @@ def _queues(spark, d):
     empty = spark.createDataFrame([], "queue string, item bigint, data string")
     first = ky.queue_append(empty, rows, ["ts", "event_id"])
     signups = events.where("event_type = 'signup'").select(
-        F.lit("click").alias("queue"), F.col("props").alias("data"), "event_id"
+        F.when(F.col("event_id") % 2 == 0, "click").otherwise("view").alias("queue"),
+        F.col("props").alias("data"),
+        "event_id",
     )
     return first, signups
 
 
 _QUEUES_SQL = """q1 AS (SELECT event_type AS queue, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS item, props AS data FROM events),
-q2 AS (SELECT * FROM q1 UNION ALL SELECT 'click', (SELECT max(item) FROM q1 WHERE queue = 'click') + row_number() OVER (ORDER BY event_id), props
-FROM events WHERE event_type = 'signup')"""
+q2 AS (SELECT * FROM q1 UNION ALL SELECT t.queue, m.most + row_number() OVER (PARTITION BY t.queue ORDER BY event_id), props
+FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'click' ELSE 'view' END AS queue, event_id, props FROM events WHERE event_type = 'signup') t
+JOIN (SELECT queue, max(item) AS most FROM q1 GROUP BY queue) m ON t.queue = m.queue)"""
 
 
 @query("k11_queue_append", f"WITH {_QUEUES_SQL} SELECT * FROM q2")
