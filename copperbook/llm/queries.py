@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copperbook.llm import suffix_dedup
+from copperbook.llm import simhash, suffix_dedup
 from copperbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,8 +14,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_simhash": op3_simhash,
 }
 
 ORACLES: dict[str, str] = {}
