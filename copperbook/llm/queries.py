@@ -4,7 +4,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copperbook.llm import packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from copperbook.llm import (
+    decontamination,
+    packing,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 from copperbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +35,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -40,7 +57,9 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 
