@@ -44,38 +44,66 @@ SHINGLE = 3
 MASKS_FROM = 1 << 16
 
 
-def fingerprint(body: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """A bit is set if set in over half the hashes of the word shingles."""
+def fingerprint(body: bytes, shingle: int = SHINGLE, views: int = 1, seed: int = 42) -> list[int]:
+    """A bit is set if set in over half the hashes of the word shingles. Views
+    after the first remix the hashes, which gives independent fingerprints."""
     words = body.lower().split()
     if not words:
-        return 0
+        return [0] * views
     line = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, seed)
     digest = xxhash.xxh64_digest
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    hashes = b"".join(
-        [digest(line[a:b], seed) for a, b in zip([0, *ends], [e - 1 for e in ends[shingle - 1 :]])]
-    )
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    set_ = 2 * bits.sum(axis=0, dtype=np.int32) > len(bits)
-    return int.from_bytes(np.packbits(set_).tobytes(), "big")
+    if len(words) <= shingle:
+        hashes = digest(line, seed)
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+        hashes = b"".join(
+            [digest(line[a:b], seed) for a, b in zip([0, *ends], [e - 1 for e in ends[shingle - 1 :]])]
+        )
+    own = np.frombuffer(hashes, ">u8")
+    marks = []
+    for view in range(views):
+        mixed = own if not view else _remixed(own.astype(np.uint64), view).astype(">u8")
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
+        set_ = 2 * bits.sum(axis=0, dtype=np.int32) > len(bits)
+        marks.append(int.from_bytes(np.packbits(set_).tobytes(), "big"))
+    return marks
 
 
-def _fingerprints(shingle: int):
+def _remixed(hashes: np.ndarray, view: int) -> np.ndarray:
+    x = hashes + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _fingerprints(shingle: int, views: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, bodies in texts(batches, 4 << 20):
-            marks = np.array([fingerprint(b, shingle) for b in bodies], np.uint64)
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks.view(np.int64))})
+        for ids, keys, bodies in texts(batches, 4 << 20):
+            marks = np.array([fingerprint(b, shingle, views) for b in bodies], np.uint64).reshape(-1, views)
+            columns = {_view(v): pa.array(marks[:, v].copy().view(np.int64)) for v in range(views)}
+            kept = {"doc_id": pa.array(ids, pa.int64()), "text_key": pa.array(keys, pa.int64())}
+            yield pa.record_batch({**kept, **columns})
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, mark): the fingerprint as a signed long."""
+def _view(view: int) -> str:
+    return f"mark{view or ''}"
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, views: int = 1
+) -> DataFrame:
+    """(doc_id, text_key, mark, mark1, ...): a hash of the text, and fingerprints
+    as signed longs, one a view."""
     plain = only(docs, id_col, text_col).toDF("doc_id", "text")
-    plain = plain.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("body"))
-    return plain.mapInArrow(_fingerprints(shingle), "doc_id long, mark long")
+    plain = plain.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
+        utf8("text").alias("body"),
+    )
+    names = ["doc_id", "text_key", *[_view(v) for v in range(views)]]
+    return plain.mapInArrow(_fingerprints(shingle, views), ", ".join(f"{n} long" for n in names))
 
 
 def _turned(marks: np.ndarray, bits: int) -> np.ndarray:
@@ -201,37 +229,91 @@ def _links(budget: int, masks_from: int):
     return run
 
 
-def mark_components(marks: DataFrame, budget: int = BUDGET, masks_from: int = MASKS_FROM) -> DataFrame:
-    """From distinct marks(mark) to (mark, root); a mark without links is its own root."""
-    links = (
+def mark_links(marks: DataFrame, budget: int = BUDGET, masks_from: int = MASKS_FROM) -> DataFrame:
+    """From distinct marks(mark) to links(a, b) that connect what is linked."""
+    return (
         marks.select("mark")
         .mapInArrow(_keys(budget), "key long, mark long")
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_links(budget, masks_from), "a long, b long")
     )
+
+
+def mark_components(marks: DataFrame, budget: int = BUDGET, masks_from: int = MASKS_FROM) -> DataFrame:
+    """From distinct marks(mark) to (mark, root); a mark without links is its own root."""
+    return _rooted(marks, mark_links(marks, budget, masks_from))
+
+
+def _rooted(marks: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links).select(F.col("a").alias("mark"), F.col("b").alias("root"))
     return marks.select("mark").join(roots, "mark", "left").select("mark", F.coalesce("root", "mark").alias("root"))
 
 
+def _view_links(each: DataFrame, view: int, budget: int, masks_from: int) -> DataFrame:
+    """Links of another view, told by the first view's marks."""
+    if not view:
+        return mark_links(each.select("mark").distinct(), budget, masks_from)
+    both = each.select("mark", F.col(_view(view)).alias("other")).distinct()
+    least = both.groupBy("other").agg(F.min("mark").alias("least"))
+    within = both.join(least, "other").where("mark <> least").select(F.col("mark").alias("a"), F.col("least").alias("b"))
+    found = mark_links(least.select(F.col("other").alias("mark")), budget, masks_from)
+    ends = [least.select(F.col("other").alias(e), F.col("least").alias(f"least_{e}")) for e in "ab"]
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return within.unionByName(across)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = SHINGLE,
     budget: int = BUDGET,
+    views: int = 1,
     masks_from: int = MASKS_FROM,
 ) -> DataFrame:
     """Per row: doc_id, fingerprint, component_id (least id of its component),
-    and class_size, the rows with the same fingerprint."""
-    each = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    class_size (rows with the same fingerprint), root of the component, text_key. With several views two
+    texts link when any view does, which finds more of the looser copies."""
+    each = stored(fingerprints(docs, id_col, text_col, shingle, views), "fingerprints")
     classes = each.groupBy("mark").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"))
-    rooted = classes.join(mark_components(classes, budget, masks_from), "mark")
+    links = _view_links(each, 0, budget, masks_from)
+    for view in range(1, views):
+        links = links.unionByName(_view_links(each, view, budget, masks_from))
+    rooted = classes.join(_rooted(classes, links), "mark")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("mark", "component_id", "class_size")
+    named = rooted.join(lowest, "root").select("mark", "component_id", "class_size", "root")
     return each.join(named, "mark").select(
         "doc_id",
         F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"),
         "component_id",
         "class_size",
+        "root",
+        "text_key",
+    )
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    budget: int = BUDGET,
+    views: int = 1,
+) -> DataFrame:
+    """The rows of ``docs`` less later members of a component. The row with the
+    least id stays; among rows under that id, or where no row has an id, the one
+    with the least hash of its text, once. Columns are as they were."""
+    text_key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    found = near_duplicates(docs, id_col, text_col, shingle, budget, views)
+    stay = (
+        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy(F.col("doc_id").alias("__id"), "root")
+        .agg(F.min("text_key").alias("__key"))
+        .select("__id", "__key")
+        .distinct()
     )
+    keyed = docs.withColumn("__text", text_key)
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    kept = keyed.join(stay, same, "left_semi").dropDuplicates([id_col, "__text"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -205,3 +205,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, columns as they were."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score((t or "").encode()) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(np.array(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
