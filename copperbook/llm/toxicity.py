@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; everything else, labelled or not, is
-unlabelled and may hold toxic texts too. With prior p, positive loss R_p+,
+Confirmed toxic texts are the positives; the unlabelled are a draw from all
+texts, so that toxic ones are among them at the prior's share. With prior p, positive loss R_p+,
 positive-as-negative loss R_p- and unlabelled loss R_u-, the risk is
 ``p R_p+ + max(0, R_u- - p R_p-)``. A linear model over words is fitted in numpy
 on the driver, by full gradient steps with the logistic loss; where the corrected negative risk falls below zero the step goes
@@ -11,7 +11,7 @@ Bounds, stated as parameters: ``most_positive`` positives and ``most_unlabelled`
 unlabelled rows are drawn by the hash of the id from the rows that may be
 learned from; ``most_words`` words that occur in the positives and lean to them
 make up the vocabulary. Everything else covers all rows: each text is scored
-whole, by the set of its words.
+whole, by the set of its words and of their beginnings.
 
 Labels are learned only from rows whose CRC-32 of the id modulo 5 is not 0. Ids,
 labels, language and source are no input of a score.
@@ -40,13 +40,18 @@ MOST_UNLABELLED = 6000
 MOST_WORDS = 4000
 LEAST_DOCS = 5
 LEAST_LEAN = 6.0
+LEAST_PURE = 0.5
+STEMS = (4, 5, 6)
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def words(body: bytes) -> set[bytes]:
-    """Distinct runs of letters and digits; ASCII letters lowered."""
-    return set(_WORD.findall(body.lower()))
+    """The features of a text: its distinct runs of letters and digits, ASCII
+    letters lowered, and their beginnings, so that forms of a stem count together."""
+    whole = set(_WORD.findall(body.lower()))
+    starts = {b"^" + w[:n] for n in STEMS for w in whole if len(w) > n}
+    return whole | starts
 
 
 def held_out(doc_id: Column) -> Column:
@@ -141,19 +146,19 @@ def train(
         return rows.dropDuplicates(["body"])  # copies of a text count once
 
     toxic = marks.where("toxic = 1")
-    others = plain.select("doc_id").where("doc_id is not null").join(toxic, "doc_id", "left_anti")
-    draw = stored(drawn(toxic, most_positive, True).unionByName(drawn(others, most_unlabelled, False)), "draw")
+    anyone = plain.select("doc_id").where("doc_id is not null")
+    draw = stored(drawn(toxic, most_positive, True).unionByName(drawn(anyone, most_unlabelled, False)), "draw")
     n = dict(draw.groupBy("positive").count().collect())
-    vocabulary = _vocabulary(draw, n.get(True, 0), n.get(False, 0), most_words)
+    vocabulary = _vocabulary(draw, n.get(True, 0), n.get(False, 0), prior, most_words)
     rows = draw.select("positive", "body").mapInArrow(_places(vocabulary), "positive boolean, places array<int>").collect()
     rows = sorted((r["positive"], r["places"]) for r in rows)
     return fit(vocabulary, [x for p, x in rows if p], [x for p, x in rows if not p], prior)
 
 
-def _vocabulary(draw: DataFrame, n_p: int, n_u: int, most: int) -> list[bytes]:
+def _vocabulary(draw: DataFrame, n_p: int, n_u: int, prior: float, most: int) -> list[bytes]:
     """Words of at least ``LEAST_DOCS`` positives whose share there is beyond
-    their share in the unlabelled by ``LEAST_LEAN`` standard errors; the furthest
-    first."""
+    their share in the unlabelled by ``LEAST_LEAN`` standard errors, and of whose
+    unlabelled texts the prior makes ``LEAST_PURE`` positive; the furthest first."""
     if not n_p:
         return []
     n_u = max(1, n_u)
@@ -165,6 +170,7 @@ def _vocabulary(draw: DataFrame, n_p: int, n_u: int, most: int) -> list[bytes]:
     error = F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
     lean = F.when(error > 0, (F.col("p") / n_p - F.col("u") / n_u) / error).otherwise(0.0)
     found = counts.where(F.col("p") >= LEAST_DOCS).withColumn("lean", lean).where(F.col("lean") >= LEAST_LEAN)
+    found = found.where(F.lit(prior / n_p) * F.col("p") >= F.lit(LEAST_PURE / n_u) * F.col("u"))
     return [bytes(r["word"]) for r in found.orderBy(F.desc("lean"), "word").limit(most).collect()]
 
 
