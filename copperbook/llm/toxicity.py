@@ -24,6 +24,7 @@ columns are ignored.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,10 +49,11 @@ _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 def words(body: bytes) -> set[bytes]:
     """The features of a text: its distinct runs of letters and digits, ASCII
-    letters lowered, and their beginnings, so that forms of a stem count together."""
+    letters lowered; their beginnings, so that forms of a stem count together;
+    and the beginnings that two or more of them share."""
     whole = set(_WORD.findall(body.lower()))
-    starts = {b"^" + w[:n] for n in STEMS for w in whole if len(w) > n}
-    return whole | starts
+    starts = Counter([w[:n] for n in STEMS for w in whole if len(w) > n])
+    return whole | {b"^" + s for s in starts} | {b"^^" + s for s, n in starts.items() if n > 1}
 
 
 def held_out(doc_id: Column) -> Column:
