@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from copperbook.llm import (
@@ -12,6 +13,7 @@ from copperbook.llm import (
     sharding,
     simhash,
     suffix_dedup,
+    token_file,
     toxicity,
 )
 from copperbook.llm.common import table
@@ -44,6 +46,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_file.read(token_file.write(table(spark, sf_dir, "documents"), path))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op8_token_file": op8_token_file,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
