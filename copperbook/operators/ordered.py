@@ -1,46 +1,29 @@
 """Running numbers and totals over long sequences.
 
-A window over a whole sequence, or over one hot key, is one task. Here a
-sequence is cut into ranges of its order, each range is summed up with partial
-aggregation, and the total of the ranges before is added to a window within the
-range. The result is the same; no task sees more than a range.
+A window over a whole sequence, or over one hot key, is one task. Here the rows
+are dealt into ranges of group and order, so that a small group falls into one
+range and a hot group is cut into many. In a range only the first group can have
+begun earlier; its total so far, one row per range at most, is added to a window
+within the range. No task sees more than a range, whatever the number of ranges,
+and the plan does not depend on it.
+
+The dealt rows are stored before they are read twice, since another evaluation
+could cut the ranges elsewhere.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PER_RANGE = 20
-_MOST_RANGES = 2048
+from copperbook.session import scratch_path
 
 
-def _boundaries(df: DataFrame, order: list[str], ranges: int) -> list[tuple]:
-    """Range limits from a sample whose size depends on ``ranges`` alone; they
-    affect balance, not results."""
-    wanted = ranges * _PER_RANGE
-    rows = df.count()
-    keys = df.select(*order)
-    sample = keys.sample(min(1.0, wanted / rows), 17).limit(2 * wanted).collect() if rows else []
-
-    def nulls_first(key):
-        return [(v is not None, v) for v in key]
-
-    found = sorted((tuple(r) for r in sample), key=nulls_first)
-    return sorted(set(found[_PER_RANGE::_PER_RANGE]), key=nulls_first)
-
-
-def _range_no(df: DataFrame, order: list[str], limits: list[tuple]) -> Column:
-    """Number of limits at or below the key, found by halving."""
-    key = F.struct(*order)
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def at(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        limit = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, limits[middle])])
-        return F.when(key < limit, at(low, middle)).otherwise(at(middle + 1, high))
-
-    return at(0, len(limits))
+def _dealt(df: DataFrame, keys: list[str], ranges: int) -> DataFrame:
+    """The rows with ``__range``, ascending with the keys; stored."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranges")
+    cut = df.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id())
+    cut.write.parquet(path)
+    return spark.read.schema(cut.schema).parquet(path)
 
 
 def running_total(
@@ -55,24 +38,23 @@ def running_total(
 
     ``order`` names columns that put the rows of a group in one definite order,
     nulls first. ``within`` names the group. ``value`` should be an exact type.
-    The input is read for its size, for the limits, for the totals and for the
-    result; store it first if it is dear to compute. ``ranges`` follows the
-    number of shuffle partitions, up to 2048, unless given.
+    ``ranges`` is the number of shuffle partitions unless given.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or min(partitions, _MOST_RANGES)
-    limits = _boundaries(df, order, ranges)
-    cut = df.withColumn("__range", _range_no(df, order, limits))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = _dealt(df, [*within, *order], ranges)
     measure = F.count("*") if value is None else F.sum(value)
     totals = cut.groupBy(*within, "__range").agg(measure.alias("__sum"))
-    earlier = (
-        Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # a row per group and range: with no group, at most as many rows as ranges
-    before = totals.select(
-        *[F.col(c).alias(f"__{c}") for c in within],
-        F.col("__range").alias("__at"),
-        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"),
+    earlier = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # only a range whose first group began earlier keeps a row
+    before = (
+        totals.select(
+            *[F.col(c).alias(f"__{c}") for c in within],
+            F.col("__range").alias("__at"),
+            F.count("*").over(earlier).alias("__ranges"),
+            F.sum("__sum").over(earlier).alias("__before"),
+        )
+        .where("__ranges > 0")
+        .drop("__ranges")
     )
     match = F.col("__range") == F.col("__at")
     for c in within:
@@ -83,10 +65,12 @@ def running_total(
         if value is None
         else F.sum(value).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
+    before_ = F.coalesce("__before", F.lit(0))
     return (
-        cut.join(before if within else F.broadcast(before), match)
-        .withColumn(name, F.col("__before") + local)
-        .drop("__range", "__at", "__before", *[f"__{c}" for c in within])
+        cut.withColumn("__local", local)
+        .join(F.broadcast(before), match, "left")  # at most a row per range
+        .withColumn(name, F.when(F.col("__local").isNull(), F.col("__before")).otherwise(before_ + F.col("__local")))
+        .drop("__range", "__at", "__before", "__local", *[f"__{c}" for c in within])
     )
 
 
