@@ -7,14 +7,14 @@ from copperbook.vocabulary import USAGE_TYPES
 
 
 def digit_count(picture: Column) -> Column:
-    """Number of digit positions: ``9(5)99`` has seven."""
+    """Number of digit positions: ``9(5)99`` has seven; null beyond any count."""
     runs = F.regexp_extract_all(picture, F.lit(r"[9Z0](?:\(\d+\))?"), F.lit(0))
 
     def size(run):
         repeat = F.regexp_extract(run, r"\((\d+)\)", 1)
-        return F.when(repeat == "", F.lit(1)).otherwise(repeat.cast("int"))
+        return F.when(repeat == "", F.lit(1)).otherwise(repeat.try_cast("int"))
 
-    return F.aggregate(F.transform(runs, size), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(F.transform(runs, size), F.lit(0), lambda a, x: F.try_add(a, x))
 
 
 def with_spark_type(items: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def with_spark_type(items: DataFrame) -> DataFrame:
         F.when(F.col("is_88"), F.lit("boolean"))
         .when(F.col("is_group"), F.lit("struct"))
         .when(F.col("picture") == "", bare)
-        .when(~F.col("is_numeric") | (precision > 38), F.lit("string"))
+        .when(~F.col("is_numeric") | precision.isNull() | (precision > 38), F.lit("string"))
         .when(
             pointed | packed | (precision > 18),
             F.concat(F.lit("decimal("), precision, F.lit(","), F.col("scale"), F.lit(")")),

@@ -39,7 +39,7 @@ def figurative(word: str, dtype: T.DataType) -> Column:
     """A figurative constant as a value of ``dtype``."""
     spelling = FIGURATIVE[word.upper()]
     values = _FIGURATIVE_TEXT if isinstance(dtype, T.StringType) else _FIGURATIVE_NUMBER
-    return F.lit(values[spelling]).cast(dtype)
+    return F.lit(values[spelling]).try_cast(dtype)
 
 
 def move(df: DataFrame, source, *targets: str) -> DataFrame:
@@ -58,19 +58,19 @@ def move(df: DataFrame, source, *targets: str) -> DataFrame:
 def add(df: DataFrame, amount, to: str, giving: str | None = None, dtype=None) -> DataFrame:
     """ADD amount TO to [GIVING giving]."""
     target = giving or to
-    return df.withColumn(target, _store(df, _col(to) + _col(amount), _dtype(df, target, dtype)))
+    return df.withColumn(target, _store(df, F.try_add(_col(to), _col(amount)), _dtype(df, target, dtype)))
 
 
 def subtract(df: DataFrame, amount, from_: str, giving: str | None = None, dtype=None) -> DataFrame:
     """SUBTRACT amount FROM from_ [GIVING giving]."""
     target = giving or from_
-    return df.withColumn(target, _store(df, _col(from_) - _col(amount), _dtype(df, target, dtype)))
+    return df.withColumn(target, _store(df, F.try_subtract(_col(from_), _col(amount)), _dtype(df, target, dtype)))
 
 
 def multiply(df: DataFrame, factor, by: str, giving: str | None = None, dtype=None) -> DataFrame:
     """MULTIPLY factor BY by [GIVING giving]."""
     target = giving or by
-    return df.withColumn(target, _store(df, _col(factor) * _col(by), _dtype(df, target, dtype)))
+    return df.withColumn(target, _store(df, F.try_multiply(_col(factor), _col(by)), _dtype(df, target, dtype)))
 
 
 def divide(
@@ -86,7 +86,7 @@ def divide(
     whole = quotient(a, b, target, types)
     out = {giving: whole}
     if remainder:
-        out[remainder] = a - whole * b
+        out[remainder] = F.try_subtract(a, F.try_multiply(whole, b))
     return df.withColumns(out)
 
 
@@ -102,18 +102,13 @@ def compute(df: DataFrame, target: str, text: str, dtype=None) -> DataFrame:
 
 
 def evaluate_lookup(
-    df: DataFrame, subject: str, table: dict, result: str, other=None, broadcast_rows: int = 100_000
+    df: DataFrame, subject: str, table: dict, result: str, other=None
 ) -> DataFrame:
-    """EVALUATE subject with many values: a join with the table of values.
-
-    The table is sent to every task while it has at most ``broadcast_rows``
-    rows; a longer one is shuffled.
-    """
+    """EVALUATE subject with many values: a join with the table of values, which
+    the planner sends to every task or shuffles by its measured size."""
     values = df.sparkSession.createDataFrame(list(table.items()), ["__when", "__then"]).withColumn(
         "__when", F.col("__when").cast(df.schema[subject].dataType)
     )
-    if len(table) <= broadcast_rows:
-        values = F.broadcast(values)
     joined = df.join(values, F.col(subject) == F.col("__when"), "left")
     found = F.when(F.col("__when").isNotNull(), F.col("__then")).otherwise(F.lit(other))
     return joined.withColumn(result, found).drop("__when", "__then")
@@ -125,11 +120,11 @@ def set_true(df: DataFrame, parent: str, values: list) -> DataFrame:
 
 
 def set_up(df: DataFrame, name: str, by) -> DataFrame:
-    return df.withColumn(name, _store(df, F.col(name) + _col(by), _dtype(df, name)))
+    return df.withColumn(name, _store(df, F.try_add(F.col(name), _col(by)), _dtype(df, name)))
 
 
 def set_down(df: DataFrame, name: str, by) -> DataFrame:
-    return df.withColumn(name, _store(df, F.col(name) - _col(by), _dtype(df, name)))
+    return df.withColumn(name, _store(df, F.try_subtract(F.col(name), _col(by)), _dtype(df, name)))
 
 
 def set_to(df: DataFrame, name: str, value) -> DataFrame:

@@ -15,15 +15,23 @@ from pyspark.sql import types as T
 _WRITE_MODES = {"OUTPUT": "overwrite", "EXTEND": "append", "I-O": "append"}
 
 
+# Usages whose fields are characters.
+_CHARACTER_USAGES = ("", "DISPLAY")
+
+
 @dataclass(frozen=True)
 class Field:
-    """Place of one field in a record; ``start`` counts from 1."""
+    """Place of one field in a record; ``start`` counts from 1. ``length`` is
+    that of one element, ``point`` says that the picture shows its decimal point,
+    and ``occurs`` above 0 makes the field a table."""
 
     name: str
     start: int
     length: int
     dtype: str = "string"
     signed: bool = False
+    point: bool = False
+    occurs: int = 0
 
     @property
     def scale(self) -> int:
@@ -34,6 +42,10 @@ class Field:
     def is_text(self) -> bool:
         return self.dtype == "string"
 
+    @property
+    def end(self) -> int:
+        return self.start + self.length * max(1, self.occurs)
+
 
 def layout(*fields: tuple) -> list[Field]:
     """Fields one after another from (name, length, dtype[, signed]) tuples."""
@@ -52,29 +64,58 @@ def picture_length(picture: str) -> int:
 
 def layout_of(items: list[dict]) -> list[Field]:
     """Layout of one record from its elementary items, in order, each with name,
-    picture and spark_type."""
-    return layout(
-        *[
-            (
-                item["name"].lower().replace("-", "_"),
-                picture_length(item["picture"]),
-                item["spark_type"],
-                item["picture"].upper().startswith("S"),
-            )
-            for item in items
-        ]
-    )
+    picture and spark_type, and usage, occurs and redefines where it has them.
+
+    A field that redefines another starts where that one does. A packed or
+    binary usage has no characters and is refused.
+    """
+    out: list[Field] = []
+    start = 1
+    for item in items:
+        picture, usage = item["picture"].upper(), (item.get("usage") or "").upper()
+        if usage not in _CHARACTER_USAGES:
+            raise ValueError(f"{item['name']} has usage {usage}, which is not characters")
+        name = item["name"].lower().replace("-", "_")
+        target = (item.get("redefines") or "").lower().replace("-", "_")
+        if target:
+            at = next((f.start for f in out if f.name == target), None)
+            if at is None:
+                raise ValueError(f"{item['name']} redefines {item['redefines']}, which is not before it")
+        else:
+            at = start
+        field = Field(
+            name, at, picture_length(picture), item["spark_type"], picture.startswith("S"), "." in picture,
+            item.get("occurs") or 0,
+        )
+        out.append(field)
+        start = max(start, field.end)
+    return out
 
 
-def _read(field: Field) -> Column:
-    text = F.substring("value", field.start, field.length)
+def _element(field: Field, text: Column) -> Column:
+    """The value of the characters of one element."""
     if field.is_text:
         return F.rtrim(text)
-    digits = field.length - (1 if field.signed else 0)
-    whole = F.trim(text).try_cast(f"decimal({digits},0)")
-    if not field.scale:
-        return whole.cast(field.dtype)
-    return (whole / F.lit(10**field.scale)).cast(field.dtype)
+    shown = F.trim(text)
+    if field.point or not field.scale:
+        return shown.try_cast(f"decimal(38,{field.scale})").try_cast(field.dtype)
+    # the point goes in among the characters, so that no digit is rounded
+    digits = F.regexp_extract(shown, r"^[+-]?(\d+)$", 1)
+    filled = F.lpad(digits, F.greatest(F.length(digits), F.lit(field.scale)), F.lit("0"))
+    pointed = F.concat(
+        F.when(shown.startswith("-"), "-").otherwise(""),
+        F.substring(filled, F.lit(1), F.length(filled) - field.scale),
+        F.lit("."),
+        F.right(filled, F.lit(field.scale)),
+    )
+    return F.when(digits != "", pointed.try_cast(field.dtype))
+
+
+def _read(field: Field) -> Column:
+    def at(n: int) -> Column:
+        return _element(field, F.substring("value", field.start + n * field.length, field.length))
+
+    return F.array(*[at(n) for n in range(field.occurs)]) if field.occurs else at(0)
 
 
 def read_records(spark: SparkSession, path: str, fields: list[Field]) -> DataFrame:
@@ -82,22 +123,35 @@ def read_records(spark: SparkSession, path: str, fields: list[Field]) -> DataFra
     return spark.read.text(path).select(*[_read(f).alias(f.name) for f in fields])
 
 
-def _write(field: Field) -> Column:
-    value = F.col(field.name)
+def _shown(field: Field, value: Column) -> Column:
+    """The characters of one element; a null is blank."""
+    blank = F.lit(" " * field.length)
     if field.is_text:
         return F.rpad(F.coalesce(value, F.lit("")), field.length, " ")
-    digits = field.length - (1 if field.signed else 0)
-    unscaled = (F.coalesce(value, F.lit(0)).cast(f"decimal(38,{field.scale})") * F.lit(10**field.scale)).cast(
-        "decimal(38,0)"
-    )
-    # high-order digits that have no place are lost
-    shown = F.right(F.lpad(F.abs(unscaled).cast("string"), 38, "0"), F.lit(digits))
-    return F.concat(F.when(unscaled < 0, "-").otherwise("+"), shown) if field.signed else shown
+    digits = field.length - (1 if field.signed else 0) - (1 if field.point else 0)
+    exact = value.try_cast(f"decimal(38,{field.scale})")
+    # the digits as written, without the point; high-order ones without a place are lost
+    plain = F.regexp_replace(F.abs(exact).cast("string"), r"\.", "")
+    kept = F.right(F.lpad(plain, 38, "0"), F.lit(digits))
+    if field.point:
+        kept = F.concat(F.substring(kept, 1, digits - field.scale), F.lit("."), F.right(kept, F.lit(field.scale)))
+    if field.signed:
+        kept = F.concat(F.when(exact < 0, "-").otherwise("+"), kept)
+    return F.coalesce(kept, blank)
+
+
+def _write(field: Field) -> Column:
+    value = F.col(field.name)
+    if not field.occurs:
+        return _shown(field, value)
+    return F.concat(*[_shown(field, F.get(value, F.lit(n))) for n in range(field.occurs)])
 
 
 def record_text(df: DataFrame, fields: list[Field]) -> DataFrame:
-    """value: the record as characters."""
-    return df.select(F.concat(*[_write(f) for f in fields]).alias("value"))
+    """value: the record as characters. Of fields in one place the first is
+    written; a null is blank, and reads as null again where a number belongs."""
+    places = sorted({f.start: f for f in reversed(fields)}.values(), key=lambda f: f.start)
+    return df.select(F.concat(*[_write(f) for f in places]).alias("value"))
 
 
 def write_records(df: DataFrame, path: str, fields: list[Field], mode: str = "OUTPUT") -> None:

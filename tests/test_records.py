@@ -93,12 +93,36 @@ def test_conditions(spark):
     assert df.select(cd.if_else(F.lit(None).cast("boolean"), 1, 2)).first()[0] == 2
 
 
-def test_lookup_works_the_same_without_broadcast(spark):
-    df = spark.range(50)
+def test_lookup(spark):
     table = {i: f"v{i}" for i in range(0, 50, 2)}
-    small = rc.evaluate_lookup(df, "id", table, "r", "none").orderBy("id").collect()
-    large = rc.evaluate_lookup(df, "id", table, "r", "none", broadcast_rows=0).orderBy("id").collect()
-    assert small == large and small[1]["r"] == "none" and small[2]["r"] == "v2"
+    found = rc.evaluate_lookup(spark.range(50), "id", table, "r", "none").orderBy("id").collect()
+    assert [r["r"] for r in found[:3]] == ["v0", "none", "v2"]
+
+
+def test_overflow_is_null(spark):
+    df = spark.sql(
+        "SELECT 2147483647 AS i, 9223372036854775807L AS b, -9223372036854775807L - 1 AS least, 1e30D AS v, "
+        "CAST('9999999999.99' AS decimal(12,2)) AS d, CAST(repeat('9', 38) AS decimal(38,0)) AS w"
+    )
+    calls = [
+        (rc.add(df, 1, "i"), "i"), (rc.add(df, 1, "b"), "b"), (rc.subtract(df, 10, "least"), "least"),
+        (rc.multiply(df, "b", "b"), "b"), (rc.multiply(df, "w", "w"), "w"), (rc.set_up(df, "b", 1), "b"),
+        (rc.set_down(df, "least", 1), "least"), (rc.move(df, F.col("v"), "d"), "d"), (rc.move(df, F.col("v"), "i"), "i"),
+        (rc.compute(df, "d", "v ** 2"), "d"), (rc.compute(df, "i", "i + 1"), "i"), (rc.compute(df, "b", "b * b"), "b"),
+        (rc.compute(df, "b", "b / 0"), "b"), (rc.divide(df, "w", 3, "q", "decimal(38,10)"), "q"),
+        (rc.divide(df, "b", 0, "q", "bigint", remainder="r"), "r"), (rc.divide(df, "least", -1, "q", "bigint"), "q"),
+    ]
+    assert [out.select(name).first()[0] for out, name in calls] == [None] * len(calls)
+
+
+def test_compute_takes_operators_by_rank(spark):
+    df = spark.sql("SELECT 2 AS a, 3 AS ws_b, 7 AS r")
+    cases = {"a + WS-B * 4": 14, "(a + WS-B) * 4": 20, "2 ** 3 ** 2": 64, "-a + 10": 8, "10 - a - WS-B": 5, "(a + 1) ** (WS-B - 1)": 9}
+    for text, wanted in cases.items():
+        assert rc.compute(df, "r", text).first()["r"] == wanted, text
+    for text in ("a +", "(a", "a b", "a $ b", ")"):
+        with pytest.raises(ValueError):
+            rc.compute(df, "r", text)
 
 
 def test_text_functions(spark):
@@ -148,6 +172,28 @@ def test_record_files(spark, tmp_path):
         rs.write_records(df, path, fields, "INPUT")
 
 
+def test_record_layouts(spark, tmp_path):
+    items = [
+        dict(name="K", picture="9(4)", spark_type="int"),
+        dict(name="K-ALT", picture="X(4)", spark_type="string", redefines="K"),
+        dict(name="TAB", picture="9(2)", spark_type="int", occurs=2),
+        dict(name="Z", picture="9(3).99", spark_type="decimal(5,2)"),
+        dict(name="W", picture="9(21)V9(10)", spark_type="decimal(31,10)"),
+    ]
+    fields = rs.layout_of(items)
+    assert [f.start for f in fields] == [1, 1, 5, 9, 15]
+    path = tmp_path / "r.txt"
+    path.write_text("00120304123.451234567890123456789012345678901\n" + " " * 45 + "\n")
+    first, blank = rs.read_records(spark, str(path), fields).collect()
+    assert tuple(first) == (12, "0012", [3, 4], Decimal("123.45"), Decimal("123456789012345678901.2345678901"))
+    assert tuple(blank) == (None, "", [None, None], None, None)
+    lines = rs.record_text(rs.read_records(spark, str(path), fields), fields).collect()
+    assert "\n".join(r["value"] for r in lines) + "\n" == path.read_text()
+    for bad in (dict(usage="COMP-3"), dict(usage="BINARY"), dict(redefines="NONE")):
+        with pytest.raises(ValueError):
+            rs.layout_of([dict(name="A", picture="9(4)", spark_type="int", **bad)])
+
+
 def test_bad_digits_read_as_null(spark, tmp_path):
     path = tmp_path / "r.txt"
     path.write_text("12A45\n00045\n")
