@@ -41,11 +41,13 @@ def duplicate_keys(table: DataFrame, key: str) -> DataFrame:
     )
 
 
-def keyed_rewrite(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def keyed_rewrite(table: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> DataFrame:
     """Records of the table replaced by the row of the same key; other rows are
-    not added."""
-    fresh = rows.select(key, F.struct(*[c for c in table.columns if c != key]).alias("__new"))
-    return table.join(fresh, key, "left").select(
+    not added. Of several rows for a key the last by ``seq`` stands, or without
+    it the greatest in column order; ``duplicate_keys`` of the rows reports them."""
+    fields = [c for c in table.columns if c != key]
+    fresh = _one_each(rows, key, fields, seq)
+    return table.join(fresh, F.col(key) == F.col("__key"), "left").select(
         *[
             F.col(c)
             if c == key
@@ -55,34 +57,77 @@ def keyed_rewrite(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _one_each(rows: DataFrame, key: str, fields: list[str], seq: str | None) -> DataFrame:
+    """__key and __new, the fields of the row that stands."""
+    fresh = F.struct(*fields)
+    one = F.max(fresh) if seq is None else F.max_by(fresh, F.col(seq))
+    return rows.groupBy(F.col(key).alias("__key")).agg(one.alias("__new"))
+
+
 def keyed_delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys, key, "left_anti").select(*table.columns)
 
 
-def apply_changes(table: DataFrame, log: DataFrame, key: str, seq: str = "seq", op: str = "op") -> DataFrame:
-    """The table after a log of WRITE, REWRITE and DELETE.
+def change_summary(log: DataFrame, key: str, fields: list[str], seq: str = "seq", op: str = "op") -> DataFrame:
+    """One row per key of a log: the key, ``__seq`` and ``__op`` of its last
+    operation, ``__written`` and ``__deleted`` (when WRITE and DELETE came last),
+    and the fields. Operations of a key meet as partial maxima, so a key with a
+    third of the log costs no more than any."""
+    moment = {name: F.when(F.col(op) == name, F.col(seq)) for name in (WRITE, DELETE)}
+    marked = log.select(
+        F.col(key), F.col(seq).alias("__seq"), F.col(op).alias("__op"),
+        moment[WRITE].alias("__written"), moment[DELETE].alias("__deleted"), *[c for c in fields],
+    )
+    return merge_summaries(marked, key, fields)
+
+
+def merge_summaries(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Summaries of several logs, in any order, as the summary of all."""
+    met = rows.groupBy(key).agg(
+        F.max_by(F.struct("__op", *fields), F.col("__seq")).alias("__last"),
+        F.max("__seq").alias("__seq"),
+        F.max("__written").alias("__written"),
+        F.max("__deleted").alias("__deleted"),
+    )
+    return met.select(
+        key, "__seq", "__last.__op", "__written", "__deleted", *[F.col(f"__last.{c}").alias(c) for c in fields]
+    )
 
-    The last operation of a key, by ``seq``, stands. Operations of one key meet
-    as partial maxima, so a key with a third of the log costs no more than any.
+
+def apply_summary(table: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """The table after the operations of a summary.
+
+    WRITE leaves a record whatever was there, DELETE none, and REWRITE changes
+    one that is there; so a record whose last operation is REWRITE needs a WRITE
+    after its last DELETE, or no DELETE and a place in the table.
     """
     fields = [c for c in table.columns if c != key]
-    last = (
-        log.groupBy(key)
-        .agg(F.max_by(F.struct(F.col(op).alias("op"), *fields), F.col(seq)).alias("__last"))
-        .withColumnRenamed(key, "__key")
+    last = summary.select(
+        F.col(key).alias("__key"), "__op", "__written", "__deleted", F.struct(*fields).alias("__new")
     )
     joined = table.withColumn("__old", F.lit(True)).join(last, F.col(key) == F.col("__key"), "full")
-    touched = F.col("__last").isNotNull()
-    return joined.where(~touched | (F.col("__last.op") != DELETE)).select(
+    touched = F.col("__key").isNotNull()
+    there = F.coalesce(
+        F.col("__written") > F.col("__deleted"),
+        F.col("__deleted").isNull() & (F.col("__written").isNotNull() | F.col("__old").isNotNull()),
+    )
+    return joined.where(~touched | ((F.col("__op") != DELETE) & there)).select(
         *[
             F.coalesce(F.col("__key"), F.col(key)).alias(c)
             if c == key
-            else F.when(touched, F.col(f"__last.{c}")).otherwise(F.col(c)).alias(c)
+            else F.when(touched, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
             for c in table.columns
         ]
     )
 
 
+def apply_changes(table: DataFrame, log: DataFrame, key: str, seq: str = "seq", op: str = "op") -> DataFrame:
+    """The table after a log of WRITE, REWRITE and DELETE, in the order of
+    ``seq``. Only a WRITE adds a record; one for a key that is there replaces it."""
+    fields = [c for c in table.columns if c != key]
+    return apply_summary(table, change_summary(log, key, fields, seq, op), key)
+
+
 def browse(table: DataFrame, key: str, start, n: int, backward: bool = False) -> DataFrame:
     """STARTBR at ``start`` and ``n`` times READNEXT, or READPREV."""
     if backward:
@@ -119,16 +164,29 @@ def sql_delete(table: DataFrame, where: Column) -> DataFrame:
     return table.where(~F.coalesce(where, F.lit(False)))
 
 
-def sql_merge(table: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """MERGE: matched rows are updated, the others inserted."""
-    return apply_changes(
-        table, source.withColumn("seq", F.lit(0)).withColumn("op", F.lit(REWRITE)), key
+def sql_merge(table: DataFrame, source: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """MERGE: matched rows are updated, the others inserted. Of several source
+    rows for a key one stands, as in ``keyed_rewrite``; ``duplicate_keys`` of the
+    source reports them."""
+    fields = [c for c in table.columns if c != key]
+    fresh = _one_each(source, key, fields, seq)
+    taken = F.col("__new").isNotNull()
+    return table.join(fresh, F.col(key) == F.col("__key"), "full").select(
+        *[
+            F.coalesce(F.col("__key"), F.col(key)).alias(c)
+            if c == key
+            else F.when(taken, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
+            for c in table.columns
+        ]
     )
 
 
+_LITERAL_OR_HOST = re.compile(r"""('(?:[^']|'')*'|"(?:[^"]|"")*")|:([A-Za-z][A-Za-z0-9-]*)""")
+
+
 def _markers(sql: str) -> str:
-    """:HOST-NAME -> :host_name, the form of a named marker."""
-    return re.sub(r":([A-Za-z0-9-]+)", lambda m: ":" + m.group(1).replace("-", "_").lower(), sql)
+    """:HOST-NAME -> :host_name, the form of a named marker; quoted text stays."""
+    return _LITERAL_OR_HOST.sub(lambda m: m[1] or ":" + m[2].replace("-", "_").lower(), sql)
 
 
 def _arguments(args: dict) -> dict:
@@ -147,7 +205,8 @@ def sql_cursor(spark: SparkSession, sql: str, args: dict, **tables: DataFrame) -
 
 def sql_select_into(spark: SparkSession, sql: str, args: dict, **tables: DataFrame) -> DataFrame:
     """SELECT ... INTO :A, :B FROM ...: the first row, columns named for the
-    receiving fields. The receiving fields take no arguments."""
+    receiving fields. The receiving fields take no arguments. Which row is first
+    is definite only under an ORDER BY that tells all rows apart."""
     found = re.match(r"(?is)^\s*SELECT\s+(.*?)\s+INTO\s+(.*?)\s+FROM\s+(.*)$", sql)
     if not found:
         raise ValueError("SELECT without INTO")

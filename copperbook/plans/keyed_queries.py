@@ -83,7 +83,8 @@ def keyed_delete(spark, d):
 
 _LOG_SQL = """log AS (SELECT user_id AS k, event_id AS seq, event_type, CASE event_type WHEN 'error' THEN 'DELETE' WHEN 'signup' THEN 'WRITE'
 ELSE 'REWRITE' END AS op, 'USER ' || event_type AS name, event_type AS segment FROM events),
-last AS (SELECT k, arg_max(op, seq) AS op, arg_max(name, seq) AS name, arg_max(segment, seq) AS segment FROM log GROUP BY k)"""
+last AS (SELECT k, arg_max(op, seq) AS op, arg_max(name, seq) AS name, arg_max(segment, seq) AS segment,
+max(CASE WHEN op = 'WRITE' THEN seq END) AS written, max(CASE WHEN op = 'DELETE' THEN seq END) AS deleted FROM log GROUP BY k)"""
 
 
 def change_log(events):
@@ -102,7 +103,8 @@ def change_log(events):
     "k5_apply_changes",
     f"""WITH {_LOG_SQL} SELECT coalesce(k, c_custkey) AS c_custkey, CASE WHEN k IS NULL THEN c_name ELSE name END AS c_name,
 CASE WHEN k IS NULL THEN c_mktsegment ELSE segment END AS c_mktsegment
-FROM customer FULL OUTER JOIN last ON c_custkey = k WHERE op IS NULL OR op <> 'DELETE'""",
+FROM customer FULL OUTER JOIN last ON c_custkey = k
+WHERE op IS NULL OR (op <> 'DELETE' AND coalesce(written > deleted, deleted IS NULL AND (written IS NOT NULL OR c_custkey IS NOT NULL)))""",
 )
 def apply_changes(spark, d):
     log = change_log(_table(spark, d, "events", "event_id", "user_id", "event_type"))
@@ -222,11 +224,11 @@ def queue_delete(spark, d):
     "k12_sql_merge",
     """SELECT coalesce(n.k, c_custkey) AS c_custkey, CASE WHEN n.k IS NULL THEN c_name ELSE 'SUPPLIER' END AS c_name,
 CASE WHEN n.k IS NULL THEN c_mktsegment ELSE 'NEW' END AS c_mktsegment
-FROM customer FULL OUTER JOIN (SELECT s_suppkey * 30 AS k FROM supplier) n ON c_custkey = n.k""",
+FROM customer FULL OUTER JOIN (SELECT DISTINCT (s_suppkey // 2) * 30 AS k FROM supplier) n ON c_custkey = n.k""",
 )
 def sql_merge(spark, d):
     source = _table(
-        spark, d, "supplier", (F.col("s_suppkey") * 30).alias("c_custkey"),
+        spark, d, "supplier", (F.floor(F.col("s_suppkey") / 2) * 30).alias("c_custkey"),
         F.lit("SUPPLIER").alias("c_name"), F.lit("NEW").alias("c_mktsegment"),
     )
     return ky.sql_merge(_customer(spark, d), source, "c_custkey")

@@ -25,8 +25,9 @@ def test_read_write_rewrite_delete(spark):
 def _replayed(table, log):
     state = dict(table)
     for key, _, op, value in sorted(log, key=lambda r: r[1]):
-        state.pop(key, None)
-        if op != "DELETE":
+        if op == "DELETE":
+            state.pop(key, None)
+        elif op == "WRITE" or key in state:
             state[key] = value
     return sorted(state.items())
 
@@ -63,6 +64,29 @@ def test_streamed_changes_match_a_replay_whatever_the_batches(spark, tmp_path):
     assert _rows(changes.current(spark, base, root, "k"), "k") == _replayed(table, log)
     compacted = changes.compact(spark, base, root, "k", str(tmp_path / "base2"))
     assert _rows(compacted, "k") == _replayed(table, log)
+    assert changes.compact(spark, base, root, "k", str(tmp_path / "base3")).count() == len(_replayed(table, log))
+    later = [(k, s + 10_000, op, v) for k, s, op, v in _log(rng, 60)]
+    spark.createDataFrame(later, frame.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    changes.start_changes(stream, root, "k", str(tmp_path / "checkpoint")).awaitTermination()
+    assert _rows(changes.current(spark, base, root, "k"), "k") == _replayed(table, log + later)
+    assert changes.changes_after(spark, root, 4).count() == len({r[0] for r in later})
+
+
+def test_several_rows_for_a_key(spark):
+    table = spark.createDataFrame([(1, "a", "o"), (2, "b", "o")], "k int, v string, op string")
+    rows = spark.createDataFrame([(1, "x", "p", 2), (1, "y", "p", 1), (9, "z", "p", 1)], "k int, v string, op string, seq int")
+    assert _rows(ky.keyed_rewrite(table, rows, "k", "seq"), "k") == [(1, "x", "p"), (2, "b", "o")]
+    assert _rows(ky.keyed_rewrite(table, rows, "k"), "k") == [(1, "y", "p"), (2, "b", "o")]
+    assert _rows(ky.sql_merge(table, rows, "k", "seq"), "k") == [(1, "x", "p"), (2, "b", "o"), (9, "z", "p")]
+    assert [r["k"] for r in ky.duplicate_keys(rows, "k").collect()] == [1]
+
+
+def test_quoted_text_of_embedded_sql_stays(spark):
+    t = spark.createDataFrame([(1, "a")], "id int, name string")
+    row = ky.sql_select_into(
+        spark, "SELECT ':NOT-ONE', '10:20-03', NAME INTO :A, :B, :C FROM {t} WHERE ID = :WS-ID ORDER BY ID", {"WS-ID": 1}, t=t
+    )
+    assert tuple(row.first()) == (":NOT-ONE", "10:20-03", "a")
 
 
 def test_merge_and_dml(spark):
