@@ -1,66 +1,140 @@
-"""Clauses of one data item sentence, each found on its own."""
+"""Clauses of one data item sentence.
+
+A sentence is cut into words, a quoted literal being one word whatever it holds.
+A clause is the word that follows its keyword, optional words passed over, so no
+clause is found inside a name or a literal.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from copperbook.functions.text import no_dots
+from copperbook.functions.text import let, no_dots
 from copperbook.vocabulary import FIGURATIVE, USAGE_WORDS
 
-# level, name and the clauses
-ITEM = r"(?s)^(\d{1,2})\s+(\S+)(.*)$"
-PICTURE = r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+)"
-USAGE = r"(?i)\bUSAGE\s+(?:IS\s+)?(\S+)"
-BARE_USAGE = rf"(?i)\b({USAGE_WORDS})\b"
-VALUE = r"""(?i)\bVALUES?\s+(?:ARE\s+|IS\s+)?((?:ALL\s+)?(?:"[^"]*"|'[^']*'|\S+))"""
-OCCURS_DEPENDING = r"(?i)\bOCCURS\s+(\d+)\s+TO\s+(\d+)\s+(?:TIMES\s+)?DEPENDING\s+ON\s+(\S+)"
-OCCURS = r"(?i)\bOCCURS\s+(\d+)"
-REDEFINES = r"(?i)\bREDEFINES\s+(\S+)"
-CONDITION_VALUES = r"(?i)VALUES?\s+(?:ARE\s+|IS\s+)?(.*)"
-_LITERAL = r"""(?:"[^"]*"|'[^']*'|[^\s,]+)"""
-CONDITION_VALUE = rf"(?i){_LITERAL}(?:\s+THR(?:U|OUGH)\s+{_LITERAL})?"
+_QUOTED = r"""(?:"(?:[^"]|"")*"|'(?:[^']|'')*')"""
+# a literal with its prefix, or characters up to a blank or a separator before one
+_WORD = rf"""[^\s"',;]*{_QUOTED}|\S+?(?=[,;]?(?:\s|\z))"""
+# the same where a comma alone parts two words
+_LIST_WORD = rf"""[^\s"',;]*{_QUOTED}|[^\s,;]+"""
+PICTURE = ("PIC", "PICTURE")
+_USAGES = rf"^(?:{USAGE_WORDS})$"
 
 
-def raw_clauses(clauses: Column) -> list[Column]:
-    """The clause texts as found, one column per search.
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
-    Kept apart from ``item_columns`` so that each search runs once.
-    """
+
+def list_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_LIST_WORD), F.lit(0))
+
+
+def in_capitals(cut: Column) -> Column:
+    return F.transform(cut, F.upper)
+
+
+def place_of(capitals: Column, *keywords: str) -> Column:
+    """Place of the first of the keywords, from 1; 0 where there is none."""
+    if len(keywords) == 1:
+        return F.array_position(capitals, F.lit(keywords[0])).cast("int")
+    return F.array_position(F.transform(capitals, lambda w: w.isin(*keywords)), F.lit(True)).cast("int")
+
+
+def _past(capitals: Column, place: Column, optional: tuple[str, ...]) -> Column:
+    """``place`` beyond as many optional words as stand there, each once."""
+    for _ in optional:
+        place = place + F.coalesce(F.get(capitals, place).isin(*optional), F.lit(False)).cast("int")
+    return place
+
+
+def after(cut: Column, capitals: Column, keywords: tuple[str, ...], optional: tuple[str, ...] = ()) -> Column:
+    """The word after a keyword, past optional words; empty text for none."""
+    return let(
+        place_of(capitals, *keywords),
+        lambda at: F.when(at > 0, F.coalesce(F.get(cut, _past(capitals, at, optional)), F.lit(""))).otherwise(""),
+    )
+
+
+def level_of(sentence: Column) -> Column:
+    return F.regexp_extract(sentence, r"^(\d{1,2})", 1).try_cast("int")
+
+
+def _part(sentence: Column, n: int) -> Column:
+    """Level, name and the rest of a sentence, in three parts."""
+    return no_dots(F.coalesce(F.get(F.split(sentence, r"\s+", 3), F.lit(n)), F.lit("")))
+
+
+def name_of(sentence: Column) -> Column:
+    return _part(sentence, 1)
+
+
+def clauses_of(sentence: Column) -> Column:
+    return _part(sentence, 2)
+
+
+def has_picture(clauses: Column) -> Column:
+    return F.exists(words(clauses), lambda w: F.upper(w).isin(*PICTURE))
+
+
+def cut_columns(clauses: Column) -> list[Column]:
+    """The words once as written and once in capitals; ``raw_clauses`` reads them."""
+    return [words(clauses).alias("cut"), in_capitals(words(clauses)).alias("capitals")]
+
+
+def raw_clauses() -> list[Column]:
+    """The clause texts as found, from the columns of ``cut_columns``."""
+    cut, capitals = F.col("cut"), F.col("capitals")
+    usages = F.filter(capitals, lambda w: w.rlike(_USAGES))
+    value = let(
+        place_of(capitals, "VALUE", "VALUES"),
+        lambda at: let(
+            _past(capitals, at, ("IS", "ARE")),
+            lambda to: F.when(at == 0, F.lit(""))
+            .when(F.get(capitals, to) == "ALL", F.concat_ws(" ", F.get(cut, to), F.get(cut, to + 1)))
+            .otherwise(F.coalesce(F.get(cut, to), F.lit(""))),
+        ),
+    )
+    depends = place_of(capitals, "DEPENDING") > 0
     return [
-        no_dots(F.regexp_extract(clauses, PICTURE, 1)).alias("picture"),
-        F.upper(no_dots(F.regexp_extract(clauses, USAGE, 1))).alias("named_usage"),
-        F.upper(F.regexp_extract(F.regexp_replace(clauses, PICTURE, " "), BARE_USAGE, 1)).alias("bare_usage"),
-        no_dots(F.regexp_extract(clauses, VALUE, 1)).alias("raw_value"),
-        F.regexp_extract(clauses, OCCURS, 1).alias("raw_occurs"),
-        F.regexp_extract(clauses, OCCURS_DEPENDING, 2).alias("raw_most"),
-        no_dots(F.regexp_extract(clauses, OCCURS_DEPENDING, 3)).alias("occurs_depending"),
-        no_dots(F.regexp_extract(clauses, REDEFINES, 1)).alias("redefines"),
+        no_dots(after(cut, capitals, PICTURE, ("IS",))).alias("picture"),
+        F.upper(no_dots(after(cut, capitals, ("USAGE",), ("IS",)))).alias("named_usage"),
+        F.coalesce(F.get(usages, F.lit(0)), F.lit("")).alias("bare_usage"),
+        no_dots(value).alias("raw_value"),
+        after(cut, capitals, ("OCCURS",)).alias("raw_occurs"),
+        F.when(depends, after(cut, capitals, ("TO",))).otherwise("").alias("raw_most"),
+        no_dots(after(cut, capitals, ("DEPENDING",), ("ON",))).alias("occurs_depending"),
+        no_dots(after(cut, capitals, ("REDEFINES",))).alias("redefines"),
     ]
 
 
+def literal_text(raw: Column) -> Column:
+    """The text of a quoted literal, doubled quotes read as one; other words
+    without quotes at their ends."""
+    whole = F.substr(raw, F.lit(2), F.length(raw) - F.lit(2))
+    quote = F.substr(raw, F.lit(1), F.lit(1))
+    return F.when(
+        raw.rlike(rf"^{_QUOTED}$"), F.replace(whole, F.concat(quote, quote), quote)
+    ).otherwise(F.trim(raw, F.lit("'\"")))
+
+
 def item_columns() -> list[Column]:
     """Clause values from the columns of ``raw_clauses``.
 
-    A USAGE word may stand alone, outside the picture. VALUE has no quotes and
-    one spelling per figurative constant, or is null. OCCURS is the maximum
-    under DEPENDING ON and 0 where there is none.
+    A USAGE word may stand alone. VALUE has no quotes and one spelling per
+    figurative constant, or is null. OCCURS is the maximum under DEPENDING ON,
+    0 where there is none, and null beyond any count.
     """
     raw = F.col("raw_value")
     figurative = F.when(F.lit(False), F.lit(""))
     for spelling in sorted(set(FIGURATIVE.values())):
-        words = [w for w, s in FIGURATIVE.items() if s == spelling]
-        figurative = figurative.when(F.upper(raw).isin(words), F.lit(spelling))
-    quoted = raw.rlike(r"""^(?:"[\s\S]*"|'[\s\S]*')$""") & (F.length(raw) > 1)
-    value = (
-        F.when(raw == "", F.lit(None).cast("string"))
-        .when(quoted, F.substr(raw, F.lit(2), F.length(raw) - F.lit(2)))
-        .otherwise(F.coalesce(figurative, F.trim(raw, F.lit("'\""))))
-    )
+        spelled = [w for w, s in FIGURATIVE.items() if s == spelling]
+        figurative = figurative.when(F.upper(raw).isin(spelled), F.lit(spelling))
+    value = F.when(raw == "", F.lit(None).cast("string")).otherwise(F.coalesce(figurative, literal_text(raw)))
     times = F.coalesce(F.nullif("raw_most", F.lit("")), F.nullif("raw_occurs", F.lit("")))
     return [
         F.col("picture"),
         F.when(F.col("named_usage") != "", F.col("named_usage")).otherwise(F.col("bare_usage")).alias("usage"),
         F.nullif(value, F.lit("")).alias("value"),
-        F.coalesce(times.cast("int"), F.lit(0)).alias("occurs"),
+        F.when(times.isNull(), 0).otherwise(times.try_cast("int")).alias("occurs"),
         F.col("occurs_depending"),
         F.col("redefines"),
     ]
@@ -68,6 +142,22 @@ def item_columns() -> list[Column]:
 
 def condition_values(clauses: Column) -> Column:
     """Array of values; a range is one value, ``low THRU high``."""
-    listed = no_dots(F.regexp_extract(clauses, CONDITION_VALUES, 1))
-    found = F.regexp_extract_all(listed, F.lit(CONDITION_VALUE), F.lit(0))
-    return F.transform(found, lambda v: F.regexp_replace(v, r"""["']""", ""))
+
+    def listed(cut, capitals):
+        first = let(place_of(capitals, "VALUE", "VALUES"), lambda at: _past(capitals, at, ("IS", "ARE")) + 1)
+        values = F.transform(F.slice(cut, first, F.size(cut)), lambda w: F.struct(literal_text(w).alias("text"), F.upper(w).alias("word")))
+
+        # a range word joins the value before and the value after
+        def step(out, w):
+            last = F.element_at(out, -1)
+            ranged = w["word"].isin("THRU", "THROUGH")
+            open_ = last.rlike(r" (?i:THRU|THROUGH) \z")
+            joined = F.concat(last, F.when(ranged, F.concat(F.lit(" "), w["text"], F.lit(" "))).otherwise(w["text"]))
+            return F.when(
+                (F.size(out) > 0) & (ranged | open_),
+                F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined)),
+            ).otherwise(F.array_append(out, w["text"]))
+
+        return F.aggregate(values, F.array().cast("array<string>"), step)
+
+    return let(list_words(no_dots(clauses)), lambda cut: let(in_capitals(cut), lambda capitals: listed(cut, capitals)))

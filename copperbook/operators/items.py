@@ -21,10 +21,6 @@ _ROOTS = (1, 77)
 _STORAGE = ("WORKING-STORAGE", "LOCAL-STORAGE")
 
 
-def _level(sentence: Column) -> Column:
-    return F.regexp_extract(sentence, r"^(\d{1,2})", 1).cast("int")
-
-
 def _places(levels: Column) -> Column:
     """array<struct<parent, depth>> for the levels of one section.
 
@@ -68,7 +64,7 @@ def _placed_sentences() -> Column:
     def of_list(entry):
         def place_all(sentences):
             return let(
-                _places(F.transform(sentences, _level)),
+                _places(F.transform(sentences, cl.level_of)),
                 lambda places: F.transform(
                     sentences,
                     lambda s, i: F.struct(
@@ -105,16 +101,16 @@ def data_items(outlined: DataFrame) -> DataFrame:
         item_no.alias("item_no"),
         "item.section",
         "item.fd",
-        _level(F.col("item.sentence")).alias("level"),
-        no_dots(F.regexp_extract("item.sentence", cl.ITEM, 2)).alias("name"),
-        no_dots(F.regexp_extract("item.sentence", cl.ITEM, 3)).alias("clauses"),
+        cl.level_of(F.col("item.sentence")).alias("level"),
+        cl.name_of(F.col("item.sentence")).alias("name"),
+        cl.clauses_of(F.col("item.sentence")).alias("clauses"),
         F.when(parent > 0, item_no - F.col("item.no") + parent).alias("parent_no"),
         F.col("item.place.depth").alias("depth"),
         # the first child of an item, if it has one, follows it at once
         F.coalesce(F.col("item.next_parent") == F.col("item.no"), F.lit(False)).alias("has_children"),
-        _level(F.col("item.parent_sentence")).alias("parent_level"),
-        no_dots(F.regexp_extract("item.parent_sentence", cl.ITEM, 2)).alias("parent_name"),
-        no_dots(F.regexp_extract("item.parent_sentence", cl.ITEM, 3)).alias("parent_clauses"),
+        cl.level_of(F.col("item.parent_sentence")).alias("parent_level"),
+        cl.name_of(F.col("item.parent_sentence")).alias("parent_name"),
+        cl.clauses_of(F.col("item.parent_sentence")).alias("parent_clauses"),
     )
     # an 88 level has values and nothing else
     is_88 = F.col("level") == _CONDITION
@@ -123,7 +119,8 @@ def data_items(outlined: DataFrame) -> DataFrame:
     after = ["parent_no", "depth", "has_children", "parent_level", "parent_name", "parent_clauses", "clauses"]
     return (
         rows.select(*before, *after, declared.alias("declared"))
-        .select(*before, *after, *cl.raw_clauses(F.col("declared")))
+        .select(*before, *after, *cl.cut_columns(F.col("declared")))
+        .select(*before, *after, *cl.raw_clauses())
         .select(
             *before,
             *cl.item_columns(),
@@ -162,7 +159,7 @@ def _direct_fields(items: DataFrame) -> DataFrame:
         & (F.col("depth") == 1)
         & (F.col("parent_level") == 1)
         & (F.upper("parent_name") != "FILLER")
-        & ~F.col("parent_clauses").rlike(cl.PICTURE)
+        & ~cl.has_picture(F.col("parent_clauses"))
         & ~F.col("is_88")
         & ~F.col("is_filler")
     )
@@ -246,7 +243,7 @@ def class_candidates() -> Column:
     88 level of an item, as ``record_schemas`` and ``enum_candidates`` count them."""
 
     def name(sentence):
-        return F.upper(no_dots(F.regexp_extract(sentence, cl.ITEM, 2)))
+        return F.upper(cl.name_of(sentence))
 
     def holder(x):
         return F.concat_ws(":", x.section, x.fd, x.place.parent)
@@ -255,16 +252,16 @@ def class_candidates() -> Column:
         return (
             x.section.isin(*_STORAGE, "LINKAGE")
             & (x.place.depth == 1)
-            & (_level(x.sentence) != _CONDITION)
-            & (_level(x.parent_sentence) == 1)
+            & (cl.level_of(x.sentence) != _CONDITION)
+            & (cl.level_of(x.parent_sentence) == 1)
             & (name(x.parent_sentence) != "FILLER")
-            & ~F.regexp_extract(x.parent_sentence, cl.ITEM, 3).rlike(cl.PICTURE)
+            & ~cl.has_picture(cl.clauses_of(x.parent_sentence))
             & (name(x.sentence) != "FILLER")
         )
 
     def part(x):
         return (
-            F.when(x.section.isin(*_STORAGE) & (_level(x.sentence) == _CONDITION), F.lit("enums"))
+            F.when(x.section.isin(*_STORAGE) & (cl.level_of(x.sentence) == _CONDITION), F.lit("enums"))
             .when(is_field(x), F.lit("data_classes"))
         )
 
@@ -277,28 +274,28 @@ def screen_fields(outlined: DataFrame) -> DataFrame:
     """path, item_no, level, name, line, col, pic, value, from_field, to_field,
     attribute: items of the SCREEN section."""
     rows = data_items(outlined).where(F.col("section") == "SCREEN")
-    c = F.col("clauses")
+    rows = rows.select("path", "item_no", "level", "name", "clauses", *cl.cut_columns(F.col("clauses")))
 
-    def number(pattern):
-        found = F.regexp_extract(c, pattern, 1)
-        return F.when(found == "", F.lit(0)).otherwise(found.cast("int"))
+    def word(*keywords, optional=()):
+        return cl.after(F.col("cut"), F.col("capitals"), keywords, optional)
+
+    def number(*keywords):
+        found = no_dots(word(*keywords, optional=("NUMBER", "IS")))
+        return F.when(found == "", F.lit(0)).otherwise(found.try_cast("int"))
 
     attribute = F.when(F.lit(False), F.lit(""))
-    for word in SCREEN_ATTRIBUTES:
-        attribute = attribute.when(F.upper(c).contains(word), F.lit(word))
-    shown = F.regexp_extract(
-        c, r"(?i)VALUE\s+(?:IS\s+)?(.*?)(?:\s+LINE|\s+COL|\s+PIC|\s+FROM|\s+TO|$)", 1
-    )
+    for phrase in SCREEN_ATTRIBUTES:
+        attribute = attribute.when(F.array_join("capitals", " ").contains(phrase), F.lit(phrase))
     return rows.select(
         "path",
         "item_no",
         "level",
         "name",
-        number(r"(?i)LINE\s+(?:NUMBER\s+IS\s+)?(\d+)").alias("line"),
-        number(r"(?i)COL(?:UMN)?\s+(?:NUMBER\s+IS\s+)?(\d+)").alias("col"),
-        no_dots(F.regexp_extract(c, r"(?i)PIC(?:TURE)?\s+(?:IS\s+)?(\S+)", 1)).alias("pic"),
-        no_dots(F.trim(F.trim(shown), F.lit("'\""))).alias("value"),
-        no_dots(F.regexp_extract(c, r"(?i)FROM\s+(\S+)", 1)).alias("from_field"),
-        no_dots(F.regexp_extract(c, r"(?i)TO\s+(\S+)", 1)).alias("to_field"),
+        number("LINE").alias("line"),
+        number("COL", "COLUMN").alias("col"),
+        no_dots(word(*cl.PICTURE, optional=("IS",))).alias("pic"),
+        cl.literal_text(no_dots(word("VALUE", optional=("IS",)))).alias("value"),
+        no_dots(word("FROM")).alias("from_field"),
+        no_dots(word("TO")).alias("to_field"),
         attribute.otherwise(F.lit("")).alias("attribute"),
     )

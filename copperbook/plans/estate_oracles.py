@@ -110,25 +110,42 @@ item_parts AS (
     rtrim(regexp_extract(s, '^\\d{1,2}\\s+\\S+(.*)$', 1), '.') AS clauses
   FROM item_text)"""
 
+def _after(keys, optional, column="cw", skip_is=False):
+    """SQL for the word after the first of the keywords, by its place in a list."""
+    at = "coalesce(" + ", ".join(f"nullif(list_position(cu, '{k}'), 0)" for k in keys) + ")"
+    step = f"(CASE WHEN cu[{at} + 1] IN ({', '.join(repr(o) for o in optional)}) THEN 1 ELSE 0 END)" if optional else "0"
+    if skip_is:
+        step = f"({step} + CASE WHEN cu[{at} + 1 + {step}] = 'IS' THEN 1 ELSE 0 END)"
+    return f"coalesce({column}[{at} + 1 + {step}], '')"
+
+
+_LITERAL_TEXT = """CASE WHEN {v} LIKE '"%"' AND length({v}) > 1 THEN replace({v}[2:-2], '""', '"')
+      WHEN {v} LIKE '''%''' AND length({v}) > 1 THEN replace({v}[2:-2], '''''', '''') ELSE trim({v}, '"''') END"""
+
 _ITEMS = _DATA + f""",
 item_raw AS (
   SELECT *, CASE WHEN level = 88 THEN '' ELSE clauses END AS c FROM item_parts),
+item_words AS (
+  SELECT *, list_transform(cw, lambda x: upper(x)) AS cu
+  FROM (SELECT *, regexp_extract_all(c, '[A-Za-z]*"[^"]*(?:""[^"]*)*"|[A-Za-z]*''[^'']*(?:''''[^'']*)*''|[^ ]+') AS cw FROM item_raw)),
 item_clauses AS (
   SELECT *,
-    rtrim(regexp_extract(c, '(?i)\\bPIC(?:TURE)?\\s+(?:IS\\s+)?(\\S+)', 1), '.') AS picture,
-    upper(rtrim(regexp_extract(c, '(?i)\\bUSAGE\\s+(?:IS\\s+)?(\\S+)', 1), '.')) AS use1,
-    upper(regexp_extract(regexp_replace(c, '(?i)\\bPIC(?:TURE)?\\s+(?:IS\\s+)?(\\S+)', ' '), '(?i)\\b({USAGE_WORDS})\\b', 1)) AS use2,
-    rtrim(regexp_extract(c, '(?i)\\bVALUES?\\s+(?:ARE\\s+|IS\\s+)?((?:ALL\\s+)?(?:"[^"]*"|''[^'']*''|\\S+))', 1), '.') AS v,
-    regexp_extract(c, '(?i)\\bOCCURS\\s+\\d+\\s+TO\\s+(\\d+)\\s+(?:TIMES\\s+)?DEPENDING\\s+ON\\s+(\\S+)', 1) AS o2,
-    regexp_extract(c, '(?i)\\bOCCURS\\s+(\\d+)', 1) AS o1,
-    rtrim(regexp_extract(c, '(?i)\\bOCCURS\\s+\\d+\\s+TO\\s+(\\d+)\\s+(?:TIMES\\s+)?DEPENDING\\s+ON\\s+(\\S+)', 2), '.') AS occurs_depending,
-    rtrim(regexp_extract(c, '(?i)\\bREDEFINES\\s+(\\S+)', 1), '.') AS redefines
-  FROM item_raw),
+    rtrim({_after(['PIC', 'PICTURE'], ['IS'])}, '.') AS picture,
+    upper(rtrim({_after(['USAGE'], ['IS'])}, '.')) AS use1,
+    coalesce(list_filter(cu, lambda x: regexp_full_match(x, '{USAGE_WORDS}'))[1], '') AS use2,
+    rtrim(CASE WHEN {_after(['VALUE', 'VALUES'], ['IS', 'ARE'], 'cu')} = 'ALL'
+      THEN 'ALL ' || cw[list_position(cu, 'ALL') + 1] ELSE {_after(['VALUE', 'VALUES'], ['IS', 'ARE'])} END, '.') AS v,
+    CASE WHEN list_contains(cu, 'DEPENDING') THEN {_after(['TO'], [])} ELSE '' END AS o2,
+    {_after(['OCCURS'], [])} AS o1,
+    rtrim({_after(['DEPENDING'], ['ON'])}, '.') AS occurs_depending,
+    rtrim({_after(['REDEFINES'], [])}, '.') AS redefines
+  FROM item_words),
 items AS (
   SELECT path, item_no, section, fd, level, name, clauses, picture,
     CASE WHEN use1 <> '' THEN use1 ELSE use2 END AS usage,
-    nullif(CASE {' '.join(f"WHEN upper(v) = '{w}' THEN '{s}'" for w, s in FIGURATIVE.items())} ELSE trim(v, '"''') END, '') AS value,
-    CAST(coalesce(nullif(o2, ''), nullif(o1, ''), '0') AS BIGINT) AS occurs,
+    nullif(CASE {' '.join(f"WHEN upper(v) = '{w}' THEN '{s}'" for w, s in FIGURATIVE.items())} 
+      ELSE {_LITERAL_TEXT.format(v='v')} END, '') AS value,
+    CAST(TRY_CAST(coalesce(nullif(o2, ''), nullif(o1, ''), '0') AS INTEGER) AS BIGINT) AS occurs,
     occurs_depending, redefines, upper(name) = 'FILLER' AS is_filler, level = 88 AS is_88
   FROM item_clauses)"""
 
@@ -428,15 +445,18 @@ WHERE regexp_matches(upper(sentence), '^COPY\\s+\\S')"""),
 array_to_string(list_filter(regexp_split_to_array(trim(regexp_extract(text, '(?i)CALL\\s+["''](\\S+)["'']\\s*USING\\s+(.*)', 2)), '\\s+'),
   lambda a: a <> '' AND upper(a) NOT IN ('BY', 'REFERENCE', 'CONTENT', 'VALUE')), ',') AS args
 FROM statements WHERE stmt_type = 'CALL' AND regexp_matches(text, '(?i)CALL\\s+["''](\\S+)["'']')"""),
-    "e25_screen_fields": _q(_ITEMS, """SELECT path, item_no, level, name,
-CAST(coalesce(nullif(regexp_extract(clauses, '(?i)LINE\\s+(?:NUMBER\\s+IS\\s+)?(\\d+)', 1), ''), '0') AS BIGINT) AS line,
-CAST(coalesce(nullif(regexp_extract(clauses, '(?i)COL(?:UMN)?\\s+(?:NUMBER\\s+IS\\s+)?(\\d+)', 1), ''), '0') AS BIGINT) AS col,
-rtrim(regexp_extract(clauses, '(?i)PIC(?:TURE)?\\s+(?:IS\\s+)?(\\S+)', 1), '.') AS pic,
-rtrim(trim(trim(regexp_extract(clauses, '(?i)VALUE\\s+(?:IS\\s+)?(.*?)(?:\\s+LINE|\\s+COL|\\s+PIC|\\s+FROM|\\s+TO|$)', 1)), '"'''), '.') AS value,
-rtrim(regexp_extract(clauses, '(?i)FROM\\s+(\\S+)', 1), '.') AS from_field,
-rtrim(regexp_extract(clauses, '(?i)TO\\s+(\\S+)', 1), '.') AS to_field,
-coalesce(nullif(regexp_extract(upper(clauses), '(HIGHLIGHT|REVERSE-VIDEO|UNDERLINE|BLINK|BLANK WHEN ZERO)', 1), ''), '') AS attribute
-FROM items WHERE section = 'SCREEN'"""),
+    "e25_screen_fields": _q(_ITEMS + """,
+screen AS (
+  SELECT *, list_transform(cw, lambda x: upper(x)) AS cu
+  FROM (SELECT *, regexp_extract_all(clauses, '"[^"]*"|[^ ]+') AS cw FROM items WHERE section = 'SCREEN'))""", f"""SELECT path, item_no, level, name,
+CAST(coalesce(nullif({_after(['LINE'], ['NUMBER'], skip_is=True)}, ''), '0') AS BIGINT) AS line,
+CAST(coalesce(nullif({_after(['COL', 'COLUMN'], ['NUMBER'], skip_is=True)}, ''), '0') AS BIGINT) AS col,
+rtrim({_after(['PIC', 'PICTURE'], ['IS'])}, '.') AS pic,
+trim(rtrim({_after(['VALUE'], ['IS'])}, '.'), '"') AS value,
+rtrim({_after(['FROM'], [])}, '.') AS from_field,
+rtrim({_after(['TO'], [])}, '.') AS to_field,
+coalesce(list_filter(['HIGHLIGHT', 'REVERSE-VIDEO', 'UNDERLINE', 'BLINK', 'BLANK WHEN ZERO'], lambda a: contains(array_to_string(cu, ' '), a))[1], '') AS attribute
+FROM screen"""),
     "e26_goto_targets": _q(_STATEMENTS, """SELECT path, stmt_no, paragraph AS source, trim(regexp_extract(text, '(?i)GO\\s+TO\\s+(.*)', 1)) AS target
 FROM statements WHERE stmt_type = 'GO TO'"""),
     "e26_perform_targets": _q(_STATEMENTS, """SELECT path, stmt_no, paragraph AS source,
