@@ -85,8 +85,3 @@ def class_of(command: Column, classes: dict[str, list[str]], default: str) -> Co
     for name, words in classes.items():
         out = out.when(command.isin(words), F.lit(name))
     return out.otherwise(F.lit(default))
-
-
-def quoted_words(c: Column) -> Column:
-    """Array of words; a quoted literal is one word and keeps its quotes."""
-    return F.regexp_extract_all(c, F.lit(r""""[^"]*"|'[^']*'|[^\s,]+"""), F.lit(0))

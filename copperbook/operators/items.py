@@ -5,7 +5,7 @@ the parent of an item is found with a stack of open groups carried along the
 items of a section. Only counts per group are shuffled, partially aggregated.
 """
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,37 +206,61 @@ def struct_type(fields: list[Row]) -> T.StructType:
     return out
 
 
-def enum_members(items: DataFrame) -> DataFrame:
-    """path, item_no, name, member: 88 levels of items that have two or more."""
-    group = Window.partitionBy("path", "parent_no")
-    return (
-        _held_conditions(items)
-        .withColumn("members", F.count("*").over(group))
-        .where("members >= 2")
-        .select(
-            "path",
-            F.col("parent_no").alias("item_no"),
-            F.col("parent_name").alias("name"),
-            F.replace(F.upper("name"), F.lit("-"), F.lit("_")).alias("member"),
+def _held_conditions() -> Column:
+    """array<struct<item_no, name, member>> of one file: the 88 levels of stored
+    items, in order. Those of one item follow one another."""
+
+    def held(x, pos):
+        return F.struct(
+            x.section.alias("section"),
+            cl.level_of(x.sentence).alias("level"),
+            x.place.parent.alias("parent"),
+            (pos + 1 - x.no + x.place.parent).alias("item_no"),
+            cl.name_of(x.parent_sentence).alias("name"),
+            F.replace(F.upper(cl.name_of(x.sentence)), F.lit("-"), F.lit("_")).alias("member"),
         )
+
+    return F.filter(
+        F.transform(_placed_sentences(), held),
+        lambda h: h.section.isin(*_STORAGE) & (h.level == _CONDITION) & (h.parent > 0),
+    )
+
+
+def _same_item(held: Column, h: Column, at: Column) -> Column:
+    return F.coalesce(F.get(held, at).item_no == h.item_no, F.lit(False))
+
+
+def enum_members(outlined: DataFrame) -> DataFrame:
+    """path, item_no, name, member: 88 levels of items that have two or more."""
+    held = outlined.select("path", _held_conditions().alias("held"))
+    several = F.filter(
+        "held", lambda h, k: _same_item(F.col("held"), h, k - 1) | _same_item(F.col("held"), h, k + 1)
     )
+    return held.select("path", F.explode(several).alias("h")).select("path", "h.item_no", "h.name", "h.member")
 
 
-def enum_candidates(items: DataFrame) -> DataFrame:
+def enum_candidates(outlined: DataFrame) -> DataFrame:
     """path, item_no, name, members, enum_name: items with two 88 levels or more."""
+    held = outlined.select("path", _held_conditions().alias("held"))
+    placed = F.transform("held", lambda h, k: F.struct(h.alias("h"), k.alias("k")))
+    firsts = held.select(
+        "path",
+        F.size("held").alias("held_size"),
+        F.filter(placed, lambda p: ~_same_item(F.col("held"), p.h, p.k - 1)).alias("firsts"),
+    )
+    counted = F.transform(
+        "firsts",
+        lambda p, n: F.struct(
+            p.h.alias("h"), (F.coalesce(F.get("firsts", n + 1).k, F.col("held_size")) - p.k).alias("members")
+        ),
+    )
     return (
-        _held_conditions(items)
-        .groupBy("path", F.col("parent_no").alias("item_no"), F.col("parent_name").alias("name"))
-        .agg(F.count("*").alias("members"))
-        .where("members >= 2")
+        firsts.select("path", F.explode(F.filter(counted, lambda c: c.members >= 2)).alias("c"))
+        .select("path", "c.h.item_no", "c.h.name", F.col("c.members").cast("bigint").alias("members"))
         .withColumn("enum_name", F.concat(pascal_case(F.col("name")), F.lit("Type")))
     )
 
 
-def _held_conditions(items: DataFrame) -> DataFrame:
-    return items.where(F.col("is_88") & F.col("section").isin(*_STORAGE) & F.col("parent_no").isNotNull())
-
-
 @built_once
 def class_candidates() -> Column:
     """array<struct<part, key>> of one file: a row per field of a record and per

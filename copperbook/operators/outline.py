@@ -158,13 +158,19 @@ def _last_match(lines: Column, keyword: str, before: list[str], pattern: str) ->
     )
 
 
+def class_id() -> Column:
+    """Name of the class a file declares, or null."""
+    lines = F.split("identification_text", "\n")
+    return _last_match(lines, "CLASS-ID", ["PROGRAM-ID"], r"(?i)CLASS-ID\.\s*(\S+)")
+
+
 def program_header(outlined: DataFrame) -> DataFrame:
     """path, program_id, class_id, author, date_written, is_class."""
     lines = F.split("identification_text", "\n")
     found = outlined.select(
         "path",
         _last_match(lines, "PROGRAM-ID", [], r"(?i)PROGRAM-ID\.\s*(\S+)").alias("named_id"),
-        _last_match(lines, "CLASS-ID", ["PROGRAM-ID"], r"(?i)CLASS-ID\.\s*(\S+)").alias("class_id"),
+        class_id().alias("class_id"),
         _last_match(lines, "AUTHOR", ["PROGRAM-ID", "CLASS-ID"], r"(?i)AUTHOR\.\s*(.*)").alias("author"),
         _last_match(
             lines, "DATE-WRITTEN", ["PROGRAM-ID", "CLASS-ID", "AUTHOR"], r"(?i)DATE-WRITTEN\.\s*(.*)"

@@ -58,6 +58,11 @@ def paragraphs(outlined: DataFrame) -> DataFrame:
     )
 
 
+def paragraph_list() -> Column:
+    """array<struct<section, paragraph>> of one file, over ``with_marked``."""
+    return _paragraphs()
+
+
 @built_once
 def service_candidates() -> Column:
     """array<struct<part, key>> of one file: a row per paragraph with a prefix."""
@@ -323,7 +328,8 @@ _CALL = r"""(?i)CALL\s+["'](\S+)["']"""
 def calls(stmts: DataFrame) -> DataFrame:
     """path, stmt_no, callee, args: CALL with a literal program name."""
     using = F.regexp_extract("text", rf"{_CALL}\s*USING\s+(.*)", 2)
-    args = F.filter(F.split(strip(using), r"\s+"), lambda a: (a != "") & ~F.upper(a).isin(USING_WORDS))
+    # a comma or semicolon before a blank parts two arguments like the blank itself
+    args = F.filter(F.split(strip(using), r"[,;]?\s+|[,;]$"), lambda a: (a != "") & ~F.upper(a).isin(USING_WORDS))
     return stmts.where((F.col("stmt_type") == "CALL") & F.col("text").rlike(_CALL)).select(
         "path", "stmt_no", F.regexp_extract("text", _CALL, 1).alias("callee"), args.alias("args")
     )

@@ -80,7 +80,7 @@ def program_summary(outlined: DataFrame) -> DataFrame:
         "code",
         "marked",
         "paragraphs",
-        "identification_text",
+        ol.class_id().isNotNull().alias("has_class"),
         "data_text",
         sentences_of("WORKING-STORAGE").alias("working"),
         sentences_of("WORKING-STORAGE", "LOCAL-STORAGE", "LINKAGE", "SCREEN", "FILE").alias("data"),
@@ -106,6 +106,7 @@ def program_summary(outlined: DataFrame) -> DataFrame:
         (uses("SQL") | data_sql).alias("has_sql"),
         uses("CICS").alias("has_cics"),
         uses("DLI").alias("has_dli"),
+        "has_class",
     )
 
 
@@ -131,31 +132,58 @@ def run_outcome(outlined: DataFrame) -> DataFrame:
     return named.groupBy("outcome").agg(F.count("*").alias("programs"))
 
 
-def service_groups(paras: DataFrame) -> DataFrame:
+def _prefixed(outlined: DataFrame) -> DataFrame:
+    """path and ``named``: paragraphs with a prefix, sorted by it."""
+    paras = sm.with_marked(outlined).select("path", sm.paragraph_list().alias("paragraphs"))
+    numbered = F.transform(
+        "paragraphs",
+        lambda p, k: F.struct(
+            F.substring_index(F.upper(p.paragraph), "-", 1).alias("prefix"),
+            (k + 1).alias("paragraph_no"),
+            p.paragraph.alias("paragraph"),
+        ),
+    )
+    return paras.select("path", F.sort_array(F.filter(numbered, lambda p: p.paragraph.contains("-"))).alias("named"))
+
+
+def _prefix_at(at: Column) -> Column:
+    return F.get("named", at).prefix
+
+
+def service_groups(outlined: DataFrame) -> DataFrame:
     """path, prefix, class_name, paragraphs: three or more paragraphs that
     share the text before the first hyphen."""
-    return (
-        paras.where(F.col("paragraph").contains("-"))
-        .groupBy("path", F.substring_index(F.upper("paragraph"), "-", 1).alias("prefix"))
-        .agg(F.count("*").alias("paragraphs"))
-        .where("paragraphs >= 3")
-        .select(
-            "path",
-            "prefix",
-            F.concat(pascal_case(F.col("prefix")), F.lit("Service")).alias("class_name"),
-            "paragraphs",
-        )
+    placed = F.transform("named", lambda p, k: F.struct(p.prefix.alias("prefix"), k.alias("k")))
+    firsts = _prefixed(outlined).select(
+        "path",
+        F.size("named").alias("named_size"),
+        F.filter(placed, lambda p: F.coalesce(_prefix_at(p.k - 1) != p.prefix, F.lit(True))).alias("firsts"),
+    )
+    counted = F.transform(
+        "firsts",
+        lambda p, n: F.struct(
+            p.prefix.alias("prefix"), (F.coalesce(F.get("firsts", n + 1).k, F.col("named_size")) - p.k).alias("n")
+        ),
+    )
+    return firsts.select("path", F.explode(F.filter(counted, lambda c: c.n >= 3)).alias("c")).select(
+        "path",
+        "c.prefix",
+        F.concat(pascal_case(F.col("c.prefix")), F.lit("Service")).alias("class_name"),
+        F.col("c.n").cast("bigint").alias("paragraphs"),
     )
 
 
-def service_members(paras: DataFrame) -> DataFrame:
+def service_members(outlined: DataFrame) -> DataFrame:
     """path, prefix, paragraph_no, paragraph of the service groups."""
-    keyed = paras.where(F.col("paragraph").contains("-")).withColumn(
-        "prefix", F.substring_index(F.upper("paragraph"), "-", 1)
-    )
-    groups = service_groups(paras).select("path", "prefix")
-    return keyed.join(groups, ["path", "prefix"], "left_semi").select(
-        "path", "prefix", "paragraph_no", "paragraph"
+
+    def in_run(p, k):
+        same = [F.coalesce(_prefix_at(k + d) == p.prefix, F.lit(False)) for d in (-2, -1, 1, 2)]
+        return (same[0] & same[1]) | (same[1] & same[2]) | (same[2] & same[3])
+
+    return (
+        _prefixed(outlined)
+        .select("path", F.explode(F.filter("named", in_run)).alias("p"))
+        .select("path", "p.prefix", "p.paragraph_no", "p.paragraph")
     )
 
 
@@ -180,22 +208,28 @@ def class_summary(outlined: DataFrame) -> DataFrame:
     the text is taken apart once; a class is a group of enough candidates.
     """
     candidates = F.concat(it.class_candidates(), sm.service_candidates())
-    rows = sm.with_marked(outlined).select(
-        "path", ol.file_count().alias("files"), F.explode_outer(candidates).alias("c")
-    )
-    groups = rows.groupBy("path", "files", "c.part", "c.key").agg(F.count("c.part").alias("n"))
-    enough = (
-        ((F.col("part") == "data_classes") & (F.col("n") >= 1))
-        | ((F.col("part") == "enums") & (F.col("n") >= 2))
-        | ((F.col("part") == "services") & (F.col("n") >= 3))
-    )
-    names = ["data_classes", "enums", "services"]
-    counted = groups.groupBy("path").agg(
-        *[F.count_if(enough & (F.col("part") == n)).alias(n) for n in names],
-        F.max("files").cast("bigint").alias("file_handlers"),
+    found = sm.with_marked(outlined).select(
+        "path", ol.file_count().cast("bigint").alias("file_handlers"), candidates.alias("c")
     )
+    least = {"data_classes": 1, "enums": 2, "services": 3}
+
+    def keys(part: str) -> Column:
+        return F.sort_array(F.transform(F.filter("c", lambda c: c.part == part), lambda c: c.key))
+
+    sorted_keys = found.select("path", "file_handlers", *[keys(part).alias(part) for part in least])
+
+    def groups(part: str, enough: int) -> Column:
+        """Keys that fill ``enough`` places in a row, counted at the first."""
+
+        def begins(key, k):
+            before, on = F.get(part, k - 1), F.get(part, k + enough - 1)
+            return F.coalesce(before != key, F.lit(True)) & F.coalesce(on == key, F.lit(False))
+
+        return F.size(F.filter(part, begins)).cast("bigint")
+
+    counted = sorted_keys.select("path", *[groups(p, n).alias(p) for p, n in least.items()], "file_handlers")
     return counted.withColumn(
-        "total", reduce(lambda a, b: a + b, [F.col(n) for n in [*names, "file_handlers"]], F.lit(1))
+        "total", reduce(lambda a, b: a + b, [F.col(n) for n in [*least, "file_handlers"]], F.lit(1))
     )
 
 
@@ -226,11 +260,21 @@ def entry_paragraph(outlined: DataFrame) -> DataFrame:
     return paras.select("path", F.explode(F.slice("ordered", 1, 1)).alias("p")).select("path", "p.paragraph")
 
 
+_COPIES = 10_000
+
+
 def diff_estates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one table that the other lacks, with ``side`` a or b.
 
-    Copies count: a row held twice here and once there appears once.
+    Copies count: a row held twice here and once there appears once. Each side
+    is read once, and both meet as one count per row.
     """
-    only_a = a.exceptAll(b).withColumn("side", F.lit("a"))
-    only_b = b.exceptAll(a).withColumn("side", F.lit("b"))
-    return only_a.unionByName(only_b)
+    columns = [F.col(f"`{c}`") for c in a.columns]
+    both = a.withColumn("__n", F.lit(1)).unionByName(b.withColumn("__n", F.lit(-1)))
+    surplus = both.groupBy(*columns).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    lots = F.sequence(F.lit(0).cast("bigint"), F.floor((F.abs("__n") - 1) / _COPIES))
+    cut = surplus.select(*columns, "__n", F.explode(lots).alias("__lot"))
+    in_lot = F.least(F.lit(_COPIES).cast("bigint"), F.abs("__n") - F.col("__lot") * _COPIES)
+    return cut.select(
+        *columns, F.when(F.col("__n") > 0, "a").otherwise("b").alias("side"), F.explode(F.sequence(F.lit(1).cast("bigint"), in_lot)).alias("__copy")
+    ).drop("__copy")

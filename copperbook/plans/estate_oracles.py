@@ -398,7 +398,11 @@ _ALL = _both(_STATEMENTS) + _FILES[len(_DATA):]
 ORACLES = {
     "e1_read_sources": _q(f"sources AS ({estate_sql()})", "SELECT 'program=' || replace(path, '/', '%2F') AS rel_dir, text || chr(10) AS text FROM sources"),
     "e2_rel_dir": _q(f"sources AS ({estate_sql()})", "SELECT split_part(path, '/', 2) AS rel_dir, count(*) AS files FROM sources GROUP BY 1"),
-    "e3_write_estate": _q(_FILES, "SELECT path, count(*) AS files FROM files GROUP BY path"),
+    "e3_write_estate": _q(_FILES, """SELECT split_part(path, '/', 2) AS rel_dir, path, count(*) AS n, 'files' AS name FROM files GROUP BY path
+UNION ALL SELECT split_part(path, '/', 2), path, count(*), 'copies' FROM (SELECT path, rtrim(regexp_extract(u, 'COPY\\s+(\\S+)', 1), '.') AS member, 'ENVIRONMENT' AS division
+FROM env_selects WHERE in_select = 0 AND regexp_matches(u, 'COPY\\s+\\S')
+UNION ALL SELECT path, rtrim(regexp_extract(upper(sentence), '^COPY\\s+(\\S+)', 1), '.'), 'DATA' FROM data_sentences
+WHERE regexp_matches(upper(sentence), '^COPY\\s+\\S')) GROUP BY path"""),
     "e4_physical_lines": _q(_LINES, "SELECT path, line_no, raw FROM raw"),
     "e5_clean_fixed": _q(_LINES, "SELECT path, line_no, kind, content FROM kept"),
     "e6_clean_free": _q(_LINES, "SELECT path, row_number() OVER (PARTITION BY path ORDER BY n) AS line_no, content FROM free"),
@@ -481,7 +485,8 @@ max(score) AS score FROM vendor_scores GROUP BY path"""),
     "e29_program_summary": _q(_ALL, """SELECT s.path, coalesce(l.n, 0) AS lines, coalesce(i.n, 0) AS items, coalesce(i.roots, 0) AS working_roots,
 coalesce(i.screen, 0) AS screen_items, coalesce(p.outside, 0) AS paragraphs, coalesce(p.inside, 0) AS section_paragraphs,
 coalesce(x.n, 0) AS sections, coalesce(f.n, 0) AS files,
-coalesce(t.q, false) OR coalesce(dq.q, false) AS has_sql, coalesce(t.c, false) AS has_cics, coalesce(t.d, false) AS has_dli
+coalesce(t.q, false) OR coalesce(dq.q, false) AS has_sql, coalesce(t.c, false) AS has_cics, coalesce(t.d, false) AS has_dli,
+contains(s.text, chr(10) || '       CLASS-ID. ') AS has_class
 FROM sources s
 LEFT JOIN (SELECT path, count(*) AS n FROM lines GROUP BY path) l ON s.path = l.path
 LEFT JOIN (SELECT path, count(*) AS n, count(*) FILTER (WHERE section = 'WORKING-STORAGE' AND level IN (1, 77)) AS roots,

@@ -36,8 +36,12 @@ def rel_dir(spark, d):
 def write_estate(spark, d):
     outlined = ol.outline(estate(spark, d))
     root = scratch_path(spark, "estate-tables")
-    files.write_estate({"copies": ol.copies(outlined), "files": ol.file_control(outlined)}, root)
-    return files.read_estate(spark, root, "files").groupBy("path").agg(F.count("*").alias("files"))
+    files.write_estate({"copies": ol.copies(outlined), "files": ol.file_control(outlined)}, root, source_root="estate")
+    rows = [
+        files.read_estate(spark, root, name).groupBy("rel_dir", "path").agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+        for name in ("copies", "files")
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 def _outline(spark, d):
@@ -159,10 +163,10 @@ QUERIES = {
     "e31_run_outcome": lambda s, d: su.run_outcome(_outline(s, d)),
     "e32_record_schemas": lambda s, d: it.record_schemas(_items(s, d)),
     "e32_record_fields": lambda s, d: it.record_fields(_typed(s, d)),
-    "e33_enum_candidates": lambda s, d: it.enum_candidates(_items(s, d)),
-    "e33_enum_members": lambda s, d: it.enum_members(_items(s, d)),
-    "e34_service_groups": lambda s, d: su.service_groups(sm.paragraphs(_outline(s, d))),
-    "e34_service_members": lambda s, d: su.service_members(sm.paragraphs(_outline(s, d))),
+    "e33_enum_candidates": lambda s, d: it.enum_candidates(_outline(s, d)),
+    "e33_enum_members": lambda s, d: it.enum_members(_outline(s, d)),
+    "e34_service_groups": lambda s, d: su.service_groups(_outline(s, d)),
+    "e34_service_members": lambda s, d: su.service_members(_outline(s, d)),
     "e35_file_handlers": lambda s, d: su.file_handlers(ol.file_control(_outline(s, d))),
     "e36_readiness": lambda s, d: su.readiness(_statements(s, d)),
     "e37_verb_counts": verb_counts,

@@ -24,8 +24,8 @@ def intake_statements(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type", "p_size")
     sources = spark.sql(estate_sql("{part}"), part=_stream(spark, part, "part-stream"))
     root, checkpoint = scratch_path(spark, "intake"), scratch_path(spark, "intake-checkpoint")
-    tables = {"statements": lambda batch: sm.statements(ol.outline(batch))}
-    intake.start_intake(sources, tables, root, checkpoint).awaitTermination()
+    tables = {"statements": sm.statements, "copies": ol.copies}
+    intake.start_intake(sources, tables, root, checkpoint, prepare=ol.outline).awaitTermination()
     return su.verb_counts(intake.intake_table(spark, root, "statements"))
 
 

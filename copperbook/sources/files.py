@@ -38,6 +38,16 @@ def _literal(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() else c for c in text)
 
 
+def name_pattern(extensions: tuple[str, ...]) -> str:
+    """A file name pattern, so that no other file is opened."""
+    return "{" + ",".join(f"*{e}" for e in extensions) + "}"
+
+
+def size_limit(spark: SparkSession) -> int:
+    """Bytes of the largest file that is read."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1)))
+
+
 def decoded_sources(
     spark: SparkSession, found: DataFrame, root: str, extensions: tuple[str, ...], encoding: str
 ) -> DataFrame:
@@ -46,7 +56,7 @@ def decoded_sources(
     for extension in extensions:
         wanted = wanted | F.col("path").endswith(extension)
     with _lenient_decoding(spark):
-        read = found.where(wanted).select("path", F.decode("content", encoding).alias("text"))
+        read = found.where(wanted & (F.col("length") <= size_limit(spark))).select("path", F.decode("content", encoding).alias("text"))
         read.schema  # resolves the expression under the settings above
     return with_rel_dir(read, root).select("path", "rel_dir", "text")
 
@@ -60,10 +70,28 @@ def read_sources(
     """path, rel_dir, text of every file under ``root`` with one of the extensions.
 
     Bytes that do not decode become replacement characters. A file is one row,
-    so its size is bounded by spark.sql.sources.binaryFile.maxLength.
+    so its size is bounded by spark.sql.sources.binaryFile.maxLength; larger
+    ones are listed by ``unread_sources`` and not opened here.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return decoded_sources(spark, found, root, extensions, encoding)
+    return decoded_sources(spark, _found(spark, root, extensions), root, extensions, encoding)
+
+
+def _found(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", name_pattern(extensions))
+        .load(root)
+    )
+
+
+def unread_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOURCE_EXTENSIONS) -> DataFrame:
+    """path, length, status of the files ``read_sources`` passes over for their size."""
+    return (
+        _found(spark, root, extensions)
+        .where(F.col("length") > size_limit(spark))
+        .select("path", "length", F.lit("too large").alias("status"))
+    )
 
 
 def write_sources(sources: DataFrame, root: str) -> None:
@@ -79,9 +107,17 @@ def write_sources(sources: DataFrame, root: str) -> None:
     )
 
 
-def write_estate(tables: dict[str, DataFrame], root: str, mode: str = "errorifexists") -> None:
-    """Write each table as Parquet under ``root``; with rel_dir, partitioned by it."""
+def write_estate(
+    tables: dict[str, DataFrame], root: str, mode: str = "errorifexists", source_root: str | None = None
+) -> None:
+    """Write each table as Parquet under ``root``, partitioned by ``rel_dir``.
+
+    With ``source_root``, the folder the sources were read from, a table with a
+    ``path`` gets the sub-folder of its file.
+    """
     for name, table in tables.items():
+        if source_root is not None and "path" in table.columns and "rel_dir" not in table.columns:
+            table = with_rel_dir(table, source_root)
         writer = table.write.mode(mode)
         if "rel_dir" in table.columns:
             writer = writer.partitionBy("rel_dir")

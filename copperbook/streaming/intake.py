@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from copperbook.sources.files import decoded_sources
+from copperbook.sources.files import decoded_sources, name_pattern
 from copperbook.vocabulary import SOURCE_EXTENSIONS
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -27,6 +27,7 @@ def source_stream(
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", name_pattern(extensions))
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
     )
@@ -38,16 +39,21 @@ def start_intake(
     tables: dict[str, Callable[[DataFrame], DataFrame]],
     root: str,
     checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Write the tables made from each batch of files under ``root``/table/batch=n.
 
-    A batch that runs again replaces its own folder, so a lost executor or a
-    restart leaves no row twice.
+    ``prepare``, such as ``outline``, runs once a batch, and the tables are made
+    from what it gives. A batch that runs again replaces its own folder, so a
+    lost executor or a restart leaves no row twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        start = prepare(batch).persist() if prepare else batch
         for name, make in tables.items():
-            make(batch).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+            make(start).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        if prepare:
+            start.unpersist()
 
     return (
         sources.writeStream.foreachBatch(write)

@@ -209,6 +209,5 @@ SOURCE_EXTENSIONS = (".cbl", ".cob", ".cobol", ".CBL", ".COB")
 
 # File status codes.
 STATUS_OK = "00"
-STATUS_END_OF_FILE = "10"
 STATUS_DUPLICATE_KEY = "22"
 STATUS_NOT_FOUND = "23"

@@ -34,6 +34,11 @@ CLAUSES = [
      dict(picture="S9(5)V99", usage="COMP-3", occurs=10, value="123.45")),
     ("05 WS-V VALUE 123.45 COMP-3 PIC S9(5)V99.", dict(value="123.45", usage="COMP-3")),
     ("88 STATUS-ACTIVE VALUE \"Y\".", dict(level=88, is_88=True, value=None)),
+    ("77 WS-QUOTE PIC X(9) VALUE 'IT''S'.", dict(value="IT'S")),
+    ('77 WS-QUOTE PIC X(9) VALUE "A ""B"" PIC 9".', dict(value='A "B" PIC 9', picture="X(9)")),
+    ("77 WS-DOT PIC X(9) VALUE 'END.'.", dict(value="END.")),
+    ("05 WS-PIC-OF PICTURE IS 9(4) USAGE BINARY.", dict(picture="9(4)", usage="BINARY")),
+    ("05 WS-OCCURS OCCURS 99999999999 TIMES PIC X.", dict(occurs=None, picture="X")),
 ]
 
 
@@ -165,10 +170,12 @@ def test_record_schema_and_struct_type(sources):
 
 def test_enums_need_two_conditions_in_working_or_local_storage(sources):
     lines = ["05 A PIC X.", "88 A-1 VALUE 1.", "88 A-2 VALUE 2.", "05 B PIC X.", "88 B-1 VALUE 1."]
-    found = it.enum_candidates(_items(sources, *lines)).collect()
+    outlined = ol.outline(sources(_program(*lines)))
+    found = it.enum_candidates(outlined).collect()
     assert [(r["name"], r["members"], r["enum_name"]) for r in found] == [("A", 2, "AType")]
-    assert sorted(r["member"] for r in it.enum_members(_items(sources, *lines)).collect()) == ["A_1", "A_2"]
-    assert it.enum_candidates(_items(sources, *lines, section="LINKAGE")).count() == 0
+    assert sorted(r["member"] for r in it.enum_members(outlined).collect()) == ["A_1", "A_2"]
+    linkage = ol.outline(sources(_program(*lines, section="LINKAGE")))
+    assert it.enum_candidates(linkage).count() == 0 and it.enum_members(linkage).count() == 0
 
 
 def test_screen_fields(sources):
@@ -181,3 +188,20 @@ def test_screen_fields(sources):
     rows = it.screen_fields(ol.outline(sources(text))).orderBy("item_no").collect()
     assert tuple(rows[0])[3:] == ("TITLE", 1, 20, "", "PARTS: ", "", "", "HIGHLIGHT")
     assert tuple(rows[1])[3:] == ("KEY-IN", 3, 5, "9(5)", "", "WS-N", "WS-K", "BLINK")
+
+
+def test_odd_declarations_do_not_end_the_job(sources):
+    typed = it.item_types(_items(sources, "77 HUGE PIC 9(99999999999).", "77 MANY PIC X OCCURS 99999999999.", "77 OK PIC 9(4)."))
+    assert {r["name"]: r["spark_type"] for r in typed.collect()} == {"HUGE": "string", "MANY": "string", "OK": "int"}
+
+
+def test_condition_values_keep_their_text(sources):
+    lines = ["05 A PIC X(9).", "88 ONE VALUE 'IT''S'.", "88 TWO VALUES ARE 1 THRU 5, 7 'A B' THROUGH \"C\"."]
+    found = {r["name"]: r["condition_values"] for r in it.conditions(_items(sources, *lines)).collect()}
+    assert found == {"ONE": ["IT'S"], "TWO": ["1 THRU 5", "7", "A B THROUGH C"]}
+
+
+def test_screen_words_are_not_found_in_names(sources):
+    lines = ["05 S-A LINE 99999999999 COL 4 PIC X(3) FROM WS-GOTO", "TO WS-TO-X VALUE 'FROM LINE 9'."]
+    (row,) = it.screen_fields(ol.outline(sources(_program(*lines, section="SCREEN")))).collect()
+    assert (row["line"], row["col"], row["from_field"], row["to_field"], row["value"]) == (None, 4, "WS-GOTO", "WS-TO-X", "FROM LINE 9")

@@ -223,3 +223,12 @@ def test_running_numbers_with_a_hot_group_and_nulls(spark):
 def test_running_total_of_nothing(spark):
     empty = spark.createDataFrame([], "k int")
     assert row_numbers(empty, ["k"], "no").count() == 0
+
+
+def test_sorted_and_merged_records_are_in_order(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.randrange(50), k) for k in range(500)], "a int, b int").repartition(6)
+    rows = [tuple(r) for r in rc.sort_records(df, F.col("a").desc(), "b").collect()]
+    assert rows == sorted(rows, key=lambda r: (-r[0], r[1]))
+    merged = [tuple(r) for r in rc.merge_records([df, df], "a", "b").collect()]
+    assert merged == sorted(merged) and len(merged) == 1000

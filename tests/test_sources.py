@@ -24,6 +24,19 @@ def test_read_sources_walks_folders(spark, tmp_path):
     assert ids == {"TOP", "ONE", "TWO"}
 
 
+def test_other_files_are_not_opened(spark, tmp_path):
+    _tree(tmp_path)
+    (tmp_path / "big.bin").write_bytes(b"x" * 1000)
+    (tmp_path / "large.cbl").write_text("x" * 1000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 400)
+    try:
+        assert files.read_sources(spark, str(tmp_path)).count() == 3
+        left = files.unread_sources(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(r["path"].rsplit("/", 1)[1], r["length"], r["status"]) for r in left] == [("large.cbl", 1000, "too large")]
+
+
 def test_encodings_and_bad_bytes(spark, tmp_path):
     (tmp_path / "sjis.cbl").write_bytes("      * 日本語\n".encode("shift_jis"))
     (tmp_path / "bad.cbl").write_bytes(b"       77 A\xff PIC X.\n")
@@ -40,6 +53,9 @@ def test_write_estate(spark, tmp_path):
     files.write_estate({"t": table}, str(tmp_path))
     assert (tmp_path / "t" / "rel_dir=d1").is_dir()
     assert files.read_estate(spark, str(tmp_path), "t").count() == 2
+    headers = spark.createDataFrame([("in/a/b/p.cbl", 1), ("in/q.cbl", 2)], "path string, v int")
+    files.write_estate({"h": headers}, str(tmp_path), source_root="in")
+    assert {(r["rel_dir"], r["v"]) for r in files.read_estate(spark, str(tmp_path), "h").collect()} == {("a/b", 1), (".", 2)}
 
 
 def test_intake_reads_each_file_once(spark, tmp_path):
@@ -50,8 +66,8 @@ def test_intake_reads_each_file_once(spark, tmp_path):
 
     def run():
         stream = intake.source_stream(spark, str(root), files_per_batch=1)
-        tables = {"headers": lambda b: ol.program_header(ol.outline(b)), "statements": lambda b: sm.statements(ol.outline(b))}
-        intake.start_intake(stream, tables, out, checkpoint).awaitTermination()
+        tables = {"headers": ol.program_header, "statements": sm.statements}
+        intake.start_intake(stream, tables, out, checkpoint, prepare=ol.outline).awaitTermination()
         return sorted(r["program_id"] for r in intake.intake_table(spark, out, "headers").collect())
 
     assert run() == ["ONE", "TOP", "TWO"]

@@ -159,8 +159,10 @@ def test_services_entry_and_readiness(sources):
     outlined = _outline(
         sources, "S-0 SECTION.", "IN-SEC.", "EXIT.", "CALC-A.", "EXIT.", "CALC-B.", "UNSTRING X.", "CALC-C.", "SORT F.", "OTHER-A.", "EXIT."
     )
-    groups = su.service_groups(sm.paragraphs(outlined)).collect()
+    groups = su.service_groups(outlined).collect()
     assert [(r["prefix"], r["class_name"], r["paragraphs"]) for r in groups] == [("CALC", "CalcService", 3)]
+    members = su.service_members(outlined).collect()
+    assert sorted((r["paragraph_no"], r["paragraph"]) for r in members) == [(2, "CALC-A"), (3, "CALC-B"), (4, "CALC-C")]
     assert su.entry_paragraph(outlined).first()["paragraph"] == "IN-SEC"
     left = su.readiness(sm.statements(outlined)).collect()
     assert sorted((r["stmt_type"], r["statements"]) for r in left) == [("UNKNOWN", 1), ("UNSTRING", 1)]
@@ -176,10 +178,23 @@ def test_dialect_ties_go_to_the_earlier_and_silence_is_standard(sources):
 
 
 def test_diff_counts_copies(spark):
-    a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int")
     b = spark.createDataFrame([(1,), (3,)], "x int")
     rows = su.diff_estates(a, b).collect()
-    assert sorted(tuple(r) for r in rows) == [(1, "a"), (2, "a"), (3, "b")]
+    assert sorted(map(str, map(tuple, rows))) == ["(1, 'a')", "(2, 'a')", "(3, 'b')", "(None, 'a')"]
+    many = spark.range(25_001).selectExpr("7 AS x")
+    assert su.diff_estates(b.limit(0), many.selectExpr("CAST(x AS int) AS x")).groupBy("side").count().collect() == [("b", 25_001)]
+
+
+def test_using_arguments_are_parted_by_commas(sources):
+    rows = sm.calls(sm.statements(_outline(sources, "A-1.", 'CALL "SUB" USING A, B; BY CONTENT C.'))).collect()
+    assert [(r["callee"], r["args"]) for r in rows] == [("SUB", ["A", "B", "C"])]
+
+
+def test_a_class_shows_in_the_summary(sources):
+    texts = {"c": "       IDENTIFICATION DIVISION.\n       CLASS-ID. PARTS.\n", "p": "       IDENTIFICATION DIVISION.\n       PROGRAM-ID. P.\n"}
+    rows = su.program_summary(ol.outline(sources(texts))).collect()
+    assert {r["path"]: r["has_class"] for r in rows} == {"c": True, "p": False}
 
 
 def test_one_file_with_most_of_the_estate(sources):
