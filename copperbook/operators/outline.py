@@ -7,8 +7,9 @@ operators of this module are narrow: no exchange, no window, no join.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copperbook.functions import clauses as cl
 from copperbook.functions import source_text as st
-from copperbook.functions.text import built_once, no_dots, split_at
+from copperbook.functions.text import built_once, let, no_dots, split_at
 
 
 def physical_lines(sources: DataFrame) -> DataFrame:
@@ -212,18 +213,21 @@ def file_control(outlined: DataFrame) -> DataFrame:
 
     def select_entry(sentence):
         text = F.replace(F.regexp_extract(sentence, _SELECT_START, 1), F.lit("\n"), F.lit(" "))
-        organization = no_dots(
-            F.regexp_extract(text, r"(?i)ORGANIZATION\s+IS\s+(LINE\s+SEQUENTIAL|\S+)", 1)
-        )
-        access = no_dots(F.regexp_extract(text, r"(?i)ACCESS\s+(?:MODE\s+)?(?:IS\s+)?(\S+)", 1))
+        return let(cl.words(text), lambda cut: let(cl.in_capitals(cut), lambda capitals: entry(cut, capitals)))
+
+    def entry(cut, capitals):
+        def word(keyword, *optional):
+            return no_dots(cl.after(cut, capitals, (keyword,), optional))
+
+        kind = word("ORGANIZATION", "IS")
+        line_sequential = (F.upper(kind) == "LINE") & F.array_contains(capitals, "SEQUENTIAL")
+        access = word("ACCESS", "MODE", "IS")
         return F.struct(
-            no_dots(F.regexp_extract(text, r"(?i)SELECT\s+(\S+)", 1)).alias("select_name"),
-            no_dots(
-                F.regexp_extract(F.concat(text, F.lit(" ")), r"""(?i)ASSIGN\s+TO\s+["']?(\S+?)["']?[\s.]""", 1)
-            ).alias("assign_to"),
-            F.when(organization == "", "SEQUENTIAL").otherwise(organization).alias("organization"),
+            word("SELECT").alias("select_name"),
+            F.substring_index(F.trim(word("ASSIGN", "TO"), F.lit("'\"")), ".", 1).alias("assign_to"),
+            F.when(kind == "", "SEQUENTIAL").when(line_sequential, F.lit("LINE SEQUENTIAL")).otherwise(kind).alias("organization"),
             F.when(access == "", "SEQUENTIAL").otherwise(access).alias("access_mode"),
-            no_dots(F.regexp_extract(text, r"(?i)FILE\s+STATUS\s+(?:IS\s+)?(\S+)", 1)).alias("file_status"),
+            word("STATUS", "IS").alias("file_status"),
         )
 
     base = _environment_sentences(outlined).select(

@@ -7,6 +7,7 @@ work within the row of a file; nothing here needs an exchange.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copperbook.functions import clauses as cl
 from copperbook.functions import source_text as st
 from copperbook.functions.folds import running
 from copperbook.functions.text import built_once, class_of, drop_period, let, strip, word
@@ -21,6 +22,7 @@ from copperbook.vocabulary import (
     SQL_CLASSES,
     TERMINATORS,
     TWO_WORD_TYPES,
+    UNISYS_RULES,
     USING_WORDS,
 )
 
@@ -351,28 +353,32 @@ def perform_targets(stmts: DataFrame) -> DataFrame:
     Forms are VARYING, UNTIL, TIMES, THRU, PLAIN, and INLINE for a loop that
     performs no paragraph; INLINE has no target.
     """
-    text = F.col("text")
-    first = word(text, 2)
-    varying = r"(?i)^PERFORM\s+\S+\s+VARYING\s+\S+\s+FROM\s+\S+\s+BY\s+\S+\s+UNTIL\s"
-    thru = r"(?i)^PERFORM\s+\S+\s+THR(?:U|OUGH)\s+(\S+)"
-    inline = F.upper(first).isin("UNTIL", "VARYING", "WITH", "TEST", "") | text.rlike(
-        r"(?i)^PERFORM\s+\S+\s+TIMES\b"
-    )
+    cut = cl.words(F.col("text"))
+    performed = stmts.where(F.col("stmt_type") == "PERFORM").select("*", cut.alias("cut"), cl.in_capitals(cut).alias("capitals"))
+
+    def at(place: int) -> Column:
+        """A word in capitals, the verb being 0; empty past the end."""
+        return F.coalesce(F.get("capitals", F.lit(place)), F.lit(""))
+
+    first = F.coalesce(F.get("cut", F.lit(1)), F.lit(""))
+    inline = at(1).isin("UNTIL", "VARYING", "WITH", "TEST", "") | (at(2) == "TIMES")
+    through = at(2).isin("THRU", "THROUGH") & (at(3) != "")
+    varying = (at(2) == "VARYING") & (at(4) == "FROM") & (at(6) == "BY") & (at(8) == "UNTIL")
     form = (
         F.when(inline, "INLINE")
-        .when(text.rlike(varying), "VARYING")
-        .when(text.rlike(r"(?i)^PERFORM\s+\S+\s+UNTIL\s"), "UNTIL")
-        .when(text.rlike(r"(?i)^PERFORM\s+\S+\s+\S+\s+TIMES"), "TIMES")
-        .when(text.rlike(thru), "THRU")
+        .when(varying, "VARYING")
+        .when((at(2) == "UNTIL") & (at(3) != ""), "UNTIL")
+        .when(at(3) == "TIMES", "TIMES")
+        .when(through, "THRU")
         .otherwise("PLAIN")
     )
-    return stmts.where(F.col("stmt_type") == "PERFORM").select(
+    return performed.select(
         "path",
         "stmt_no",
         F.col("paragraph").alias("source"),
         form.alias("form"),
         F.when(inline, F.lit("")).otherwise(first).alias("target"),
-        F.when(~inline & text.rlike(thru), F.regexp_extract(text, thru, 1)).otherwise(F.lit("")).alias("thru_target"),
+        F.when(~inline & through, F.get("cut", F.lit(3))).otherwise(F.lit("")).alias("thru_target"),
     )
 
 
@@ -386,13 +392,12 @@ def dialect_flags(stmts: DataFrame) -> DataFrame:
             hit = hit | upper.contains(w)
         return hit
 
-    unisys = (
-        F.when(upper.startswith("GIVE"), "GIVE")
-        .when(upper.startswith("RECEIVE"), "RECEIVE")
-        .when(upper.startswith("PORT"), "PORT")
-        .when(upper.startswith("CHANGE") & upper.contains("ATTRIBUTE"), "CHANGE_ATTRIBUTE")
-        .when(upper.contains("DMSII"), "DMSII")
-    )
+    unisys = F.lit(None).cast("string")
+    for flag, start, *held in reversed(UNISYS_RULES):
+        holds = upper.startswith(start)
+        for w in held:
+            holds = holds & upper.contains(w)
+        unisys = F.when(holds, flag).otherwise(unisys)
     flags = F.array(
         F.struct(F.lit("unisys").alias("dialect"), unisys.alias("flag")),
         F.struct(

@@ -131,6 +131,16 @@ USAGE_TYPES = {
 # Screen attributes, first match wins.
 SCREEN_ATTRIBUTES = ["HIGHLIGHT", "REVERSE-VIDEO", "UNDERLINE", "BLINK", "BLANK WHEN ZERO"]
 
+# A flag, what the statement starts with, and words it holds; the
+# first rule that holds gives the flag.
+UNISYS_RULES = [
+    ("GIVE", "GIVE"),
+    ("RECEIVE", "RECEIVE"),
+    ("PORT", "PORT"),
+    ("CHANGE_ATTRIBUTE", "CHANGE", "ATTRIBUTE"),
+    ("DMSII", "", "DMSII"),
+]
+
 # Words that are not arguments in a USING phrase.
 USING_WORDS = ["BY", "REFERENCE", "CONTENT", "VALUE"]
 
