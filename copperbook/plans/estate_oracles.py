@@ -313,6 +313,18 @@ _PARAMS = """array_to_string(list_sort(list_transform(map_entries(map_from_entri
           lambda p, i: {'k': upper(regexp_extract(p, '^(\\w+)', 1)), 'i': i}), lambda o: o.k = e.k AND o.i > e.i)) = 0),
       lambda e: {'k': e.k, 'v': e.v}))), lambda e: e.key || '=' || e.value)), ';')"""
 
+_SELECT_PARTS = f"""select_words AS (
+  SELECT *, list_transform(cw, lambda x: upper(x)) AS cu
+  FROM (SELECT *, regexp_extract_all(t, '"[^"]*"|[^ ]+') AS cw FROM selects)),
+select_parts AS (
+  SELECT path, g, rtrim({_after(['SELECT'], [])}, '.') AS select_name,
+    split_part(trim(rtrim({_after(['ASSIGN'], ['TO'])}, '.'), '"'), '.', 1) AS assign_to,
+    CASE rtrim({_after(['ORGANIZATION'], ['IS'], 'cu')}, '.') WHEN '' THEN 'SEQUENTIAL' WHEN 'LINE' THEN 'LINE SEQUENTIAL'
+      ELSE rtrim({_after(['ORGANIZATION'], ['IS'])}, '.') END AS organization,
+    coalesce(nullif(rtrim({_after(['ACCESS'], ['MODE'], skip_is=True)}, '.'), ''), 'SEQUENTIAL') AS access_mode,
+    rtrim({_after(['STATUS'], ['IS'])}, '.') AS file_status
+  FROM select_words),"""
+
 _FILES = _DATA + """,
 env AS (
   SELECT *, lag(content) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM tagged WHERE division = 'ENVIRONMENT' AND dh IS NULL),
@@ -322,13 +334,7 @@ env_selects AS (
   SELECT *, max(CASE WHEN u LIKE 'SELECT%' THEN 1 ELSE 0 END) OVER (PARTITION BY path, g ORDER BY line_no) AS in_select FROM env_groups),
 selects AS (
   SELECT path, g, string_agg(content, ' ' ORDER BY line_no) || ' ' AS t FROM env_selects WHERE in_select = 1 GROUP BY path, g),
-select_parts AS (
-  SELECT path, g, rtrim(regexp_extract(t, '(?i)SELECT\\s+(\\S+)', 1), '.') AS select_name,
-    rtrim(regexp_extract(t, '(?i)ASSIGN\\s+TO\\s+["'']?(\\S+?)["'']?[\\s.]', 1), '.') AS assign_to,
-    coalesce(nullif(rtrim(regexp_extract(t, '(?i)ORGANIZATION\\s+IS\\s+(LINE\\s+SEQUENTIAL|\\S+)', 1), '.'), ''), 'SEQUENTIAL') AS organization,
-    coalesce(nullif(rtrim(regexp_extract(t, '(?i)ACCESS\\s+(?:MODE\\s+)?(?:IS\\s+)?(\\S+)', 1), '.'), ''), 'SEQUENTIAL') AS access_mode,
-    rtrim(regexp_extract(t, '(?i)FILE\\s+STATUS\\s+(?:IS\\s+)?(\\S+)', 1), '.') AS file_status
-  FROM selects),
+""" + _SELECT_PARTS + """
 fds AS (SELECT path, fd, min(line_no) AS n FROM data_lines WHERE section = 'FILE' AND fd IS NOT NULL GROUP BY path, fd),
 files AS (
   SELECT coalesce(s.path, f.path) AS path,
