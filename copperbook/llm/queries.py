@@ -79,5 +79,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
 }

@@ -418,3 +418,28 @@ def remove_repeats(
     joined = _keyed(docs, id_col, text_col).join(spans, ["doc", "tie"], "left")
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, {_DIGEST}" + ", kept binary" * with_text
     return joined.select("doc_id", "spans", "body").mapInArrow(_cut(with_text), schema)
+
+
+#: Every window by its place: later occurrences cover the bytes that go.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT doc_id, n, hex(b) AS h, unnest(range(1, n + 1)) AS i FROM d),
+windows AS (
+  SELECT doc_id, n, i, substr(h, 2 * i - 1, 2) AS byte,
+    CASE WHEN i + 99 <= n THEN substr(h, 2 * i - 1, 200) END AS w FROM places),
+starts AS (
+  SELECT doc_id, n, i, byte,
+    CASE WHEN w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 THEN i END AS gone FROM windows),
+covered AS (
+  SELECT doc_id, n, i, byte,
+    coalesce(max(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) > i - 100, false) AS gone FROM starts),
+runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM covered),
+digests AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN digests USING (doc_id)
+"""
