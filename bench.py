@@ -27,10 +27,13 @@ HEADLINE = [
     "e29_program_summary",
     "e30_class_summary",
     "e32_record_schemas",
+    "e33_enum_members",
     "e34_service_groups",
+    "e34_service_members",
     "e36_readiness",
     "e37_verb_counts",
     "e37_verb_profile",
+    "e39_diff_estates",
     "r6_add_subtract_multiply",
     "r7_divide",
     "r9_evaluate",

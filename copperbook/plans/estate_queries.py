@@ -19,14 +19,14 @@ def _pairs(column: str):
     return F.array_join(F.array_sort(entries), ";").alias(column)
 
 
-def _estate_files(spark, d) -> str:
+def estate_files(spark, d) -> str:
     root = scratch_path(spark, "estate-files")
     files.write_sources(estate(spark, d), root)
     return root
 
 
 def read_sources(spark, d):
-    return files.read_sources(spark, _estate_files(spark, d), (".txt",)).select("rel_dir", "text")
+    return files.read_sources(spark, estate_files(spark, d), (".txt",)).select("rel_dir", "text")
 
 
 def rel_dir(spark, d):

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from copperbook.operators import outline as ol
 from copperbook.operators import statements as sm
 from copperbook.operators import summaries as su
-from copperbook.plans import estate_oracles, keyed_queries
+from copperbook.plans import estate_oracles, estate_queries, keyed_queries
 from copperbook.session import scratch_path
-from copperbook.sources.estate_from_parts import estate_sql
 from copperbook.streaming import changes, intake
 
 _BATCHES = 4
+_FILES_PER_BATCH = 1000
 
 
 def _stream(spark, frame, name):
@@ -21,12 +21,15 @@ def _stream(spark, frame, name):
 
 
 def intake_statements(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type", "p_size")
-    sources = spark.sql(estate_sql("{part}"), part=_stream(spark, part, "part-stream"))
+    """The files of the estate as they arrive, a few batches of them."""
+    found = intake.source_stream(spark, estate_queries.estate_files(spark, d), (".txt",), files_per_batch=_FILES_PER_BATCH)
     root, checkpoint = scratch_path(spark, "intake"), scratch_path(spark, "intake-checkpoint")
     tables = {"statements": sm.statements, "copies": ol.copies}
-    intake.start_intake(sources, tables, root, checkpoint, prepare=ol.outline).awaitTermination()
-    return su.verb_counts(intake.intake_table(spark, root, "statements"))
+    intake.start_intake(found, tables, root, checkpoint, prepare=ol.outline).awaitTermination()
+    # a file lies in a folder named for the path of its program
+    program = F.url_decode(F.regexp_extract("path", r"/program=([^/]*)/", 1))
+    statements = intake.intake_table(spark, root, "statements").withColumn("path", program)
+    return su.verb_counts(statements)
 
 
 def streaming_changes(spark, d):

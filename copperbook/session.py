@@ -21,6 +21,10 @@ def build_session(app: str = "copperbook", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+# folders of this machine that a local session was given; they go with the process
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder named by ``spark.checkpoint.dir``.
 
@@ -31,6 +35,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="copperbook-")
+        _OWN.append(tempfile.TemporaryDirectory(prefix="copperbook-", ignore_cleanup_errors=True))
+        root = _OWN[-1].name
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
