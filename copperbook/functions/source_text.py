@@ -33,6 +33,11 @@ _STATEMENT_BREAK = (
     rf"|(?={_WORD}[^\S\n]*(?:\.[^\S\n]*|[^\S\n]+SECTION[^\S\n]*\.?)(?:\n|\z))"
     r"|(?<=\.\n))"
 )
+# Several statements in a line: the next one stands after a period and a blank, or
+# is the verb after a condition; neither inside quotes.
+_REST_UNQUOTED = r"""(?=[^"\n]*(?:"[^"\n]*"[^"\n]*)*(?:\n|\z))(?=[^'\n]*(?:'[^'\n]*'[^'\n]*)*(?:\n|\z))"""
+_NEXT_IN_LINE = rf"\.[ \t]+(?=[A-Za-z0-9]){_REST_UNQUOTED}"
+_VERB_IN_LINE = rf"""(?im)^((?:IF|ELSE)(?=\s)(?:[^"'\n]|"[^"\n]*"|'[^'\n]*')*?)[ \t]+(?=(?:{'|'.join(VERBS)})(?:\s|$))"""
 _DATA_BREAK = r"(?i)\n(?:(?=COPY\s)|(?<=\.\n))"
 # The first look-ahead turns most lines away before the alternatives are tried.
 _DIVISION_BREAK = rf"(?i)\n(?=[^\n]*DIVISION)(?=[^\n]*(?:{'|'.join(h for hs in DIVISION_HEADERS.values() for h in hs)}))"
@@ -272,7 +277,8 @@ def statement_texts(procedure: Column) -> Column:
         F.filter(F.split(procedure, "\n"), lambda x: F.upper(F.left(x, F.lit(5))) != "COPY "), "\n"
     )
     kept = F.when(procedure.rlike(r"(?im)^COPY "), without_copy).otherwise(procedure)
-    return _cut(kept, lambda text: _split_flat(text, _STATEMENT_BREAK))
+    one_each = F.regexp_replace(F.regexp_replace(kept, _NEXT_IN_LINE, ".\n"), _VERB_IN_LINE, "$1\n")
+    return _cut(one_each, lambda text: _split_flat(text, _STATEMENT_BREAK))
 
 
 def marked_statements(statements: Column) -> Column:

@@ -194,10 +194,20 @@ _PASCAL = "array_to_string(list_transform(string_split(replace(lower({0}), '_',
 
 # Statements: a running count of statement starts over the lines.
 _STATEMENTS = _TAGS + f""",
-proc_lines AS (
-  SELECT path, line_no, content, u, CASE WHEN u LIKE 'EXEC %' THEN 1 ELSE 0 END AS opens,
-    CASE WHEN contains(u, 'END-EXEC') THEN 1 ELSE 0 END AS closes
+proc_words AS (
+  SELECT path, line_no, content, regexp_split_to_array(content, ' +') AS w
   FROM tagged WHERE division = 'PROCEDURE' AND dh IS NULL AND u NOT LIKE 'COPY %'),
+proc_verbs AS (
+  SELECT *, CASE WHEN upper(w[1]) IN ('IF', 'ELSE') THEN list_min(list_filter(range(2, len(w) + 1),
+    lambda i: upper(w[i]) IN ({_words(VERBS)}))) END AS verb_at FROM proc_words),
+proc_pieces AS (
+  SELECT path, 2 * line_no AS line_no, CASE WHEN verb_at IS NULL THEN content ELSE array_to_string(w[:verb_at - 1], ' ') END AS content
+  FROM proc_verbs
+  UNION ALL SELECT path, 2 * line_no + 1, array_to_string(w[verb_at:], ' ') FROM proc_verbs WHERE verb_at IS NOT NULL),
+proc_lines AS (
+  SELECT path, line_no, content, upper(content) AS u, CASE WHEN upper(content) LIKE 'EXEC %' THEN 1 ELSE 0 END AS opens,
+    CASE WHEN contains(upper(content), 'END-EXEC') THEN 1 ELSE 0 END AS closes
+  FROM proc_pieces),
 proc_state AS (
   SELECT *, coalesce(sum(opens - closes) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside,
     lag(content) OVER (PARTITION BY path ORDER BY line_no) AS prev,

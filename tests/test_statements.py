@@ -207,3 +207,17 @@ def test_one_file_with_most_of_the_estate(sources):
     assert rows.count() == 40020
     assert rows.where("path = 'big'").agg(F.sum("depth")).first()[0] == 20000
     assert rows.where("text LIKE 'SUBTRACT%' AND branch <> 'ELSE'").count() == 0
+
+
+def test_several_statements_in_a_line(sources):
+    outlined = _outline(
+        sources, "A-1. MOVE 0 TO A. MOVE 1.5 TO B.", "IF A = 1 GO TO M-1.", "DISPLAY 'X. ADD Y' B. ADD 1 TO A.",
+        "IF A = 'GO TO' MOVE 1 TO A", "ELSE PERFORM M-1.", "M-1. EXIT.",
+    )
+    rows = sm.statements(outlined).orderBy("stmt_no").collect()
+    assert [r["text"] for r in rows] == [
+        "MOVE 0 TO A", "MOVE 1.5 TO B", "IF A = 1", "GO TO M-1", "DISPLAY 'X. ADD Y' B", "ADD 1 TO A",
+        "IF A = 'GO TO'", "MOVE 1 TO A", "ELSE", "PERFORM M-1", "EXIT",
+    ]
+    assert [r["target"] for r in sm.goto_targets(sm.statements(outlined)).collect()] == ["M-1"]
+    assert [r["paragraph"] for r in sm.paragraphs(outlined).orderBy("paragraph_no").collect()] == ["A-1", "M-1"]
