@@ -3,11 +3,11 @@
 A block is coded from a fresh state and knows nothing of other blocks, so the
 blocks of a segment are the lanes of numpy arrays: one step codes the next id
 of every block. For each id, order 2 (the two ids before) and order 1 (the id
-before) each predict an id, with how sure they are; order 0 predicts the high
-nibble of the id. The symbols are: order 2 is right, order 1 is right, or one of
-16 high nibbles. Their frequencies are the sum of three adaptive tables, one
-chosen by each order's confidence and one of the block alone. After a nibble the
-other 12 bits follow plain, in the same step of the coder.
+before) each predict an id, with how sure they are; order 0 predicts in which of
+four ranges the id lies. The symbols are: order 2 is right, order 1 is right, or
+a range. Their frequencies are the sum of three adaptive tables, one chosen by
+each order's confidence and one of the block alone. After a range the place in it
+follows plain, in the same step of the coder.
 
 The coder keeps 48 bits and moves 16 at a time; it shortens the range instead
 of passing a carry on. A block is: ids, words, CRC-32 of the ids as little-endian
@@ -20,19 +20,22 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-_SLOTS = 1024
-_SYMBOLS = 18
-_STEP, _HALVE_EVERY = 24, 256
+_SLOTS = 256
+# where the ranges of order 0 begin, and the bits of a place in each
+_BEGIN = np.array([0, 0, 0, 256, 1280, 5376], np.int32)
+_BITS = np.array([0, 0, 8, 10, 12, 16], np.uint64)
+_SYMBOLS = len(_BITS)
+_STEP, _HALVE_EVERY = 8, 128
 _HEAD = struct.Struct("<III")
 
 _U = np.uint64
-_TWELVE, _SIXTEEN, _THIRTY_TWO = _U(12), _U(16), _U(32)
+_SIXTEEN, _THIRTY_TWO = _U(16), _U(32)
 _MASK48, _MASK32 = _U((1 << 48) - 1), _U((1 << 32) - 1)
 
 
 class _Coder:
     """State of the lanes; ``move`` is how a settled word leaves or enters. A
-    symbol's share is cut in 4096 where 12 plain bits follow it."""
+    symbol's share is cut into as many parts as a range has places."""
 
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, _U)
@@ -57,6 +60,13 @@ class _Coder:
             self.low[lanes], self.range[lanes] = low, wide
 
 
+def _share(live: int, ends: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the share of a symbol starts, and the size of one place in it."""
+    rows = np.arange(live)
+    low = np.where(symbol > 0, ends[rows, symbol - 1], _U(0))
+    return low, (ends[rows, symbol] - low) << (_SIXTEEN - _BITS[symbol])
+
+
 class _Encoder(_Coder):
     def __init__(self, lanes: int, steps: int):
         super().__init__(lanes)
@@ -67,14 +77,10 @@ class _Encoder(_Coder):
         self.at[lanes] += 1
 
     def code(self, live, ends, symbol, rest):
-        rows = np.arange(live)
-        wide = self.range[:live] // (ends[:, -1] << _TWELVE)
-        high = ends[rows, symbol]
-        low = np.where(symbol > 0, ends[rows, symbol - 1], _U(0))
-        size = (high - low) * wide
-        missed = symbol > 1
-        start = (low << _TWELVE) * wide + np.where(missed, rest.astype(_U) * size, _U(0))
-        self.narrow(live, start, np.where(missed, size, size << _TWELVE))
+        wide = self.range[:live] // (ends[:, -1] << _SIXTEEN)
+        low, part = _share(live, ends, symbol)
+        part *= wide
+        self.narrow(live, (low << _SIXTEEN) * wide + rest.astype(_U) * part, part)
         return symbol, rest
 
     def blocks(self) -> list[bytes]:
@@ -103,62 +109,57 @@ class _Decoder(_Coder):
         self.at[lanes] += 1
 
     def code(self, live, ends, symbol, rest):
-        rows = np.arange(live)
-        wide = self.range[:live] // (ends[:, -1] << _TWELVE)
-        place = ((self.input[:live] - self.low[:live]) & _MASK48) // wide
-        place = np.minimum(place, (ends[:, -1] << _TWELVE) - _U(1))
-        symbol = (ends <= (place >> _TWELVE)[:, None]).sum(axis=1)
-        high = ends[rows, symbol]
-        low = np.where(symbol > 0, ends[rows, symbol - 1], _U(0))
-        missed = symbol > 1
-        rest = np.where(missed, (place - (low << _TWELVE)) // (high - low), _U(0))
-        size = (high - low) * wide
-        start = (low << _TWELVE) * wide + rest * size
-        self.narrow(live, start, np.where(missed, size, size << _TWELVE))
-        return symbol, rest.astype(np.int64)
+        total = ends[:, -1] << _SIXTEEN
+        wide = self.range[:live] // total
+        place = np.minimum(((self.input[:live] - self.low[:live]) & _MASK48) // wide, total - _U(1))
+        symbol = (ends <= (place >> _SIXTEEN)[:, None]).sum(axis=1)
+        low, part = _share(live, ends, symbol)
+        rest = (place - (low << _SIXTEEN)) // part
+        part *= wide
+        self.narrow(live, (low << _SIXTEEN) * wide + rest * part, part)
+        return symbol, rest.astype(np.int32)
 
 
 def _pass(coder: _Coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
     """Code or decode every block; the lanes are sorted by length, longest first."""
     lanes, steps = len(lengths), int(lengths[0])
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     lane = np.arange(lanes)
-    first = np.array([16, 16] + [2] * 16, np.uint16)
+    first = np.array([8, 8, 4, 4, 4, 4], np.uint16)
     tables = [np.tile(first, (lanes * 4, 1)), np.tile(first, (lanes * 4, 1)), np.tile(first, (lanes, 1))]
-    # per lane and context: the id seen last, and how sure it is, 0 to 3
-    guesses = [np.full(lanes * _SLOTS, -1, np.int32) for _ in "ab"]
-    sures = [np.zeros(lanes * _SLOTS, np.uint8) for _ in "ab"]
-    before, earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    # per lane and context: four times the id seen last, plus how sure it is, 0 to 3
+    guesses = [np.full(lanes * _SLOTS, -4, np.int32) for _ in "ab"]
+    before, earlier = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     live = lanes
     for step in range(steps):
         while lengths[live - 1] <= step:
             live -= 1
         b, e, own = before[:live], earlier[:live], lane[:live]
         slots = [
-            own * _SLOTS + (((b * 40503 + e * 30011) >> 4) & (_SLOTS - 1)),
-            own * _SLOTS + ((b * 40503 >> 3) & (_SLOTS - 1)),
+            own * _SLOTS + (((b * np.uint32(40503) + e * np.uint32(30011)) >> np.uint32(4)) & np.uint32(_SLOTS - 1)),
+            own * _SLOTS + ((b * np.uint32(40503) >> np.uint32(3)) & np.uint32(_SLOTS - 1)),
         ]
-        guess = [g[at] for g, at in zip(guesses, slots)]
-        sure = [s[at] for s, at in zip(sures, slots)]
+        seen = [g[at] for g, at in zip(guesses, slots)]
+        guess, sure = [x >> 2 for x in seen], [x & 3 for x in seen]
         rows = [own * 4 + s for s in sure] + [own]
         mixed = tables[0][rows[0]] + tables[1][rows[1]] + tables[2][:live]
         ends = mixed.cumsum(axis=1, dtype=np.uint32).astype(_U)
         if ids is None:
             symbol, rest = coder.code(live, ends, None, None)
-            value = np.where(symbol > 1, (symbol - 2) << 12 | rest, np.where(symbol == 0, guess[0], guess[1]))
+            value = np.where(symbol > 1, _BEGIN[symbol] + rest, np.where(symbol == 0, guess[0], guess[1]))
             right = [value == g for g in guess]
         else:
             value = ids[step, :live]
             right = [value == g for g in guess]
-            symbol = np.where(right[0], 0, np.where(right[1], 1, (value >> 12) + 2))
-            coder.code(live, ends, symbol, value & 4095)
+            range_ = 2 + (value >= _BEGIN[3]) + (value >= _BEGIN[4]) + (value >= _BEGIN[5])
+            symbol = np.where(right[0], 0, np.where(right[1], 1, range_))
+            coder.code(live, ends, symbol, np.where(symbol > 1, value - _BEGIN[symbol], 0))
         for table, row in zip(tables, rows):
             table.reshape(-1)[row * _SYMBOLS + symbol] += _STEP
         if step % _HALVE_EVERY == _HALVE_EVERY - 1:
             tables = [(t + np.uint16(1)) >> np.uint16(1) for t in tables]
-        for g, s, at, hit, was in zip(guesses, sures, slots, right, sure):
-            g[at] = value
-            s[at] = np.where(hit, np.minimum(was + 1, 3), 1)
+        for g, at, hit, was in zip(guesses, slots, right, sure):
+            g[at] = (value << 2) + np.where(hit, np.minimum(was + 1, 3), 1)
         out[step, :live] = value
         earlier[:live] = b
         before[:live] = value
@@ -172,7 +173,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     lanes = -(-len(ids) // block)
     lengths = np.full(lanes, len(ids) // lanes)
     lengths[: len(ids) % lanes] += 1
-    grid = np.zeros((lanes, lengths[0]), np.int64)
+    grid = np.zeros((lanes, lengths[0]), np.int32)
     grid[np.arange(lengths[0]) < lengths[:, None]] = ids
     coder = _Encoder(lanes, int(lengths[0]))
     _pass(coder, lengths, np.ascontiguousarray(grid.T))

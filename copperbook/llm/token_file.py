@@ -2,8 +2,8 @@
 
 Documents are range-partitioned by id, so that parts, segments of a part and
 documents of a segment are in ascending order. A part is written as one row per
-segment of about ``SEGMENT_BYTES`` of text; a segment holds whole documents and
-can be read alone::
+segment of about ``SEGMENT_IDS`` ids; a segment holds whole documents and can be
+read alone::
 
     documents, ids                      two 32-bit integers
     per document: id, null flag, ids    64, 8 and 32 bits, as three columns
@@ -40,8 +40,9 @@ from copperbook.llm.common import only, stored, texts
 from copperbook.llm.range_coder import decode, encode
 
 END_ID = 2
-SEGMENT_BYTES = 4 << 20
-REMEMBERED = 400_000
+SEGMENT_IDS = 4 << 20
+LOT_BYTES = 1 << 20
+REMEMBERED = 200_000
 _HEAD = struct.Struct("<II")
 
 # the usual word pattern, its classes written out for Latin-1
@@ -84,8 +85,10 @@ class Encoder:
         if len(self._known) + len(fresh) > REMEMBERED:
             self._known = {}
             fresh = sorted({w for words in cut if words for w in words})
-        for word, found in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self._known[word] = np.array(found.ids, "<u2").tobytes()
+        for at in range(0, len(fresh), 4096):  # the library's results are large
+            some_words = fresh[at : at + 4096]
+            for word, found in zip(some_words, self._tokenizer.encode_batch_fast(some_words, add_special_tokens=False)):
+                self._known[word] = np.array(found.ids, "<u2").tobytes()
         get = self._known.__getitem__
         return [
             np.frombuffer(self._whole(t) if words is None else b"".join(map(get, words)), "<u2")
@@ -120,17 +123,30 @@ def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u2")
-        for seq, (docs, bodies) in enumerate(texts(batches, SEGMENT_BYTES)):
-            ids = [np.concatenate((x, end)) for x in encoder.encode(bodies)]
-            yield pa.record_batch(
+        held: tuple[list, list] = ([], [])
+        size = seq = 0
+
+        def segment() -> pa.RecordBatch:
+            return pa.record_batch(
                 {
                     "part": pa.array([part], pa.int32()),
                     "segment": pa.array([seq], pa.int32()),
-                    "n_ids": pa.array([sum(map(len, ids))], pa.int64()),
-                    "payload": pa.array([pack_segment(docs, ids)], pa.binary()),
+                    "n_ids": pa.array([size], pa.int64()),
+                    "payload": pa.array([pack_segment(*held)], pa.binary()),
                 }
             )
 
+        for docs, bodies in texts(batches, LOT_BYTES):
+            for doc, ids in zip(docs, encoder.encode(bodies)):
+                held[0].append(doc)
+                held[1].append(np.concatenate((ids, end)))
+                size += len(ids) + 1
+            if size >= SEGMENT_IDS:
+                yield segment()
+                held, size, seq = ([], []), 0, seq + 1
+        if held[0]:
+            yield segment()
+
     return run
 
 
