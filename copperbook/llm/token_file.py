@@ -23,7 +23,9 @@ another by a hash of their text; null ids come first; an empty table gives empty
 results. Extra columns are ignored.
 """
 
+import functools
 import json
+import os
 import re
 import struct
 import zlib
@@ -42,7 +44,7 @@ from copperbook.llm.range_coder import decode, encode
 END_ID = 2
 SEGMENT_IDS = 4 << 20
 LOT_BYTES = 1 << 20
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 _HEAD = struct.Struct("<II")
 
 # the usual word pattern, its classes written out for Latin-1
@@ -79,23 +81,33 @@ class Encoder:
             return None
         return _PIECES.findall(text)
 
-    def encode(self, some: list[str]) -> list[np.ndarray]:
-        cut = [self._words(t) for t in some]
-        fresh = sorted({w for words in cut if words for w in words}.difference(self._known))
-        if len(self._known) + len(fresh) > REMEMBERED:
-            self._known = {}
-            fresh = sorted({w for words in cut if words for w in words})
+    def _learn(self, words: set[str]) -> None:
+        fresh = sorted(words)
         for at in range(0, len(fresh), 4096):  # the library's results are large
-            some_words = fresh[at : at + 4096]
-            for word, found in zip(some_words, self._tokenizer.encode_batch_fast(some_words, add_special_tokens=False)):
+            some = fresh[at : at + 4096]
+            for word, found in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self._known[word] = np.array(found.ids, "<u2").tobytes()
-        get = self._known.__getitem__
+
+    def encode(self, some: list[str]) -> list[np.ndarray]:
+        if len(self._known) > REMEMBERED:
+            self._known = {}
+        known = self._known
+        cut = [self._words(t) for t in some]
+        self._learn({w for words in cut if words for w in words if w not in known})
         return [
-            np.frombuffer(self._whole(t) if words is None else b"".join(map(get, words)), "<u2")
+            np.frombuffer(self._whole(t) if words is None else b"".join(map(known.__getitem__, words)), "<u2")
             for t, words in zip(some, cut)
         ]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, so that tasks find the words of earlier ones.
+    A task has one core; the library's threads would take those of others."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
+
+
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     sizes = np.array([len(x) for x in ids], "<u4")
     plain = np.array([d or 0 for d in doc_ids], "<i8")
@@ -121,7 +133,7 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path).encode, TaskContext.get().partitionId()
         end = np.array([end_id], "<u2")
         held: tuple[list, list] = ([], [])
         size = seq = 0
@@ -137,7 +149,7 @@ def _segments(path: str, end_id: int):
             )
 
         for docs, bodies in texts(batches, LOT_BYTES):
-            for doc, ids in zip(docs, encoder.encode(bodies)):
+            for doc, ids in zip(docs, encode(bodies)):
                 held[0].append(doc)
                 held[1].append(np.concatenate((ids, end)))
                 size += len(ids) + 1
