@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copperbook.llm import near_copies
 from copperbook.llm.common import only, stored, texts, utf8
 from copperbook.llm.components import components
 
@@ -40,16 +41,17 @@ BITS = 64
 SEGMENTS = 16
 BUDGET = 3
 SHINGLE = 3
+#: Bands of near_copies a view.
+BANDS = 5
 #: From here on a key is settled by masks; both ways find the same links.
 MASKS_FROM = 1 << 16
 
 
-def fingerprint(body: bytes, shingle: int = SHINGLE, views: int = 1, seed: int = 42) -> list[int]:
-    """A bit is set if set in over half the hashes of the word shingles. Views
-    after the first remix the hashes, which gives independent fingerprints."""
+def fingerprint(body: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """A bit is set if set in over half the hashes of the word shingles."""
     words = body.lower().split()
     if not words:
-        return [0] * views
+        return 0
     line = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) <= shingle:
@@ -59,51 +61,32 @@ def fingerprint(body: bytes, shingle: int = SHINGLE, views: int = 1, seed: int =
         hashes = b"".join(
             [digest(line[a:b], seed) for a, b in zip([0, *ends], [e - 1 for e in ends[shingle - 1 :]])]
         )
-    own = np.frombuffer(hashes, ">u8")
-    marks = []
-    for view in range(views):
-        mixed = own if not view else _remixed(own.astype(np.uint64), view).astype(">u8")
-        bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
-        set_ = 2 * bits.sum(axis=0, dtype=np.int32) > len(bits)
-        marks.append(int.from_bytes(np.packbits(set_).tobytes(), "big"))
-    return marks
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+    set_ = 2 * bits.sum(axis=0, dtype=np.int32) > len(bits)
+    return int.from_bytes(np.packbits(set_).tobytes(), "big")
 
 
-def _remixed(hashes: np.ndarray, view: int) -> np.ndarray:
-    x = hashes + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _fingerprints(shingle: int, views: int):
+def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, bodies in texts(batches, 4 << 20):
-            marks = np.array([fingerprint(b, shingle, views) for b in bodies], np.uint64).reshape(-1, views)
-            columns = {_view(v): pa.array(marks[:, v].copy().view(np.int64)) for v in range(views)}
+            marks = np.array([fingerprint(b, shingle) for b in bodies], np.uint64)
             kept = {"doc_id": pa.array(ids, pa.int64()), "text_key": pa.array(keys, pa.int64())}
-            yield pa.record_batch({**kept, **columns})
+            yield pa.record_batch({**kept, "mark": pa.array(marks.view(np.int64))})
 
     return run
 
 
-def _view(view: int) -> str:
-    return f"mark{view or ''}"
-
-
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, views: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """(doc_id, text_key, mark, mark1, ...): a hash of the text, and fingerprints
-    as signed longs, one a view."""
+    """(doc_id, text_key, mark): a hash of the text, and the fingerprint as a signed long."""
     plain = only(docs, id_col, text_col).toDF("doc_id", "text")
     plain = plain.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
         utf8("text").alias("body"),
     )
-    names = ["doc_id", "text_key", *[_view(v) for v in range(views)]]
-    return plain.mapInArrow(_fingerprints(shingle, views), ", ".join(f"{n} long" for n in names))
+    return plain.mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, mark long")
 
 
 def _turned(marks: np.ndarray, bits: int) -> np.ndarray:
@@ -250,54 +233,50 @@ def _rooted(marks: DataFrame, links: DataFrame) -> DataFrame:
     return marks.select("mark").join(roots, "mark", "left").select("mark", F.coalesce("root", "mark").alias("root"))
 
 
-def _view_links(each: DataFrame, view: int, budget: int, masks_from: int) -> DataFrame:
-    """Links of another view, told by the first view's marks."""
-    if not view:
-        return mark_links(each.select("mark").distinct(), budget, masks_from)
-    both = each.select("mark", F.col(_view(view)).alias("other")).distinct()
-    least = both.groupBy("other").agg(F.min("mark").alias("least"))
-    within = both.join(least, "other").where("mark <> least").select(F.col("mark").alias("a"), F.col("least").alias("b"))
-    found = mark_links(least.select(F.col("other").alias("mark")), budget, masks_from)
-    ends = [least.select(F.col("other").alias(e), F.col("least").alias(f"least_{e}")) for e in "ab"]
-    across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    return within.unionByName(across)
+def _classes_of(each: DataFrame, links: DataFrame) -> DataFrame:
+    """Per row of each(doc_id, text_key, mark, node): the columns of near_duplicates."""
+    names = each.groupBy("node").agg(F.min("doc_id").alias("low")).withColumnRenamed("node", "mark")
+    rooted = names.join(_rooted(names, links), "mark")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(lowest, "root").select(F.col("mark").alias("node"), "component_id", "root")
+    sizes = each.groupBy("mark").agg(F.count("*").alias("class_size"))
+    return each.join(named, "node").join(sizes, "mark").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        "class_size",
+        "root",
+        "text_key",
+    )
 
 
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle: int = SHINGLE,
+    shingle: int | None = None,
     budget: int = BUDGET,
     views: int = 1,
     masks_from: int = MASKS_FROM,
 ) -> DataFrame:
     """Per row: doc_id, fingerprint, component_id (least id of its component),
-    class_size (rows with the same fingerprint), root of the component, text_key. With several views two
-    texts link when any view does, which finds more of the looser copies."""
-    each = stored(fingerprints(docs, id_col, text_col, shingle, views), "fingerprints")
-    classes = each.groupBy("mark").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"))
-    links = _view_links(each, 0, budget, masks_from)
-    for view in range(1, views):
-        links = links.unionByName(_view_links(each, view, budget, masks_from))
-    rooted = classes.join(_rooted(classes, links), "mark")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("mark", "component_id", "class_size", "root")
-    return each.join(named, "mark").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        "class_size",
-        "root",
-        "text_key",
-    )
+    class_size (rows with the same fingerprint), root of the component, text_key.
+    One view links by the bits of 3-word shingles. With several, texts link whose
+    distinct 5-word shingles are alike (``near_copies``), and the fingerprint is of
+    those; a view gives five bands."""
+    if views > 1:
+        shingle = shingle or near_copies.SHINGLE
+        each = stored(near_copies.profiles(docs, id_col, text_col, shingle, BANDS * views), "profiles")
+        return _classes_of(each, near_copies.node_links(each, docs, text_col, shingle))
+    each = stored(fingerprints(docs, id_col, text_col, shingle or SHINGLE), "fingerprints").withColumn("node", F.col("mark"))
+    return _classes_of(each, mark_links(each.select("mark").distinct(), budget, masks_from))
 
 
 def one_of_each(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle: int = SHINGLE,
+    shingle: int | None = None,
     budget: int = BUDGET,
     views: int = 1,
 ) -> DataFrame:

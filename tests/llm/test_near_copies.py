@@ -1,0 +1,73 @@
+"""Near copies of the pipeline's stage against exact pairs of all texts."""
+
+import random
+from itertools import combinations
+
+import pytest
+
+import corpus_pipeline
+from copperbook.llm import near_copies as nc
+from copperbook.llm import simhash as sh
+
+
+def plain_set(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) or frozenset([tuple(words)])
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, words, places):
+    out = list(words)
+    for k in rng.sample(range(len(words)), places):
+        out[k] = f"x{rng.random()}"
+    return out
+
+
+def components_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in sh.near_duplicates(df, views=corpus_pipeline.VIEWS).collect()}
+
+
+def plain_components(rows):
+    sets = {d: plain_set(t) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in combinations(sorted(sets), 2):
+        if similarity(sets[a], sets[b]) >= 0.8:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    return {d: root(d) for d in sets}
+
+
+def test_pairs_from_0_8_on_are_found(spark):
+    rng = random.Random(1)
+    rows = []
+    for k in range(200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited(rng, words, 5 + k % 8)))]
+    wanted = plain_components(rows)
+    assert 50 < sum(d != c for d, c in wanted.items()) < 200
+    assert components_of(spark, rows) == wanted
+
+
+@pytest.mark.parametrize("size", [20, 150])
+def test_a_large_group_of_loose_copies(spark, monkeypatch, size):
+    monkeypatch.setattr(nc, "LOT", 8)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(edited(rng, base, rng.randrange(2, 6)))) for k in range(size)]
+    assert components_of(spark, rows) == plain_components(rows)
+
+
+def test_given_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert components_of(spark, rows) == plain_components(rows)
