@@ -71,3 +71,20 @@ def test_given_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert components_of(spark, rows) == plain_components(rows)
+
+
+def test_texts_that_share_only_a_repeated_line_stay_apart(spark):
+    rng = random.Random(3)
+    line = "\n" + " ".join(f"line{k}" for k in range(12))
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(40)]
+    rows = [(k, text + line * 40) for k, text in enumerate(own)]
+    assert components_of(spark, rows) == {k: k for k in range(40)}
+    kept = sh.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), views=corpus_pipeline.VIEWS)
+    assert kept.count() == 40
+
+
+def test_no_link_below_0_8(spark):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(edited(rng, base, 14))) for k in range(30)]
+    assert components_of(spark, rows) == plain_components(rows) == {k: k for k in range(30)}
