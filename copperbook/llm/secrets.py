@@ -1,9 +1,13 @@
 """Secret scans with a battery of randomness tests.
 
 Three patterns give the base spans: assignments, access keys, long hex runs. The
-battery adds spans of kind ``random``. A candidate is a whole run of at least
-``LEAST`` letters, digits and ``+/_=-`` with a digit in it. Its encoding is the
-smallest alphabet that holds it, and over that alphabet it must look random:
+battery adds spans of kind ``random``. A candidate has at least ``LEAST`` letters,
+digits and ``+/_-`` with a digit among them. A run of these ends at ``=``, which
+stays only as padding, so a name before it does not count. Where a run holds ``/``,
+``_`` or ``-``, each part between them is a candidate too, with its own encoding;
+of spans inside one another the outer one is reported. A run with ``=`` whose
+pieces are all too short is tested whole. The encoding is the smallest alphabet
+that holds a candidate, and over that alphabet it must look random:
 
 * chi-squared: the symbols' counts are no further from uniform than chance;
 * runs: upper and lower half of the alphabet alternate as chance has it;
@@ -44,6 +48,11 @@ FALSE_RATE = 0.01
 TOO_ODD = 3.5
 _RUN = "A-Za-z0-9+/_=-"
 CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z+/_=-]*[0-9])[{_RUN}]{{{LEAST},}}"
+_PADDING = rf"(?:=+(?![{_RUN}]))?"
+PIECE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}+{_PADDING}"
+#: Of a piece with a separator: what follows one, or stands before one.
+_PART = rf"(?=[A-Za-z+]*[0-9])[A-Za-z0-9+]{{{LEAST},}}+"
+PART = rf"(?<![A-Za-z0-9+])(?:(?<=[/_-]){_PART}{_PADDING}|{_PART}(?=[/_-]))"
 KINDS = ("assign", "access", "hex", "random")
 _BINS = 4000  # hundredths of a power of ten
 
@@ -200,8 +209,11 @@ def _verdict(c: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    found = F.filter(_located(text, CANDIDATE), lambda c: F.length(F.regexp_replace(c["value"], "=", "")) >= LEAST)
-    return _tested(found)
+    short = F.filter(
+        _located(text, CANDIDATE),
+        lambda c: (F.length(F.regexp_replace(c["value"], "=", "")) >= LEAST) & ~c["value"].rlike(PIECE),
+    )
+    return _tested(F.concat(_located(text, PIECE), _located(text, PART), short))
 
 
 def discovery_bin(docs: DataFrame, text_col: str = "text", false_rate: float = FALSE_RATE) -> int:
@@ -241,7 +253,11 @@ def _with_spans(docs: DataFrame, text: Column, least_bin: int) -> DataFrame:
     )
     fresh = F.filter(
         _listed(F.col("__random"), 3),
-        lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
+        lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        & ~F.exists(
+            "__random",
+            lambda o: (o["start"] <= r["start"]) & (r["end"] <= o["end"]) & (r["end"] - r["start"] < o["end"] - o["start"]),
+        ),
     )
     return based.withColumn("__all", F.sort_array(F.concat("__base", fresh)))
 

@@ -58,6 +58,35 @@ def test_random_runs_are_found_and_names_are_not(spark):
     assert all(found[1000 + k] == "" for k in range(len(names) * 10))
 
 
+def test_secrets_glued_to_names_and_paths_are_found_alone(spark):
+    rng = random.Random(6)
+    fronts = ["AWS_SECRET_ACCESS_KEY=", "DATABASE_CREDENTIAL_STRING=", "key=", "sk_live_", "/srv/data/keys/", "Client-Id-", "a=b="]
+    rows, wanted = [], {}
+    for k in range(210):
+        front, n = fronts[k % 7], rng.choice([28, 32, 40])
+        key = "".join(rng.choices(ALPHABET, k=n - 1)) + "7" + "=" * (k % 3)
+        rows.append((k, f"some é words {front}{key} more"))
+        wanted[k] = (13, 13 + len(front), 13 + len(front) + len(key))
+    rows += [(1000 + k, f"words {name} words") for k, name in enumerate(
+        ["MAXIMUM_NUMBER_OF_CONNECTIONS=configuration2value", "/usr/share/internationalization2data/files", "an-extraordinarilylongword1-name"] * 10)]
+    found = {r["doc_id"]: r["spans"] for r in sc.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = {k: [tuple(map(int, s.split(":")[1:])) for s in found[k].split(",") if s] for k in wanted}
+    assert sum(len(h) == 1 and a <= h[0][0] <= b and h[0][1] == end for k, (a, b, end) in wanted.items() for h in [hit[k]]) >= 200
+    assert all(hit[k][0][0] == b for k, (_, b, _) in wanted.items() if hit[k] and rows[k][1][b - 1] == "=" )
+    assert all(found[1000 + k] == "" for k in range(30))
+
+
+def test_short_hex_after_a_name_is_found_as_often_as_alone(spark):
+    rng = random.Random(7)
+    keys = ["".join(rng.choices("0123456789abcdef", k=28)) for _ in range(100)]
+    shares = []
+    for front in ("", "key=", "AWS_SECRET_ACCESS_KEY="):
+        rows = [(k, f"some words {front}{key} and more") for k, key in enumerate(keys)]
+        found = sc.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        shares.append(sum(bool(r["spans"]) for r in found))
+    assert shares[0] == shares[1] == shares[2] > 50
+
+
 def test_redaction(spark):
     key = "".join(random.Random(5).choices(ALPHABET, k=40))
     rows = [(1, None, 1), (2, "", 1), (3, "no secret here", 1), (4, f"é password='hunter2hunter2' then {'0f' * 20} end", 1), (None, "token: " + "ab12" * 10, 1)]
