@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from copperbook.llm import (
     chat,
     decontamination,
+    merkle_manifest,
     packing,
     quality_rules,
     secrets,
     sharding,
     simhash,
+    sorted_passes,
     suffix_dedup,
     token_file,
     toxicity,
+    whitening,
 )
 from copperbook.llm.common import table
 
@@ -65,6 +68,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_passes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_format": op2_chat_format,
@@ -76,9 +91,13 @@ QUERIES: dict[str, Query] = {
     "op8_token_file": op8_token_file,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sorted_passes": op12_sorted_passes,
+    "op13_feast_whitening": op13_feast_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op11_merkle_manifest": merkle_manifest.ORACLE,
 }
