@@ -52,6 +52,9 @@ MOST = 256
 TILE = 512
 #: Rows whose links are united before a star of each part leaves the task.
 LOT = 1 << 14
+#: Windows in a range of sorted rows at least: a window that spans the border of
+#: two ranges is not seen, so one pair in so many may miss a pass for it.
+RANGE = 64
 #: Two angles to a centre decide with this to spare.
 SLACK = 1e-9
 
@@ -60,7 +63,7 @@ def passes_for(vectors: int, cosine: float = COSINE, window: int = WINDOW) -> in
     """Enough that a pair at ``cosine`` misses all windows with ``MISSED``: its
     first bits must agree until about ``window`` vectors share them."""
     bits = max(1.0, math.log2(max(2, vectors) / window))
-    meet = (1 - math.acos(cosine) / math.pi) ** bits
+    meet = (1 - math.acos(cosine) / math.pi) ** bits * (1 - 1 / RANGE)
     return max(4, math.ceil(math.log(MISSED) / math.log(1 - meet)))
 
 
@@ -209,12 +212,15 @@ def _checked(cosine: float):
     return run
 
 
-def node_links(nodes: DataFrame, cosine: float, window: int, passes: int) -> DataFrame:
+def node_links(nodes: DataFrame, cosine: float, window: int, passes: int | None = None) -> DataFrame:
     """links(a, b) of nodes(node, v, size) that the passes find; all are at the cosine."""
+    held = nodes.count()
+    passes = passes or passes_for(held, cosine, window)
     codes = nodes.select("node", "v", "size").mapInArrow(
         _codes(passes, cosine), "turn int, size int, place long, node long, code binary, step double, off double"
     )
-    ranges = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(most, held * passes // (RANGE * window)))
     order = ["turn", "size", "place", "node"]
     found = codes.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     found = stored(found.mapInArrow(_windows(cosine, window), "a long, b long, is_open boolean").distinct(), "pass-links")
@@ -364,7 +370,7 @@ def near_duplicates(
         F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.min("v").alias("v"), F.min("size").alias("size")
     )
     nodes = stored(row_numbers(distinct, ["key"], "node"), "nodes").withColumn("node", F.col("node").cast("long"))
-    links = node_links(nodes, cosine, window, passes or passes_for(nodes.count(), cosine, window))
+    links = node_links(nodes, cosine, window, passes)
     found = components(links)
     roots = found.toDF("node", "root").unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     members = nodes.join(roots, "node").select("root", "node", "copies", "v")
