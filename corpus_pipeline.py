@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from copperbook.llm import decontamination, packing, secrets, simhash, toxicity
 from copperbook.llm.common import stored, table
 
-#: Views of the near-duplicate stage: five keys each, and links are confirmed.
-VIEWS = 6
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go."""
@@ -23,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.one_of_each(docs, views=VIEWS)
+    """One document of each group of linked fingerprints stays."""
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
