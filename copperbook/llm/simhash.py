@@ -30,10 +30,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copperbook.llm import near_copies
 from copperbook.llm.common import only, stored, texts, utf8
 from copperbook.llm.components import components
 
@@ -41,8 +40,6 @@ BITS = 64
 SEGMENTS = 16
 BUDGET = 3
 SHINGLE = 3
-#: Bands of near_copies a view.
-BANDS = 5
 #: From here on a key is settled by masks; both ways find the same links.
 MASKS_FROM = 1 << 16
 
@@ -66,11 +63,15 @@ def fingerprint(body: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(set_).tobytes(), "big")
 
 
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary"))))
+
+
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, bodies in texts(batches, 4 << 20):
             marks = np.array([fingerprint(b, shingle) for b in bodies], np.uint64)
-            kept = {"doc_id": pa.array(ids, pa.int64()), "text_key": pa.array(keys, pa.int64())}
+            kept = {"doc_id": pa.array(ids, pa.int64()), "text_key": pa.array(keys, pa.binary())}
             yield pa.record_batch({**kept, "mark": pa.array(marks.view(np.int64))})
 
     return run
@@ -79,14 +80,14 @@ def _fingerprints(shingle: int):
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """(doc_id, text_key, mark): a hash of the text, and the fingerprint as a signed long."""
+    """(doc_id, text_key, mark): 128 bits of the text, and the fingerprint as a signed long."""
     plain = only(docs, id_col, text_col).toDF("doc_id", "text")
     plain = plain.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
+        _text_key(F.col("text")).alias("text_key"),
         utf8("text").alias("body"),
     )
-    return plain.mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, mark long")
+    return plain.mapInArrow(_fingerprints(shingle), "doc_id long, text_key binary, mark long")
 
 
 def _turned(marks: np.ndarray, bits: int) -> np.ndarray:
@@ -233,58 +234,42 @@ def _rooted(marks: DataFrame, links: DataFrame) -> DataFrame:
     return marks.select("mark").join(roots, "mark", "left").select("mark", F.coalesce("root", "mark").alias("root"))
 
 
-def _classes_of(each: DataFrame, links: DataFrame) -> DataFrame:
-    """Per row of each(doc_id, text_key, mark, node): the columns of near_duplicates."""
-    names = each.groupBy("node").agg(F.min("doc_id").alias("low")).withColumnRenamed("node", "mark")
-    rooted = names.join(_rooted(names, links), "mark")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select(F.col("mark").alias("node"), "component_id", "root")
-    sizes = each.groupBy("mark").agg(F.count("*").alias("class_size"))
-    return each.join(named, "node").join(sizes, "mark").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        "class_size",
-        "root",
-        "text_key",
-    )
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle: int | None = None,
+    shingle: int = SHINGLE,
     budget: int = BUDGET,
-    views: int = 1,
     masks_from: int = MASKS_FROM,
 ) -> DataFrame:
     """Per row: doc_id, fingerprint, component_id (least id of its component),
-    class_size (rows with the same fingerprint), root of the component, text_key.
-    One view links by the bits of 3-word shingles. With several, texts link whose
-    distinct 5-word shingles are alike (``near_copies``), and the fingerprint is of
-    those; a view gives five bands."""
-    if views > 1:
-        shingle = shingle or near_copies.SHINGLE
-        each = stored(near_copies.profiles(docs, id_col, text_col, shingle, BANDS * views), "profiles")
-        return _classes_of(each, near_copies.node_links(each, docs, text_col, shingle))
-    each = stored(fingerprints(docs, id_col, text_col, shingle or SHINGLE), "fingerprints").withColumn("node", F.col("mark"))
-    return _classes_of(each, mark_links(each.select("mark").distinct(), budget, masks_from))
+    class_size (rows with the same fingerprint), root of the component, text_key."""
+    each = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    names = each.groupBy("mark").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"))
+    rooted = names.join(_rooted(names, mark_links(names, budget, masks_from)), "mark")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(lowest, "root").select("mark", "component_id", "root", "class_size")
+    return each.join(named, "mark").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        "class_size",
+        "root",
+        "text_key",
+    )
 
 
 def one_of_each(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle: int | None = None,
+    shingle: int = SHINGLE,
     budget: int = BUDGET,
-    views: int = 1,
 ) -> DataFrame:
     """The rows of ``docs`` less later members of a component. The row with the
     least id stays; among rows under that id, or where no row has an id, the one
     with the least hash of its text, once. Columns are as they were."""
-    text_key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    found = near_duplicates(docs, id_col, text_col, shingle, budget, views)
+    found = near_duplicates(docs, id_col, text_col, shingle, budget)
     stay = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy(F.col("doc_id").alias("__id"), "root")
@@ -292,7 +277,7 @@ def one_of_each(
         .select("__id", "__key")
         .distinct()
     )
-    keyed = docs.withColumn("__text", text_key)
+    keyed = docs.withColumn("__text", _text_key(F.col(f"`{text_col}`")))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
     kept = keyed.join(stay, same, "left_semi").dropDuplicates([id_col, "__text"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -93,26 +93,6 @@ def test_chains_never_miss_a_link():
         assert sh._linked(a, a ^ np.uint64(unlike), starts, 3).any()
 
 
-def test_views_link_more(spark):
-    rng = random.Random(7)
-    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
-    rows = [(0, " ".join(words))]
-    for k in range(1, 30):
-        changed = list(words)
-        for _ in range(6):
-            changed[rng.randrange(400)] = "changed"
-        rows.append((k, " ".join(changed)))
-    rows += [(100 + k, " ".join(rng.choices(words, k=200))) for k in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    one, four = (
-        {r["doc_id"]: r["component_id"] for r in sh.near_duplicates(df, views=v).collect()} for v in (1, 4)
-    )
-    assert sum(four[k] == 0 for k in range(30)) >= sum(one[k] == 0 for k in range(30))
-    assert all(four[100 + k] == 100 + k for k in range(20))
-    kept = {r["doc_id"] for r in sh.one_of_each(df, views=4).collect()}
-    assert kept == set(four.values())
-
-
 def test_odd_rows(spark):
     rows = [(None, "a b c", 1), (None, "a b c", 1), (1, None, 1), (2, "", 1), (3, " \n", 1), (4, "Q", 1), (4, "q", 1), (5, "other words here", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, mark int")
