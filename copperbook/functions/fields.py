@@ -81,15 +81,56 @@ def perform_times(times, start: Column, body) -> Column:
     return F.aggregate(rounds, start, lambda value, _: body(value))
 
 
-def perform_until(items: Column, test) -> Column:
-    """Elements a PERFORM UNTIL passes before ``test`` first holds."""
-    at = F.array_position(F.transform(items, test), True)
-    return F.when(at > 0, F.slice(items, F.lit(1), (at - 1).cast("int"))).otherwise(items)
+def first_index(items: Column, test, start=1) -> Column:
+    """Index, from 1, of the first element at or after ``start`` for which ``test``
+    holds, or null. Elements after it are not tested."""
+    size, begin = F.size(items), F.greatest(_col(start).cast("int"), F.lit(1))
+    places = F.when(begin <= size, F.sequence(begin, size)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(
+        places,
+        F.lit(None).cast("int"),
+        lambda found, i: F.when(found.isNotNull(), found).when(test(F.get(items, i - 1)), i),
+    )
 
 
-def search_table(items: Column, test) -> Column:
-    """SEARCH: first element for which ``test`` holds, or null (AT END)."""
-    return F.get(F.filter(items, test), F.lit(0))
+def perform_until(items: Column, test) -> Column:
+    """Elements a PERFORM UNTIL passes before ``test`` first holds."""
+    at = first_index(items, test)
+    return F.when(at.isNotNull(), F.slice(items, F.lit(1), at - 1)).otherwise(items)
+
+
+def search_table(items: Column, test, start=1) -> Column:
+    """SEARCH VARYING from ``start``: the first element for which ``test`` holds, or
+    null (AT END)."""
+    return F.get(items, first_index(items, test, start) - 1)
+
+
+def leading(items: Column, holds) -> Column:
+    """How many leading elements ``holds`` is true for, where it is true for those
+    before some place and for none after: by bisection."""
+    size = F.size(items)
+    steps = F.when(size > 0, F.sequence(F.lit(0), F.floor(F.log2(size)).cast("int"))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+    def halve(s, _):
+        middle = F.floor((s.low + s.high) / 2).cast("int")
+        here = (s.low < s.high) & holds(F.get(items, middle))
+        return F.struct(
+            F.when(here, middle + 1).otherwise(s.low).alias("low"),
+            F.when(here | (s.low >= s.high), s.high).otherwise(middle).alias("high"),
+        )
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda s: s.low)
+
+
+def search_all(items: Column, key, of=lambda x: x, descending: bool = False) -> Column:
+    """SEARCH ALL in a table sorted by ``of(element)``: the index, from 1, of the
+    first element with the key, or null (AT END). Takes some twenty steps for a
+    million elements."""
+    wanted = _col(key)
+    before = leading(items, lambda x: of(x) > wanted if descending else of(x) < wanted)
+    return F.when(of(F.get(items, before)) == wanted, before + 1)
 
 
 def json_generate(*fields) -> Column:

@@ -1,8 +1,11 @@
 """Registered keyed-table queries with their SQL equivalents."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from copperbook.operators import keyed as ky
+from copperbook.operators import ranged as rg
+from copperbook.session import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -232,3 +235,77 @@ def sql_merge(spark, d):
         F.lit("SUPPLIER").alias("c_name"), F.lit("NEW").alias("c_mktsegment"),
     )
     return ky.sql_merge(_customer(spark, d), source, "c_custkey")
+
+
+#: Records of a range in these queries: several ranges even in small tables.
+_PER_RANGE = 5_000
+
+
+@query(
+    "k6_browse_pages",
+    """WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem),
+s AS (SELECT count(*) AS before FROM lineitem WHERE l_orderkey < (SELECT max(l_orderkey) // 3 FROM lineitem))
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, 1 AS page, r - before AS place FROM l, s WHERE r BETWEEN before + 1 AND before + 400
+UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, 2, r - before - 400 FROM l, s WHERE r BETWEEN before + 401 AND before + 800
+UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, 3, before + 800 - r FROM l, s WHERE r BETWEEN before + 500 AND before + 799""",
+)
+def browse_pages(spark, d):
+    """STARTBR at a third of the orders; 400 records on, 400 more, then 300 back."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    path = scratch_path(spark, "lines-by-range")
+    lines = _table(spark, d, "lineitem", *keys, "l_quantity")
+    rg.write_ranges(lines, path, keys, _PER_RANGE)
+    third = lines.agg(F.floor(F.max("l_orderkey") / 3)).first()[0]
+    one, place = rg.read_next(spark, path, keys, rg.start_browse(third, -1, -1, -1), 400)
+    two, place = rg.read_next(spark, path, keys, place, 400)
+    three, _ = rg.read_next(spark, path, keys, place, 300, backward=True)
+
+    def numbered(page, n, backward=False):
+        order = [F.col(k).desc() if backward else F.col(k) for k in keys]
+        place = F.row_number().over(Window.orderBy(*order)).cast("bigint")  # of one page
+        return page.select(*keys, "l_quantity", F.lit(n).alias("page"), place.alias("place"))
+
+    return numbered(one, 1).unionByName(numbered(two, 2)).unionByName(numbered(three, 3, True))
+
+
+@query(
+    "k5_changes_by_range",
+    """WITH m AS (SELECT max(o_orderkey) AS top FROM orders),
+a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders, m WHERE NOT (o_orderstatus = 'F' AND o_orderkey < top // 4)),
+s AS (SELECT top - 5 + s_suppkey AS k, s_acctbal AS price FROM supplier, m),
+b AS (SELECT coalesce(k, o_orderkey) AS o_orderkey, CASE WHEN k IS NULL THEN o_orderstatus ELSE 'W' END AS o_orderstatus,
+CASE WHEN k IS NULL THEN o_totalprice ELSE price END AS o_totalprice FROM a FULL OUTER JOIN s ON k = o_orderkey),
+c AS (SELECT o_orderkey, CASE WHEN p_partkey IS NULL THEN o_orderstatus ELSE 'R' END AS o_orderstatus,
+coalesce(p_retailprice, o_totalprice) AS o_totalprice FROM b LEFT JOIN part ON p_partkey = o_orderkey),
+n AS (SELECT c_custkey * 2 AS k, c_acctbal AS price, c_nationkey % 3 AS kind FROM customer)
+SELECT coalesce(k, o_orderkey) AS o_orderkey, CASE WHEN k IS NULL THEN o_orderstatus ELSE 'C' END AS o_orderstatus,
+CASE WHEN k IS NULL THEN o_totalprice ELSE price END AS o_totalprice
+FROM c FULL OUTER JOIN n ON k = o_orderkey WHERE k IS NULL OR kind = 0 OR (kind = 1 AND o_orderkey IS NOT NULL)""",
+)
+def changes_by_range(spark, d):
+    """Rounds of DELETE, MERGE and REWRITE, and of a log of all three, which comes twice."""
+    keys, path = ["o_orderkey"], scratch_path(spark, "orders-by-range")
+    orders = _table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
+    rg.write_ranges(orders, path, keys, _PER_RANGE)
+    top = orders.agg(F.max("o_orderkey")).first()[0]
+    rg.delete_ranges(spark, path, orders.where((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") < top // 4)), keys)
+    fresh = _table(
+        spark, d, "supplier", (top - 5 + F.col("s_suppkey")).alias("o_orderkey"), F.lit("W").alias("o_orderstatus"),
+        F.col("s_acctbal").alias("o_totalprice"),
+    )
+    rg.merge_ranges(spark, path, fresh, keys)
+    prices = _table(
+        spark, d, "part", F.col("p_partkey").alias("o_orderkey"), F.lit("R").alias("o_orderstatus"),
+        F.col("p_retailprice").alias("o_totalprice"),
+    )
+    rg.rewrite_ranges(spark, path, prices, keys)
+    kind = F.col("c_nationkey") % 3
+    log = _table(
+        spark, d, "customer", (F.col("c_custkey") * 2).alias("o_orderkey"), F.lit("C").alias("o_orderstatus"),
+        F.col("c_acctbal").alias("o_totalprice"), F.lit(0).alias("seq"),
+        F.when(kind == 0, ky.WRITE).when(kind == 1, ky.REWRITE).otherwise(ky.DELETE).alias("op"),
+    )
+    for _ in range(2):
+        rg.change_ranges(spark, path, log, keys)
+    return rg.read_ranges(spark, path)

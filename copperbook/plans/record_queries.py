@@ -452,3 +452,29 @@ WHEN l_suppkey > 25 THEN l_suppkey END AS hit FROM lineitem""",
 def search_table(spark, d):
     packed = rc.occurs_pack(_packed(spark, d), "items", *[f"t_{c}" for c in _PACKED])
     return packed.select(*_LINE_KEY, fl.search_table(F.col("items"), lambda x: x > 25).alias("hit"))
+
+
+@query(
+    "r29_search_all",
+    """WITH t AS (SELECT l_orderkey, list({'k': l_partkey, 's': l_suppkey, 'n': l_linenumber} ORDER BY l_partkey, l_suppkey, l_linenumber) AS items
+FROM lineitem GROUP BY l_orderkey), p AS (SELECT *, items[(len(items) + 1) // 2].k + l_orderkey % 2 AS probe FROM t)
+SELECT l_orderkey, probe, list_position(list_transform(items, lambda x: x.k), probe) AS place,
+list_filter(items, lambda x: x.k = probe)[1].s AS supplier,
+list_filter(items[2:], lambda x: x.n > 2)[1].k AS later,
+len(list_filter(items, lambda x: x.k = probe)) = 0 AS at_end FROM p""",
+)
+def search_all(spark, d):
+    """SEARCH ALL by part in the lines of an order, and SEARCH VARYING from the second."""
+    lines = F.struct(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"))
+    orders = _table(spark, d, "lineitem", *_LINE_KEY).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(lines)).alias("items"))
+    middle = F.floor((F.size("items") + 1) / 2).cast("int")
+    probed = orders.withColumn("probe", fl.subscript(F.col("items"), middle).getField("k") + F.col("l_orderkey") % 2)
+    placed = probed.withColumn("place", fl.search_all(F.col("items"), F.col("probe"), lambda x: x.k))
+    return placed.select(
+        "l_orderkey",
+        "probe",
+        F.col("place").cast("bigint").alias("place"),
+        fl.subscript(F.col("items"), F.col("place")).getField("s").alias("supplier"),
+        fl.search_table(F.col("items"), lambda x: x.n > 2, 2).getField("k").alias("later"),
+        F.col("place").isNull().alias("at_end"),
+    )
