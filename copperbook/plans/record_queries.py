@@ -8,6 +8,7 @@ from copperbook.operators import ordered
 from copperbook.operators import records as rc
 from copperbook.session import scratch_path
 from copperbook.sources import records as rs
+from copperbook.sources import varying as vr
 
 QUERIES = {}
 ORACLES = {}
@@ -478,3 +479,53 @@ def search_all(spark, d):
         fl.search_table(F.col("items"), lambda x: x.n > 2, 2).getField("k").alias("later"),
         F.col("place").isNull().alias("at_end"),
     )
+
+
+#: An order: its lines, each with its marks, and behind them two fields more.
+_VARYING_ORDER = (
+    vr.item("l_orderkey", 10, "bigint"),
+    vr.item("line_count", 1, "int"),
+    vr.group(
+        "lines",
+        vr.item("part", 8, "bigint"),
+        vr.item("mark_count", 1, "int"),
+        vr.item("marks", 2, "string", most=4, depending="mark_count"),
+        vr.item("quantity", 4, "decimal(4,1)", True),
+        most=7,
+        least=1,
+        depending="line_count",
+    ),
+    vr.item("pieces", 7, "decimal(7,1)"),
+    vr.item("closing", 12, "string"),
+)
+
+
+@query(
+    "r22_varying_records",
+    """WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS DECIMAL(4,1)) AS quantity, l_returnflag,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS place FROM lineitem),
+k AS (SELECT * FROM l WHERE place <= 7), o AS (SELECT l_orderkey, count(*) AS line_count, CAST(sum(quantity) AS DECIMAL(7,1)) AS pieces FROM k GROUP BY l_orderkey)
+SELECT k.l_orderkey, o.line_count, k.place, k.l_partkey AS part, k.l_partkey % 5 AS mark_count, repeat(k.l_returnflag || k.l_linenumber % 10, CAST(k.l_partkey % 5 AS INT)) AS marks,
+k.quantity, o.pieces, 'ORDER ' || o.line_count || ' END' AS closing FROM k JOIN o ON k.l_orderkey = o.l_orderkey""",
+)
+def varying_records(spark, d):
+    """Orders of one to seven lines with nought to four marks each: written, read, and told apart."""
+    lines = _table(spark, d, "lineitem", *_LINE_KEY, F.col("l_quantity").cast("decimal(4,1)").alias("quantity"), "l_returnflag")
+    marks = (F.col("l_partkey") % 5).cast("int")
+    mark = F.concat("l_returnflag", (F.col("l_linenumber") % 10).cast("string"))
+    line = F.struct(
+        F.struct(*_LINE_KEY[1:]).alias("at"), F.col("l_partkey").alias("part"), marks.alias("mark_count"),
+        F.array_repeat(mark, marks).alias("marks"), "quantity",
+    )
+    orders = lines.groupBy("l_orderkey").agg(F.slice(F.sort_array(F.collect_list(line)), 1, 7).alias("lines"))
+    total = F.aggregate("lines", F.lit(0).cast("decimal(7,1)"), lambda s, x: (s + x.quantity).cast("decimal(7,1)"))
+    made = orders.withColumn("line_count", F.size("lines")).withColumn("pieces", total)
+    made = made.withColumn("closing", F.concat(F.lit("ORDER "), F.col("line_count").cast("string"), F.lit(" END")))
+    path = scratch_path(spark, "varying-records")
+    vr.write_varying(made, path, _VARYING_ORDER)
+    back = rc.occurs_explode(vr.read_varying(spark, path, _VARYING_ORDER), "lines", "place")
+    return back.select(
+        "l_orderkey", F.col("line_count").cast("bigint").alias("line_count"), F.col("place").cast("bigint").alias("place"),
+        "lines.part", F.col("lines.mark_count").cast("bigint").alias("mark_count"),
+        F.array_join("lines.marks", "").alias("marks"), "lines.quantity", "pieces", "closing",
+    )

@@ -92,7 +92,7 @@ def layout_of(items: list[dict]) -> list[Field]:
     return out
 
 
-def _element(field: Field, text: Column) -> Column:
+def element_value(field: Field, text: Column) -> Column:
     """The value of the characters of one element."""
     if field.is_text:
         return F.rtrim(text)
@@ -113,7 +113,7 @@ def _element(field: Field, text: Column) -> Column:
 
 def _read(field: Field) -> Column:
     def at(n: int) -> Column:
-        return _element(field, F.substring("value", field.start + n * field.length, field.length))
+        return element_value(field, F.substring("value", field.start + n * field.length, field.length))
 
     return F.array(*[at(n) for n in range(field.occurs)]) if field.occurs else at(0)
 
@@ -123,7 +123,7 @@ def read_records(spark: SparkSession, path: str, fields: list[Field]) -> DataFra
     return spark.read.text(path).select(*[_read(f).alias(f.name) for f in fields])
 
 
-def _shown(field: Field, value: Column) -> Column:
+def element_text(field: Field, value: Column) -> Column:
     """The characters of one element; a null is blank."""
     blank = F.lit(" " * field.length)
     if field.is_text:
@@ -143,8 +143,8 @@ def _shown(field: Field, value: Column) -> Column:
 def _write(field: Field) -> Column:
     value = F.col(field.name)
     if not field.occurs:
-        return _shown(field, value)
-    return F.concat(*[_shown(field, F.get(value, F.lit(n))) for n in range(field.occurs)])
+        return element_text(field, value)
+    return F.concat(*[element_text(field, F.get(value, F.lit(n))) for n in range(field.occurs)])
 
 
 def record_text(df: DataFrame, fields: list[Field]) -> DataFrame:
@@ -154,8 +154,13 @@ def record_text(df: DataFrame, fields: list[Field]) -> DataFrame:
     return df.select(F.concat(*[_write(f) for f in places]).alias("value"))
 
 
-def write_records(df: DataFrame, path: str, fields: list[Field], mode: str = "OUTPUT") -> None:
+def write_text(lines: DataFrame, path: str, mode: str) -> None:
     """OUTPUT replaces what is there; EXTEND and I-O add to it."""
     if mode not in _WRITE_MODES:
         raise ValueError(f"a file open for {mode} takes no records")
-    record_text(df, fields).write.mode(_WRITE_MODES[mode]).text(path)
+    lines.write.mode(_WRITE_MODES[mode]).text(path)
+
+
+def write_records(df: DataFrame, path: str, fields: list[Field], mode: str = "OUTPUT") -> None:
+    """Records of one length."""
+    write_text(record_text(df, fields), path, mode)
