@@ -423,6 +423,7 @@ WHERE regexp_matches(upper(sentence), '^COPY\\s+\\S')) GROUP BY path"""),
     "e5_clean_fixed": _q(_LINES, "SELECT path, line_no, kind, content FROM kept"),
     "e6_clean_free": _q(_LINES, "SELECT path, row_number() OVER (PARTITION BY path ORDER BY n) AS line_no, content FROM free"),
     "e7_merge_continuations": _q(_LINES, "SELECT path, line_no, content FROM lines"),
+    "e8_tag_long_files": _q(_TAGS, "SELECT path, line_no, division, data_section, content FROM tagged"),
     "e8_tag_structure": _q(_TAGS, "SELECT path, line_no, division, data_section, content FROM tagged"),
     "e9_data_items": _q(_ITEMS, """SELECT path, item_no, section, fd, level, name, picture, usage, value, occurs, occurs_depending,
 redefines, is_filler, is_88 FROM items"""),

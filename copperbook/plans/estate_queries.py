@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from copperbook.functions.text import camel_case, pascal_case
 from copperbook.operators import items as it
+from copperbook.operators import long_sources as lg
 from copperbook.operators import outline as ol
 from copperbook.operators import statements as sm
 from copperbook.operators import summaries as su
@@ -29,6 +30,14 @@ def read_sources(spark, d):
     return files.read_sources(spark, estate_files(spark, d), (".txt",)).select("rel_dir", "text")
 
 
+def tag_long_files(spark, d):
+    """The files of the estate read by blocks of lines, as files of any length are."""
+    lines = lg.long_lines(spark, estate_files(spark, d), (".txt",), above=0)
+    tagged = lg.tag_long_lines(lg.clean_long_lines(lines))
+    program = F.url_decode(F.url_decode(F.regexp_extract("path", "program=([^/]+)/", 1)))
+    return tagged.select(program.alias("path"), "line_no", "division", "data_section", "content")
+
+
 def rel_dir(spark, d):
     return files.with_rel_dir(estate(spark, d), "estate").groupBy("rel_dir").agg(F.count("*").alias("files"))
 
@@ -135,6 +144,7 @@ QUERIES = {
     "e5_clean_fixed": lambda s, d: ol.clean_fixed(estate(s, d)),
     "e6_clean_free": lambda s, d: ol.clean_lines(estate(s, d), "free"),
     "e7_merge_continuations": lambda s, d: ol.clean_lines(estate(s, d)),
+    "e8_tag_long_files": tag_long_files,
     "e8_tag_structure": lambda s, d: ol.tagged_lines(_outline(s, d)),
     "e9_data_items": data_items,
     "e10_conditions": conditions,

@@ -529,3 +529,42 @@ def varying_records(spark, d):
         "lines.part", F.col("lines.mark_count").cast("bigint").alias("mark_count"),
         F.array_join("lines.marks", "").alias("marks"), "lines.quantity", "pieces", "closing",
     )
+
+
+@query(
+    "r15_balance_resets",
+    """WITH s AS (SELECT event_id, user_id, ts, event_type, CAST(value AS DECIMAL(18,2)) AS v,
+sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM events)
+SELECT event_id, user_id, CAST(sum(v) OVER w AS DECIMAL(18,2)) AS balance, max(v) OVER w AS highest, min(v) OVER w AS lowest,
+last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS last_click,
+first_value(event_type) OVER w AS opened_by, count(*) OVER w AS events FROM s
+WINDOW w AS (PARTITION BY user_id, segment ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def balance_resets(spark, d):
+    """A balance per user that begins anew with each purchase, and what goes with it."""
+    events = _table(spark, d, "events", "event_id", "user_id", "ts", "event_type", F.col("value").cast("decimal(18,2)").alias("v"))
+    states = {
+        "balance": (ordered.TOTAL, F.col("v")),
+        "highest": (ordered.MOST, F.col("v")),
+        "lowest": (ordered.LEAST, F.col("v")),
+        "last_click": (ordered.LAST, F.when(F.col("event_type") == "click", F.col("event_id"))),
+        "opened_by": (ordered.FIRST, F.col("event_type")),
+        "events": (ordered.TOTAL, F.lit(1).cast("bigint")),
+    }
+    found = ordered.running_state(events, ["ts", "event_id"], states, F.col("event_type") == "purchase", ("user_id",))
+    return found.select("event_id", "user_id", F.col("balance").cast("decimal(18,2)").alias("balance"), *list(states)[1:])
+
+
+@query(
+    "r15_perform_until",
+    """WITH s AS (SELECT event_id, user_id, ts, sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM events),
+t AS (SELECT *, coalesce(max(CASE WHEN total > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s)
+SELECT event_id, user_id, CAST(total AS DECIMAL(18,2)) AS total FROM t WHERE done = 0""",
+)
+def perform_until(spark, d):
+    """The events of a user up to the one with which their total passes a limit."""
+    events = _table(spark, d, "events", "event_id", "user_id", "ts", F.col("value").cast("decimal(18,2)").alias("v"))
+    order = ["ts", "event_id"]
+    summed = ordered.running_state(events, order, {"total": (ordered.TOTAL, F.col("v"))}, None, ("user_id",))
+    found = ordered.rows_until(summed, order, F.col("total") > 300, ("user_id",), test_after=True)
+    return found.select("event_id", "user_id", F.col("total").cast("decimal(18,2)").alias("total"))

@@ -71,7 +71,7 @@ def read_sources(
 
     Bytes that do not decode become replacement characters. A file is one row,
     so its size is bounded by spark.sql.sources.binaryFile.maxLength; larger
-    ones are listed by ``unread_sources`` and not opened here.
+    ones are listed by ``unread_sources`` and read by ``long_sources.long_lines``.
     """
     return decoded_sources(spark, _found(spark, root, extensions), root, extensions, encoding)
 
@@ -94,6 +94,29 @@ def unread_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] =
     )
 
 
+def decoded_lines(
+    spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None, encoding: str = "utf-8", above: int | None = None
+) -> DataFrame:
+    """path, block, at, raw: the lines of the files longer than ``above`` bytes, in
+    blocks as Spark cuts them; ``block`` is the first byte of one, and ``at`` rises
+    with the lines in it."""
+    extensions = extensions or SOURCE_EXTENSIONS
+    found = _found(spark, root, extensions).where(F.col("length") > (size_limit(spark) if above is None else above))
+    paths = [r.path for r in found.select("path").collect()]  # only the long ones
+    if not paths:
+        return spark.createDataFrame([], "path string, block bigint, at bigint, raw string")
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    with _lenient_decoding(spark):
+        read = spark.read.text(paths).select(
+            F.regexp_replace(file, "^file:/+", "file:/").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"),
+            F.decode(F.col("value").cast("binary"), encoding).alias("raw"),
+        )
+        read.schema
+    return read
+
+
 def write_sources(sources: DataFrame, root: str) -> None:
     """Write each text to a file of its own, in a folder named for its path.
 
