@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from copperbook.functions.fields import first_index, leading
 from copperbook.functions.arithmetic import expression, quotient, store
 from copperbook.functions.conditions import first_value
 from copperbook.vocabulary import FIGURATIVE
@@ -192,3 +193,61 @@ def merge_records(dfs: list[DataFrame], *keys) -> DataFrame:
     for other in dfs[1:]:
         merged = merged.unionByName(other)
     return merged.orderBy(*keys)
+
+
+def _code(ends: Column, value: Column) -> Column:
+    """Place of a value among sorted ends: 2i + 1 at the i-th, 2i just below it, and
+    -1 for a null."""
+    below = leading(ends, lambda x: x < value)
+    at_end = F.coalesce(F.get(ends, below) == value, F.lit(False))
+    return F.when(value.isNull(), -1).otherwise(2 * below + at_end.cast("int"))
+
+
+def evaluate_ranges(df: DataFrame, subjects: list[str], whens: DataFrame, result: str, other=None) -> DataFrame:
+    """EVALUATE s1 ALSO s2 ...: WHEN low THRU high ALSO low THRU high ...
+
+    ``whens`` has a row for each WHEN: place, low_1, high_1, low_2, high_2, ..., then.
+    The first in the order of ``place`` wins that holds for all subjects. A null low
+    or high leaves that side open; both null are ANY, which alone holds for a null.
+
+    The ends of the first subject's ranges cut its values into points and gaps; each
+    row finds its own by bisection, and joins the WHENs that cover it by equality.
+    With one subject a point or gap keeps only the WHEN that wins there; with more
+    it keeps the list of those that cover it, so many wide ranges of a first
+    subject make long lists: name the subject with the narrow ranges first.
+    """
+    kinds = [df.schema[s].dataType for s in subjects]
+    bounds = [(F.col(f"low_{i}").cast(k), F.col(f"high_{i}").cast(k)) for i, k in enumerate(kinds, 1)]
+    named = [c for i, (low, high) in enumerate(bounds, 1) for c in (low.alias(f"low_{i}"), high.alias(f"high_{i}"))]
+    table = whens.select("place", *named, "then")
+    ends = (
+        table.select(F.explode(F.array("low_1", "high_1")).alias("end"))
+        .where("end IS NOT NULL")
+        .agg(F.sort_array(F.collect_set("end")).alias("ends"))
+        .scalar()
+    )
+    placed = table.withColumn("ends", ends)
+    low = F.when(F.col("low_1").isNotNull(), _code(F.col("ends"), F.col("low_1"))).when(F.col("high_1").isNull(), -1).otherwise(0)
+    high = F.when(F.col("high_1").isNotNull(), _code(F.col("ends"), F.col("high_1"))).otherwise(2 * F.size("ends"))
+    covered = placed.select("*", low.alias("from_"), high.alias("to_")).where("from_ <= to_")
+    covered = covered.withColumn("__code", F.explode(F.sequence("from_", "to_")))
+    rest = [f"{side}_{i}" for i in range(2, len(subjects) + 1) for side in ("low", "high")]
+    if rest:
+        found = F.sort_array(F.collect_list(F.struct("place", *rest, "then")))
+    else:
+        found = F.array(F.min_by(F.struct("then"), F.col("place")))
+    lists = covered.groupBy("__code").agg(found.alias("__whens"))
+
+    def holds(when: Column) -> Column:
+        out = F.lit(True)
+        for i, subject in enumerate(subjects[1:], 2):
+            low, high, value = when.getField(f"low_{i}"), when.getField(f"high_{i}"), F.col(f"`{subject}`")
+            inside = (low.isNull() | (value >= low)) & (high.isNull() | (value <= high))
+            out = out & ((low.isNull() & high.isNull()) | F.coalesce(inside, F.lit(False)))
+        return out
+
+    coded = df.withColumn("__ends", ends).withColumn("__code", _code(F.col("__ends"), F.col(f"`{subjects[0]}`")))
+    joined = coded.join(lists, "__code", "left")
+    at = first_index(F.coalesce("__whens", F.array().cast(lists.schema["__whens"].dataType)), holds)
+    value = F.when(at.isNotNull(), F.get("__whens", at - 1).getField("then")).otherwise(F.lit(other))
+    return joined.withColumn(result, value).drop("__code", "__ends", "__whens")

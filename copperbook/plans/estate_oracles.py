@@ -542,6 +542,13 @@ GROUP BY path, stmt_type"""),
     ) + " FROM statements GROUP BY path"),
     "e38_entry_paragraph": _q(_STATEMENTS, """SELECT path, arg_min(paragraph, paragraph_no + CASE WHEN section = '' THEN 0 ELSE 1000000 END) AS paragraph
 FROM paragraphs GROUP BY path"""),
+    "e39_diff_items": _q(_ITEMS + """,
+theirs AS (SELECT i.* FROM items i JOIN (SELECT DISTINCT path FROM tagged WHERE content = 'AUTHOR. TEAM-4.') t ON i.path = t.path)""",
+        """SELECT path, 'changed' AS change, name, item_no AS place_a, 'usage' AS field, usage AS value_a, 'COMP' AS value_b
+FROM theirs WHERE regexp_matches(clauses, 'V99 COMP-3')
+UNION ALL SELECT path, 'removed', name, item_no, NULL, NULL, NULL FROM theirs WHERE name IN ('AUDIT-REC', 'WS-TITLE')
+UNION ALL SELECT path, 'added', 'WS-HEADING', NULL, NULL, NULL, NULL FROM theirs WHERE name = 'WS-TITLE'
+UNION ALL SELECT path, 'moved', name, item_no, NULL, NULL, NULL FROM theirs WHERE name = 'PR-KEY'"""),
     "e39_diff_estates": _q(_ITEMS, """SELECT path, item_no, name, picture, CASE side WHEN 'a' THEN usage ELSE 'COMP' END AS usage, side
 FROM items, (VALUES ('a'), ('b')) AS v(side) WHERE regexp_matches(clauses, 'V99 COMP-3')"""),
 }

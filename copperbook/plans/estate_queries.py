@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copperbook.functions.text import camel_case, pascal_case
+from copperbook.operators import differences as df
 from copperbook.operators import items as it
 from copperbook.operators import long_sources as lg
 from copperbook.operators import outline as ol
@@ -128,7 +129,27 @@ def diff_estates(spark, d):
     def items_of(sources):
         return it.data_items(ol.outline(sources)).select("path", "item_no", "name", "picture", "usage")
 
-    return su.diff_estates(items_of(before), items_of(after))
+    was, now = df.changed_sources(before, after)
+    return su.diff_estates(items_of(was), items_of(now))
+
+
+def diff_items(spark, d):
+    """The same change, an item taken out, one renamed and two that change places, in
+    the programs of one team."""
+    before = estate(spark, d).select("path", "text")
+    edits = [
+        ("V99 COMP-3", "V99 COMP"),
+        ("       01 AUDIT-REC PIC X(80).", "      * taken out"),
+        ("01 WS-TITLE", "01 WS-HEADING"),
+    ]
+    edited = F.col("text")
+    for old, new in edits:
+        edited = F.replace(edited, F.lit(old), F.lit(new))
+    edited = F.regexp_replace(edited, r"(05 PR-KEY PIC \S+)(\s+)(05 PR-NAME PIC \S+)", "$3$2$1")
+    theirs = F.col("text").contains("AUTHOR. TEAM-4.")
+    after = before.select("path", F.when(theirs, edited).otherwise(F.col("text")).alias("text"))
+    found = df.diff_items(before, after)
+    return found.select("path", "change", "name", "place_a", "field", "value_a", "value_b")
 
 
 def verb_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -183,4 +204,5 @@ QUERIES = {
     "e37_verb_profile": lambda s, d: su.verb_profile(_statements(s, d)),
     "e38_entry_paragraph": lambda s, d: su.entry_paragraph(_outline(s, d)),
     "e39_diff_estates": diff_estates,
+    "e39_diff_items": diff_items,
 }

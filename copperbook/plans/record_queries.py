@@ -568,3 +568,23 @@ def perform_until(spark, d):
     summed = ordered.running_state(events, order, {"total": (ordered.TOTAL, F.col("v"))}, None, ("user_id",))
     found = ordered.rows_until(summed, order, F.col("total") > 300, ("user_id",), test_after=True)
     return found.select("event_id", "user_id", F.col("total").cast("decimal(18,2)").alias("total"))
+
+
+@query(
+    "r9_evaluate_ranges",
+    """WITH w AS (SELECT p_partkey AS place, p_retailprice * 200 AS lo, p_retailprice * 200 + p_size * 40 AS hi,
+p_size % 12 AS lo2, p_size % 12 + 4 AS hi2, p_brand AS rate FROM part)
+SELECT o_orderkey, coalesce(arg_min(rate, place), 'none') AS rate FROM orders
+LEFT JOIN w ON o_totalprice BETWEEN lo AND hi AND month(o_orderdate) BETWEEN lo2 AND hi2 GROUP BY o_orderkey""",
+)
+def evaluate_ranges(spark, d):
+    """The rate of an order: one WHEN per part, a band of prices ALSO some months."""
+    orders = _table(spark, d, "orders", "o_orderkey", "o_totalprice", F.month("o_orderdate").alias("month"))
+    low = F.col("p_retailprice") * 200
+    months = F.col("p_size") % 12
+    whens = _table(
+        spark, d, "part", F.col("p_partkey").alias("place"), low.alias("low_1"), (low + F.col("p_size") * 40).alias("high_1"),
+        months.alias("low_2"), (months + 4).alias("high_2"), F.col("p_brand").alias("then"),
+    )
+    found = rc.evaluate_ranges(orders, ["o_totalprice", "month"], whens, "rate", "none")
+    return found.select("o_orderkey", "rate")
