@@ -73,10 +73,11 @@ def read_sources(
     so its size is bounded by spark.sql.sources.binaryFile.maxLength; larger
     ones are listed by ``unread_sources`` and read by ``long_sources.long_lines``.
     """
-    return decoded_sources(spark, _found(spark, root, extensions), root, extensions, encoding)
+    return decoded_sources(spark, found_files(spark, root, extensions), root, extensions, encoding)
 
 
-def _found(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
+def found_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
+    """The rows of the binary file source; contents are read only where asked for."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -88,7 +89,7 @@ def _found(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataF
 def unread_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOURCE_EXTENSIONS) -> DataFrame:
     """path, length, status of the files ``read_sources`` passes over for their size."""
     return (
-        _found(spark, root, extensions)
+        found_files(spark, root, extensions)
         .where(F.col("length") > size_limit(spark))
         .select("path", "length", F.lit("too large").alias("status"))
     )
@@ -101,7 +102,7 @@ def decoded_lines(
     blocks as Spark cuts them; ``block`` is the first byte of one, and ``at`` rises
     with the lines in it."""
     extensions = extensions or SOURCE_EXTENSIONS
-    found = _found(spark, root, extensions).where(F.col("length") > (size_limit(spark) if above is None else above))
+    found = found_files(spark, root, extensions).where(F.col("length") > (size_limit(spark) if above is None else above))
     paths = [r.path for r in found.select("path").collect()]  # only the long ones
     if not paths:
         return spark.createDataFrame([], "path string, block bigint, at bigint, raw string")

@@ -3,7 +3,7 @@
 Each batch adds one row for every key it touches, so a batch costs what it
 holds, whatever the size of the table. Reading applies the batches to the base.
 ``compact`` writes the result as a new base with a mark of the last batch in it;
-from then on only later batches are read.
+from then on only later batches are read, and ``vacuum`` empties the others.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +23,13 @@ def start_changes(log: DataFrame, root: str, key: str, checkpoint: str, seq: str
     takes later batches as later changes.
     """
 
+    spark, fields = log.sparkSession, [c for c in log.columns if c not in (key, seq, op)]
+    # so that the table can be read before its first batch and its first base
+    nothing = change_summary(spark.createDataFrame([], log.schema), key, fields, seq, op)
+    nothing.write.mode("ignore").parquet(f"{root}/changes/batch=-1")
+    spark.createDataFrame([], _MARK).write.mode("ignore").parquet(f"{root}/bases")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        fields = [c for c in batch.columns if c not in (key, seq, op)]
         summary = change_summary(batch, key, fields, seq, op)
         summary.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
 
@@ -38,18 +43,11 @@ def start_changes(log: DataFrame, root: str, key: str, checkpoint: str, seq: str
 
 def _newest_base(spark: SparkSession, root: str) -> tuple[str, int] | None:
     """Target and last batch of the newest mark."""
-    marks = spark.read.schema(_MARK).option("pathGlobFilter", "*.parquet").parquet(_mark_folder(spark, root))
+    marks = spark.read.schema(_MARK).parquet(f"{root}/bases")
     row = marks.agg(F.max(F.struct("last_batch", "target")).alias("m")).first()["m"]
     return (row["target"], row["last_batch"]) if row else None
 
 
-def _mark_folder(spark: SparkSession, root: str) -> str:
-    """The folder of marks; made when it is not there, so that it can be read."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/bases")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
-    return f"{root}/bases"
-
-
 def changes_after(spark: SparkSession, root: str, batch: int) -> DataFrame:
     """The change rows of batches after one; folders of others are not read."""
     every = spark.read.option("basePath", f"{root}/changes").parquet(f"{root}/changes")
@@ -83,3 +81,17 @@ def compact(spark: SparkSession, base: DataFrame, root: str, key: str, target: s
         "append"
     ).parquet(f"{root}/bases")
     return spark.read.parquet(target)
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Empty the batches that the newest base holds, and give their number. Run it
+    while nobody reads the table by an older base."""
+    mark = _newest_base(spark, root)
+    if not mark:
+        return 0
+    every = spark.read.option("basePath", f"{root}/changes").parquet(f"{root}/changes")
+    held = every.where((F.col("batch") >= 0) & (F.col("batch") <= mark[1]))
+    done = [r[0] for r in held.select("batch").distinct().collect()]  # one per batch since the last time
+    for batch in done:
+        every.drop("batch").limit(0).write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
+    return len(done)
