@@ -22,7 +22,8 @@ table holds the share of false discoveries at ``FALSE_RATE``: the p-values go
 into a histogram of bounded size, and one number comes back.
 
 Everything is DataFrame functions over one row; only the histogram is shuffled.
-Places are found by setting a mark around each match and splitting there.
+Places are found by setting a mark around each match and splitting there. Texts
+are searched once and take time in proportion to their length and matches.
 
 Rows: null and empty texts have no spans; ties go by start, then kind as listed;
 repeated rows are each reported; long texts are read whole; empty tables give
@@ -34,7 +35,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copperbook.llm.common import only
+from copperbook.functions.folds import running
+from copperbook.functions.text import let
+from copperbook.llm.common import only, stored
 
 #: Fixed patterns of the base; the first is filtered by the length of its value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -77,23 +80,19 @@ def _switch_rate(alphabet: str) -> float:
 def _located(text: Column, pattern: str) -> Column:
     """Matches of a pattern, left to right: structs of start, end and value, in
     code points. The mark is a control character that no pattern holds; where
-    the text has it, another such character stands in."""
+    the text has it, another such character stands in. Takes time in proportion to
+    the text, however many matches it has."""
     marked = F.regexp_replace(F.translate(text, "\x01", "\x02"), pattern, "\x01$0\x01")
-    pieces = F.split(marked, "\x01")
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-    def step(state, piece):
-        end = state["at"] + F.length(piece)
-        one = F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("value"))
-        return F.struct(
-            end.alias("at"),
-            (~state["inside"]).alias("inside"),
-            F.when(state["inside"], F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"),
-        )
+    kind = "struct<start:int,end:int,value:string>"
+
+    def step(at, piece):
+        end = at + F.length(piece)
+        return F.struct(end.alias("state"), F.struct(at.alias("start"), end.alias("end"), piece.alias("value")).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("found"))
-    walked = F.aggregate(pieces, start, step, lambda s: s["found"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    # bound once, since its blocks are taken from it one by one
+    walked = let(F.split(marked, "\x01"), lambda pieces: running(pieces, F.lit(0), step, kind))
+    inside = F.filter(walked, lambda _, i: i % 2 == 1)
+    return F.when(text.rlike(pattern), inside).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _assignments(text: Column) -> Column:
@@ -216,12 +215,39 @@ def _candidates(text: Column) -> Column:
     return _tested(F.concat(_located(text, PIECE), _located(text, PART), short))
 
 
-def discovery_bin(docs: DataFrame, text_col: str = "text", false_rate: float = FALSE_RATE) -> int:
-    """Least bin of a p-value that is a discovery, over all rows: the largest
-    rank whose p-value is below its share of the rate."""
-    found = only(docs, text_col).toDF("text").select(F.explode(_candidates(F.coalesce("text", F.lit("")))).alias("c"))
-    counts = dict(found.groupBy("c.bin").count().collect())  # at most a row a bin
-    total, rank, least = sum(counts.values()), 0, _BINS + 1
+def _listed(spans: Column, kind: int) -> Column:
+    return F.transform(
+        spans, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
+    )
+
+
+def _searched(docs: DataFrame, text: Column) -> DataFrame:
+    """Add n_ of each base kind, __base, its sorted structs of start, kind and end,
+    __random, the candidates that pass the battery, and __tested, how many were tested."""
+    found = docs.withColumns(
+        {"__assign": _assignments(text), "__access": _located(text, ACCESS), "__hex": _located(text, HEX), "__tests": _candidates(text)}
+    )
+    passed = F.transform(
+        F.filter("__tests", lambda c: c["random"]), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["bin"].alias("bin"))
+    )
+    return found.withColumns(
+        {f"__n_{k}": F.size(f"__{k}").cast("long") for k in KINDS[:3]}
+        | {
+            "__base": F.sort_array(F.concat(*[_listed(F.col(f"__{k}"), n) for n, k in enumerate(KINDS[:3])])),
+            "__random": passed,
+            "__tested": F.size("__tests"),
+        }
+    ).drop("__assign", "__access", "__hex", "__tests")
+
+
+def discovery_bin(searched: DataFrame, false_rate: float = FALSE_RATE) -> int:
+    """Least bin of a p-value that is a discovery, over all rows: the largest rank
+    whose p-value is below its share of the rate. What fails the battery is no
+    discovery; it counts among the tests and takes no rank."""
+    total = searched.agg(F.sum("__tested")).first()[0] or 0
+    bins = searched.select(F.explode("__random.bin").alias("bin"))
+    counts = dict(bins.groupBy("bin").count().collect())  # at most a row a bin
+    rank, least = 0, _BINS + 1
     for bin_ in sorted(counts, reverse=True):
         rank += counts[bin_]
         if 10 ** (-bin_ / 100) <= false_rate * rank / total:
@@ -229,37 +255,49 @@ def discovery_bin(docs: DataFrame, text_col: str = "text", false_rate: float = F
     return least
 
 
-def _spans(text: Column, least_bin: int) -> list[Column]:
-    """Base spans per kind and the added ones, not yet freed of overlaps."""
-    return [
-        _assignments(text),
-        _located(text, ACCESS),
-        _located(text, HEX),
-        F.filter(_candidates(text), lambda c: c["random"] & (c["bin"] >= least_bin)),
-    ]
+def _fresh(base: Column, added: Column) -> Column:
+    """The added spans that meet no base span and lie in no longer added one: two
+    passes over all spans in order. Before a span, the farthest ends so far tell;
+    behind it, the next start of a base span."""
+    random = len(KINDS) - 1
+    # by start, the longer first, base kinds before the added
+    listed = F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind")))
+
+    def forward(state, s):
+        end, is_added = -s["minus"], s["kind"] == random
+        hidden = is_added & ((state["base"] > s["start"]) | (state["added"] >= end))
+        after = F.struct(
+            F.when(is_added, state["base"]).otherwise(F.greatest(state["base"], end)).alias("base"),
+            F.when(is_added, F.greatest(state["added"], end)).otherwise(state["added"]).alias("added"),
+        )
+        return F.struct(after.alias("state"), hidden.alias("out"))
 
+    def backward(start, s):
+        is_added = s["kind"] == random
+        return F.struct(F.when(is_added, start).otherwise(s["start"]).alias("state"), (is_added & (start < -s["minus"])).alias("out"))
 
-def _listed(spans: Column, kind: int) -> Column:
+    begin = F.struct(F.lit(-1).alias("base"), F.lit(-1).alias("added"))
+
+    def told(spans):
+        before = running(spans, begin, forward, "boolean")
+        behind = let(F.reverse(spans), lambda back: F.reverse(running(back, F.lit((1 << 31) - 1), backward, "boolean")))
+        return F.arrays_zip(spans.alias("s"), before.alias("before"), behind.alias("behind"))
+
+    # each value is bound once, since blocks are taken from it one by one
+    every = let(F.sort_array(F.array_distinct(listed)), told)
+    kept = F.filter(every, lambda z: (z["s"]["kind"] == random) & ~z["before"] & ~z["behind"])
     return F.transform(
-        spans, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
+        kept, lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["kind"].alias("kind"), (-z["s"]["minus"]).alias("end"))
     )
 
 
-def _with_spans(docs: DataFrame, text: Column, least_bin: int) -> DataFrame:
-    """Add __base and __all: sorted structs of start, kind and end."""
-    found = docs.withColumns({f"__{k}": s for k, s in zip(KINDS, _spans(text, least_bin))})
-    based = found.withColumn(
-        "__base", F.sort_array(F.concat(*[_listed(F.col(f"__{k}"), n) for n, k in enumerate(KINDS[:3])]))
-    )
-    fresh = F.filter(
-        _listed(F.col("__random"), 3),
-        lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-        & ~F.exists(
-            "__random",
-            lambda o: (o["start"] <= r["start"]) & (r["end"] <= o["end"]) & (r["end"] - r["start"] < o["end"] - o["start"]),
-        ),
+def _with_spans(searched: DataFrame, least_bin: int) -> DataFrame:
+    """Add __all: sorted structs of start, kind and end."""
+    added = _listed(F.filter("__random", lambda c: c["bin"] >= least_bin), len(KINDS) - 1)
+    every = F.sort_array(F.concat("__base", _fresh(F.col("__base"), F.col("__added"))))
+    return searched.withColumn("__added", added).withColumn(
+        "__all", F.when(F.size("__added") > 0, every).otherwise(F.col("__base"))
     )
-    return based.withColumn("__all", F.sort_array(F.concat("__base", fresh)))
 
 
 def _written(spans: Column) -> Column:
@@ -272,37 +310,46 @@ def _written(spans: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_rate: float = FALSE_RATE) -> DataFrame:
     """Per row: doc_id, counts of the base kinds, their digest, all spans."""
-    least_bin = discovery_bin(docs, text_col, false_rate)
     plain = only(docs, id_col, text_col).toDF("doc_id", "text")
-    found = _with_spans(plain, F.coalesce("text", F.lit("")), least_bin)
+    # texts are searched once; what is found is read twice
+    searched = stored(_searched(plain, F.coalesce("text", F.lit(""))).drop("text"), "secrets")
+    found = _with_spans(searched, discovery_bin(searched, false_rate))
     return found.select(
         "doc_id",
-        *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+        *[F.col(f"__n_{k}").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(_written(F.col("__base")), 256).alias("base_sha256"),
         _written(F.col("__all")).alias("spans"),
     )
 
 
+_BLOCK = 4096
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each union of overlapping spans replaced. The text is cut into
+    blocks first, since taking a part of a long text walks it from its start."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+    def part(cut: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _BLOCK).cast("int")
+        held = F.slice(cut, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), start - first * _BLOCK + 1, end - start)
+
+    def step(at, span):
+        gap = F.when(span["start"] >= at, F.struct(at.alias("start"), span["start"].alias("end")))
+        return F.struct(F.greatest(at, span["end"]).alias("state"), gap.alias("out"))
+
+    gaps = F.filter(running(spans, F.lit(0), step, "struct<start:int,end:int>"), lambda g: g.isNotNull())
+    last = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("start"), F.length(text).alias("end"))
+    every = F.concat(gaps, F.array(last))
+    return let(blocks, lambda cut: F.array_join(F.transform(every, lambda g: part(cut, g["start"], g["end"])), mask))
+
+
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", false_rate: float = FALSE_RATE) -> DataFrame:
     """The rows with every span replaced by the mask; overlapping spans by one.
     Null texts stay null."""
-    least_bin = discovery_bin(docs, text_col, false_rate)
     text = F.col(f"`{text_col}`")
-    found = _with_spans(docs, F.coalesce(text, F.lit("")), least_bin)
-
-    def step(state, span):
-        fresh = span["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
-            F.greatest(state["at"], span["end"]).alias("at"),
-        )
-
-    masked = F.aggregate(
-        F.col("__all"),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        step,
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    masked = F.when(F.size("__all") > 0, masked).otherwise(text)
+    searched = stored(_searched(docs, F.coalesce(text, F.lit(""))), "secrets")
+    found = _with_spans(searched, discovery_bin(searched, false_rate))
+    masked = F.when(F.size("__all") > 0, _masked(text, F.col("__all"), mask)).otherwise(text)
     return found.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

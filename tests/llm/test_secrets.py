@@ -110,3 +110,38 @@ def test_long_text(spark):
     (row,) = sc.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     check([row], {1: text})
     assert row["n_assign"] == 300
+
+
+def test_spans_of_one_text_against_all_pairs(spark):
+    """Which added spans stay, against a comparison of each with all others."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+
+    def spans(most):
+        return sorted({(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(most)))})
+
+    rows = [(n, [(a, rng.randrange(3), b) for a, b in spans(8)], [(a, 3, b) for a, b in spans(14)]) for n in range(300)]
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    df = spark.createDataFrame(rows, f"n int, base {kind}, added {kind}")
+    found = {r.n: [tuple(x) for x in r.f] for r in df.select("n", sc._fresh(F.col("base"), F.col("added")).alias("f")).collect()}
+    for n, base_spans, added in rows:
+        wanted = [
+            (a, k, b)
+            for a, k, b in added
+            if not any(x < b and a < y for x, _, y in base_spans)
+            and not any(x <= a and b <= y and y - x > b - a for x, _, y in added)
+        ]
+        assert found[n] == sorted(wanted)
+
+
+def test_a_text_with_very_many_secrets(spark):
+    """A log with a hash a line: time in proportion, all found, all masked."""
+    rng = random.Random(9)
+    lines = [f"é {k} " + "".join(rng.choices("0123456789abcdef", k=40)) for k in range(6_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    (row,) = sc.scan(df).collect()
+    assert row["n_hex"] == 6_000
+    check([row], {1: "\n".join(lines)})
+    (masked,) = sc.redact(df).collect()
+    assert masked["text"] == "\n".join(f"é {k} [secret]" for k in range(6_000))
