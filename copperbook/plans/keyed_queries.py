@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from copperbook.operators import keyed as ky
+from copperbook.operators import queues as qu
 from copperbook.operators import ranged as rg
 from copperbook.session import scratch_path
 
@@ -309,3 +310,34 @@ def changes_by_range(spark, d):
     for _ in range(2):
         rg.change_ranges(spark, path, log, keys)
     return rg.read_ranges(spark, path)
+
+
+@query(
+    "k11_queue_store",
+    """WITH click AS (SELECT row_number() OVER (ORDER BY step, ts, event_id) AS item, props AS data FROM (
+SELECT 1 AS step, ts, event_id, props FROM events WHERE event_type = 'click'
+UNION ALL SELECT 2, NULL, event_id, props FROM events WHERE event_type = 'signup' AND event_id % 2 = 0
+UNION ALL SELECT 3, NULL, event_id, props FROM events WHERE event_type = 'purchase')),
+error AS (SELECT row_number() OVER (ORDER BY event_id) AS item, props AS data FROM events WHERE event_type = 'view')
+SELECT 'click' AS queue, item, data, CASE WHEN item <= 100 THEN 1 ELSE 2 END AS read FROM click
+UNION ALL SELECT 'error', item, data, 3 FROM error WHERE item <= 30""",
+)
+def queue_store(spark, d):
+    """Four appends and a deletion; a reader takes 100 items, then all that is left."""
+    store = qu.new_store(spark)
+    events = _table(spark, d, "events", "event_id", "ts", "event_type", F.col("props").alias("data"))
+
+    def append(kind, queue, *order):
+        rows = events if kind is None else events.where(F.col("event_type") == kind)
+        qu.append_items(spark, store, rows.withColumn("queue", queue), list(order))
+
+    append(None, F.col("event_type"), "ts", "event_id")
+    one = qu.read_next(spark, store, "report", "click", 100)
+    append("signup", F.when(F.col("event_id") % 2 == 0, "click").otherwise("view"), "event_id")
+    append("purchase", F.lit("click"), "event_id")
+    qu.delete_queue(spark, store, "error")
+    append("view", F.lit("error"), "event_id")
+    two = qu.read_next(spark, store, "report", "click", 1 << 40)
+    three = qu.read_next(spark, store, "report", "error", 30)
+    reads = [r.withColumn("read", F.lit(n)) for n, r in enumerate((one, two, three), 1)]
+    return reads[0].unionByName(reads[1]).unionByName(reads[2])
