@@ -18,6 +18,7 @@ from copperbook.functions.fields import leading
 from copperbook.functions.folds import running
 from copperbook.operators import items as it
 from copperbook.operators import outline as ol
+from copperbook.session import scratch_path
 
 #: What a declaration says of an item.
 ITEM_FIELDS = ("section", "level", "picture", "usage", "value", "occurs", "occurs_depending", "redefines")
@@ -30,7 +31,11 @@ def changed_sources(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
         return sources.select("path", F.md5(F.col("text").cast("binary")).alias(name))
 
     both = marks(a, "__a").join(marks(b, "__b"), "path", "full")
-    paths = both.where(~F.col("__a").eqNullSafe(F.col("__b"))).select("path")
+    # written, so that the planner knows their size: while they are few they go to
+    # every task and no text is shuffled
+    kept = scratch_path(a.sparkSession, "changed-paths")
+    both.where(~F.col("__a").eqNullSafe(F.col("__b"))).select("path").write.parquet(kept)
+    paths = a.sparkSession.read.schema(a.select("path").schema).parquet(kept)
     return a.join(paths, "path", "left_semi"), b.join(paths, "path", "left_semi")
 
 
@@ -91,7 +96,11 @@ def diff_rows(a: DataFrame, b: DataFrame, name: str, place: str, fields: tuple[s
     files = files.withColumn("kept", _kept_order(F.transform("pairs", lambda p: p.other)))
     moved = F.filter(F.arrays_zip("pairs", "kept"), lambda z: ~z.kept)
     files = files.select("path", "rows", F.transform(moved, lambda z: z.pairs.place).alias("moved"))
-    each = files.select("path", F.explode("rows").alias("r"), "moved").select("path", "r.*", "moved")
+    told = files.select("path", F.explode("rows").alias("r"), "moved").select("path", "r.*", "moved")
+    # written once, since each kind of change reads it
+    kept = scratch_path(a.sparkSession, "matched-rows")
+    told.write.parquet(kept)
+    each = a.sparkSession.read.schema(told.schema).parquet(kept)
     # the matching row of b, by its place
     left = each.where("is_a")
     right = each.where("NOT is_a").select("path", F.col("place").alias("other"), F.col("said").alias("said_b"))
