@@ -37,14 +37,19 @@ HEADLINE = [
     "r6_add_subtract_multiply",
     "r7_divide",
     "r9_evaluate",
+    "r9_evaluate_ranges",
     "r15_perform_table",
     "r15_running_total",
+    "r15_balance_resets",
     "r18_unstring",
     "r19_inspect",
     "r22_occurs",
+    "r22_varying_records",
     "k1_keyed_read",
     "k3_keyed_rewrite",
     "k5_apply_changes",
+    "k5_changes_by_range",
+    "k6_browse_pages",
     "k7_organize_relative",
     "k11_queue_append",
     "k12_sql_merge",
