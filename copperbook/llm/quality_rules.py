@@ -2,9 +2,10 @@
 
 Lines are normalised (ASCII letters lowered, digits to 0, runs of white space
 to one blank) and hashed. A line that occurs in more than ``limit`` distinct
-documents of a host is boilerplate there and is removed. A document is rejected
-when it keeps fewer than ``min_words`` words, or less than ``min_share`` percent
-of its words. Documents of a host with equal texts count once: whole copies are
+documents of a host, and in more than ``limit_share`` percent of them, is
+boilerplate there and is removed; so an ordinary line does not become boilerplate
+as its host grows. A document is rejected when it keeps less than ``min_share``
+percent of its words. Documents of a host with equal texts count once: whole copies are
 a matter for deduplication, and a copied document is not boilerplate.
 
 All of it is DataFrame functions. Line rows are put together per document before
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from copperbook.llm.common import only, stored
 
 LIMIT = 20
-MIN_WORDS = 50
+LIMIT_SHARE = 1
 MIN_SHARE = 50
 #: Fixed values.
 _GAP = r"[\x20\x09-\x0D]+"
@@ -111,7 +112,7 @@ def judge(
     text_col: str = "text",
     host_col: str = "source",
     limit: int = LIMIT,
-    min_words: int = MIN_WORDS,
+    limit_share: int = LIMIT_SHARE,
     min_share: int = MIN_SHARE,
 ) -> DataFrame:
     """Per row: the base counts, n_removed_words and kept."""
@@ -123,8 +124,11 @@ def judge(
         .groupBy("host", F.col("l.line").alias("line"), "text_key")
         .agg(F.sum("l.words").alias("words"))
     )
+    hosts = base.groupBy(F.col("host").alias("__of")).agg(F.countDistinct("text_key").alias("texts"))
     frequent = (
         lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+        .join(hosts, F.col("host").eqNullSafe(F.col("__of")))
+        .where(100 * F.col("n") > limit_share * F.col("texts"))
         .select(F.col("host").alias("__host"), F.col("line").alias("__line"))
     )
     removed = (
@@ -133,7 +137,7 @@ def judge(
         .agg(F.sum("words").alias("gone"))
     )
     left = F.col("n_words") - F.col("n_removed_words")
-    depleted = (left < min_words) | (100 * left < min_share * F.col("n_words"))
+    depleted = 100 * left < min_share * F.col("n_words")
     return (
         base.drop("lines")
         .join(removed, F.col("host").eqNullSafe(F.col("__host")) & (F.col("text_key") == F.col("__key")), "left")
@@ -170,8 +174,14 @@ lines AS (
   FROM cut WHERE len(lw) > 0),
 dup AS (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r),
+often AS (
+  SELECT source, norm, count(DISTINCT text) AS n FROM lines
+  GROUP BY source, norm HAVING count(DISTINCT text) > {LIMIT}),
+hosts AS (
+  SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
 freq AS (
-  SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT text) > {LIMIT}),
+  SELECT o.source, o.norm FROM often o JOIN hosts h ON h.source IS NOT DISTINCT FROM o.source
+  WHERE 100 * o.n > {LIMIT_SHARE} * h.texts),
 gone AS (
   SELECT r, sum(n) AS gone FROM lines l
   WHERE EXISTS (SELECT 1 FROM freq f WHERE f.source IS NOT DISTINCT FROM l.source AND f.norm = l.norm)
@@ -189,6 +199,6 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        CAST(gone AS BIGINT) AS n_removed_words,
-       NOT base_failed AND NOT (n_words - gone < {MIN_WORDS} OR 100 * (n_words - gone) < {MIN_SHARE} * n_words) AS kept
+       NOT base_failed AND NOT 100 * (n_words - gone) < {MIN_SHARE} * n_words AS kept
 FROM judged
 """

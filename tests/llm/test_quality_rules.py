@@ -30,6 +30,32 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert all(r["n_removed_words"] == 0 for r in at_limit.values())
 
 
+def letters(k):
+    """Digits are alike in normalised lines."""
+    return "".join(chr(97 + int(c)) for c in str(k))
+
+
+def test_limit_grows_with_the_host(spark):
+    own = {k: " ".join(f"{letters(k)}_{letters(j)}" for j in range(60)) for k in range(600)}
+    common = " ".join(WORDS[:30])
+    rows = [(k, own[k] + f"\n{common}" * (k < 30), "large", 0, 0) for k in range(600)]
+    rows += [(1000 + k, f"x{k} " + own[k] + f"\n{common}", "small", 0, 0) for k in range(30)]
+    rows += [(2000 + k, f"y{k} " + own[k] + f"\n{common}" * (k < 30), None, 0, 0) for k in range(600)]
+    found = {d: r["n_removed_words"] for (d, _), r in verdicts(spark, rows, limit=20, limit_share=10).items()}
+    assert all(n == 30 * (1000 <= d < 2000) for d, n in found.items())
+    at = {d: r["n_removed_words"] for (d, _), r in verdicts(spark, rows, limit=20, limit_share=5).items()}
+    assert at == found  # 30 of 600 is not above 5 percent
+    above = {d: r["n_removed_words"] for (d, _), r in verdicts(spark, rows, limit=20, limit_share=4).items()}
+    assert sum(n == 30 for n in above.values()) == 90
+
+
+def test_a_small_loss_does_not_reject(spark):
+    head = " ".join(WORDS[:9])
+    rows = [(k, f"{head}\n" + " ".join(f"{letters(k)}_{letters(j)}" for j in range(47)), "a", 0, 0) for k in range(30)]
+    found = verdicts(spark, rows)
+    assert all(r["kept"] and r["n_removed_words"] == 9 for r in found.values())
+
+
 def test_copies_count_once(spark):
     text = " ".join(WORDS[:80])
     rows = [(k, text, "a", 0, 0) for k in range(30)]
