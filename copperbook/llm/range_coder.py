@@ -1,17 +1,22 @@
 """Context-mixing range coder for token ids, many blocks side by side.
 
-A block is coded from a fresh state and knows nothing of other blocks, so the
-blocks of a segment are the lanes of numpy arrays: one step codes the next id
-of every block. For each id, order 2 (the two ids before) and order 1 (the id
-before) each predict an id, with how sure they are; order 0 predicts in which of
-four ranges the id lies. The symbols are: order 2 is right, order 1 is right, or
-a range. Their frequencies are the sum of three adaptive tables, one chosen by
-each order's confidence and one of the block alone. After a range the place in it
-follows plain, in the same step of the coder.
+A block is coded from a fresh model and knows nothing of other blocks. Its ids
+are cut into up to ``LANES`` strands of nearly equal length, which share the
+model: one step codes the next id of every strand of every block, as lanes of
+numpy arrays, and then the models learn what was coded.
+
+For each id, order 2 (the two ids before) and order 1 (the id before) each
+predict an id, with a count of how often that was right of late. The symbols are:
+order 2 is right, order 1 is right, neither. Their frequencies are the sum of
+three adaptive tables: one chosen by each order's count and one by both. If
+neither is right, order 0 gives the id by adaptive frequencies of all ids, which
+begin falling with the number of the id, as the ids of byte pairs do, and take in
+what came since after steps that grow from 1 to ``_LEARN_EVERY``.
 
 The coder keeps 48 bits and moves 16 at a time; it shortens the range instead
-of passing a carry on. A block is: ids, words, CRC-32 of the ids as little-endian
-32-bit integers, then its 16-bit words. Ids are below 65,536.
+of passing a carry on. A block is: ids, strands, CRC-32 of the ids as
+little-endian 32-bit integers, words of each strand, then the 16-bit words of
+one strand after another. Ids are below 65,536.
 """
 
 import struct
@@ -19,23 +24,26 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
-_SLOTS = 256
-# where the ranges of order 0 begin, and the bits of a place in each
-_BEGIN = np.array([0, 0, 0, 256, 1280, 5376], np.int32)
-_BITS = np.array([0, 0, 8, 10, 12, 16], np.uint64)
-_SYMBOLS = len(_BITS)
-_STEP, _HALVE_EVERY = 8, 128
+BLOCK = 1 << 18
+LANES = 256
+#: A strand has at least so many ids, so that its last words cost little.
+_STRAND = 64
+_IDS = 1 << 16
+_SURE = 8  # an order's count is below this
+_SYMBOLS = 3
+_STEP, _MOST = 2, 510  # of the symbols' tables: what a symbol adds, the sum that halves
+_ADD, _MOST_0 = 16, 1 << 20  # of order 0
+_LEARN_EVERY = 32
 _HEAD = struct.Struct("<III")
 
 _U = np.uint64
 _SIXTEEN, _THIRTY_TWO = _U(16), _U(32)
 _MASK48, _MASK32 = _U((1 << 48) - 1), _U((1 << 32) - 1)
+_FIRST = 1 + (1 << 15) // (np.arange(_IDS, dtype=np.int64) + 256)
 
 
 class _Coder:
-    """State of the lanes; ``move`` is how a settled word leaves or enters. A
-    symbol's share is cut into as many parts as a range has places."""
+    """State of the lanes; ``move`` is how a settled word leaves or enters."""
 
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, _U)
@@ -60,13 +68,6 @@ class _Coder:
             self.low[lanes], self.range[lanes] = low, wide
 
 
-def _share(live: int, ends: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the share of a symbol starts, and the size of one place in it."""
-    rows = np.arange(live)
-    low = np.where(symbol > 0, ends[rows, symbol - 1], _U(0))
-    return low, (ends[rows, symbol] - low) << (_SIXTEEN - _BITS[symbol])
-
-
 class _Encoder(_Coder):
     def __init__(self, lanes: int, steps: int):
         super().__init__(lanes)
@@ -76,14 +77,7 @@ class _Encoder(_Coder):
         self.words[lanes, self.at[lanes]] = low >> _THIRTY_TWO
         self.at[lanes] += 1
 
-    def code(self, live, ends, symbol, rest):
-        wide = self.range[:live] // (ends[:, -1] << _SIXTEEN)
-        low, part = _share(live, ends, symbol)
-        part *= wide
-        self.narrow(live, (low << _SIXTEEN) * wide + rest.astype(_U) * part, part)
-        return symbol, rest
-
-    def blocks(self) -> list[bytes]:
+    def strands(self) -> list[bytes]:
         every = np.arange(len(self.low))
         for _ in range(3):
             self.move(every, self.low)
@@ -92,119 +86,189 @@ class _Encoder(_Coder):
 
 
 class _Decoder(_Coder):
-    def __init__(self, blocks: list[np.ndarray]):
-        super().__init__(len(blocks))
-        longest = max(map(len, blocks))
-        self.words = np.zeros((len(blocks), longest + 4), np.uint16)
-        for row, words in zip(self.words, blocks):
+    def __init__(self, strands: list[np.ndarray]):
+        super().__init__(len(strands))
+        self.words = np.zeros((len(strands), max(map(len, strands)) + 4), np.uint16)
+        for row, words in zip(self.words, strands):
             row[: len(words)] = words
-        self.input = np.zeros(len(blocks), _U)
-        every = np.arange(len(blocks))
+        self.input = np.zeros(len(strands), _U)
         for _ in range(3):
-            self.move(every, None)
+            self.move(np.arange(len(strands)), None)
 
     def move(self, lanes, low):
         at = np.minimum(self.at[lanes], self.words.shape[1] - 1)
         self.input[lanes] = ((self.input[lanes] << _SIXTEEN) & _MASK48) | self.words[lanes, at]
         self.at[lanes] += 1
 
-    def code(self, live, ends, symbol, rest):
-        total = ends[:, -1] << _SIXTEEN
-        wide = self.range[:live] // total
-        place = np.minimum(((self.input[:live] - self.low[:live]) & _MASK48) // wide, total - _U(1))
-        symbol = (ends <= (place >> _SIXTEEN)[:, None]).sum(axis=1)
-        low, part = _share(live, ends, symbol)
-        rest = (place - (low << _SIXTEEN)) // part
-        part *= wide
-        self.narrow(live, (low << _SIXTEEN) * wide + rest * part, part)
-        return symbol, rest.astype(np.int32)
-
-
-def _pass(coder: _Coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code or decode every block; the lanes are sorted by length, longest first."""
-    lanes, steps = len(lengths), int(lengths[0])
-    out = np.zeros((steps, lanes), np.int32)
-    lane = np.arange(lanes)
-    first = np.array([8, 8, 4, 4, 4, 4], np.uint16)
-    tables = [np.tile(first, (lanes * 4, 1)), np.tile(first, (lanes * 4, 1)), np.tile(first, (lanes, 1))]
-    # per lane and context: four times the id seen last, plus how sure it is, 0 to 3
-    guesses = [np.full(lanes * _SLOTS, -4, np.int32) for _ in "ab"]
-    before, earlier = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    live = lanes
+
+class _Order0:
+    """Frequencies of all ids, a row for each block."""
+
+    def __init__(self, blocks: int):
+        self.count = np.tile(_FIRST, (blocks, 1)).astype(np.int32)
+        self.fresh: list[np.ndarray] = []
+        self.learn()
+
+    def see(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        self.fresh.append(rows * _IDS + ids)
+
+    def learn(self) -> None:
+        if self.fresh:
+            seen, n = np.unique(np.concatenate(self.fresh), return_counts=True)
+            self.count.reshape(-1)[seen] += (n * _ADD).astype(np.int32)
+            self.fresh = []
+            full = np.flatnonzero(self.count.sum(axis=1) > _MOST_0)
+            self.count[full] = (self.count[full] + 1) >> 1
+        self.ends = self.count.cumsum(axis=1, dtype=np.int32)
+        self.total = self.ends[:, -1].astype(_U)
+
+    def share(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of each id starts, and its size."""
+        at = rows * _IDS + ids
+        size = self.count.reshape(-1).take(at)
+        return (self.ends.reshape(-1).take(at) - size).astype(_U), size.astype(_U)
+
+    def find(self, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The id whose share holds each place, by bisection."""
+        ends, base = self.ends.reshape(-1), rows * _IDS
+        place = place.astype(np.int32)
+        ids = np.zeros(len(rows), np.int64)
+        for bit in range(15, -1, -1):
+            ids += (ends.take(base + ids + ((1 << bit) - 1)) <= place).astype(np.int64) << bit
+        return ids
+
+
+def _pass(coder: _Coder, blocks: np.ndarray, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    """Code or decode all strands, sorted by length, longest first. ``blocks`` has
+    the number of the block of each strand."""
+    steps, live, n_blocks = int(lengths[0]), len(lengths), int(blocks.max()) + 1
+    blocks = blocks.astype(np.int64)
+    out = np.zeros((steps, live), np.int32)
+    order0 = _Order0(n_blocks)
+    shape = (n_blocks, _SURE, _SURE, _SYMBOLS)  # by the counts of order 2 and of order 1
+    tables = [np.full((n_blocks, _SURE, 1, 3), 4), np.full((n_blocks, 1, _SURE, 3), 4), np.full(shape, 4)]
+    # per block and context: the id seen last, with its count in the lowest three bits
+    guesses = [np.full(n_blocks << 16, -_SURE, np.int32) for _ in "ab"]
+    before, earlier = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    learn_at = 1
     for step in range(steps):
         while lengths[live - 1] <= step:
             live -= 1
-        b, e, own = before[:live], earlier[:live], lane[:live]
-        slots = [
-            own * _SLOTS + (((b * np.uint32(40503) + e * np.uint32(30011)) >> np.uint32(4)) & np.uint32(_SLOTS - 1)),
-            own * _SLOTS + ((b * np.uint32(40503) >> np.uint32(3)) & np.uint32(_SLOTS - 1)),
-        ]
-        seen = [g[at] for g, at in zip(guesses, slots)]
-        guess, sure = [x >> 2 for x in seen], [x & 3 for x in seen]
-        rows = [own * 4 + s for s in sure] + [own]
-        mixed = tables[0][rows[0]] + tables[1][rows[1]] + tables[2][:live]
-        ends = mixed.cumsum(axis=1, dtype=np.uint32).astype(_U)
+        b, e, own = before[:live], earlier[:live], blocks[:live]
+        base = own << 16
+        slots = [base + (((b * 40503 + e * 30011) ^ (e >> 3)) & (_IDS - 1)), base + b]
+        seen = [g.take(at) for g, at in zip(guesses, slots)]
+        guess, sure = [x >> 3 for x in seen], [x & (_SURE - 1) for x in seen]
+        rows = (own * _SURE + sure[0]) * _SURE + sure[1]
+        mixed = (tables[0] + tables[1] + 2 * tables[2]).reshape(-1, _SYMBOLS)
+        ends = mixed.cumsum(axis=1).astype(_U)
+        total0 = order0.total.take(own)
+        wide = coder.range[:live] // (ends[:, 2].take(rows) * total0)
         if ids is None:
-            symbol, rest = coder.code(live, ends, None, None)
-            value = np.where(symbol > 1, _BEGIN[symbol] + rest, np.where(symbol == 0, guess[0], guess[1]))
+            place = ((coder.input[:live] - coder.low[:live]) & _MASK48) // wide
+            place = np.minimum(place, ends[:, 2].take(rows) * total0 - _U(1))
+            which = place // total0
+            symbol = (which >= ends[:, 0].take(rows)).astype(np.int64) + (which >= ends[:, 1].take(rows))
+            value = np.where(symbol == 0, guess[0], guess[1]).astype(np.int64)
+            new = np.flatnonzero(symbol == 2)
+            inside = place[new] - ends[:, 1].take(rows[new]) * total0[new]
+            new_ids = order0.find(own[new], inside // mixed[:, 2].take(rows[new]).astype(_U))
+            value[new] = new_ids
             right = [value == g for g in guess]
         else:
-            value = ids[step, :live]
+            value = ids[step, :live].astype(np.int64)
             right = [value == g for g in guess]
-            range_ = 2 + (value >= _BEGIN[3]) + (value >= _BEGIN[4]) + (value >= _BEGIN[5])
-            symbol = np.where(right[0], 0, np.where(right[1], 1, range_))
-            coder.code(live, ends, symbol, np.where(symbol > 1, value - _BEGIN[symbol], 0))
-        for table, row in zip(tables, rows):
-            table.reshape(-1)[row * _SYMBOLS + symbol] += _STEP
-        if step % _HALVE_EVERY == _HALVE_EVERY - 1:
-            tables = [(t + np.uint16(1)) >> np.uint16(1) for t in tables]
-        for g, at, hit, was in zip(guesses, slots, right, sure):
-            g[at] = (value << 2) + np.where(hit, np.minimum(was + 1, 3), 1)
+            symbol = np.where(right[0], 0, np.where(right[1], 1, 2))
+            new = np.flatnonzero(symbol == 2)
+            new_ids = value[new]
+        chosen = rows * _SYMBOLS + symbol
+        size = mixed.reshape(-1).take(chosen).astype(_U)
+        start = (ends.reshape(-1).take(chosen) - size) * total0
+        start0, size0 = order0.share(own[new], new_ids)
+        part = size * total0
+        start[new] += start0 * size[new]
+        part[new] = size[new] * size0
+        coder.narrow(live, start * wide, part * wide)
+        order0.see(own[new], new_ids)
+        n = _STEP * np.bincount(chosen, minlength=mixed.size).reshape(shape)
+        for table, fresh in zip(tables, (n.sum(axis=2, keepdims=True), n.sum(axis=1, keepdims=True), n)):
+            table += fresh
+            while (full := table.sum(axis=3) > _MOST).any():
+                table[full] = (table[full] + 1) >> 1
+        for g, at, hit, old, was in zip(guesses, slots, right, guess, sure):
+            # a sure guess loses half its count before another takes its place
+            stays = ~hit & (was > 2)
+            other = np.where(stays, (old << 3) + (was >> 1), (value << 3) + 1)
+            g[at] = np.where(hit, (value << 3) + np.minimum(was + 1, _SURE - 1), other)
         out[step, :live] = value
         earlier[:live] = b
         before[:live] = value
+        if step + 1 >= learn_at:
+            order0.learn()
+            learn_at += min(learn_at, _LEARN_EVERY)
     return out
 
 
+def _even(n: int, parts: int) -> np.ndarray:
+    return n // parts + (np.arange(parts) < n % parts)
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """Blocks of nearly equal length; no ids give no block."""
     if not len(ids):
         return []
-    lanes = -(-len(ids) // block)
-    lengths = np.full(lanes, len(ids) // lanes)
-    lengths[: len(ids) % lanes] += 1
-    grid = np.zeros((lanes, lengths[0]), np.int32)
-    grid[np.arange(lengths[0]) < lengths[:, None]] = ids
-    coder = _Encoder(lanes, int(lengths[0]))
-    _pass(coder, lengths, np.ascontiguousarray(grid.T))
-    plain = np.asarray(ids, "<u4")
-    ends = np.cumsum(lengths)
-    return [
-        _HEAD.pack(n, len(words) // 2, zlib.crc32(plain[end - n : end].tobytes())) + words
-        for n, end, words in zip(lengths.tolist(), ends.tolist(), coder.blocks())
-    ]
+    sizes = _even(len(ids), -(-len(ids) // block))
+    strands = [_even(n, min(LANES, -(-n // _STRAND))) for n in sizes.tolist()]
+    lengths = np.concatenate(strands)
+    blocks = np.repeat(np.arange(len(sizes)), [len(s) for s in strands])
+    grid = np.zeros((len(lengths), int(lengths.max())), np.int32)
+    grid[np.arange(grid.shape[1]) < lengths[:, None]] = ids
+    order = np.argsort(-lengths, kind="stable")
+    coder = _Encoder(len(lengths), grid.shape[1])
+    _pass(coder, blocks[order], lengths[order], np.ascontiguousarray(grid[order].T))
+    words: list = [None] * len(lengths)
+    for k, data in zip(order.tolist(), coder.strands()):
+        words[k] = data
+    plain, out, at, first = np.asarray(ids, "<u4"), [], 0, 0
+    for n, of in zip(sizes.tolist(), map(len, strands)):
+        mine = words[first : first + of]
+        head = _HEAD.pack(n, of, zlib.crc32(plain[at : at + n].tobytes()))
+        out.append(b"".join([head, np.array([len(w) // 2 for w in mine], "<u4").tobytes(), *mine]))
+        at, first = at + n, first + of
+    return out
 
 
 def decode(data: bytes) -> np.ndarray:
     """All ids of blocks written one after another; a damaged block is an error."""
-    lengths, checks, words, at = [], [], [], 0
+    sizes, checks, words, lengths, blocks, at = [], [], [], [], [], 0
     while at < len(data):
-        n, size, check = _HEAD.unpack_from(data, at)
+        if len(data) < at + _HEAD.size:
+            raise ValueError("a block is cut short")
+        n, of, check = _HEAD.unpack_from(data, at)
         at += _HEAD.size
-        if len(data) < at + 2 * size:
+        if not 0 < of <= LANES or len(data) < at + 4 * of:
+            raise ValueError("a block is cut short")
+        each = np.frombuffer(data, "<u4", of, at).tolist()
+        at += 4 * of
+        if len(data) < at + 2 * sum(each):
             raise ValueError("a block is cut short")
-        words.append(np.frombuffer(data, "<u2", size, at))
-        lengths.append(n)
+        for size in each:
+            words.append(np.frombuffer(data, "<u2", size, at))
+            at += 2 * size
+        lengths.append(_even(n, of))
+        blocks.append(np.full(of, len(sizes)))
+        sizes.append(n)
         checks.append(check)
-        at += 2 * size
-    if not lengths:
+    if not sizes:
         return np.zeros(0, np.uint32)
-    order = np.argsort(-np.array(lengths), kind="stable")
-    sizes = np.array(lengths)[order]
-    grid = _pass(_Decoder([words[k] for k in order]), sizes, None).T
-    parts: list = [None] * len(lengths)
-    for row, k in zip(grid, order):
-        parts[k] = row[: lengths[k]].astype("<u4")
-        if zlib.crc32(parts[k].tobytes()) != checks[k]:
+    every, owner = np.concatenate(lengths), np.concatenate(blocks)
+    order = np.argsort(-every, kind="stable")
+    coded = _pass(_Decoder([words[k] for k in order]), owner[order], every[order], None).T
+    grid = np.empty_like(coded)
+    grid[order] = coded
+    ids = grid[np.arange(grid.shape[1]) < every[:, None]].astype("<u4")
+    ends = np.cumsum(sizes)
+    for k, (n, end, check) in enumerate(zip(sizes, ends.tolist(), checks)):
+        if zlib.crc32(ids[end - n : end].tobytes()) != check:
             raise ValueError(f"block {k} is damaged")
-    return np.concatenate(parts)
+    return ids

@@ -31,9 +31,26 @@ def test_repetition_costs_little():
     assert sum(map(len, rc.encode(ids))) < len(ids) / 4
 
 
+def test_ids_cost_less_than_by_their_frequencies():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 50000, k % 3 + 1) for k in range(3000)]
+    ids = np.concatenate([words[k] for k in rng.zipf(1.2, 60000) % 3000])
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    entropy = -(share * np.log2(share)).sum()
+    assert 8 * sum(map(len, rc.encode(ids))) / len(ids) < 0.9 * entropy
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 127, 129, 4096, 16384, 16385, 40000])
+def test_strands_of_any_length(n):
+    ids = np.random.default_rng(n).zipf(1.2, n) % 50257
+    for block in (100, 5000, rc.BLOCK):
+        assert (rc.decode(b"".join(rc.encode(ids, block))) == ids).all()
+
+
 def test_blocks_stand_alone():
     ids = np.random.default_rng(1).zipf(1.4, 5000) % 50257
-    blocks = rc.encode(ids)
+    blocks = rc.encode(ids, block=1024)
     assert len(blocks) == 5
     parts = [rc.decode(b) for b in blocks]
     assert (np.concatenate(parts) == ids).all()
