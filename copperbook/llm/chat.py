@@ -11,10 +11,19 @@ canonical form.
 
 Rows: null and empty texts have no turns; lines of blanks belong to the turn
 they stand in; ties go to the role listed first; text before any marker gets the
-role the model finds likeliest; a transcript is parsed whole, and its length
+role the model finds likeliest; ``parse`` takes a transcript whole, and its length
 bounds the work of one row; repeated rows are each parsed; an empty table gives
 an empty result; a model without training rows goes by the markers. Extra
 columns are ignored.
+
+Long conversations are cut into stretches of rows. Their states are those of the
+uncut transcript: a stretch gives the best score from each state before it to
+each of its last line, a tree over these matrices gives every stretch the state
+it starts from and the one it ends in, and Viterbi fills in what lies between.
+Rows of a conversation are numbered by turn, role and text, nulls first and
+repeated rows each, so null or equal turns are cut like others; rows of null
+conv_id are one conversation. A turn that runs over a cut gives a piece in both
+stretches, and ``continues`` marks the second.
 """
 
 import math
@@ -24,11 +33,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copperbook.llm.common import only
+from copperbook.llm.common import only, stored
+from copperbook.operators.ordered import row_numbers
 
 ROLES = ("system", "user", "assistant", "tool")
 #: The names speakers go by.
@@ -105,36 +116,57 @@ class Model:
             table("end", N_STATES, _ENDS),
         )
 
-    def states(self, lines: list[tuple[int, int, int, str]]) -> list[int]:
-        """Viterbi; ties go to the state listed first."""
+    def _seen(self, lines: list[tuple[int, int, int, str]]) -> np.ndarray:
+        marker, length, end = (np.array([x[k] for x in lines]) for k in range(3))
+        return self.marker[:, marker] + self.length[:, length] + self.end[:, end]
+
+    def states(self, lines: list[tuple[int, int, int, str]], entry: int | None = None, end: int | None = None) -> list[int]:
+        """Viterbi; ties go to the state listed first. ``entry`` is the state before
+        the first line, ``end`` that of the last, where they are known."""
         if not lines:
             return []
-        marker, length, end = (np.array([x[k] for x in lines]) for k in range(3))
-        seen = self.marker[:, marker] + self.length[:, length] + self.end[:, end]
-        best, back = self.start + seen[:, 0], []
+        seen = self._seen(lines)
+        best, back = (self.start if entry is None else self.move[entry]) + seen[:, 0], []
         for at in range(1, len(lines)):
             paths = best[:, None] + self.move
             came = paths.argmax(axis=0)
             back.append(came)
             best = paths[came, np.arange(N_STATES)] + seen[:, at]
-        state = int(best.argmax())
+        state = int(best.argmax()) if end is None else end
         out = [state]
         for came in reversed(back):
             state = int(came[state])
             out.append(state)
         return out[::-1]
 
-    def turns(self, text: str | None) -> list[tuple[str, str]]:
-        """(role, text) of each turn."""
-        if not text:
-            return []
-        lines = [read_line(line) for line in text.split("\n")]
+    def scores(self, lines: list[tuple[int, int, int, str]], first: bool) -> np.ndarray:
+        """The best score from each state before the lines to each of the last, less
+        the greatest. Before the ``first`` lines of a transcript all are alike."""
+        seen = self._seen(lines)
+        best = (np.tile(self.start, (N_STATES, 1)) if first else self.move) + seen[:, 0]
+        for at in range(1, len(lines)):
+            best = through(best, self.move) + seen[:, at]
+        return best - best.max()
+
+    def turns(self, text: str | None, entry: int | None = None, end: int | None = None) -> tuple[bool, list[tuple[str, str]]]:
+        """(role, text) of each turn, and whether the first goes on from the text
+        before. A text whose ``end`` is known is a stretch, which has a line even
+        when empty."""
+        if not text and end is None:
+            return False, []
+        lines = [read_line(line) for line in (text or "").split("\n")]
+        states = self.states(lines, entry, end)
         out: list[tuple[str, list[str]]] = []
-        for state, line in zip(self.states(lines), lines):
-            if state < len(ROLES):
-                out.append((ROLES[state], []))
+        for state, line in zip(states, lines):
+            if state < len(ROLES) or not out:
+                out.append((ROLES[state % len(ROLES)], []))
             out[-1][1].append(line[3])
-        return [(role, "\n".join(body).strip()) for role, body in out]
+        return states[0] >= len(ROLES), [(role, "\n".join(body).strip()) for role, body in out]
+
+
+def through(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best scores by way of the states between."""
+    return (a[..., :, None] + b).max(axis=-2)
 
 
 def render(turns: list[tuple[str, str]]) -> str:
@@ -171,28 +203,124 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"kind": kind, "row": row, "col": col, "n": pa.array(list(counts.values()), pa.int64())})
 
 
-def parse(transcripts: DataFrame, model: Model, id_col: str = "conv_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, roles in order, number of turns, and the canonical form."""
+def parse(
+    transcripts: DataFrame,
+    model: Model,
+    id_col: str = "conv_id",
+    text_col: str = "text",
+    entry_col: str | None = None,
+    end_col: str | None = None,
+) -> DataFrame:
+    """Per row: the id, roles in order, number of turns, the canonical form, and
+    whether the first turn goes on from the stretch before. ``entry_col`` and
+    ``end_col`` name states known from ``ends_of_stretches``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.turns(t) for t in batch.column(1).to_pylist()]
+            goes_on, found = [], []
+            for text, entry, end in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                first, turns = model.turns(text, entry, end)
+                goes_on.append(first)
+                found.append(turns)
             yield pa.record_batch(
                 {
                     "conv_id": batch.column(0),
                     "n_turns": pa.array([len(f) for f in found], pa.int64()),
                     "roles": pa.array([",".join(r for r, _ in f) for f in found], pa.string()),
                     "rendered": pa.array([render(f) for f in found], pa.string()),
+                    "continues": pa.array(goes_on, pa.bool_()),
                 }
             )
 
-    plain = only(transcripts, id_col, text_col).toDF("conv_id", "text")
+    known = [F.lit(None).cast("int") if c is None else F.col(c) for c in (entry_col, end_col)]
+    plain = transcripts.select(F.col(f"`{id_col}`").alias("conv_id"), F.col(f"`{text_col}`").alias("text"), *known)
     kind = plain.schema["conv_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"conv_id {kind}, n_turns long, roles string, rendered string")
+    return plain.mapInArrow(run, f"conv_id {kind}, n_turns long, roles string, rendered string, continues boolean")
+
+
+#: Rows of a conversation that make up one stretch, and nodes below one of the tree.
+STRETCH, FAN = 512, 512
+
+
+def ends_of_stretches(stretches: DataFrame, model: Model, fan: int = FAN) -> DataFrame:
+    """From (conv_id, stretch, text): conv_id, stretch, and the states on the
+    likeliest path through the whole conversation before the stretch (null before
+    the first) and at its end.
+
+    Matrices of scores are joined up a tree of ``fan`` nodes below each, and what
+    precedes and ends a node is handed down it; no group has more than ``fan`` rows
+    of 64 numbers, however long a conversation is.
+    """
+    kind = stretches.schema["conv_id"].dataType.simpleString()
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            found = [
+                model.scores([read_line(line) for line in (text or "").split("\n")], place == 0).ravel()
+                for place, text in zip(places, texts)
+            ]
+            rows = pa.array(found, pa.list_(pa.float64()))
+            yield pa.record_batch({"conv_id": batch.column(0), "node": batch.column(1), "scores": rows})
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        whole = None
+        for one in _matrices(group):
+            whole = one if whole is None else through(whole, one)
+        row = group.iloc[:1].assign(node=group["node"].iloc[0] // fan)
+        return row.assign(scores=[(whole - whole.max()).ravel()])
+
+    def handed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node").reset_index(drop=True)
+        given = group["given"].iloc[0]
+        before, steps = [np.asarray(given["before"], float)], _matrices(group)
+        for one in steps[:-1]:
+            after = through(before[-1], one)
+            before.append(after - after.max())
+        ends = [given["end"]]
+        if ends[0] is None or np.isnan(ends[0]):
+            ends = [int(through(before[-1], steps[-1]).argmax())]
+        for scores, one in zip(before[:0:-1], steps[:0:-1]):
+            ends.append(int((scores + one[:, int(ends[-1])]).argmax()))
+        ends = [int(e) for e in ends[::-1]]
+        entries = [given["entry"], *ends[:-1]]
+        return pd.DataFrame(
+            {
+                "conv_id": group["conv_id"],
+                "node": group["node"],
+                "entry": pd.array([None if e is None or np.isnan(e) else int(e) for e in entries], "Int32"),
+                "end": pd.array(ends, "Int32"),
+                "before": before,
+            }
+        )
+
+    shape = f"conv_id {kind}, node long, scores array<double>"
+    levels = [stored(stretches.select("conv_id", "stretch", "text").mapInArrow(scored, shape), "chat-scores")]
+    while levels[-1].where(F.col("node") > 0).limit(1).count():
+        up = levels[-1].groupBy("conv_id", F.floor(F.col("node") / fan).alias("parent"))
+        levels.append(stored(up.applyInPandas(lambda _, group: joined(group), shape), "chat-scores"))
+    top = levels.pop().select(
+        "conv_id", "node", F.lit(None).cast("int").alias("entry"), F.lit(None).cast("int").alias("end"),
+        F.array_repeat(F.lit(0.0), N_STATES).alias("before"),
+    )
+    known = top
+    for level in reversed(levels):
+        given = known.select(
+            F.col("conv_id").alias("__conv"), F.col("node").alias("__node"), F.struct("entry", "end", "before").alias("given")
+        )
+        parent = F.floor(F.col("node") / fan)
+        below = level.join(given, F.col("conv_id").eqNullSafe(F.col("__conv")) & (parent == F.col("__node")))
+        known = below.groupBy("conv_id", "__node").applyInPandas(
+            lambda _, group: handed(group), f"conv_id {kind}, node long, entry int, end int, before array<double>"
+        )
+    return known.select("conv_id", F.col("node").alias("stretch"), "entry", "end")
+
+
+def _matrices(group: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(x, float).reshape(N_STATES, N_STATES) for x in group["scores"]]
 
 
-#: Turns of a conversation that make up one transcript of the registered query.
-STRETCH = 512
 #: How the registered query writes a role: name by style, then the form.
 _STYLES = (
     (("System", "User", "Assistant", "Tool"), "%s: "),
@@ -214,13 +342,15 @@ def _heading(conv: Column, turn: Column, role: Column) -> Column:
     return F.when(bare | (place < 0) | place.isNull(), "").otherwise(F.get(F.get(forms, style), place))
 
 
-def transcripts_of(conversations: DataFrame) -> DataFrame:
+def transcripts_of(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """conversations(conv_id, turn, role, text) as transcripts(conv_id, stretch,
-    text, roles). A conversation of more than ``STRETCH`` turns gives several."""
-    plain = only(conversations, "conv_id", "turn", "role", "text")
+    text, true_roles, lines). A conversation of more than ``stretch`` rows gives
+    several."""
+    plain = only(conversations, "conv_id", "turn", "role", "text").withColumn("tie", F.xxhash64("text"))
+    plain = row_numbers(plain, ["turn", "role", "tie"], "row", within=("conv_id",))
     body = F.concat(_heading(F.col("conv_id"), F.col("turn"), F.col("role")), F.coalesce("text", F.lit("")))
     turns = F.sort_array(
-        F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), body.alias("body")))
+        F.collect_list(F.struct("row", F.coalesce("role", F.lit("")).alias("role"), body.alias("body")))
     )
     lines = F.flatten(
         F.transform(
@@ -232,7 +362,7 @@ def transcripts_of(conversations: DataFrame) -> DataFrame:
         )
     )
     return (
-        plain.groupBy("conv_id", F.floor(F.col("turn") / STRETCH).alias("stretch"))
+        plain.groupBy("conv_id", F.floor((F.col("row") - 1) / stretch).alias("stretch"))
         .agg(turns.alias("turns"))
         .select(
             "conv_id",
@@ -244,21 +374,32 @@ def transcripts_of(conversations: DataFrame) -> DataFrame:
     )
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
+def format_conversations(
+    conversations: DataFrame, model: Model | None = None, stretch: int = STRETCH, fan: int = FAN
+) -> DataFrame:
     """The registered query: transcripts of all conversations, a model counted on
-    four fifths of them, and every transcript parsed by it."""
-    transcripts = transcripts_of(conversations)
+    four fifths of them unless given, and every transcript parsed by it, cut or not.
+    Counting leaves out the moves over cuts."""
+    transcripts = stored(transcripts_of(conversations, stretch), "chat-transcripts")
     learnable = F.pmod(F.xxhash64("conv_id", F.lit(3)), F.lit(5)) != 0
-    model = train(transcripts.where(learnable))
-    keyed = transcripts.select(
-        F.struct("conv_id", "stretch", "true_roles", (~learnable).alias("held_out")).alias("key"), "text"
+    # a later stretch does not begin a transcript
+    cut_off = F.array(F.struct(F.lit("").alias("line"), F.lit("").alias("role"), F.lit(False).alias("first")))
+    lines = F.when(F.col("stretch") > 0, F.concat(cut_off, "lines")).otherwise(F.col("lines"))
+    model = model or train(transcripts.where(learnable).select(lines.alias("lines")))
+    cut = transcripts.where("stretch > 0").select(F.col("conv_id").alias("__cut")).distinct()
+    same = F.col("conv_id").eqNullSafe(F.col("__cut"))
+    ends = ends_of_stretches(transcripts.join(cut, same, "left_semi"), model, fan).toDF("__conv", "__stretch", "entry", "end")
+    here = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("stretch") == F.col("__stretch"))
+    keyed = transcripts.join(ends, here, "left").select(
+        F.struct("conv_id", "stretch", "true_roles", (~learnable).alias("held_out")).alias("key"), "text", "entry", "end"
     )
-    return parse(keyed, model, "key").select(
+    return parse(keyed, model, "key", "text", "entry", "end").select(
         "conv_id.conv_id",
         "conv_id.stretch",
         "conv_id.held_out",
         "n_turns",
         "roles",
-        (F.col("roles") == F.col("conv_id.true_roles")).alias("roles_right"),
+        ((F.col("roles") == F.col("conv_id.true_roles")) & ~F.col("continues")).alias("roles_right"),
         "rendered",
+        "continues",
     )

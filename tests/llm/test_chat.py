@@ -45,10 +45,10 @@ def test_markers():
 def test_turns_and_canonical_form():
     model = ch.Model.counted({})
     text = "System: be kind\nUser: hello\nsecond line?\n\nAssistant: hi\nmore.\nUser: bye"
-    turns = model.turns(text)
-    assert turns == [("system", "be kind"), ("user", "hello\nsecond line?"), ("assistant", "hi\nmore."), ("user", "bye")]
+    goes_on, turns = model.turns(text)
+    assert not goes_on and turns == [("system", "be kind"), ("user", "hello\nsecond line?"), ("assistant", "hi\nmore."), ("user", "bye")]
     assert ch.render(turns[:1]) == "<|system|>\nbe kind\n<|end|>\n"
-    assert model.turns(None) == [] and model.turns("") == []
+    assert model.turns(None) == (False, []) and model.turns("") == (False, [])
 
 
 def test_roles_are_recovered(spark, sf_dir):
@@ -82,3 +82,63 @@ def test_long_conversations_are_cut_into_stretches(spark):
     found = ch.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted(r["stretch"] for r in found) == [0, 1, 2]
     assert sum(r["rendered"].count("t") > 0 for r in found) == 3
+
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def odd_conversations(rng):
+    """Few markers, turns of several lines, blanks; null conversations and turns."""
+    rows = []
+    for conv, n in ((1, 90), (2, 7), (3, 23), (None, 41), (4, 8), (5, 9), (6, 1)):
+        for k in range(n):
+            lines = [" ".join(rng.choices(["a", "b", "c?", "d."], k=rng.randrange(9))) for _ in range(rng.randrange(1, 4))]
+            rows.append((conv, rng.choice([None, k, k // 3]), rng.choice(ch.ROLES), "\n".join(lines)))
+    return rows
+
+
+def test_cut_conversations_get_the_states_of_whole_ones(spark):
+    rng = random.Random(4)
+    for fan in (2, 3, 512):
+        model = model_from(rng)
+        df = spark.createDataFrame(odd_conversations(rng), SCHEMA)
+        parts = ch.stored(ch.transcripts_of(df, stretch=4), "test")
+        ends = {(r[0], r[1]): (r[2], r[3]) for r in ch.ends_of_stretches(parts, model, fan).collect()}
+        stretches = {}
+        for r in parts.collect():
+            stretches.setdefault(r["conv_id"], {})[r["stretch"]] = r["text"]
+        assert len(ends) == parts.count() and len(stretches[1]) == 23
+        for conv, texts in stretches.items():
+            assert sorted(texts) == list(range(len(texts)))
+            whole = [ch.read_line(x) for k in sorted(texts) for x in texts[k].split("\n")]
+            found = []
+            for k in sorted(texts):
+                entry, end = ends[conv, k]
+                assert (entry is None) == (k == 0) and (k == 0 or entry == found[-1])
+                found += model.states([ch.read_line(x) for x in texts[k].split("\n")], entry, end)
+            wanted = model.states(whole)
+            assert found == wanted or np.isclose(weight(model, found, whole), weight(model, wanted, whole), rtol=1e-12)
+
+
+def test_cutting_changes_no_role(spark):
+    df, model = spark.createDataFrame(odd_conversations(random.Random(5)), SCHEMA), model_from(random.Random(6))
+
+    def roles(stretch):
+        out = {}
+        rows = ch.format_conversations(df, model, stretch, fan=2).collect()
+        for r in sorted(rows, key=lambda r: (str(r["conv_id"]), r["stretch"])):
+            mine = r["roles"].split(",")
+            known = out.setdefault(r["conv_id"], [])
+            assert not r["continues"] or known[-1] == mine[0]
+            known += mine[1:] if r["continues"] else mine
+        return out, len(rows)
+
+    (whole, n), (cut, m) = roles(1000), roles(5)
+    assert n == 7 and m == 39
+    assert whole == cut
+
+
+def test_rows_of_one_turn_are_cut(spark):
+    rows = [(None, None, "user", "x")] * 1300 + [(1, 5, "user", "y")] * 600
+    found = ch.format_conversations(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r["conv_id"]), r["stretch"]) for r in found) == [("1", 0), ("1", 1), ("None", 0), ("None", 1), ("None", 2)]
