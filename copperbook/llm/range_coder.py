@@ -8,7 +8,8 @@ numpy arrays, and then the models learn what was coded.
 For each id, order 2 (the two ids before) and order 1 (the id before) each
 predict an id, with a count of how often that was right of late. The symbols are:
 order 2 is right, order 1 is right, neither. Their frequencies are the sum of
-three adaptive tables: one chosen by each order's count and one by both. If
+three adaptive tables: one chosen by each order's count and one by both, brought
+up to date every ``_MIX_EVERY`` steps. If
 neither is right, order 0 gives the id by adaptive frequencies of all ids, which
 begin falling with the number of the id, as the ids of byte pairs do, and take in
 what came since after steps that grow from 1 to ``_LEARN_EVERY``.
@@ -33,12 +34,16 @@ _SURE = 8  # an order's count is below this
 _SYMBOLS = 3
 _STEP, _MOST = 2, 510  # of the symbols' tables: what a symbol adds, the sum that halves
 _ADD, _MOST_0 = 16, 1 << 20  # of order 0
-_LEARN_EVERY = 32
+_LEARN_EVERY, _MIX_EVERY = 32, 8
 _HEAD = struct.Struct("<III")
 
 _U = np.uint64
 _SIXTEEN, _THIRTY_TWO = _U(16), _U(32)
 _MASK48, _MASK32 = _U((1 << 48) - 1), _U((1 << 32) - 1)
+# what becomes of an id seen last with its count 0 to 7, when wrong and when right:
+# a count above two halves before another id takes the place
+_CHANGE = np.array([(k >> 1) - k for k in range(_SURE)] + [1] * (_SURE - 1) + [0], np.int32)
+_REPLACED = np.arange(2 * _SURE) <= 2
 _FIRST = 1 + (1 << 15) // (np.arange(_IDS, dtype=np.int64) + 256)
 
 
@@ -138,6 +143,33 @@ class _Order0:
         return ids
 
 
+class _Mixer:
+    """Frequencies of the symbols, by block and the counts of order 2 and order 1."""
+
+    def __init__(self, blocks: int):
+        self.rows = blocks * _SURE * _SURE
+        self.shape = (_SYMBOLS, blocks, _SURE, _SURE)
+        shapes = ((_SYMBOLS, blocks, _SURE, 1), (_SYMBOLS, blocks, 1, _SURE), self.shape)
+        self.tables = [np.full(shape, 4) for shape in shapes]
+        self.fresh: list[np.ndarray] = []
+        self.learn()
+
+    def see(self, chosen: np.ndarray) -> None:
+        self.fresh.append(chosen)
+
+    def learn(self) -> None:
+        if self.fresh:
+            n = np.bincount(np.concatenate(self.fresh), minlength=_SYMBOLS * self.rows).reshape(self.shape) * _STEP
+            self.fresh = []
+            for table, more in zip(self.tables, (n.sum(axis=3, keepdims=True), n.sum(axis=2, keepdims=True), n)):
+                table += more
+                while (full := table.sum(axis=0) > _MOST).any():
+                    table[:, full] = (table[:, full] + 1) >> 1
+        mixed = self.tables[0] + self.tables[1] + 2 * self.tables[2]
+        self.size = mixed.reshape(_SYMBOLS, -1).astype(_U)
+        self.ends = self.size.cumsum(axis=0, dtype=_U)
+
+
 def _pass(coder: _Coder, blocks: np.ndarray, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
     """Code or decode all strands, sorted by length, longest first. ``blocks`` has
     the number of the block of each strand."""
@@ -145,8 +177,7 @@ def _pass(coder: _Coder, blocks: np.ndarray, lengths: np.ndarray, ids: np.ndarra
     blocks = blocks.astype(np.int64)
     out = np.zeros((steps, live), np.int32)
     order0 = _Order0(n_blocks)
-    shape = (n_blocks, _SURE, _SURE, _SYMBOLS)  # by the counts of order 2 and of order 1
-    tables = [np.full((n_blocks, _SURE, 1, 3), 4), np.full((n_blocks, 1, _SURE, 3), 4), np.full(shape, 4)]
+    mixer = _Mixer(n_blocks)
     # per block and context: the id seen last, with its count in the lowest three bits
     guesses = [np.full(n_blocks << 16, -_SURE, np.int32) for _ in "ab"]
     before, earlier = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -160,19 +191,18 @@ def _pass(coder: _Coder, blocks: np.ndarray, lengths: np.ndarray, ids: np.ndarra
         seen = [g.take(at) for g, at in zip(guesses, slots)]
         guess, sure = [x >> 3 for x in seen], [x & (_SURE - 1) for x in seen]
         rows = (own * _SURE + sure[0]) * _SURE + sure[1]
-        mixed = (tables[0] + tables[1] + 2 * tables[2]).reshape(-1, _SYMBOLS)
-        ends = mixed.cumsum(axis=1).astype(_U)
         total0 = order0.total.take(own)
-        wide = coder.range[:live] // (ends[:, 2].take(rows) * total0)
+        all_ = mixer.ends[2].take(rows) * total0
+        wide = coder.range[:live] // all_
         if ids is None:
             place = ((coder.input[:live] - coder.low[:live]) & _MASK48) // wide
-            place = np.minimum(place, ends[:, 2].take(rows) * total0 - _U(1))
+            place = np.minimum(place, all_ - _U(1))
             which = place // total0
-            symbol = (which >= ends[:, 0].take(rows)).astype(np.int64) + (which >= ends[:, 1].take(rows))
+            symbol = (which >= mixer.ends[0].take(rows)).astype(np.int64) + (which >= mixer.ends[1].take(rows))
             value = np.where(symbol == 0, guess[0], guess[1]).astype(np.int64)
             new = np.flatnonzero(symbol == 2)
-            inside = place[new] - ends[:, 1].take(rows[new]) * total0[new]
-            new_ids = order0.find(own[new], inside // mixed[:, 2].take(rows[new]).astype(_U))
+            inside = place[new] - mixer.ends[1].take(rows[new]) * total0[new]
+            new_ids = order0.find(own[new], inside // mixer.size[2].take(rows[new]))
             value[new] = new_ids
             right = [value == g for g in guess]
         else:
@@ -181,28 +211,24 @@ def _pass(coder: _Coder, blocks: np.ndarray, lengths: np.ndarray, ids: np.ndarra
             symbol = np.where(right[0], 0, np.where(right[1], 1, 2))
             new = np.flatnonzero(symbol == 2)
             new_ids = value[new]
-        chosen = rows * _SYMBOLS + symbol
-        size = mixed.reshape(-1).take(chosen).astype(_U)
-        start = (ends.reshape(-1).take(chosen) - size) * total0
+        chosen = symbol * mixer.rows + rows
+        size = mixer.size.reshape(-1).take(chosen)
+        start = (mixer.ends.reshape(-1).take(chosen) - size) * total0
         start0, size0 = order0.share(own[new], new_ids)
         part = size * total0
         start[new] += start0 * size[new]
         part[new] = size[new] * size0
         coder.narrow(live, start * wide, part * wide)
         order0.see(own[new], new_ids)
-        n = _STEP * np.bincount(chosen, minlength=mixed.size).reshape(shape)
-        for table, fresh in zip(tables, (n.sum(axis=2, keepdims=True), n.sum(axis=1, keepdims=True), n)):
-            table += fresh
-            while (full := table.sum(axis=3) > _MOST).any():
-                table[full] = (table[full] + 1) >> 1
-        for g, at, hit, old, was in zip(guesses, slots, right, guess, sure):
-            # a sure guess loses half its count before another takes its place
-            stays = ~hit & (was > 2)
-            other = np.where(stays, (old << 3) + (was >> 1), (value << 3) + 1)
-            g[at] = np.where(hit, (value << 3) + np.minimum(was + 1, _SURE - 1), other)
+        mixer.see(chosen)
+        for g, at, hit, was, sure_ in zip(guesses, slots, right, seen, sure):
+            key = sure_ + _SURE * hit
+            g[at] = np.where(_REPLACED.take(key), (value << 3) + 1, was + _CHANGE.take(key))
         out[step, :live] = value
         earlier[:live] = b
         before[:live] = value
+        if step < 16 or step % _MIX_EVERY == 0:
+            mixer.learn()
         if step + 1 >= learn_at:
             order0.learn()
             learn_at += min(learn_at, _LEARN_EVERY)
