@@ -101,10 +101,11 @@ def diff_rows(a: DataFrame, b: DataFrame, name: str, place: str, fields: tuple[s
     kept = scratch_path(a.sparkSession, "matched-rows")
     told.write.parquet(kept)
     each = a.sparkSession.read.schema(told.schema).parquet(kept)
-    # the matching row of b, by its place
+    # the matching row of b, by its place; sorted on both sides, since the size of the
+    # files says little of what a broadcast of them would hold
     left = each.where("is_a")
     right = each.where("NOT is_a").select("path", F.col("place").alias("other"), F.col("said").alias("said_b"))
-    together = left.join(right, ["path", "other"], "left")
+    together = left.join(right.hint("merge"), ["path", "other"], "left")
 
     def text(said: str, field: str) -> Column:
         return F.col(f"{said}.{field}").cast("string")

@@ -120,3 +120,11 @@ def test_items_of_programs(spark, sources):
         ("p", "changed", "B", 3, 3, "value", "7", "8"),
         ("p", "removed", "C", 4, None, None, None, None),
     ]
+
+
+def test_matched_rows_are_not_sent_to_every_task(spark):
+    rows = spark.createDataFrame([("p", "A", 1, "X", "")], SCHEMA)
+    found = df.diff_rows(rows, rows.withColumn("pic", F.lit("9")), "name", "n", ("pic", "use"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [r.value_b for r in found.collect()] == ["9"]
