@@ -1,5 +1,8 @@
 """Files in and out, and streams of files."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from copperbook.operators import outline as ol
 from copperbook.operators import statements as sm
 from copperbook.sources import files
@@ -74,3 +77,21 @@ def test_intake_reads_each_file_once(spark, tmp_path):
     (root / "late.cbl").write_text(PROGRAM % "LATE")
     assert run() == ["LATE", "ONE", "TOP", "TWO"]
     assert intake.intake_table(spark, out, "statements").count() == 4
+
+
+def test_sources_are_written_as_sparks_writers_do(spark, tmp_path):
+    names = ["a/b:c%2F=d", "it's [x]^{y}\\z\"#*?", "ü ñ", "tab\there", None, "", "twice", "twice"]
+    rows = spark.createDataFrame([(n, f"text {i}\r\nü" if i else None) for i, n in enumerate(names)], "path string, text string").coalesce(1)
+    files.write_sources(rows, f"file://{tmp_path}/ours")
+    rows.select(F.col("path").alias("program"), "text").write.partitionBy("program").option("lineSep", "\n").text(f"{tmp_path}/theirs")
+
+    def folders(root):
+        return {f.parent.name: b"".join(sorted(f.read_bytes().splitlines(True))) for f in root.glob("program=*/part-*.txt")}
+
+    assert folders(tmp_path / "ours") == folders(tmp_path / "theirs") and len(folders(tmp_path / "ours")) == 6
+    # a file and no more: the others of Spark's writers cost a process each
+    assert {f.name for f in (tmp_path / "ours").glob("program=*/*")} == {"part-00000.txt"}
+    back = files.read_sources(spark, f"{tmp_path}/ours", (".txt",))
+    assert {r.text for r in back.where(F.col("path").contains("ü")).collect()} == {"text 2\r\nü\n"}
+    with pytest.raises(FileExistsError):
+        files.write_sources(rows, f"{tmp_path}/ours")
