@@ -88,3 +88,13 @@ def test_encoding(spark, tmp_path, small_blocks):
     (tmp_path / "j.cbl").write_bytes(text.encode("shift_jis"))
     lines = lg.long_lines(spark, str(tmp_path), encoding="Shift_JIS", above=0)
     assert {r.raw for r in lines.collect()} == {"       MOVE '日本語' TO A."} and lines.count() == 700
+
+
+def test_paths_do_not_pass_through_the_driver(spark, root):
+    spark.sparkContext.setJobGroup("lines of long files", "")
+    try:
+        lines = files.decoded_lines(spark, root, above=0)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lines of long files")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert lines.select("path").distinct().count() == len(TEXTS)
