@@ -247,7 +247,8 @@ def evaluate_ranges(df: DataFrame, subjects: list[str], whens: DataFrame, result
         return out
 
     coded = df.withColumn("__ends", ends).withColumn("__code", _code(F.col("__ends"), F.col(f"`{subjects[0]}`")))
-    joined = coded.join(lists, "__code", "left")
+    # sorted on both sides: the lists together are no small table, however small the WHENs are
+    joined = coded.join(lists.hint("merge"), "__code", "left")
     at = first_index(F.coalesce("__whens", F.array().cast(lists.schema["__whens"].dataType)), holds)
     value = F.when(at.isNotNull(), F.get("__whens", at - 1).getField("then")).otherwise(F.lit(other))
     return joined.withColumn(result, value).drop("__code", "__ends", "__whens")

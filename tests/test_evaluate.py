@@ -60,6 +60,15 @@ def test_plan_joins_by_equality(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_lists_are_not_sent_to_every_task(spark):
+    df = spark.range(10).selectExpr("id AS s", "id AS t")
+    whens = spark.range(20).selectExpr("id AS place", "0L AS low_1", "id AS high_1", "id AS low_2", "id AS high_2", "id AS then")
+    found = rc.evaluate_ranges(df, ["s", "t"], whens, "rate")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r.s: r.rate for r in found.collect()} == {n: n for n in range(10)}
+
+
 def test_search_all(spark):
     rng = random.Random(9)
     rows = [(n, sorted(rng.choices(range(50), k=rng.randrange(30))), rng.randrange(-2, 53)) for n in range(300)]
