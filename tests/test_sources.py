@@ -95,3 +95,20 @@ def test_sources_are_written_as_sparks_writers_do(spark, tmp_path):
     assert {r.text for r in back.where(F.col("path").contains("ü")).collect()} == {"text 2\r\nü\n"}
     with pytest.raises(FileExistsError):
         files.write_sources(rows, f"{tmp_path}/ours")
+
+
+def test_a_batch_of_files_is_listed_by_few_tasks(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    for i in range(200):
+        (root / f"{i}.cbl").write_text(PROGRAM % f"P{i}")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    stream = intake.source_stream(spark, str(root))
+    with files.few_listing_tasks(spark):
+        query = intake.start_intake(stream, {"headers": ol.program_header}, str(tmp_path / "out"), str(tmp_path / "cp"), prepare=ol.outline)
+        query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(job).stageIds]
+    assert 0 < max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert intake.intake_table(spark, str(tmp_path / "out"), "headers").count() == 200
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
