@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 
 from copperbook.functions.fields import leading
 from copperbook.operators import keyed as ky
-from copperbook.session import scratch_path
+from copperbook.session import scratch_path, settings
+from copperbook.sources.files import few_listing_tasks
 
 #: Ranges of a table at most; beyond, ranges hold more records.
 MOST_RANGES = 1 << 16
+#: Keys for each range, times three, that the driver takes to choose the ends of ranges.
+KEYS_OF_RANGE = 10
 #: Ranges looked at together for the next records of a browse, at first.
 AHEAD = 8
 
@@ -47,8 +50,9 @@ def write_ranges(table: DataFrame, path: str, keys: list[str], per_range: int =
         return
     count = max(1, min(MOST_RANGES, -(-held // per_range)))
     ranged = table.repartitionByRange(count, *keys).withColumn("key_range", F.spark_partition_id())
-    _write(ranged, f"{path}/rows", keys)
-    rows = spark.read.parquet(f"{path}/rows")
+    with settings(spark, {"spark.sql.execution.rangeExchange.sampleSizePerPartition": str(KEYS_OF_RANGE)}):
+        _write(ranged, f"{path}/rows", keys)
+    rows = _rows(spark, path)
     lows = rows.groupBy("key_range").agg(F.min(_at(keys)).alias("low"))
     lows.repartition(1).write.mode("overwrite").parquet(f"{path}/ranges")  # at most MOST_RANGES rows
 
@@ -63,9 +67,14 @@ def _write(ranged: DataFrame, rows: str, keys: list[str], mode: str = "static")
     )
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    with few_listing_tasks(spark):
+        return spark.read.parquet(f"{path}/rows")
+
+
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     """All records of the table."""
-    return spark.read.parquet(f"{path}/rows").drop("key_range")
+    return _rows(spark, path).drop("key_range")
 
 
 def _in_range(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
@@ -103,7 +112,7 @@ def read_next(
     as many after it (before it) as can hold n records: these are counted from
     the files' footers. At the end of the table fewer records come, or none."""
     ranges = spark.read.parquet(f"{path}/ranges")
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = _rows(spark, path)
     kinds = ranges.schema["low"].dataType
     here = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(place.key, kinds)])
     first = ranges.where(F.col("low") <= here).agg(F.max("key_range")).first()[0]
@@ -137,7 +146,7 @@ def change_ranges(spark: SparkSession, path: str, log: DataFrame, keys: list[str
     """Apply a log of WRITE, REWRITE and DELETE, as ``keyed.apply_changes`` does, to
     the ranges its keys fall into; all others keep their files. A log that is
     applied again changes nothing."""
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = _rows(spark, path)
     fields = [c for c in rows.columns if c not in ("key_range", *keys)]
     # one row per key, with its range; written once, as it is read three times
     summary = ky.change_summary(log.withColumn("__id", _at(keys)), "__id", [*keys, *fields], seq, op)
@@ -176,7 +185,7 @@ def merge_ranges(spark: SparkSession, path: str, rows: DataFrame, keys: list[str
 
 def delete_ranges(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str]) -> None:
     """DELETE: records with these keys go."""
-    table = spark.read.parquet(f"{path}/rows")
+    table = _rows(spark, path)
     missing = [f for f in table.schema if f.name not in ("key_range", *keys)]
     full = wanted.select(*keys).withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
     change_ranges(spark, path, _as_log(full, ky.DELETE, None), keys)

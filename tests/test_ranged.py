@@ -160,3 +160,18 @@ def test_empty_table(spark, path):
     assert keys_of(page) == [] and place == rg.start_browse(1)
     rg.merge_ranges(spark, path, spark.createDataFrame([(1, "a", None)], SCHEMA), ["k"])
     assert rows_of(spark, path) == [(1, "a", None)]
+
+
+def test_many_ranges_send_little_to_the_driver(spark, tmp_path):
+    path, context = str(tmp_path / "many"), spark.sparkContext
+    context.setJobGroup("many ranges", "")
+    try:
+        rg.write_ranges(spark.range(300).withColumnRenamed("id", "k"), path, ["k"], 2)
+        page, _ = rg.read_next(spark, path, ["k"], rg.start_browse(100), 5)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.k for r in page.collect()] == [100, 101, 102, 103, 104]
+    tracker = context.statusTracker()
+    infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many ranges") for s in tracker.getJobInfo(j).stageIds]
+    listed = [i.numTasks for i in infos if i and i.name.startswith("parquet at")]
+    assert listed and sum(n > 4 * context.defaultParallelism for n in listed) <= 1  # but the write itself
