@@ -162,9 +162,10 @@ def occurs_explode(df: DataFrame, table: str, index: str = "subscript", counter:
     DEPENDING ON field."""
     items = F.col(table) if counter is None else F.slice(F.col(table), F.lit(1), F.col(counter).cast("int"))
     others = [c for c in df.columns if c != table]
-    return df.select(*others, F.posexplode(items).alias("__at", table)).select(
-        *others, (F.col("__at") + 1).alias(index), table
-    )
+    # the outer form: for the inner one the planner adds a filter on the size of the
+    # table, which makes a table that is computed from the record twice
+    placed = df.select(*others, F.posexplode_outer(items).alias("__at", table)).where(F.col("__at").isNotNull())
+    return placed.select(*others, (F.col("__at") + 1).alias(index), table)
 
 
 def redefines_view(df: DataFrame, record: str, field: str, views: list[tuple[Column, int, int, str]], other=None) -> DataFrame:

@@ -19,6 +19,10 @@ _WRITE_MODES = {"OUTPUT": "overwrite", "EXTEND": "append", "I-O": "append"}
 _CHARACTER_USAGES = ("", "DISPLAY")
 
 
+# Types that hold whole numbers.
+_WHOLE = ("int", "bigint")
+
+
 @dataclass(frozen=True)
 class Field:
     """Place of one field in a record; ``start`` counts from 1. ``length`` is
@@ -98,17 +102,12 @@ def element_value(field: Field, text: Column) -> Column:
         return F.rtrim(text)
     shown = F.trim(text)
     if field.point or not field.scale:
-        return shown.try_cast(f"decimal(38,{field.scale})").try_cast(field.dtype)
-    # the point goes in among the characters, so that no digit is rounded
-    digits = F.regexp_extract(shown, r"^[+-]?(\d+)$", 1)
-    filled = F.lpad(digits, F.greatest(F.length(digits), F.lit(field.scale)), F.lit("0"))
-    pointed = F.concat(
-        F.when(shown.startswith("-"), "-").otherwise(""),
-        F.substring(filled, F.lit(1), F.length(filled) - field.scale),
-        F.lit("."),
-        F.right(filled, F.lit(field.scale)),
-    )
-    return F.when(digits != "", pointed.try_cast(field.dtype))
+        exact = shown.try_cast(f"decimal(38,{field.scale})").try_cast(field.dtype)
+        # plain digits, as most are, take a tenth of the way
+        return F.coalesce(shown.try_cast(field.dtype), exact) if field.dtype in _WHOLE else exact
+    # the point is an exponent behind the digits, so that none is rounded
+    number = F.regexp_extract(shown, r"^([+-]?\d+)$", 1)
+    return F.concat(number, F.lit(f"E-{field.scale}")).try_cast(field.dtype)
 
 
 def _read(field: Field) -> Column:
@@ -128,11 +127,13 @@ def element_text(field: Field, value: Column) -> Column:
     blank = F.lit(" " * field.length)
     if field.is_text:
         return F.rpad(F.coalesce(value, F.lit("")), field.length, " ")
-    digits = field.length - (1 if field.signed else 0) - (1 if field.point else 0)
+    digits = min(38, max(0, field.length - (1 if field.signed else 0) - (1 if field.point else 0)))
     exact = value.try_cast(f"decimal(38,{field.scale})")
     # the digits as written, without the point; high-order ones without a place are lost
-    plain = F.regexp_replace(F.abs(exact).cast("string"), r"\.", "")
-    kept = F.right(F.lpad(plain, 38, "0"), F.lit(digits))
+    plain = F.abs(exact).cast("string")
+    if field.scale:
+        plain = F.replace(plain, F.lit("."), F.lit(""))
+    kept = F.substring(F.concat(F.lit("0" * digits), plain), -digits, digits)
     if field.point:
         kept = F.concat(F.substring(kept, 1, digits - field.scale), F.lit("."), F.right(kept, F.lit(field.scale)))
     if field.signed:

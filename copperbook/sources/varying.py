@@ -118,50 +118,104 @@ def _count(of: Item, scope: dict[str, Column]) -> Column:
 
 
 def _upto(count: Column) -> Column:
-    """0, 1, ... below the count; null for null."""
+    """0, 1, ... below the count; null for null. The count is used several times."""
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).when(count == 0, F.array().cast("array<int>"))
 
 
-def _element(of: Item, text: Column, at: Column, scope: dict[str, Column], use) -> Column:
-    """use(value, next position) for one element at a position."""
+def _is_counter(of: Item, before: tuple[Item, ...]) -> bool:
+    return of.field is not None and of.name in _bounds(before)
+
+
+def _behind(of: Item, text: Column, at: Column, scope: dict[str, Column]) -> Column:
+    """The position behind an item. Only counters are cut out for it."""
+    if of.size is not None:
+        return at + of.size
+    if not of.most:
+        return _behind_element(of, text, at, scope)
+    count, each = _count(of, scope), of.element_size
+    if each is not None:
+        return at + count * each
+    # nullable from the start, as the position is lost behind a bad counter
+    begin = F.when(text.isNotNull(), at)
+    return F.aggregate(let(count, _upto), begin, lambda p, _: _behind_element(of, text, p, scope))
+
+
+def _behind_element(of: Item, text: Column, at: Column, scope: dict[str, Column]) -> Column:
+    def walk(left: tuple[Item, ...], at: Column, scope: dict[str, Column]) -> Column:
+        if not left:
+            return at
+        child, rest = left[0], left[1:]
+        if _is_counter(child, rest):
+            return let(_value(child, text, at, scope), lambda v: walk(rest, at + child.size, scope | {child.name: v}))
+        if child.size is not None:
+            return walk(rest, at + child.size, scope)
+        # its value is no counter of what follows, so it need not be cut out
+        return let(_behind(child, text, at, scope), lambda p: walk(rest, p, scope)) if _bounds(rest) else walk(
+            rest, _behind(child, text, at, scope), scope
+        )
+
+    return at + of.field.length if of.field else walk(of.children, at, scope)
+
+
+def _most_characters(of: Item) -> int:
+    """Characters of one element at most."""
     if of.field:
-        return use(element_value(of.field, F.substr(text, at, F.lit(of.field.length))), at + of.field.length)
+        return of.field.length
+    return sum(_most_characters(c) * max(1, c.most) for c in of.children)
+
+
+def _element(of: Item, text: Column, at: Column, scope: dict[str, Column]) -> Column:
+    """The value of one element at a position."""
+    if of.field:
+        return element_value(of.field, F.substr(text, at, F.lit(of.field.length)))
 
     def children(left: tuple[Item, ...], at: Column, scope: dict[str, Column], done: list[Column]) -> Column:
         if not left:
-            return use(F.struct(*done), at)
-        child = left[0]
+            return F.struct(*done)
+        child, rest = left[0], left[1:]
 
-        def go_on(value: Column, after: Column) -> Column:
-            return children(left[1:], after, scope | {child.name: value}, [*done, value.alias(child.name)])
+        def go_on(value: Column) -> Column:
+            inner, out = scope | {child.name: value}, [*done, value.alias(child.name)]
+            if child.size is not None or not rest:
+                return children(rest, at if child.size is None else at + child.size, inner, out)
+            # bound once: the places of all that follow need it
+            return let(_behind(child, text, at, scope), lambda p: children(rest, p, inner, out))
 
-        if child.size is not None and not child.most:
-            return _element(child, text, at, scope, go_on)
-        # bound once: both the value and the place of all that follows need it
-        return let(_placed(child, text, at, scope), lambda t: go_on(t.value, t.after))
+        value = _value(child, text, at, scope)
+        # a counter is cut out once, however many places its table has
+        return let(value, go_on) if _is_counter(child, rest) else go_on(value)
 
     return children(of.children, at, scope, [])
 
 
-def _placed(of: Item, text: Column, at: Column, scope: dict[str, Column]) -> Column:
-    """struct(value, after) of an item at a position."""
+def _value(of: Item, text: Column, at: Column, scope: dict[str, Column]) -> Column:
+    """The value of an item at a position."""
     if not of.most:
-        return _element(of, text, at, scope, lambda v, after: F.struct(v.alias("value"), after.alias("after")))
+        return _element(of, text, at, scope)
     count, each = _count(of, scope), of.element_size
     if each is not None:
-        values = F.transform(_upto(count), lambda i: _element(of, text, at + i * each, scope, lambda v, _: v))
-        return F.struct(values.alias("value"), (at + count * each).alias("after"))
+        places = let(count, _upto) if of.depending else _upto(count)
+        return F.transform(places, lambda i: _element(of, text, at + i * each, scope))
+    return _elements(of, text, _starts(of, text, at, scope).starts, scope)
 
-    def step(s: Column, _: Column) -> Column:
-        return _element(
-            of, text, s.after, scope,
-            lambda v, after: F.struct(F.array_append(s.value, v).alias("value"), after.alias("after")),
-        )
 
-    empty = F.array().cast(f"array<{of.element_type}>")
-    # nullable from the start, as the position is lost behind a bad counter
+def _starts(of: Item, text: Column, at: Column, scope: dict[str, Column]) -> Column:
+    """struct(starts, after) of a table whose elements differ in size."""
+    none = F.array().cast("array<int>")
     begin = F.when(text.isNotNull(), at)
-    return F.aggregate(_upto(count), F.struct(empty.alias("value"), begin.alias("after")), step)
+
+    def step(s: Column, _: Column) -> Column:
+        after = _behind_element(of, text, s.after, scope)
+        return F.struct(F.array_append(s.starts, s.after).alias("starts"), after.alias("after"))
+
+    return F.aggregate(let(_count(of, scope), _upto), F.struct(none.alias("starts"), begin.alias("after")), step)
+
+
+def _elements(of: Item, text: Column, starts: Column, scope: dict[str, Column]) -> Column:
+    # each element is taken out of the record first: a place in a long text is counted
+    # from its start, so cutting every field there costs the square of its length
+    pieces = F.transform(starts, lambda p: F.substr(text, p, F.lit(_most_characters(of))))
+    return F.transform(pieces, lambda x: _element(of, x, F.lit(1), scope))
 
 
 def read_text(lines: DataFrame, layout: tuple[Item, ...], column: str = "value") -> DataFrame:
@@ -170,15 +224,17 @@ def read_text(lines: DataFrame, layout: tuple[Item, ...], column: str = "value")
     for n, of in enumerate(layout):
         at, text = base + offset, F.col(_TEXT)
         if of.size is not None:
-            value = _placed(of, text, at, scope).getField("value") if of.most or of.children else element_value(
-                of.field, F.substr(text, at, F.lit(of.size))
-            )
-            df = df.withColumn(of.name, value)
+            df = df.withColumn(of.name, _value(of, text, at, scope))
             offset += of.size
         else:
-            placed = df.withColumn(f"__placed{n}", _placed(of, text, at, scope))
-            df = placed.withColumn(of.name, F.col(f"__placed{n}.value"))
-            base, offset = F.col(f"__placed{n}.after"), 0
+            behind = f"__behind{n}"
+            if of.most and of.element_size is None:
+                df = df.withColumn(f"__starts{n}", _starts(of, text, at, scope))
+                df = df.withColumn(behind, F.col(f"__starts{n}.after"))
+                df = df.withColumn(of.name, _elements(of, text, F.col(f"__starts{n}.starts"), scope))
+            else:
+                df = df.withColumn(behind, _behind(of, text, at, scope)).withColumn(of.name, _value(of, text, at, scope))
+            base, offset = F.col(behind), 0
         scope[of.name] = F.col(of.name)
     return df.select(*[of.name for of in layout])
 
@@ -217,7 +273,7 @@ def _text_of(layout: tuple[Item, ...], get, scope: dict[str, Column]) -> list[Co
             out.append(one(value))
             continue
         count = F.least(F.greatest(scope[of.depending], F.lit(of.least)), F.lit(of.most)) if of.depending else F.lit(of.most)
-        places = _upto(count.cast("int"))
+        places = let(count.cast("int"), _upto)
         out.append(F.array_join(F.transform(places, lambda i: one(F.get(value, i))), ""))
     return out
 

@@ -4,6 +4,7 @@ import pytest
 
 from copperbook.operators import items as it
 from copperbook.operators import outline as ol
+from copperbook.operators import records as rc
 from copperbook.sources import varying as vr
 
 ORDER = (
@@ -141,3 +142,29 @@ def test_only_wanted_fields_are_cut(spark):
     df = spark.createDataFrame([("00101AA777",)], "value string")
     plan = vr.read_text(df, ORDER).select("id")._jdf.queryExecution().optimizedPlan().toString()
     assert "transform" not in plan.lower()
+
+
+def test_a_table_is_cut_once_however_it_is_used(spark):
+    layout = (
+        vr.item("n", 1, "int"),
+        vr.group("t", vr.item("m", 1, "int"), vr.item("a", 2, "decimal(2,1)", most=3, depending="m"), most=3, depending="n"),
+        vr.item("z", 2, "decimal(2,1)"),
+    )
+    df = spark.createDataFrame([("2112" + "2345699",), ("012",), ("9",), (None,)], "value string")
+    told = rc.occurs_explode(vr.read_text(df, layout), "t", "place")
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "size(" not in plan
+    # each decimal is matched once
+    assert plan.count("regexp_extract(") == 2
+    tenths = [(r.n, r.place, r.t.m, [str(x) for x in r.t.a], str(r.z)) for r in told.collect()]
+    assert tenths == [(2, 1, 1, ["1.2"], "9.9"), (2, 2, 2, ["3.4", "5.6"], "9.9")]
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("-0012", "-0.12"), ("+0012", "0.12"), ("    7", "0.07"), ("12345", "123.45"), ("-0000", "0.00"), ("1.234", None),
+     ("01E02", None), ("     ", None), ("1 234", None), ("    -", None), ("٣٣٣٣٣", None)],
+)
+def test_decimals_with_an_implied_point(spark, text, value):
+    ((found,),) = read(spark, [text], (vr.item("d", 5, "decimal(5,2)", True),))
+    assert (None if found is None else str(found)) == value
