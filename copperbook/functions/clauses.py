@@ -5,7 +5,7 @@ A clause is the word that follows its keyword, optional words passed over, so no
 clause is found inside a name or a literal.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copperbook.functions.text import let, no_dots
@@ -13,9 +13,10 @@ from copperbook.vocabulary import FIGURATIVE, USAGE_WORDS
 
 _QUOTED = r"""(?:"(?:[^"]|"")*"|'(?:[^']|'')*')"""
 # a literal with its prefix, or characters up to a blank or a separator before one
-_WORD = rf"""[^\s"',;]*{_QUOTED}|\S+?(?=[,;]?(?:\s|\z))"""
+# (the characters before a literal hold no quote, so none is given back)
+_WORD = rf"""[^\s"',;]*+{_QUOTED}|\S+?(?=[,;]?(?:\s|\z))"""
 # the same where a comma alone parts two words
-_LIST_WORD = rf"""[^\s"',;]*{_QUOTED}|[^\s,;]+"""
+_LIST_WORD = rf"""[^\s"',;]*+{_QUOTED}|[^\s,;]+"""
 PICTURE = ("PIC", "PICTURE")
 _USAGES = rf"^(?:{USAGE_WORDS})$"
 
@@ -34,9 +35,11 @@ def in_capitals(cut: Column) -> Column:
 
 def place_of(capitals: Column, *keywords: str) -> Column:
     """Place of the first of the keywords, from 1; 0 where there is none."""
-    if len(keywords) == 1:
-        return F.array_position(capitals, F.lit(keywords[0])).cast("int")
-    return F.array_position(F.transform(capitals, lambda w: w.isin(*keywords)), F.lit(True)).cast("int")
+    place = F.lit(0)
+    for keyword in keywords:
+        at = F.array_position(capitals, F.lit(keyword)).cast("int")
+        place = at if keyword == keywords[0] else F.when(place == 0, at).when(at == 0, place).otherwise(F.least(place, at))
+    return place
 
 
 def _past(capitals: Column, place: Column, optional: tuple[str, ...]) -> Column:
@@ -48,61 +51,70 @@ def _past(capitals: Column, place: Column, optional: tuple[str, ...]) -> Column:
 
 def after(cut: Column, capitals: Column, keywords: tuple[str, ...], optional: tuple[str, ...] = ()) -> Column:
     """The word after a keyword, past optional words; empty text for none."""
-    return let(
-        place_of(capitals, *keywords),
-        lambda at: F.when(at > 0, F.coalesce(F.get(cut, _past(capitals, at, optional)), F.lit(""))).otherwise(""),
-    )
+    return let(place_of(capitals, *keywords), lambda at: _word_after(cut, capitals, at, optional))
 
 
-def level_of(sentence: Column) -> Column:
-    return F.regexp_extract(sentence, r"^(\d{1,2})", 1).try_cast("int")
+def _word_after(cut: Column, capitals: Column, at: Column, optional: tuple[str, ...] = ()) -> Column:
+    return F.when(at > 0, F.coalesce(F.get(cut, _past(capitals, at, optional)), F.lit(""))).otherwise("")
 
 
-def _part(sentence: Column, n: int) -> Column:
-    """Level, name and the rest of a sentence, in three parts."""
-    return no_dots(F.coalesce(F.get(F.split(sentence, r"\s+", 3), F.lit(n)), F.lit("")))
+def level_of(sentence: Column) -> Column:
+    return F.regexp_extract(sentence, r"^(\d{1,2})", 1).try_cast("int")
 
 
 def name_of(sentence: Column) -> Column:
-    return _part(sentence, 1)
+    """The second word; ``split`` would compile its pattern for every sentence."""
+    return no_dots(F.coalesce(F.regexp_extract(sentence, r"^\S*+\s++(\S*+)", 1), F.lit("")))
 
 
 def clauses_of(sentence: Column) -> Column:
-    return _part(sentence, 2)
+    """What follows the second word."""
+    return no_dots(F.coalesce(F.regexp_extract(sentence, r"(?s)^\S*+\s++\S*+\s++(.*)", 1), F.lit("")))
 
 
 def has_picture(clauses: Column) -> Column:
     return F.exists(words(clauses), lambda w: F.upper(w).isin(*PICTURE))
 
 
-def cut_columns(clauses: Column) -> list[Column]:
-    """The words once as written and once in capitals; ``raw_clauses`` reads them."""
-    return [words(clauses).alias("cut"), in_capitals(words(clauses)).alias("capitals")]
+_KEYWORDS = {
+    "picture": PICTURE, "usage": ("USAGE",), "value": ("VALUE", "VALUES"), "occurs": ("OCCURS",),
+    "to": ("TO",), "depending": ("DEPENDING",), "redefines": ("REDEFINES",),
+}
+
+
+def cut_clauses(declared: DataFrame, clauses: str, *kept: str) -> DataFrame:
+    """The ``kept`` columns, the words of the clauses as written and in capitals, and
+    the place of each keyword: all columns, so that each is found once. ``raw_clauses``
+    reads them."""
+    cut = declared.select(*kept, words(F.col(clauses)).alias("cut"))
+    both = cut.select(*kept, "cut", in_capitals(F.col("cut")).alias("capitals"))
+    places = [place_of(F.col("capitals"), *found).alias(f"at_{name}") for name, found in _KEYWORDS.items()]
+    return both.select(*kept, "cut", "capitals", *places)
 
 
 def raw_clauses() -> list[Column]:
-    """The clause texts as found, from the columns of ``cut_columns``."""
+    """The clause texts as found, from the columns of ``cut_clauses``."""
     cut, capitals = F.col("cut"), F.col("capitals")
+
+    def word(name: str, *optional: str) -> Column:
+        return _word_after(cut, capitals, F.col(f"at_{name}"), optional)
+
     usages = F.filter(capitals, lambda w: w.rlike(_USAGES))
-    value = let(
-        place_of(capitals, "VALUE", "VALUES"),
-        lambda at: let(
-            _past(capitals, at, ("IS", "ARE")),
-            lambda to: F.when(at == 0, F.lit(""))
-            .when(F.get(capitals, to) == "ALL", F.concat_ws(" ", F.get(cut, to), F.get(cut, to + 1)))
-            .otherwise(F.coalesce(F.get(cut, to), F.lit(""))),
-        ),
+    to = _past(capitals, F.col("at_value"), ("IS", "ARE"))
+    value = (
+        F.when(F.col("at_value") == 0, F.lit(""))
+        .when(F.get(capitals, to) == "ALL", F.concat_ws(" ", F.get(cut, to), F.get(cut, to + 1)))
+        .otherwise(F.coalesce(F.get(cut, to), F.lit("")))
     )
-    depends = place_of(capitals, "DEPENDING") > 0
     return [
-        no_dots(after(cut, capitals, PICTURE, ("IS",))).alias("picture"),
-        F.upper(no_dots(after(cut, capitals, ("USAGE",), ("IS",)))).alias("named_usage"),
+        no_dots(word("picture", "IS")).alias("picture"),
+        F.upper(no_dots(word("usage", "IS"))).alias("named_usage"),
         F.coalesce(F.get(usages, F.lit(0)), F.lit("")).alias("bare_usage"),
         no_dots(value).alias("raw_value"),
-        after(cut, capitals, ("OCCURS",)).alias("raw_occurs"),
-        F.when(depends, after(cut, capitals, ("TO",))).otherwise("").alias("raw_most"),
-        no_dots(after(cut, capitals, ("DEPENDING",), ("ON",))).alias("occurs_depending"),
-        no_dots(after(cut, capitals, ("REDEFINES",))).alias("redefines"),
+        word("occurs").alias("raw_occurs"),
+        F.when(F.col("at_depending") > 0, word("to")).otherwise("").alias("raw_most"),
+        no_dots(word("depending", "ON")).alias("occurs_depending"),
+        no_dots(word("redefines")).alias("redefines"),
     ]
 
 

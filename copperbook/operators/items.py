@@ -64,7 +64,7 @@ def _placed_sentences() -> Column:
     def of_list(entry):
         def place_all(sentences):
             return let(
-                _places(F.transform(sentences, cl.level_of)),
+                let(F.transform(sentences, cl.level_of), _places),
                 lambda places: F.transform(
                     sentences,
                     lambda s, i: F.struct(
@@ -117,10 +117,9 @@ def data_items(outlined: DataFrame) -> DataFrame:
     declared = F.when(is_88, F.lit("")).otherwise(F.col("clauses"))
     before = ["path", "item_no", "section", "fd", "level", "name"]
     after = ["parent_no", "depth", "has_children", "parent_level", "parent_name", "parent_clauses", "clauses"]
+    cut = cl.cut_clauses(rows.select(*before, *after, declared.alias("declared")), "declared", *before, *after)
     return (
-        rows.select(*before, *after, declared.alias("declared"))
-        .select(*before, *after, *cl.cut_columns(F.col("declared")))
-        .select(*before, *after, *cl.raw_clauses())
+        cut.select(*before, *after, *cl.raw_clauses())
         .select(
             *before,
             *cl.item_columns(),
@@ -298,7 +297,7 @@ def screen_fields(outlined: DataFrame) -> DataFrame:
     """path, item_no, level, name, line, col, pic, value, from_field, to_field,
     attribute: items of the SCREEN section."""
     rows = data_items(outlined).where(F.col("section") == "SCREEN")
-    rows = rows.select("path", "item_no", "level", "name", "clauses", *cl.cut_columns(F.col("clauses")))
+    rows = cl.cut_clauses(rows, "clauses", "path", "item_no", "level", "name", "clauses")
 
     def word(*keywords, optional=()):
         return cl.after(F.col("cut"), F.col("capitals"), keywords, optional)

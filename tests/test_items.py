@@ -205,3 +205,23 @@ def test_screen_words_are_not_found_in_names(sources):
     lines = ["05 S-A LINE 99999999999 COL 4 PIC X(3) FROM WS-GOTO", "TO WS-TO-X VALUE 'FROM LINE 9'."]
     (row,) = it.screen_fields(ol.outline(sources(_program(*lines, section="SCREEN")))).collect()
     assert (row["line"], row["col"], row["from_field"], row["to_field"], row["value"]) == (None, 4, "WS-GOTO", "WS-TO-X", "FROM LINE 9")
+
+
+def test_words_of_an_item_are_found_once(spark, sources):
+    items = it.data_items(ol.outline(sources(""))).select("path", "picture", "usage", "value", "occurs", "redefines")
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"""(?=[,;]?(?:\s|\z))""") == 1
+
+
+def test_the_first_spelling_of_a_keyword_counts(sources):
+    text = """       IDENTIFICATION DIVISION.
+       DATA DIVISION.
+       WORKING-STORAGE SECTION.
+       01  A   PICTURE IS X(3) VALUES ARE IS "B" PIC 9.
+       05.
+       05
+           C
+           PIC  X VALUE ALL "Z".
+"""
+    rows = it.data_items(ol.outline(sources(text))).orderBy("item_no").collect()
+    assert [(r.name, r.picture, r.value) for r in rows] == [("A", "X(3)", "B"), ("C", "X", 'ALL "Z')]
