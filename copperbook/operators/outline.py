@@ -269,16 +269,16 @@ def file_control(outlined: DataFrame) -> DataFrame:
     ).select("path", (F.col("pos") + 1).alias("file_no"), "f.*")
 
 
-def file_count() -> Column:
-    """Number of rows ``file_control`` has for a file, from its outline row."""
+def file_count(lists: Column | None = None) -> Column:
+    """Number of rows ``file_control`` has for a file, from its outline row, and from
+    its ``data_lists`` where they are a column already."""
     sentences = _sentences()
     names = F.transform(
         F.filter(sentences, lambda s: s.rlike(_SELECT_START)),
         lambda s: F.upper(no_dots(F.regexp_extract(s, r"(?i)(?:\A|\n)SELECT\s+(\S+)", 1))),
     )
-    fds = F.transform(
-        F.filter(st.data_lists(F.col("data_text")), lambda x: x.section == "FILE"), lambda x: x.fd
-    )
+    cut = st.data_lists(F.col("data_text")) if lists is None else lists
+    fds = F.transform(F.filter(cut, lambda x: x.section == "FILE"), lambda x: x.fd)
     return F.size(names) + F.size(F.array_except(fds, names))
 
 

@@ -66,14 +66,19 @@ def program_summary(outlined: DataFrame) -> DataFrame:
     ``lines`` is the number of clean lines; the largest files show up there.
     """
     procedure = sm.with_procedure(outlined).withColumn("lists", st.data_lists(F.col("data_text")))
+    # columns, so that each section is cut into sentences once
+    procedure = procedure.withColumn(
+        "cut",
+        F.transform(
+            "lists",
+            lambda x: F.struct(
+                x.section.alias("section"), F.transform(st.data_sentences(x.body), drop_period).alias("sentences")
+            ),
+        ),
+    )
 
     def sentences_of(*sections):
-        return F.flatten(
-            F.transform(
-                F.filter("lists", lambda x: x.section.isin(*sections)),
-                lambda x: F.transform(st.data_sentences(x.body), drop_period),
-            )
-        )
+        return F.flatten(F.transform(F.filter("cut", lambda x: x.section.isin(*sections)), lambda x: x.sentences))
 
     prepared = procedure.select(
         "path",
@@ -85,7 +90,7 @@ def program_summary(outlined: DataFrame) -> DataFrame:
         sentences_of("WORKING-STORAGE").alias("working"),
         sentences_of("WORKING-STORAGE", "LOCAL-STORAGE", "LINKAGE", "SCREEN", "FILE").alias("data"),
         sentences_of("SCREEN").alias("screen"),
-        ol.file_count().alias("files"),
+        ol.file_count(F.col("lists")).alias("files"),
     )
     level = r"^(\d{1,2})\s+\S"
     data_sql = F.exists("data", lambda s: F.upper(s).startswith("EXEC ") & F.upper(s).contains("EXEC SQL"))

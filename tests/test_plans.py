@@ -75,3 +75,9 @@ def test_scans_read_only_what_is_used(spark, sf_dir):
 def test_no_python_in_any_plan(name, spark, sf_dir):
     plan = _plan(catalog.queries()[name](spark, sf_dir))
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_sections_are_cut_into_sentences_once(sources):
+    plan = su.program_summary(ol.outline(sources("")))._jdf.queryExecution().optimizedPlan().toString()
+    # one pattern for text without EXEC blocks and one for the rest between them
+    assert plan.count(r"(?i)\n(?:(?=COPY\s)|(?<=\.\n))") == 2
