@@ -158,8 +158,9 @@ def change_ranges(spark: SparkSession, path: str, log: DataFrame, keys: list[str
         return
     old = rows.where(F.col("key_range").isin(touched)).withColumn("__id", _at(keys))
     new = ky.apply_summary(old, changes.select(*old.columns, "__seq", "__op", "__written", "__deleted"), "__id").drop("__id")
+    # a record keeps its range, and so does a change: only the log was looked up
     done = scratch_path(spark, "changed")
-    _in_range(new.drop("key_range"), path, keys).write.parquet(done)
+    new.write.parquet(done)
     changed = spark.read.parquet(done).select(*rows.columns)
     left = {r[0] for r in changed.select("key_range").distinct().collect()}
     # a range is one task and gives one file

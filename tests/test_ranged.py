@@ -175,3 +175,25 @@ def test_many_ranges_send_little_to_the_driver(spark, tmp_path):
     infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many ranges") for s in tracker.getJobInfo(j).stageIds]
     listed = [i.numTasks for i in infos if i and i.name.startswith("parquet at")]
     assert listed and sum(n > 4 * context.defaultParallelism for n in listed) <= 1  # but the write itself
+
+
+def test_only_the_log_looks_for_its_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rg.write_ranges(spark.range(0, 1000, 10).selectExpr("id", "'old' AS v"), path, ["id"], 20)
+    sought = []
+
+    def in_range(df, *rest):
+        sought.append(df.count())
+        return found(df, *rest)
+
+    found = rg._in_range
+    monkeypatch.setattr(rg, "_in_range", in_range)
+    log = [(-5, "new", 1, "WRITE"), (10, "new", 1, "REWRITE"), (15, "new", 1, "WRITE"), (20, None, 1, "DELETE"), (5000, "new", 1, "WRITE")]
+    rg.change_ranges(spark, path, spark.createDataFrame(log, "id long, v string, seq int, op string"), ["id"])
+    assert sought == [5]
+    kept = {k: "old" for k in range(0, 1000, 10) if k not in (10, 20)}
+    assert {r.id: r.v for r in rg.read_ranges(spark, path).collect()} == kept | {k: "new" for k in (-5, 10, 15, 5000)}
+    # each record lies where its key is looked for
+    rows = rg._rows(spark, path)
+    again = found(rows.withColumnRenamed("key_range", "lies"), path, ["id"])
+    assert again.where("lies <> key_range").count() == 0 and rows.select("key_range").distinct().count() > 3
