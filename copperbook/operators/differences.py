@@ -138,5 +138,5 @@ def diff_rows(a: DataFrame, b: DataFrame, name: str, place: str, fields: tuple[s
 
 def diff_items(a: DataFrame, b: DataFrame) -> DataFrame:
     """``diff_rows`` of the data items of two sources(path, text)."""
-    was, now = (it.data_items(ol.outline(side)) for side in changed_sources(a, b))
+    was, now = (it.data_items(ol.outline(side), hierarchy=False) for side in changed_sources(a, b))
     return diff_rows(was, now, "name", "item_no", ITEM_FIELDS)

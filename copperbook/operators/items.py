@@ -57,13 +57,36 @@ def _places(levels: Column) -> Column:
     return running(levels, start, step, "struct<parent:int,depth:int>")
 
 
+def _in_lists(use) -> Column:
+    """Array of what ``use`` makes of each section or FD and its item sentences."""
+
+    def of_list(entry):
+        found = F.transform(st.data_sentences(entry.body), drop_period)
+        return use(entry, F.filter(found, lambda s: s.rlike(r"^\d{1,2}\s+\S")))
+
+    return F.flatten(F.transform(st.data_lists(F.col("data_text")), of_list))
+
+
+@built_once
+def _sentences() -> Column:
+    """array<struct<section, fd, sentence>>."""
+
+    def mark_all(entry, sentences):
+        return F.transform(
+            sentences, lambda s: F.struct(entry.section.alias("section"), entry.fd.alias("fd"), s.alias("sentence"))
+        )
+
+    return _in_lists(mark_all)
+
+
 @built_once
 def _placed_sentences() -> Column:
     """array<struct<section, fd, no, sentence, place, next_parent, parent_sentence>>."""
 
-    def of_list(entry):
-        def place_all(sentences):
-            return let(
+    def place_all(entry, found):
+        return let(
+            found,
+            lambda sentences: let(
                 let(F.transform(sentences, cl.level_of), _places),
                 lambda places: F.transform(
                     sentences,
@@ -77,46 +100,46 @@ def _placed_sentences() -> Column:
                         F.get(sentences, F.get(places, i).parent - 1).alias("parent_sentence"),
                     ),
                 ),
-            )
-
-        return let(
-            F.filter(
-                F.transform(st.data_sentences(entry.body), drop_period), lambda s: s.rlike(r"^\d{1,2}\s+\S")
             ),
-            place_all,
         )
 
-    return F.flatten(F.transform(st.data_lists(F.col("data_text")), of_list))
+    return _in_lists(place_all)
 
 
-def data_items(outlined: DataFrame) -> DataFrame:
+def data_items(outlined: DataFrame, hierarchy: bool = True) -> DataFrame:
     """path, item_no, section, fd, level, name, picture, usage, value, occurs,
     occurs_depending, redefines, is_filler, is_88, parent_no, depth,
-    has_children, parent_level, parent_name, parent_clauses, clauses."""
-    placed = outlined.select("path", F.posexplode(_placed_sentences()).alias("pos", "item"))
+    has_children, parent_level, parent_name, parent_clauses, clauses.
+
+    Without ``hierarchy`` the columns from parent_no to parent_clauses are left out,
+    and the places of the items are not looked for."""
+    found = _placed_sentences() if hierarchy else _sentences()
+    placed = outlined.select("path", F.posexplode(found).alias("pos", "item"))
     item_no = F.col("pos") + 1
-    parent = F.col("item.place.parent")
-    rows = placed.select(
-        "path",
-        item_no.alias("item_no"),
-        "item.section",
-        "item.fd",
-        cl.level_of(F.col("item.sentence")).alias("level"),
-        cl.name_of(F.col("item.sentence")).alias("name"),
-        cl.clauses_of(F.col("item.sentence")).alias("clauses"),
-        F.when(parent > 0, item_no - F.col("item.no") + parent).alias("parent_no"),
-        F.col("item.place.depth").alias("depth"),
-        # the first child of an item, if it has one, follows it at once
-        F.coalesce(F.col("item.next_parent") == F.col("item.no"), F.lit(False)).alias("has_children"),
-        cl.level_of(F.col("item.parent_sentence")).alias("parent_level"),
-        cl.name_of(F.col("item.parent_sentence")).alias("parent_name"),
-        cl.clauses_of(F.col("item.parent_sentence")).alias("parent_clauses"),
-    )
+    before = {
+        "path": F.col("path"),
+        "item_no": item_no,
+        "section": F.col("item.section"),
+        "fd": F.col("item.fd"),
+        "level": cl.level_of(F.col("item.sentence")),
+        "name": cl.name_of(F.col("item.sentence")),
+    }
+    after = {"clauses": cl.clauses_of(F.col("item.sentence"))}
+    if hierarchy:
+        parent = F.col("item.place.parent")
+        after = {
+            "parent_no": F.when(parent > 0, item_no - F.col("item.no") + parent),
+            "depth": F.col("item.place.depth"),
+            # the first child of an item, if it has one, follows it at once
+            "has_children": F.coalesce(F.col("item.next_parent") == F.col("item.no"), F.lit(False)),
+            "parent_level": cl.level_of(F.col("item.parent_sentence")),
+            "parent_name": cl.name_of(F.col("item.parent_sentence")),
+            "parent_clauses": cl.clauses_of(F.col("item.parent_sentence")),
+        } | after
+    rows = placed.select(*[c.alias(name) for name, c in (before | after).items()])
     # an 88 level has values and nothing else
     is_88 = F.col("level") == _CONDITION
     declared = F.when(is_88, F.lit("")).otherwise(F.col("clauses"))
-    before = ["path", "item_no", "section", "fd", "level", "name"]
-    after = ["parent_no", "depth", "has_children", "parent_level", "parent_name", "parent_clauses", "clauses"]
     cut = cl.cut_clauses(rows.select(*before, *after, declared.alias("declared")), "declared", *before, *after)
     return (
         cut.select(*before, *after, *cl.raw_clauses())

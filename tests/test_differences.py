@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from copperbook.operators import differences as df
+from copperbook.plans import estate_queries
 
 SCHEMA = "path string, name string, n int, pic string, use string"
 
@@ -128,3 +129,9 @@ def test_matched_rows_are_not_sent_to_every_task(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert [r.value_b for r in found.collect()] == ["9"]
+
+
+def test_estates_are_compared_without_the_places_of_items(spark, sf_dir):
+    found = estate_queries.diff_estates(spark, sf_dir)
+    assert "depth" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0

@@ -225,3 +225,16 @@ def test_the_first_spelling_of_a_keyword_counts(sources):
 """
     rows = it.data_items(ol.outline(sources(text))).orderBy("item_no").collect()
     assert [(r.name, r.picture, r.value) for r in rows] == [("A", "X(3)", "B"), ("C", "X", 'ALL "Z')]
+
+
+def test_items_without_hierarchy_are_the_same_items(spark, sources):
+    lines = ["01 R.", "   05 A PIC 9.", "      88 A-ON VALUE 1.", "   05 FILLER PIC X.", "77 B COMP-2."]
+    outlined = ol.outline(sources({"p": _program(*lines), "q": _program(*lines, section="LINKAGE"), "r": ""}))
+    plain = it.data_items(outlined, hierarchy=False)
+    placed = it.data_items(outlined)
+    assert set(placed.columns) - set(plain.columns) == {
+        "parent_no", "depth", "has_children", "parent_level", "parent_name", "parent_clauses"
+    }
+    assert plain.count() == 10 and plain.exceptAll(placed.select(plain.columns)).count() == 0
+    # no stack of open groups is carried along the sentences
+    assert "depth" not in plain._jdf.queryExecution().optimizedPlan().toString()
