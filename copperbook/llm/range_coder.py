@@ -1,23 +1,26 @@
-"""Context-mixing range coder for token ids, many blocks side by side.
+"""Context-mixing range coder for token ids, many strands side by side.
 
 A block is coded from a fresh model and knows nothing of other blocks. Its ids
 are cut into up to ``LANES`` strands of nearly equal length, which share the
-model: one step codes the next id of every strand of every block, as lanes of
-numpy arrays, and then the models learn what was coded.
+model: one step codes the next id of every strand, as lanes of numpy arrays. The
+model learns after some steps, after one at first and then after more, up to
+``_STEPS``; in between it stands still, so the encoder, which knows all ids, takes
+the shares of all these steps together. All ids are coded; orders 2 and 1 and the
+symbols learn from the last ``_LESSON`` of these steps, order 0 from all.
 
 For each id, order 2 (the two ids before) and order 1 (the id before) each
 predict an id, with a count of how often that was right of late. The symbols are:
 order 2 is right, order 1 is right, neither. Their frequencies are the sum of
-three adaptive tables: one chosen by each order's count and one by both, brought
-up to date every ``_MIX_EVERY`` steps. If
-neither is right, order 0 gives the id by adaptive frequencies of all ids, which
-begin falling with the number of the id, as the ids of byte pairs do, and take in
-what came since after steps that grow from 1 to ``_LEARN_EVERY``.
-
-The coder keeps 48 bits and moves 16 at a time; it shortens the range instead
-of passing a carry on. A block is: ids, strands, CRC-32 of the ids as
-little-endian 32-bit integers, words of each strand, then the 16-bit words of
-one strand after another. Ids are below 65,536.
+three adaptive tables: one chosen by each order's count and one by both; all of
+them know whether the orders agree. If neither is right, order 0 gives the id by
+adaptive frequencies of all such ids, which begin falling with the number of the
+id, as the ids of byte pairs do.
+
+The coder keeps 64 bits and moves 32 at a time. All symbols have sizes out of
+``2**_BITS``, all ids out of ``2**_BITS_0``, so that a step needs a shift where
+others divide. Carries are noted and added to the words at the end. A block is:
+ids, strands, CRC-32 of the ids as little-endian 32-bit integers, words of each
+strand, then the 32-bit words of one strand after another. Ids are below 65,536.
 """
 
 import struct
@@ -25,276 +28,263 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1 << 18
-LANES = 256
+BLOCK = 1 << 22
+LANES = 4096
 #: A strand has at least so many ids, so that its last words cost little.
-_STRAND = 64
+_STRAND = 256
 _IDS = 1 << 16
 _SURE = 8  # an order's count is below this
 _SYMBOLS = 3
-_STEP, _MOST = 2, 510  # of the symbols' tables: what a symbol adds, the sum that halves
-_ADD, _MOST_0 = 16, 1 << 20  # of order 0
-_LEARN_EVERY, _MIX_EVERY = 32, 8
+_BITS, _BITS_0 = 10, 20
+_MOST = 1 << 14  # the sum that halves the symbols' tables
+_ADD = 16  # what an id adds to order 0
+_STEPS, _LESSON = 8, 2
+_LEARN_LEAST, _LEARN_MOST = 1 << 10, 1 << 19  # ids between two states of order 0
+_SLOTS = 1 << 18  # of order 2
+_ROWS = _SURE * _SURE
 _HEAD = struct.Struct("<III")
 
 _U = np.uint64
-_SIXTEEN, _THIRTY_TWO = _U(16), _U(32)
-_MASK48, _MASK32 = _U((1 << 48) - 1), _U((1 << 32) - 1)
-# what becomes of an id seen last with its count 0 to 7, when wrong and when right:
-# a count above two halves before another id takes the place
-_CHANGE = np.array([(k >> 1) - k for k in range(_SURE)] + [1] * (_SURE - 1) + [0], np.int32)
-_REPLACED = np.arange(2 * _SURE) <= 2
+_ALL, _THIRTY_TWO, _LEAST, _MASK32 = _U(_BITS + _BITS_0), _U(32), _U(1 << 32), _U((1 << 32) - 1)
 _FIRST = 1 + (1 << 15) // (np.arange(_IDS, dtype=np.int64) + 256)
 
 
-class _Coder:
-    """State of the lanes; ``move`` is how a settled word leaves or enters."""
-
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, _U)
-        self.range = np.full(lanes, (1 << 48) - 1, _U)
-        self.at = np.zeros(lanes, np.int64)
-
-    def narrow(self, live: int, start, size):
-        """The first ``live`` lanes go to [start, start + size) of their range."""
-        low = (self.low[:live] + start) & _MASK48
-        wide, lanes = size, None
-        self.low[:live], self.range[:live] = low, wide
-        while True:
-            settled = (low ^ (low + wide)) <= _MASK32
-            go = np.flatnonzero(settled | (wide <= _MASK32))
-            if not len(go):
-                return
-            lanes = go if lanes is None else lanes[go]
-            low = low[go]
-            wide = np.where(settled[go], wide[go], (-low) & _MASK32)
-            self.move(lanes, low)
-            low, wide = (low << _SIXTEEN) & _MASK48, (wide << _SIXTEEN) & _MASK48
-            self.low[lanes], self.range[lanes] = low, wide
-
-
-class _Encoder(_Coder):
-    def __init__(self, lanes: int, steps: int):
-        super().__init__(lanes)
-        self.words = np.zeros((lanes, 3 * steps + 8), np.uint16)
-
-    def move(self, lanes, low):
-        self.words[lanes, self.at[lanes]] = low >> _THIRTY_TWO
-        self.at[lanes] += 1
-
-    def strands(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for _ in range(3):
-            self.move(every, self.low)
-            self.low = (self.low << _SIXTEEN) & _MASK48
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.words, self.at)]
-
-
-class _Decoder(_Coder):
-    def __init__(self, strands: list[np.ndarray]):
-        super().__init__(len(strands))
-        self.words = np.zeros((len(strands), max(map(len, strands)) + 4), np.uint16)
-        for row, words in zip(self.words, strands):
-            row[: len(words)] = words
-        self.input = np.zeros(len(strands), _U)
-        for _ in range(3):
-            self.move(np.arange(len(strands)), None)
-
-    def move(self, lanes, low):
-        at = np.minimum(self.at[lanes], self.words.shape[1] - 1)
-        self.input[lanes] = ((self.input[lanes] << _SIXTEEN) & _MASK48) | self.words[lanes, at]
-        self.at[lanes] += 1
+class _Order0:
+    """Frequencies of all ids."""
 
+    def __init__(self, decodes: bool):
+        self.decodes, self.count, self.seen, self.next = decodes, _FIRST.copy(), 0, 0
+        self.set()
 
-class _Order0:
-    """Frequencies of all ids, a row for each block."""
-
-    def __init__(self, blocks: int):
-        self.count = np.tile(_FIRST, (blocks, 1)).astype(np.int32)
-        self.fresh: list[np.ndarray] = []
-        self.learn()
-
-    def see(self, rows: np.ndarray, ids: np.ndarray) -> None:
-        self.fresh.append(rows * _IDS + ids)
-
-    def learn(self) -> None:
-        if self.fresh:
-            seen, n = np.unique(np.concatenate(self.fresh), return_counts=True)
-            self.count.reshape(-1)[seen] += (n * _ADD).astype(np.int32)
-            self.fresh = []
-            full = np.flatnonzero(self.count.sum(axis=1) > _MOST_0)
-            self.count[full] = (self.count[full] + 1) >> 1
-        self.ends = self.count.cumsum(axis=1, dtype=np.int32)
-        self.total = self.ends[:, -1].astype(_U)
-
-    def share(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the share of each id starts, and its size."""
-        at = rows * _IDS + ids
-        size = self.count.reshape(-1).take(at)
-        return (self.ends.reshape(-1).take(at) - size).astype(_U), size.astype(_U)
-
-    def find(self, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The id whose share holds each place, by bisection."""
-        ends, base = self.ends.reshape(-1), rows * _IDS
-        place = place.astype(np.int32)
-        ids = np.zeros(len(rows), np.int64)
-        for bit in range(15, -1, -1):
-            ids += (ends.take(base + ids + ((1 << bit) - 1)) <= place).astype(np.int64) << bit
-        return ids
+    def see(self, ids: np.ndarray) -> None:
+        self.count += np.bincount(ids, minlength=_IDS) * _ADD
+        self.seen += len(ids)
+        if self.seen >= self.next:
+            self.set()
+
+    def set(self) -> None:
+        self.next = self.seen + min(max(self.seen // 2, _LEARN_LEAST), _LEARN_MOST)
+        size = 1 + self.count * ((1 << _BITS_0) - _IDS) // int(self.count.sum())
+        size[size.argmax()] += (1 << _BITS_0) - int(size.sum())
+        self.size = size.astype(_U)
+        self.start = (size.cumsum() - size).astype(_U)
+        if self.decodes:
+            self.ids = np.repeat(np.arange(_IDS, dtype=np.uint16), size)
 
 
 class _Mixer:
-    """Frequencies of the symbols, by block and the counts of order 2 and order 1."""
+    """Sizes of the symbols, by whether the orders agree and their counts."""
 
-    def __init__(self, blocks: int):
-        self.rows = blocks * _SURE * _SURE
-        self.shape = (_SYMBOLS, blocks, _SURE, _SURE)
-        shapes = ((_SYMBOLS, blocks, _SURE, 1), (_SYMBOLS, blocks, 1, _SURE), self.shape)
+    def __init__(self):
+        self.shape = (_SYMBOLS, 2, _SURE, _SURE)
+        self.rows = 2 * _ROWS
+        shapes = ((_SYMBOLS, 2, _SURE, 1), (_SYMBOLS, 2, 1, _SURE), self.shape)
         self.tables = [np.full(shape, 4) for shape in shapes]
-        self.fresh: list[np.ndarray] = []
-        self.learn()
+        self.set()
 
     def see(self, chosen: np.ndarray) -> None:
-        self.fresh.append(chosen)
-
-    def learn(self) -> None:
-        if self.fresh:
-            n = np.bincount(np.concatenate(self.fresh), minlength=_SYMBOLS * self.rows).reshape(self.shape) * _STEP
-            self.fresh = []
-            for table, more in zip(self.tables, (n.sum(axis=3, keepdims=True), n.sum(axis=2, keepdims=True), n)):
-                table += more
-                while (full := table.sum(axis=0) > _MOST).any():
-                    table[:, full] = (table[:, full] + 1) >> 1
-        mixed = self.tables[0] + self.tables[1] + 2 * self.tables[2]
-        self.size = mixed.reshape(_SYMBOLS, -1).astype(_U)
-        self.ends = self.size.cumsum(axis=0, dtype=_U)
-
-
-def _pass(coder: _Coder, blocks: np.ndarray, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code or decode all strands, sorted by length, longest first. ``blocks`` has
-    the number of the block of each strand."""
-    steps, live, n_blocks = int(lengths[0]), len(lengths), int(blocks.max()) + 1
-    blocks = blocks.astype(np.int64)
-    out = np.zeros((steps, live), np.int32)
-    order0 = _Order0(n_blocks)
-    mixer = _Mixer(n_blocks)
-    # per block and context: the id seen last, with its count in the lowest three bits
-    guesses = [np.full(n_blocks << 16, -_SURE, np.int32) for _ in "ab"]
-    before, earlier = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    learn_at = 1
-    for step in range(steps):
-        while lengths[live - 1] <= step:
-            live -= 1
-        b, e, own = before[:live], earlier[:live], blocks[:live]
-        base = own << 16
-        slots = [base + (((b * 40503 + e * 30011) ^ (e >> 3)) & (_IDS - 1)), base + b]
-        seen = [g.take(at) for g, at in zip(guesses, slots)]
-        guess, sure = [x >> 3 for x in seen], [x & (_SURE - 1) for x in seen]
-        rows = (own * _SURE + sure[0]) * _SURE + sure[1]
-        total0 = order0.total.take(own)
-        all_ = mixer.ends[2].take(rows) * total0
-        wide = coder.range[:live] // all_
-        if ids is None:
-            place = ((coder.input[:live] - coder.low[:live]) & _MASK48) // wide
-            place = np.minimum(place, all_ - _U(1))
-            which = place // total0
-            symbol = (which >= mixer.ends[0].take(rows)).astype(np.int64) + (which >= mixer.ends[1].take(rows))
-            value = np.where(symbol == 0, guess[0], guess[1]).astype(np.int64)
-            new = np.flatnonzero(symbol == 2)
-            inside = place[new] - mixer.ends[1].take(rows[new]) * total0[new]
-            new_ids = order0.find(own[new], inside // mixer.size[2].take(rows[new]))
-            value[new] = new_ids
-            right = [value == g for g in guess]
-        else:
-            value = ids[step, :live].astype(np.int64)
-            right = [value == g for g in guess]
-            symbol = np.where(right[0], 0, np.where(right[1], 1, 2))
-            new = np.flatnonzero(symbol == 2)
-            new_ids = value[new]
-        chosen = symbol * mixer.rows + rows
-        size = mixer.size.reshape(-1).take(chosen)
-        start = (mixer.ends.reshape(-1).take(chosen) - size) * total0
-        start0, size0 = order0.share(own[new], new_ids)
-        part = size * total0
-        start[new] += start0 * size[new]
-        part[new] = size[new] * size0
-        coder.narrow(live, start * wide, part * wide)
-        order0.see(own[new], new_ids)
-        mixer.see(chosen)
-        for g, at, hit, was, sure_ in zip(guesses, slots, right, seen, sure):
-            key = sure_ + _SURE * hit
-            g[at] = np.where(_REPLACED.take(key), (value << 3) + 1, was + _CHANGE.take(key))
-        out[step, :live] = value
-        earlier[:live] = b
-        before[:live] = value
-        if step < 16 or step % _MIX_EVERY == 0:
-            mixer.learn()
-        if step + 1 >= learn_at:
-            order0.learn()
-            learn_at += min(learn_at, _LEARN_EVERY)
-    return out
+        n = np.bincount(chosen, minlength=_SYMBOLS * self.rows).reshape(self.shape) * 2
+        for table, more in zip(self.tables, (n.sum(axis=3, keepdims=True), n.sum(axis=2, keepdims=True), n)):
+            table += more
+            while (full := table.sum(axis=0) > _MOST).any():
+                table[:, full] = (table[:, full] + 1) >> 1
+        self.set()
+
+    def set(self) -> None:
+        mixed = (self.tables[0] + self.tables[1] + 2 * self.tables[2]).reshape(_SYMBOLS, -1)
+        size = 1 + mixed * ((1 << _BITS) - _SYMBOLS) // mixed.sum(axis=0)
+        size[2] += (1 << _BITS) - size.sum(axis=0)
+        self.size = size.astype(_U)
+        self.start = (size.cumsum(axis=0) - size).astype(_U)
+
+
+class _Model:
+    def __init__(self, decodes: bool):
+        # per context: the id seen last, then three bits of order 2's and three of order 1's count
+        self.last2, self.last1 = np.full(_SLOTS, -_ROWS, np.int32), np.full(_IDS, -_ROWS, np.int32)
+        self.order0, self.mixer = _Order0(decodes), _Mixer()
+
+    def look(self, before: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What orders 2 and 1 have, and the row of the mixer."""
+        seen2 = self.last2.take(_slot(before, earlier), mode="clip")
+        seen1 = self.last1.take(before, mode="clip")
+        agree = (seen2 ^ seen1).view(np.uint32) < _ROWS
+        row = ((seen2 | seen1) & (_ROWS - 1)).astype(np.int64)
+        row += agree.view(np.int8) * np.int8(_ROWS)
+        return seen2, seen1, row
+
+    def learn(self, before, earlier, value, seen2, seen1, row, symbol) -> None:
+        """An id that was right counts one more, to seven; one that was wrong halves a
+        count above two before another id takes the place."""
+        for last, at, seen, low in ((self.last2, _slot(before, earlier), seen2, 3), (self.last1, before, seen1, 0)):
+            count, hit = (seen >> low) & (_SURE - 1), (seen >> 6) == value
+            taken = ~hit & (count <= 2)
+            count = np.where(hit, np.minimum(count + 1, _SURE - 1), count >> 1)
+            count[taken] = 1
+            last[at] = (np.where(taken, value, seen >> 6) << 6) + (count << low)
+        self.mixer.see(symbol * self.mixer.rows + row)
+
+
+def _slot(before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    return (before * 40503 + earlier * 30011) & (_SLOTS - 1)
+
+
+def _spans(lengths: np.ndarray):
+    """Steps that are coded between two lessons: from, to, strands that have them.
+    Only in the last step some strands can be at their end."""
+    full, at = int(lengths[-1]), 0
+    while at < full:
+        to = min(full, at + min(max(at // 4, 1), _STEPS))
+        yield at, to, len(lengths)
+        at = to
+    if full < lengths[0]:
+        yield full, full + 1, int((lengths > full).sum())
 
 
 def _even(n: int, parts: int) -> np.ndarray:
     return n // parts + (np.arange(parts) < n % parts)
 
 
+def _strands(n: int) -> np.ndarray:
+    return _even(n, min(LANES, -(-n // _STRAND)))
+
+
+def _settled(words: np.ndarray, moved: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that moved, one strand after another, and how many each strand has.
+    A carry adds one to the strand's word before it, and may pass on from there."""
+    moved, carried = np.ascontiguousarray(moved.T), np.ascontiguousarray(carried.T)
+    flat = words.T[moved].astype(_U)
+    over = np.flatnonzero(carried)
+    if len(over):
+        before = moved.reshape(-1).cumsum(dtype=np.int32)[over] - moved.reshape(-1)[over]
+        flat[before - 1] += _U(1)
+    while len(over := np.flatnonzero(flat > _MASK32)):
+        flat[over] &= _MASK32
+        flat[over - 1] += _U(1)
+    return flat.astype("<u4"), moved.sum(axis=1)
+
+
+def _encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all strands, one strand after another, and how many each has."""
+    lengths = _strands(len(ids))
+    steps, lanes = int(lengths[0]), len(lengths)
+    grid = np.zeros((lanes, steps), np.int32)
+    grid[np.arange(steps) < lengths[:, None]] = ids
+    padded = np.zeros((steps + 2, lanes), np.int32)
+    padded[2:] = grid.T
+    model = _Model(False)
+    low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    words = np.zeros((steps + 1, lanes), np.uint32)
+    moved, carried = np.zeros((steps + 1, lanes), bool), np.zeros((steps + 1, lanes), bool)
+    for at, to, live in _spans(lengths):
+        earlier, before, value = (padded[at + k : to + k, :live].astype(np.int64).ravel() for k in range(3))
+        seen2, seen1, row = model.look(before, earlier)
+        symbol = np.where((seen2 >> 6) == value, 0, np.where((seen1 >> 6) == value, 1, 2))
+        chosen, new = symbol * model.mixer.rows + row, np.flatnonzero(symbol == 2)
+        new_ids = value.take(new, mode="clip")
+        size = model.mixer.size.reshape(-1).take(chosen, mode="clip")
+        start = model.mixer.start.reshape(-1).take(chosen, mode="clip") << _U(_BITS_0)
+        part = size << _U(_BITS_0)
+        size = size.take(new, mode="clip")
+        start[new] += size * model.order0.start.take(new_ids, mode="clip")
+        part[new] = size * model.order0.size.take(new_ids, mode="clip")
+        start, part = start.reshape(to - at, live), part.reshape(to - at, live)
+        low_, wide_ = low[:live], wide[:live]
+        for k in range(to - at):
+            unit = wide_ >> _ALL
+            by = unit * start[k]
+            low_ += by
+            np.less(low_, by, out=carried[at + k, :live])
+            np.multiply(unit, part[k], out=wide_)
+            go = np.less(wide_, _LEAST, out=moved[at + k, :live])
+            words[at + k, :live] = low_ >> _THIRTY_TWO
+            shift = go.astype(_U) << _U(5)
+            low_ <<= shift
+            wide_ <<= shift
+        lesson = slice(-_LESSON * live, None)
+        model.learn(*(x[lesson] for x in (before, earlier, value, seen2, seen1, row, symbol)))
+        model.order0.see(new_ids)
+    # a word ends each strand; the bits after it may be any
+    last = (low + _MASK32) & ~_MASK32
+    carried[steps], moved[steps], words[steps] = last < low, True, last >> _THIRTY_TWO
+    return _settled(words, moved, carried)
+
+
+def _decode_block(n: int, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    lengths = _strands(n)
+    steps, lanes = int(lengths[0]), len(lengths)
+    # a word of zeros follows each strand
+    flat = np.zeros(len(words) + lanes + 1, _U)
+    at_ = np.cumsum(sizes + 1) - sizes - 1
+    flat[np.arange(len(words)) + np.repeat(np.arange(lanes), sizes)] = words
+    code, wide = (flat[at_] << _THIRTY_TWO) | flat[at_ + 1], np.full(lanes, (1 << 64) - 1, _U)
+    at_ += 2
+    padded = np.zeros((steps + 2, lanes), np.int64)
+    model = _Model(True)
+    for at, to, live in _spans(lengths):
+        lesson, fresh = [], []
+        code_, wide_ = code[:live], wide[:live]
+        mixer, order0 = model.mixer, model.order0
+        ends0, ends1 = (mixer.start[k] << _U(_BITS_0) for k in (1, 2))
+        for k in range(at, to):
+            earlier, before = padded[k, :live], padded[k + 1, :live]
+            seen2, seen1, row = model.look(before, earlier)
+            unit = wide_ >> _ALL
+            end0, end1 = unit * ends0.take(row, mode="clip"), unit * ends1.take(row, mode="clip")
+            past0, past1 = code_ >= end0, code_ >= end1
+            value = padded[k + 2, :live]
+            value[:] = np.where(past0, seen1, seen2) >> 6
+            wide_[:] = np.where(past0, end1 - end0, end0)
+            new = np.flatnonzero(past1)
+            size = (unit * mixer.size[2].take(row, mode="clip")).take(new, mode="clip")
+            inside = (code_ - end1).take(new, mode="clip")
+            code_ -= end0 * past0
+            ids = order0.ids.take((inside // size).astype(np.int64), mode="clip").astype(np.int64)
+            code_[new] = inside - size * order0.start.take(ids, mode="clip")
+            wide_[new] = size * order0.size.take(ids, mode="clip")
+            value[new] = ids
+            fresh.append(ids)
+            if k >= to - _LESSON:
+                lesson.append((before, earlier, value, seen2, seen1, row, past0.astype(np.int64) + past1))
+            go = np.flatnonzero(wide_ < _LEAST)
+            place = at_.take(go, mode="clip")
+            code_[go] = (code_.take(go, mode="clip") << _THIRTY_TWO) | flat.take(place, mode="clip")
+            wide_[go] <<= _THIRTY_TWO
+            at_[go] = place + 1
+        model.learn(*map(np.concatenate, zip(*lesson)))
+        model.order0.see(np.concatenate(fresh))
+    return padded[2:].T[np.arange(steps) < lengths[:, None]].astype("<u4")
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """Blocks of nearly equal length; no ids give no block."""
-    if not len(ids):
-        return []
-    sizes = _even(len(ids), -(-len(ids) // block))
-    strands = [_even(n, min(LANES, -(-n // _STRAND))) for n in sizes.tolist()]
-    lengths = np.concatenate(strands)
-    blocks = np.repeat(np.arange(len(sizes)), [len(s) for s in strands])
-    grid = np.zeros((len(lengths), int(lengths.max())), np.int32)
-    grid[np.arange(grid.shape[1]) < lengths[:, None]] = ids
-    order = np.argsort(-lengths, kind="stable")
-    coder = _Encoder(len(lengths), grid.shape[1])
-    _pass(coder, blocks[order], lengths[order], np.ascontiguousarray(grid[order].T))
-    words: list = [None] * len(lengths)
-    for k, data in zip(order.tolist(), coder.strands()):
-        words[k] = data
-    plain, out, at, first = np.asarray(ids, "<u4"), [], 0, 0
-    for n, of in zip(sizes.tolist(), map(len, strands)):
-        mine = words[first : first + of]
-        head = _HEAD.pack(n, of, zlib.crc32(plain[at : at + n].tobytes()))
-        out.append(b"".join([head, np.array([len(w) // 2 for w in mine], "<u4").tobytes(), *mine]))
-        at, first = at + n, first + of
+    out, at = [], 0
+    for n in _even(len(ids), -(-len(ids) // block)).tolist() if len(ids) else []:
+        mine = np.asarray(ids[at : at + n], "<u4")
+        words, sizes = _encode_block(mine)
+        head = _HEAD.pack(n, len(sizes), zlib.crc32(mine.tobytes()))
+        out.append(b"".join([head, sizes.astype("<u4").tobytes(), words.tobytes()]))
+        at += n
     return out
 
 
 def decode(data: bytes) -> np.ndarray:
     """All ids of blocks written one after another; a damaged block is an error."""
-    sizes, checks, words, lengths, blocks, at = [], [], [], [], [], 0
+    found, at = [], 0
     while at < len(data):
         if len(data) < at + _HEAD.size:
             raise ValueError("a block is cut short")
         n, of, check = _HEAD.unpack_from(data, at)
         at += _HEAD.size
-        if not 0 < of <= LANES or len(data) < at + 4 * of:
-            raise ValueError("a block is cut short")
-        each = np.frombuffer(data, "<u4", of, at).tolist()
+        if not n or of != len(_strands(n)) or len(data) < at + 4 * of:
+            raise ValueError("a block is damaged or cut short")
+        sizes = np.frombuffer(data, "<u4", of, at).astype(np.int64)
         at += 4 * of
-        if len(data) < at + 2 * sum(each):
-            raise ValueError("a block is cut short")
-        for size in each:
-            words.append(np.frombuffer(data, "<u2", size, at))
-            at += 2 * size
-        lengths.append(_even(n, of))
-        blocks.append(np.full(of, len(sizes)))
-        sizes.append(n)
-        checks.append(check)
-    if not sizes:
-        return np.zeros(0, np.uint32)
-    every, owner = np.concatenate(lengths), np.concatenate(blocks)
-    order = np.argsort(-every, kind="stable")
-    coded = _pass(_Decoder([words[k] for k in order]), owner[order], every[order], None).T
-    grid = np.empty_like(coded)
-    grid[order] = coded
-    ids = grid[np.arange(grid.shape[1]) < every[:, None]].astype("<u4")
-    ends = np.cumsum(sizes)
-    for k, (n, end, check) in enumerate(zip(sizes, ends.tolist(), checks)):
-        if zlib.crc32(ids[end - n : end].tobytes()) != check:
-            raise ValueError(f"block {k} is damaged")
-    return ids
+        if not sizes.all() or len(data) < at + 4 * int(sizes.sum()):
+            raise ValueError("a block is damaged or cut short")
+        ids = _decode_block(n, sizes, np.frombuffer(data, "<u4", int(sizes.sum()), at))
+        at += 4 * int(sizes.sum())
+        if zlib.crc32(ids.tobytes()) != check:
+            raise ValueError(f"block {len(found)} is damaged")
+        found.append(ids)
+    return np.concatenate(found) if found else np.zeros(0, np.uint32)

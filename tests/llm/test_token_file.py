@@ -95,3 +95,65 @@ def test_odd_rows(spark):
     found = sorted((tuple(r) for r in tf.read(tf.write(df, PATH)).collect()), key=lambda r: r[1])
     assert found == wanted(rows)
     assert tf.read(tf.write(df.limit(0), PATH)).count() == 0
+
+
+def test_strands_share_what_they_learn():
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 50000, k % 3 + 1) for k in range(30000)]
+    ids = np.concatenate([words[k] for k in rng.zipf(1.1, 1 << 20) % 30000])
+    whole = sum(map(len, rc.encode(ids)))
+    assert whole < 0.98 * sum(map(len, rc.encode(ids, 1 << 18)))
+
+
+def test_carries_pass_through_full_words():
+    full = (1 << 32) - 1
+    words = np.array([[7, 1], [full, 2], [full, 3], [5, 4]], np.uint32)
+    moved = np.array([[1, 1], [1, 0], [1, 1], [1, 1]], bool)
+    carried = np.array([[0, 0], [0, 0], [0, 1], [1, 0]], bool)
+    flat, sizes = rc._settled(words, moved, carried)
+    assert flat.tolist() == [8, 0, 0, 5, 2, 3, 4]
+    assert sizes.tolist() == [4, 3]
+
+
+def test_any_damage_of_a_block_is_noticed():
+    data = b"".join(rc.encode(np.random.default_rng(6).zipf(1.3, 900) % 50257))
+    for at in range(4, len(data), 7):  # behind the number of ids
+        bad = bytearray(data)
+        bad[at] ^= 0x55
+        try:
+            found = rc.decode(bytes(bad))
+        except ValueError:
+            continue
+        assert (found == rc.decode(data)).all()  # the last bits of a strand may be any
+
+
+def test_words_of_neighbours_stay_apart():
+    encoder, tokenizer = tf.Encoder(PATH), Tokenizer.from_file(PATH)
+    some = ["a'", "s b", " ", "c", "", "x ", "\n", "\n'll", "'", "re", "d'l", "l", "'t's 't!'m", "中", "12", "3 ", "4", ""]
+    rng = random.Random(8)
+    for _ in range(200):
+        rng.shuffle(some)
+        for text, ids in zip(some, encoder.encode(some), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode([]) == []
+    assert [len(x) for x in encoder.encode(["", ""])] == [0, 0]
+
+
+def test_words_go_once_through_the_model(monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED", 3)
+    encoder = tf.Encoder(PATH)
+    encoder._tokenizer = None  # its steps before and after the model are not needed
+    asked, pairs = [], encoder._pairs
+
+    class Asked:
+        def tokenize(self, word):
+            asked.append(word)
+            return pairs.tokenize(word)
+
+    encoder._pairs = Asked()
+    first = encoder.encode(["one two three four", "one two"])
+    assert asked == ["one", "Ġtwo", "Ġthree", "Ġfour"]
+    again = encoder.encode(["one two five"])  # the words known before are not forgotten at once
+    assert asked[4:] == ["Ġfive"]
+    assert again[0][:2].tolist() == first[1].tolist()
+    assert len(encoder._known) == 3 and len(encoder._earlier) == 4
