@@ -65,3 +65,12 @@ def test_lines_of_files_have_no_scan(spark, tree):
     longer = files.decoded_lines(spark, tree, (".txt",), above=20)
     names = lambda df: {r.path.rsplit("/", 1)[1] for r in df.select("path").distinct().collect()}
     assert names(lines) - names(longer) == {"bom.txt"}
+
+
+def test_sources_have_no_scan(spark, tree):
+    read = files.read_sources(spark, tree, (".txt",))
+    assert "FileScan" not in read._jdf.queryExecution().executedPlan().toString()
+    theirs = files.decoded_sources(spark, files.found_files(spark, tree, (".txt",)), tree, (".txt",), "utf-8")
+    assert sorted(read.collect()) == sorted(theirs.collect()) and read.count() == 8
+    patterned = files.read_sources(spark, f"{tree}/{{e,_p=1}}", (".txt",))
+    assert patterned.count() == 2
