@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from copperbook.sources import files, folders
+from copperbook.streaming import intake
 
 
 @pytest.fixture
@@ -74,3 +75,44 @@ def test_sources_have_no_scan(spark, tree):
     assert sorted(read.collect()) == sorted(theirs.collect()) and read.count() == 8
     patterned = files.read_sources(spark, f"{tree}/{{e,_p=1}}", (".txt",))
     assert patterned.count() == 2
+
+
+@pytest.fixture
+def intake_of(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def run(stream=lambda s: s, n=2):
+        sources = intake.source_stream(spark, str(tmp_path / "in"), files_per_batch=n)
+        intake.start_intake(stream(sources), {"t": lambda s: s.select("path")}, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return sorted(r.path.rsplit("/", 1)[1] for r in intake.intake_table(spark, str(tmp_path / "out"), "t").collect())
+
+    return run
+
+
+def test_an_intake_notes_what_is_new(spark, tmp_path, intake_of):
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.cbl").write_text("x")
+    assert intake_of() == [f"{i}.cbl" for i in range(5)]
+    (tmp_path / "in" / "old.cbl").write_text("x")
+    os.utime(tmp_path / "in" / "old.cbl", (1, 1))
+    found = [f"{i}.cbl" for i in range(5)] + ["old.cbl"]
+    assert intake_of() == intake_of() == found
+    notes = sorted(spark.read.parquet(str(f)).count() for f in (tmp_path / "cp" / "arrivals").glob("*.parquet"))
+    # the stream knows the notes only, and each is one batch
+    assert notes == [1, 1, 2, 2] and len(list((tmp_path / "out" / "t").glob("batch=*"))) == 4
+
+
+def test_an_intake_goes_on_with_the_source_it_began_with(tmp_path, intake_of):
+    (tmp_path / "in" / "a.cbl").write_text("x")
+    assert intake_of(lambda s: s.select("*")) == ["a.cbl"]
+    (tmp_path / "in" / "b.cbl").write_text("x")
+    assert intake_of() == ["a.cbl", "b.cbl"] and not (tmp_path / "cp" / "arrivals").exists()
+
+
+def test_files_that_have_gone(spark, tree):
+    listing = folders.listed(spark, tree, (".txt",)).localCheckpoint()
+    os.remove(f"{tree}/a.txt")
+    left = {r.path.rsplit("/", 1)[1] for r in folders.with_content(listing, missing=True).collect()}
+    assert "bom.txt" in left and not {"a.txt", "link.txt"} & left and len(left) == 6
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        folders.with_content(listing).collect()
