@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copperbook.functions.fields import first_index, leading
 from copperbook.functions.arithmetic import expression, quotient, store
 from copperbook.functions.conditions import first_value
+from copperbook.operators import ordered
+from copperbook.session import scratch_path
 from copperbook.vocabulary import FIGURATIVE
 
 # What a figurative constant stores, in text and in numbers.
@@ -196,12 +197,61 @@ def merge_records(dfs: list[DataFrame], *keys) -> DataFrame:
     return merged.orderBy(*keys)
 
 
-def _code(ends: Column, value: Column) -> Column:
-    """Place of a value among sorted ends: 2i + 1 at the i-th, 2i just below it, and
-    -1 for a null."""
-    below = leading(ends, lambda x: x < value)
-    at_end = F.coalesce(F.get(ends, below) == value, F.lit(False))
-    return F.when(value.isNull(), -1).otherwise(2 * below + at_end.cast("int"))
+#: Bits of a level of the nodes that cover a range of codes.
+_BITS = 2
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _codes(values: DataFrame, ends: DataFrame) -> tuple[DataFrame, int]:
+    """v, code: places of values and of ends among the sorted ends, 2i + 1 at the i-th
+    and 2i just below it; and the greatest code there is."""
+    marked = ends.select("v", F.lit(1).cast("bigint").alias("end")).unionAll(values.select("v", F.lit(0).cast("bigint")))
+    once = marked.where("v IS NOT NULL").groupBy("v").agg(F.max("end").alias("end"))
+    upto = ordered.running_total(once, ["v"], "upto", F.col("end"))
+    codes = _stored(upto.select("v", (2 * F.col("upto") - F.col("end")).alias("code"), "upto"), "codes")
+    return codes.select("v", "code"), 2 * (codes.agg(F.max("upto")).first()[0] or 0)
+
+
+def _levels(top: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(-(-(top + 2).bit_length() // _BITS)))
+
+
+def _node(index: Column, level: Column) -> Column:
+    return index * 64 + level
+
+
+def _nodes_of_range(low: Column, high: Column, top: int) -> Column:
+    """The fewest nodes that cover the codes from ``low`` to ``high``; a node of a level
+    covers four of the level below it."""
+    # codes begin with -1
+    first, behind = low + 1, high + 2
+
+    def cut(level):
+        # the nodes of the level that lie within: from begin up to, not with, end
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level * _BITS)
+        return F.call_function("div", first + size - 1, size), F.call_function("div", behind, size)
+
+    def run(begin, end):
+        return F.when(begin < end, F.sequence(begin, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def nodes(level):
+        begin, end = cut(level)
+        above, until = cut(level + 1)
+        wide = 1 << _BITS
+        own = F.when(above < until, F.concat(run(begin, above * wide), run(until * wide, end))).otherwise(run(begin, end))
+        return F.transform(own, lambda index: _node(index, level))
+
+    return F.flatten(F.transform(_levels(top), nodes))
+
+
+def _nodes_of_code(code: Column, top: int) -> Column:
+    """The nodes of all levels that cover a code."""
+    return F.transform(_levels(top), lambda level: _node(F.call_function("shiftright", code + 1, level * _BITS), level))
 
 
 def evaluate_ranges(df: DataFrame, subjects: list[str], whens: DataFrame, result: str, other=None) -> DataFrame:
@@ -211,45 +261,62 @@ def evaluate_ranges(df: DataFrame, subjects: list[str], whens: DataFrame, result
     The first in the order of ``place`` wins that holds for all subjects. A null low
     or high leaves that side open; both null are ANY, which alone holds for a null.
 
-    The ends of the first subject's ranges cut its values into points and gaps; each
-    row finds its own by bisection, and joins the WHENs that cover it by equality.
-    With one subject a point or gap keeps only the WHEN that wins there; with more
-    it keeps the list of those that cover it, so many wide ranges of a first
-    subject make long lists: name the subject with the narrow ranges first.
+    The ends of a subject's ranges cut its values into points and gaps, numbered in
+    order by one sort. A range of these numbers is covered by a few nodes of a tree for
+    each of its levels, a number lies in one node of each level. So the WHENs become
+    rows by their nodes, of which the first in place stays, and the points and gaps that
+    values fall into find the winner among their nodes by equality. Work grows with
+    rows and WHENs times levels (of all subjects multiplied), however wide ranges are.
+
+    ``df`` is evaluated twice, for its values and for the result; the steps between are
+    stored.
     """
     kinds = [df.schema[s].dataType for s in subjects]
-    bounds = [(F.col(f"low_{i}").cast(k), F.col(f"high_{i}").cast(k)) for i, k in enumerate(kinds, 1)]
-    named = [c for i, (low, high) in enumerate(bounds, 1) for c in (low.alias(f"low_{i}"), high.alias(f"high_{i}"))]
-    table = whens.select("place", *named, "then")
-    ends = (
-        table.select(F.explode(F.array("low_1", "high_1")).alias("end"))
-        .where("end IS NOT NULL")
-        .agg(F.sort_array(F.collect_set("end")).alias("ends"))
-        .scalar()
-    )
-    placed = table.withColumn("ends", ends)
-    low = F.when(F.col("low_1").isNotNull(), _code(F.col("ends"), F.col("low_1"))).when(F.col("high_1").isNull(), -1).otherwise(0)
-    high = F.when(F.col("high_1").isNotNull(), _code(F.col("ends"), F.col("high_1"))).otherwise(2 * F.size("ends"))
-    covered = placed.select("*", low.alias("from_"), high.alias("to_")).where("from_ <= to_")
-    covered = covered.withColumn("__code", F.explode(F.sequence("from_", "to_")))
-    rest = [f"{side}_{i}" for i in range(2, len(subjects) + 1) for side in ("low", "high")]
-    if rest:
-        found = F.sort_array(F.collect_list(F.struct("place", *rest, "then")))
+    places = range(1, len(subjects) + 1)
+    bounds = [(F.col(f"low_{i}").cast(k), F.col(f"high_{i}").cast(k)) for i, k in zip(places, kinds)]
+    named = [c for i, (low, high) in zip(places, bounds) for c in (low.alias(f"low_{i}"), high.alias(f"high_{i}"))]
+    sides = [f"{side}_{i}" for i in places for side in ("low", "high")]
+    if len(subjects) > 1:
+        key, then = F.struct("place", *sides[2:], "then"), F.col("then")
     else:
-        found = F.array(F.min_by(F.struct("then"), F.col("place")))
-    lists = covered.groupBy("__code").agg(found.alias("__whens"))
-
-    def holds(when: Column) -> Column:
-        out = F.lit(True)
-        for i, subject in enumerate(subjects[1:], 2):
-            low, high, value = when.getField(f"low_{i}"), when.getField(f"high_{i}"), F.col(f"`{subject}`")
-            inside = (low.isNull() | (value >= low)) & (high.isNull() | (value <= high))
-            out = out & ((low.isNull() & high.isNull()) | F.coalesce(inside, F.lit(False)))
-        return out
-
-    coded = df.withColumn("__ends", ends).withColumn("__code", _code(F.col("__ends"), F.col(f"`{subjects[0]}`")))
-    # sorted on both sides: the lists together are no small table, however small the WHENs are
-    joined = coded.join(lists.hint("merge"), "__code", "left")
-    at = first_index(F.coalesce("__whens", F.array().cast(lists.schema["__whens"].dataType)), holds)
-    value = F.when(at.isNotNull(), F.get("__whens", at - 1).getField("then")).otherwise(F.lit(other))
-    return joined.withColumn(result, value).drop("__code", "__ends", "__whens")
+        # a WHEN without place comes last, and gives nothing
+        key, then = F.struct(F.col("place").isNull().alias("no_place"), "place"), F.when(F.col("place").isNotNull(), F.col("then"))
+    first = F.min_by("__when", "__when.key").alias("__when")
+    table = whens.select("place", *named, "then").select(*sides, F.struct(key.alias("key"), then.alias("then")).alias("__when"))
+    table = _stored(table.groupBy(*sides).agg(first), "whens")
+
+    values = [f"__s{i}" for i in places]
+    held = _stored(df.select(*[F.col(f"`{s}`").alias(v) for s, v in zip(subjects, values)]).distinct(), "subjects")
+    tops = []
+    for i, v in zip(places, values):
+        ends = table.select(F.col(f"low_{i}").alias("v")).unionAll(table.select(f"high_{i}"))
+        codes, top = _codes(held.select(F.col(v).alias("v")), ends)
+        tops.append(top)
+
+        def coded(rows: DataFrame, value: str, name: str) -> DataFrame:
+            return rows.join(codes.select(F.col("v").alias("__v"), F.col("code").alias(name)), F.col(value) == F.col("__v"), "left").drop("__v")
+
+        held = coded(held, v, f"__c{i}").withColumn(f"__c{i}", F.coalesce(f"__c{i}", F.lit(-1).cast("bigint")))
+        table = coded(coded(table, f"low_{i}", "__from"), f"high_{i}", "__to")
+        open_low = F.when(F.col(f"high_{i}").isNull(), -1).otherwise(0).cast("bigint")
+        table = table.withColumns({f"__from{i}": F.coalesce("__from", open_low), f"__to{i}": F.coalesce("__to", F.lit(top).cast("bigint"))})
+        table = table.where(F.col(f"__from{i}") <= F.col(f"__to{i}")).drop("__from", "__to")
+
+    numbers, nodes = [f"__c{i}" for i in places], [f"__n{i}" for i in places]
+    winners = table.select("__when", *[_nodes_of_range(F.col(f"__from{i}"), F.col(f"__to{i}"), top).alias(f"__n{i}") for i, top in zip(places, tops)])
+    held = _stored(held, "coded")
+    cells = held.select(*numbers).distinct()
+    found = cells.select(*numbers, *[_nodes_of_code(F.col(f"__c{i}"), top).alias(f"__n{i}") for i, top in zip(places, tops)])
+    for n in nodes:
+        winners, found = winners.withColumn(n, F.explode(n)), found.withColumn(n, F.explode(n))
+    winners = winners.groupBy(*nodes).agg(first)
+    found = found.join(winners, nodes).groupBy(*numbers).agg(first)
+    won = _stored(held.join(found, numbers).select(*values, F.struct(F.col("__when.then").alias("then")).alias("__when")), "won")
+
+    match = F.lit(True)
+    for s, v in zip(subjects, values):
+        match = match & F.col(f"`{s}`").eqNullSafe(F.col(v))
+    # sorted on both sides: the winners of many values are no small table
+    joined = df.join(won.hint("merge"), match, "left")
+    value = F.when(F.col("__when").isNotNull(), F.col("__when.then")).otherwise(F.lit(other))
+    return joined.withColumn(result, value).drop("__when", *values)

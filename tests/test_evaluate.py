@@ -69,6 +69,34 @@ def test_lists_are_not_sent_to_every_task(spark):
     assert {r.s: r.rate for r in found.collect()} == {n: n for n in range(10)}
 
 
+def test_wide_ranges_make_no_lists(spark):
+    """Every WHEN covers every value; neither rows nor points hold lists of them."""
+    df = spark.range(60).selectExpr("id * 50 AS s", "id % 7 AS t")
+    whens = spark.range(3000).selectExpr("3000 - id AS place", "-id AS low_1", "9000 + id AS high_1", "id % 7 AS low_2", "id % 7 AS high_2", "id AS then")
+    found = rc.evaluate_ranges(df, ["s", "t"], whens, "rate")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_" not in plan and "ubquery" not in plan
+    assert {(r.t, r.rate) for r in found.collect()} == {(t, max(n for n in range(3000) if n % 7 == t)) for t in range(7)}
+
+
+@pytest.mark.parametrize("top", [0, 1, 2, 3, 14, 15, 16, 61, 64])
+def test_nodes_cover_a_range_once(spark, top):
+    pairs = spark.range(-1, top + 1).selectExpr("id AS a").crossJoin(spark.range(-1, top + 1).selectExpr("id AS b")).where("a <= b")
+    ranges = pairs.select("a", "b", rc._nodes_of_range(F.col("a"), F.col("b"), top).alias("nodes"))
+    under = {r.id: r.nodes for r in spark.range(-1, top + 1).select("id", rc._nodes_of_code(F.col("id"), top).alias("nodes")).collect()}
+    for r in ranges.collect():
+        assert {x for x, nodes in under.items() for n in nodes if n in r.nodes} == set(range(r.a, r.b + 1))
+        assert sum(n in r.nodes for nodes in under.values() for n in nodes) == r.b - r.a + 1
+
+
+def test_numbers_that_are_none_and_whens_without_place(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(-0.0,), (0.0,), (nan,), (5.0,), (None,)], "s double")
+    whens = spark.createDataFrame([(2, 0.0, 0.0, "zero"), (1, nan, None, "nan"), (None, 0.0, 5.0, "nowhere")], "place int, low_1 double, high_1 double, then string")
+    found = rc.evaluate_ranges(df, ["s"], whens, "rate", "other").collect()
+    assert sorted((str(r.s), r.rate) for r in found) == [("-0.0", "zero"), ("0.0", "zero"), ("5.0", None), ("None", "other"), ("nan", "nan")]
+
+
 def test_search_all(spark):
     rng = random.Random(9)
     rows = [(n, sorted(rng.choices(range(50), k=rng.randrange(30))), rng.randrange(-2, 53)) for n in range(300)]
